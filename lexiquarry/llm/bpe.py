@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from lexiquarry.llm.shared import table
 
 #: Chunks between white space that a worker keeps; about 150 bytes each, and as much for their pieces.
-KEPT = 500_000
+KEPT = 250_000
 
 
 def byte_alphabet() -> list[str]:
@@ -208,7 +208,7 @@ class _Shipped:
 
 
 #: Texts that are encoded together, in characters.
-BATCH_CHARS = 16_000_000
+BATCH_CHARS = 4_000_000
 
 
 def _apply(df: DataFrame, source: str, target: str, kind: T.DataType, arrow: pa.DataType, call) -> DataFrame:
