@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lexiquarry.llm import bpe
+from lexiquarry.llm import bpe, near_dup
 
 QUERIES = {
     "op9_bpe": bpe.op9_bpe,
+    "op10_minhash": near_dup.op10_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
