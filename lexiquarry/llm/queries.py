@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from lexiquarry.llm import bpe, near_dup
+from lexiquarry.llm import bpe, near_dup, topk
 
 QUERIES = {
+    "op1_topk": topk.op1_topk,
     "op9_bpe": bpe.op9_bpe,
     "op10_minhash": near_dup.op10_minhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_topk": topk.OP1_SQL,
+}
