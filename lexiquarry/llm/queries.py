@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from lexiquarry.llm import bpe, near_dup, topk
+from lexiquarry.llm import bpe, exact_dup, near_dup, topk
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
+    "op5_exact": exact_dup.op5_exact,
     "op9_bpe": bpe.op9_bpe,
     "op10_minhash": near_dup.op10_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_topk": topk.OP1_SQL,
+    "op5_exact": exact_dup.OP5_SQL,
 }
