@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lexiquarry.llm import bpe, exact_dup, langid, near_dup, topk
+from lexiquarry.llm import bpe, exact_dup, langid, near_dup, topk, toxicity
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
     "op5_exact": exact_dup.op5_exact,
     "op6_langid": langid.op6_langid,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_bpe": bpe.op9_bpe,
     "op10_minhash": near_dup.op10_minhash,
 }
