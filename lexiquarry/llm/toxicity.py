@@ -2,9 +2,9 @@
 
 A document is its set of distinct words; a word's features are itself and its first 4, 5 and 6
 characters, so that a stem counts with endings never seen. Learning takes labelled texts, screens features by the
-log-odds of their document counts, and fits a logistic regression with two penalties: the squared weights,
-and the squared change of the score when an identity term of a labelled sentence is swapped for another of
-its group. The second makes the terms of a group weigh alike, so that naming a group does not raise the
+log-odds of their document counts, and fits a logistic regression with penalties on the weights (which
+leaves words that many documents share) and on the squared change of the score when an identity term of a labelled sentence is
+swapped for another of its group. The latter makes the terms of a group weigh alike, so that naming a group does not raise the
 score by itself.
 
 Learning takes at most ``SAMPLE`` labelled rows of each label, chosen by a hash of doc_id; scores use whole
@@ -36,9 +36,11 @@ from lexiquarry.llm.shared import table
 SAMPLE = 6_000
 DIMS = 2**22
 PREFIXES = (4, 5, 6)
-#: Least z value of a feature's log-odds, and least number of documents that hold it.
+#: Least z value of the log-odds of a feature (only evidence for label 1 is weighed), and least number of documents that hold it.
 LEAST_Z, LEAST_DOCS = 2.0, 2
 RIDGE, SWAP = 0.02, 4.0
+#: A weight costs as much as so many documents of label 1 that are taken for the other label.
+LASSO = 1.0
 #: Terms that may replace each other without changing what is said about whom.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("women", "men"),
@@ -102,8 +104,8 @@ class Model:
         return cls(bias, dict(map(tuple, weights)))
 
 
-def fit(features: list[np.ndarray], toxic: np.ndarray, share: float, swaps: dict[tuple[str, str], int], swap: float = SWAP, rounds: int = 400) -> Model:
-    """Logistic regression on documents' features (with repeats), with ``share`` the share of label 1 in all rows.
+def fit(features: list[np.ndarray], toxic: np.ndarray, share: float, swaps: dict[tuple[str, str], int], swap: float = SWAP, rounds: int = 1000) -> Model:
+    """Logistic regression on documents' features (with repeats), ``share`` of all rows having label 1.
 
     ``swaps`` counts the sentences in which a term could be replaced by another.
     """
@@ -122,7 +124,7 @@ def fit(features: list[np.ndarray], toxic: np.ndarray, share: float, swaps: dict
     odds = np.log((on + 0.5) / (ones - on + 0.5)) - np.log((off + 0.5) / (n - ones - off + 0.5))
     z = odds / np.sqrt(1 / (on + 0.5) + 1 / (off + 0.5))
     swapped = {f for pair in swaps for t in pair for f in features_of(t)}
-    keep = (on + off >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z) | np.isin(used, sorted(swapped))
+    keep = (on + off >= LEAST_DOCS) & (z >= LEAST_Z) | np.isin(used, sorted(swapped))
     chosen = used[keep]
     m = len(chosen)
     place = np.searchsorted(chosen, flat)
@@ -139,18 +141,19 @@ def fit(features: list[np.ndarray], toxic: np.ndarray, share: float, swaps: dict
                     gap[at] += sign
         gaps.append(gap * np.sqrt(times))
     gaps = np.array(gaps).reshape(-1, m)
-    # Rows of a label weigh as that label's share of all rows; the bound of the curvature gives each weight's step.
-    weight = np.where(toxic > 0, share * n / ones, (1 - share) * n / (n - ones)) / n
+    # Both labels weigh alike, as label 1 is rare; the bound of the curvature gives each weight's step.
+    weight = np.where(toxic > 0, 0.5 / ones, 0.5 / (n - ones))
     size = np.bincount(row, weights=val, minlength=n) + 1
     curve = np.bincount(col, weights=0.25 * weight[row] * val * size[row], minlength=m) + RIDGE / n + swap * np.abs(gaps).T @ np.abs(gaps).sum(axis=1) / n
     curve_b = 0.25 * (weight * size).sum()
-    w, b = np.zeros(m), float(np.log(share / (1 - share)))
+    w, b = np.zeros(m), 0.0
     v, vb, t = w.copy(), b, 1.0
     for _ in range(rounds):  # gradient steps with momentum
         s = np.bincount(row, weights=val * v[col], minlength=n) + vb
         d = weight * (1 / (1 + np.exp(-np.clip(s, -40, 40))) - toxic)
         grad = np.bincount(col, weights=val * d[row], minlength=m) + RIDGE / n * v + swap * gaps.T @ (gaps @ v) / n
         new, new_b = v - grad / curve, vb - d.sum() / curve_b
+        new = np.sign(new) * np.maximum(np.abs(new) - LASSO * 0.5 / ones / curve, 0)
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, vb = new + (t - 1) / t_new * (new - w), new_b + (t - 1) / t_new * (new_b - b)
         w, b, t = new, float(new_b), t_new
