@@ -11,8 +11,9 @@ below) with about 1e-7.
 Documents with equal word sequences are one node before any pair is made. In each bucket the node that
 shares most buckets is tested against the others, which takes a number of pairs that is linear in the
 bucket. Nodes that are linked by then need no further test among themselves; what is left, pairs of a
-bucket in different components, is compared in blocks of signatures inside tasks, and only pairs that
-pass the estimate come out. There is no cap on a bucket, and no pair of different components goes untested.
+leader's members in different components, is compared in blocks of signatures and then of texts inside
+tasks, and only links come out. There is no cap on a bucket, and no pair that shares a bucket and lies in
+different components goes untested.
 
 Cases: null texts and texts without words have the empty set and are linked with nothing; texts of fewer
 than five words have one shingle, their whole word sequence; a row without doc_id is a class of its own
@@ -108,7 +109,7 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
 
 def packed(mins: np.ndarray) -> np.ndarray:
     """The low bits of each row's minima in 8 longs."""
-    low = (mins & np.uint64(2**BITS - 1)).reshape(len(mins), -1, 64 // BITS)
+    low = (mins & np.uint64(2**BITS - 1)).reshape(len(mins), HASHES * BITS // 64, 64 // BITS)
     return (low << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
@@ -224,50 +225,104 @@ def confirmed(pairs: DataFrame, texts: DataFrame, share: int) -> DataFrame:
     return rows.groupBy("leader", "part").applyInArrow(_confirm(share), "a binary, b binary")
 
 
-def _cross(rows: pa.Table) -> pa.Table:
-    """Pairs of a bucket in different components that pass the estimate; ``minor`` rows meet all rows."""
-    key = rows.column("key").to_numpy()
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    node = np.array(rows.column("node").to_pylist(), dtype=object)[order]
-    comp = np.array(rows.column("comp").to_pylist(), dtype=object)[order]
-    first = rows.column("first").to_numpy(zero_copy_only=False)[order]
-    minor = rows.column("minor").to_numpy(zero_copy_only=False)[order]
-    sig = rows.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(key), -1)[order]
-    cuts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
-    found = set()
-    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-        own = np.flatnonzero(minor[i:j]) + i
-        rest = np.flatnonzero(first[i:j]) + i
-        if not len(own) or not len(rest):
-            continue
-        for x, y in zip(*np.nonzero(_estimates(sig[own], sig[rest]) >= SCREEN), strict=True):
+def _passing(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each group of blocks in ``rows``, the rows of minor and of any role whose pairs pass the estimate.
+
+    The two rows of a pair are in different components. Also returned: which rows are in such a pair.
+    """
+    group = rows.column("bin").to_numpy()
+    lead, comp, node = (np.array(rows.column(c).to_pylist(), dtype=object) for c in ("leader", "comp", "node"))
+    minor = rows.column("minor").to_numpy(zero_copy_only=False)
+    sig = rows.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(group), -1)
+    of: dict[bytes, list[int]] = {}
+    for k, a in enumerate(lead):
+        of.setdefault(a, []).append(k)
+    left, right = [], []
+    for at in map(np.array, of.values()):
+        own, rest = at[minor[at]], at[~minor[at]]
+        if len(own) and len(rest):
+            x, y = np.nonzero(_estimates(sig[own], sig[rest]) >= SCREEN)
             p, q = own[x], rest[y]
-            if comp[p] != comp[q]:
-                found.add((node[p], node[q]) if node[p] > node[q] else (node[q], node[p]))
-    return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([x for _, x in found], pa.binary())})
+            apart = (comp[p] != comp[q]) & (node[p] != node[q])
+            left.append(p[apart])
+            right.append(q[apart])
+    p, q = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (left, right))
+    there = np.zeros(len(group), dtype=bool)
+    there[p] = there[q] = True
+    return p, q, there
+
+
+MET = ["bin", "i", "j", "leader", "node", "comp", "minor", "sig"]
 
 
-def remaining(shared: DataFrame, comps: DataFrame, tested: DataFrame) -> DataFrame:
-    """Untested pairs ``(a, b)`` of a common bucket in different components that pass the estimate."""
-    rows = shared.join(comps, "node", "left").select("key", "node", "sig", F.coalesce("comp", "node").alias("comp"))
+def _screen(rows: pa.Table) -> pa.Table:
+    """The rows of a group of blocks that are in a pair that passes the estimate."""
+    return rows.filter(pa.array(_passing(rows)[2])).select(MET)
+
+
+def _settle(share: int):
+    def run(rows: pa.Table) -> pa.Table:
+        """Links of the passing pairs; rows that are connected by then are not tested again."""
+        p, q, _ = _passing(rows)
+        comp, node, text = (rows.column(c).to_pylist() for c in ("comp", "node", "text"))
+        kept: dict[int, tuple[list[bytes], set]] = {}
+        root: dict[bytes, bytes] = {}
+
+        def words(k: int) -> tuple[list[bytes], set]:
+            if k not in kept:
+                w = words_of(text[k])
+                fits = blake2b(b" ".join(w), digest_size=16).digest() == node[k]
+                kept[k] = (w, set(shingle_hashes(w).tolist())) if fits else ([], set())
+            return kept[k]
+
+        def find(c: bytes) -> bytes:
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        def enough(x: set, y: set) -> bool:
+            both = len(x & y)
+            return bool(both) and 100 * both >= share * (len(x) + len(y) - both)
+
+        links = []
+        for a, b in zip(p.tolist(), q.tolist(), strict=True):
+            x, y = find(comp[a]), find(comp[b])
+            if x == y:
+                continue
+            (one, own), (two, other) = words(a), words(b)
+            if 100 * min(len(own), len(other)) >= share * max(len(own), len(other)) and enough(own, other) and enough(shingle_set(one), shingle_set(two)):
+                root[x] = y
+                links.append((node[a], node[b]))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([x for _, x in links], pa.binary())})
+
+    return run
+
+
+def remaining(led: DataFrame, comps: DataFrame, texts: DataFrame, share: int) -> DataFrame:
+    """Links between the members ``led (leader, node, sig)`` of a leader that are in different components.
+
+    Members outside a leader's largest component (minor) meet all members, block against block. Blocks
+    are compared by signatures first; only the texts of members in a passing pair are sent, to the same
+    blocks, where the pairs are confirmed. Pairs with the leader itself have been tested.
+    """
+    rows = led.where("node <> leader").join(comps, "node", "left").select("leader", "node", "sig", F.coalesce("comp", "node").alias("comp"))
     ends = (
-        rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
-        .groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("comps"))
-        .where("comps > 1 and n > 2")
-        .select("key", F.col("most.comp").alias("major"), F.ceil((F.col("n") - F.col("most.n")) / SIDE).cast("int").alias("minors"), F.ceil(F.col("n") / SIDE).cast("int").alias("sides"))
+        rows.groupBy("leader", "comp").agg(F.count("*").alias("n"))
+        .groupBy("leader").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("comps"))
+        .where("comps > 1")
+        .select("leader", F.col("most.comp").alias("major"), F.ceil((F.col("n") - F.col("most.n")) / SIDE).cast("int").alias("minors"), F.ceil(F.col("n") / SIDE).cast("int").alias("sides"))
     )
-    # Buckets of one block are put together, about SIDE rows to a group; in others each pair of blocks is a group.
-    bins = blocks(shared.count(), 8 * SIDE)
-    rows = rows.join(ends, "key").withColumn("minor", F.expr("comp <> major")).withColumn("h", F.xxhash64("node"))
-    bin_ = F.when(F.expr("minors = 1 and sides = 1"), F.expr(f"pmod(xxhash64(key), {bins})")).otherwise(F.col("key"))
-    as_minor = rows.where("minor").withColumn("i", F.expr("cast(pmod(h, minors) as int)")).withColumn("j", F.explode(F.expr("sequence(0, sides - 1)"))).withColumn("first", F.lit(False))
-    as_any = rows.withColumn("j", F.expr("cast(pmod(h, sides) as int)")).withColumn("i", F.explode(F.expr("sequence(0, minors - 1)"))).withColumn("minor", F.lit(False)).withColumn("first", F.lit(True))
-    columns = ["bin", "i", "j", "key", "node", "comp", "sig", "minor", "first"]
-    met = as_minor.withColumn("bin", bin_).select(columns).unionByName(as_any.withColumn("bin", bin_).select(columns))
-    pairs = met.groupBy("bin", "i", "j").applyInArrow(_cross, "a binary, b binary").distinct()
-    known = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    return pairs.join(known, ["a", "b"], "left_anti")
+    # Leaders of one block are put together; of others each pair of blocks is a group.
+    bins = blocks(led.count(), 4 * SIDE)
+    h = F.xxhash64("node")
+    bin_ = F.when(F.expr("minors = 1 and sides = 1"), F.expr(f"pmod(xxhash64(leader), {bins})")).otherwise(F.xxhash64("leader"))
+    rows = rows.join(ends, "leader").withColumn("bin", bin_).withColumn("h", h)
+    minor = rows.where("comp <> major").withColumn("i", F.expr("cast(pmod(h, minors) as int)")).withColumn("j", F.explode(F.expr("sequence(0, sides - 1)"))).withColumn("minor", F.lit(True))
+    every = rows.withColumn("j", F.expr("cast(pmod(h, sides) as int)")).withColumn("i", F.explode(F.expr("sequence(0, minors - 1)"))).withColumn("minor", F.lit(False))
+    met = minor.select(MET).unionByName(every.select(MET))
+    schema = "bin long, i int, j int, leader binary, node binary, comp binary, minor boolean, sig array<long>"
+    close = written(met.groupBy("bin", "i", "j").applyInArrow(_screen, schema), "close")
+    return close.join(texts, "node").groupBy("bin", "i", "j").applyInArrow(_settle(share), "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, share: int = 85) -> DataFrame:
@@ -278,23 +333,21 @@ def near_duplicates(docs: DataFrame, share: int = 85) -> DataFrame:
     """
     signed = written(signatures(docs), "signed")
     nodes = written(signed.where("node is not null and doc_id is not null").groupBy("node", "sig", "bands").agg(F.min("doc_id").alias("doc")), "nodes")
-    buckets = nodes.select("node", "sig", F.explode("bands").alias("key"))
+    buckets = nodes.select("node", F.explode("bands").alias("key"))
     common = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = written(buckets.join(common, "key"), "shared")
-    degree = shared.groupBy("node").agg(F.sum("n").alias("degree"))
-    leaders = shared.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node", "sig")).alias("lead")).select("key", F.col("lead.node").alias("a"), F.col("lead.sig").alias("a_sig"))
-    stars = (
-        shared.join(leaders, "key").where("node <> a")
-        .where(estimate("a_sig", "sig") >= SCREEN)
-        .select("a", F.col("node").alias("b")).distinct()
-    )
-    stars = written(stars, "stars")
-    wanted = shared.select("node").distinct().join(nodes.select("node", "doc"), "node")
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").cast("binary").alias("text")).join(wanted, "doc").select("node", "text"), "texts")
+    degree = shared.groupBy("node").agg(F.sum("n").alias("degree")).join(nodes.select("node", "doc", "sig"), "node")
+    degree = written(degree, "degree")
+    leaders = shared.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("lead")).select("key", F.col("lead.node").alias("leader"))
+    members = shared.join(leaders, "key").select("leader", "node").distinct()
+    signs = degree.select("node", "sig")
+    led = members.join(signs, "node").join(signs.select(F.col("node").alias("leader"), F.col("sig").alias("leader_sig")), "leader")
+    led = written(led.withColumn("estimate", estimate("leader_sig", "sig")).drop("leader_sig"), "led")
+    stars = led.where(f"node <> leader and estimate >= {SCREEN}").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").cast("binary").alias("text"))
+    texts = written(texts.join(degree.select("node", "doc"), "doc").select("node", "text"), "texts")
     links = written(confirmed(stars, texts, share), "links")
-    comps = components(links)
-    rest = written(remaining(shared, comps, stars), "rest")
-    more = written(confirmed(rest, texts, share), "links")
+    more = written(remaining(led, components(links), texts, share), "links")
     unwritten(texts)
     unwritten(shared)
     comps = written(components(links.unionByName(more)), "comps")
