@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lexiquarry.llm import bpe, exact_dup, langid, near_dup, topk, toxicity
+from lexiquarry.llm import bpe, exact_dup, langid, line_dedup, near_dup, topk, toxicity
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
+    "op2_lines": line_dedup.op2_lines,
     "op5_exact": exact_dup.op5_exact,
     "op6_langid": langid.op6_langid,
     "op8_toxicity": toxicity.op8_toxicity,
