@@ -153,7 +153,7 @@ def exact_duplicates(docs: DataFrame, incoming) -> DataFrame:
     inside = old.where("n > 1").select("digest").unionByName(new.where("n > 1").select("digest"))
     suspect = written(across.unionByName(inside).distinct(), "suspect")
     # The byte check: of each digest that is not alone, the texts themselves are the groups.
-    own = docs.select(F.col("doc_id").cast("long"), norm.alias("norm")).withColumn("digest", F.sha2(F.col("norm").cast("binary"), 256)).join(suspect, "digest")
+    own = docs.select(F.col("doc_id").cast("long"), norm.alias("norm")).withColumn("digest", F.sha2(F.col("norm").cast("binary"), 256)).join(suspect.hint("merge"), "digest")
     groups = own.groupBy("digest", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     groups = groups.select("digest", "keep_id", "group_size", F.xxhash64("norm").alias("variant"))
     groups = written(groups, "groups")
