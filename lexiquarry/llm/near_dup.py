@@ -345,7 +345,7 @@ def near_duplicates(docs: DataFrame, share: int = 85) -> DataFrame:
     led = written(led.withColumn("estimate", estimate("leader_sig", "sig")).drop("leader_sig"), "led")
     stars = led.where(f"node <> leader and estimate >= {SCREEN}").select(F.col("leader").alias("a"), F.col("node").alias("b"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").cast("binary").alias("text"))
-    texts = written(texts.join(degree.select("node", "doc"), "doc").select("node", "text"), "texts")
+    texts = written(texts.join(degree.select("node", "doc").hint("merge"), "doc").select("node", "text"), "texts")
     links = written(confirmed(stars, texts, share), "links")
     more = written(remaining(led, components(links), texts, share), "links")
     unwritten(texts)
