@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from lexiquarry.llm import bpe, exact_dup, langid, line_dedup, near_dup, topk, toxicity
+from lexiquarry.llm import bpe, exact_dup, langid, licenses, line_dedup, mixing, near_dup, quality, topk, toxicity
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
     "op2_lines": line_dedup.op2_lines,
+    "op3_mixing": mixing.op3_mixing,
+    "op4_licenses": licenses.op4_licenses,
     "op5_exact": exact_dup.op5_exact,
     "op6_langid": langid.op6_langid,
+    "op7_quality": quality.op7_quality,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_bpe": bpe.op9_bpe,
     "op10_minhash": near_dup.op10_minhash,
