@@ -12,7 +12,8 @@ texts.
 
 Cases: null and empty texts get the score of a text without known words; without labelled rows of both
 labels every score is the share of label 1 (0 without any); labels other than 0 and 1 are not learned
-from; repeated label rows count as often as they occur; an empty table gives an empty result; ties at 0.5
+from; repeated label rows count once, as do repeated documents (the
+smallest text of a doc_id); an empty table gives an empty result; ties at 0.5
 count as label 1; an input column with the name of a result column is an error that names it.
 """
 
@@ -173,14 +174,17 @@ def _prepare(groups: Sequence[Sequence[str]]):
     return run
 
 
-def train(rows: DataFrame, groups: Sequence[Sequence[str]] = IDENTITY_TERMS, sample: int = SAMPLE, swap: float = SWAP) -> Model:
-    """The model of ``rows (doc_id, text, toxic)``; the fit is one task over the bounded sample."""
-    rows = rows.where("toxic in (0, 1)").select("doc_id", F.col("text").cast("string"), F.col("toxic").cast("int"))
+def train(labels: DataFrame, docs: DataFrame, groups: Sequence[Sequence[str]] = IDENTITY_TERMS, sample: int = SAMPLE, swap: float = SWAP) -> Model:
+    """The model of ``labels (doc_id, toxic)`` on ``docs (doc_id, text)``; the fit is one task over the bounded sample."""
+    rows = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).distinct()
     size = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     total = sum(size.values())
     share = size.get(1, 0) / total if total else 0.0
     bound = F.when(F.col("toxic") == 1, F.lit(min(1.0, sample / max(size.get(1, 0), 1)))).otherwise(F.lit(min(1.0, sample / max(size.get(0, 0), 1))))
-    chosen = rows.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6) < bound)
+    # The chosen labels, about ``sample`` of each, go to the texts, not the texts to them.
+    wanted = rows.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6) < bound)
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    chosen = texts.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def one(prepared: pa.Table) -> pa.Table:
         swaps: dict[tuple[str, str], int] = {}
@@ -229,6 +233,6 @@ def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str =
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = remainder("doc_id", 5) == 0
-    rows = labels.where(~held_out).select("doc_id", "toxic").join(docs.select("doc_id", "text"), "doc_id")
-    found = score(docs.select("doc_id", "text"), train(rows))
+    model = train(labels.where(~held_out).select("doc_id", "toxic"), docs)
+    found = score(docs.select("doc_id", "text"), model)
     return found.select("doc_id", F.coalesce(held_out, F.lit(True)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
