@@ -239,7 +239,9 @@ def quality(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     size = labelled.agg(F.count_if(good), F.count_if(~good)).first()
     chance = F.when(good, F.lit(min(1.0, sample / max(size[0], 1)))).otherwise(F.lit(min(1.0, sample / max(size[1], 1))))
     chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6 < chance).select("doc_id", "posterior")
-    learned = chosen.join(docs.select("doc_id", "text"), "doc_id").select("posterior", F.col("text").cast("string"))
+    # The chosen rows, about ``sample`` of each half, go to the texts, not the texts to them.
+    chosen = chosen.groupBy("doc_id").agg(F.min("posterior").alias("posterior"))
+    learned = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "posterior").agg(F.min("text").alias("text")).select("posterior", "text")
     learned = learned.mapInArrow(_vectors, "posterior double, features array<long>")
     made = learned.groupBy(F.lit(1).alias("all")).applyInArrow(_train, "model string").collect()
     text = made[0][0] if made else Scorer(np.zeros(DIMS), 0.0).to_text()
