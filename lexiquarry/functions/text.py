@@ -117,7 +117,7 @@ def reply(raw: Column | str) -> Column:
     return F.when(parsed["answer"].isNotNull() & parsed["abstained"].isNotNull(), parsed)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """NFKC with every space character as a plain space. Spark has no normalisation of its own."""
 
@@ -128,7 +128,7 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def json_length(raw: pd.Series) -> pd.Series:
     """Characters of a JSON text when written with ``", "`` and ``": "`` and letters unescaped."""
     return raw.map(lambda x: len(json.dumps(json.loads(x), ensure_ascii=False)) if x is not None else None)

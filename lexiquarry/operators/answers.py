@@ -117,20 +117,30 @@ def answer(cases: DataFrame, evidence: DataFrame, responder: Callable[[str], str
     )
 
 
+def _judged() -> tuple[Column, Column]:
+    """Whether a case behaved as it should, and whether anything is wrong with it."""
+    right = F.col("abstained") == ~F.col("should_answer")
+    return right, ~right | ~F.col("citation_ok") | (F.col("warnings") > 0) | F.col("violation") | F.col("leak") | (F.coalesce("failure", F.lit("")) != "")
+
+
 def rag_metrics(rows: DataFrame) -> DataFrame:
     """Counts and rates over ``(question_id, should_answer, abstained, citation_ok, warnings, violation, leak, failure, api_status)``."""
-    right = F.col("abstained") == ~F.col("should_answer")
-    bad = ~right | ~F.col("citation_ok") | (F.col("warnings") > 0) | F.col("violation") | F.col("leak") | (F.coalesce("failure", F.lit("")) != "")
+    right, bad = _judged()
     return rows.agg(
         F.count("*").alias("total_questions"), F.count_if("should_answer").alias("answerable_questions"), F.count_if(~F.col("should_answer")).alias("abstention_questions"),
         F.count_if(right).alias("correct_behavior_count"), F.avg(right.cast("double")).alias("correct_behavior_rate"),
         F.count_if(~F.col("citation_ok")).alias("citation_validation_failures"), F.count_if(F.col("warnings") > 0).alias("unsupported_claim_warnings"),
         F.count_if("violation").alias("jurisdiction_violations"), F.count_if("leak").alias("forbidden_source_leakage"),
         F.count_if((F.coalesce("failure", F.lit("")) != "") & (F.col("api_status") != "NOT_CALLED")).alias("api_failures_after_retries"),
-        F.array_sort(F.collect_list(F.when(bad, F.col("question_id")))).alias("failed_question_ids"),
+        F.count_if(bad).alias("failed"),
     )
 
 
+def failed_questions(rows: DataFrame) -> DataFrame:
+    """The ids of the cases with which anything is wrong."""
+    return rows.where(_judged()[1]).select("question_id")
+
+
 def answer_blocks(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Blocks of an answer between blank lines: ordered list, bullet list or paragraph."""
     parts = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda b: F.trim(b, F.lit(" \t\r\n"))), lambda b: b != "")

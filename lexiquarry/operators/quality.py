@@ -222,9 +222,9 @@ def audit(records: DataFrame, sources: DataFrame, topics: Sequence[str]) -> Data
     )
 
 
-def number_breaks(rows: DataFrame, by: Sequence[str], order: str, number: str) -> DataFrame:
+def number_breaks(rows: DataFrame, by: Sequence[str], order: Sequence[str], number: str) -> DataFrame:
     """Rows whose number is smaller than that of the row before in their group."""
-    before = F.lag(number).over(W.partitionBy(*by).orderBy(order))
+    before = F.lag(number).over(W.partitionBy(*by).orderBy(*order))
     return rows.withColumn("previous", before).where(F.col(number) < F.col("previous"))
 
 

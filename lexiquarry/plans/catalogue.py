@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from lexiquarry.plans import lines, records, search, texts
+
+_PARTS = (records, lines, search, texts)
+QUERIES: dict = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
