@@ -36,6 +36,22 @@ from lexiquarry.llm.shared import table
 KEPT = 250_000
 
 
+# Letters and numbers assigned after Unicode 16, which the vocabulary's library takes for neither.
+LATER = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F),
+    (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2),
+    (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7),
+    (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1),
+    (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3),
+    (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2),
+    (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6),
+    (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE),
+    (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF),
+    (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+_LATER = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in LATER) + "]")
+
+
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -87,6 +103,12 @@ class Vocabulary:
             out += [b"\xff" + part.encode()] if k % 2 else self.normal(part).encode("utf-8", "replace").split()
         return out
 
+    def pieces_of(self, chunk: str) -> list[str]:
+        """The pieces of a chunk; characters of ``LATER`` count as neither letters nor numbers."""
+        if chunk.isascii() or not _LATER.search(chunk):
+            return self.pieces.findall(chunk)
+        return [chunk[m.start() : m.end()] for m in self.pieces.finditer(_LATER.sub("\1", chunk))]
+
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, -1 for one that has none."""
         key = left * self.width + right
@@ -170,7 +192,7 @@ class Vocabulary:
             self.found, self.pieces_found = {}, {}
             unseen = set().union(*cut)
         specials = {b"\xff" + token.encode(): i.to_bytes(4, "little") for token, i in self.special.items()}
-        pieces = {c: self.pieces.findall(c.decode()) for c in unseen if c not in specials}
+        pieces = {c: self.pieces_of(c.decode()) for c in unseen if c not in specials}
         new = list(set().union(*pieces.values()).difference(self.pieces_found))
         if new:
             self.pieces_found.update(zip(new, self.merge(new), strict=True))
