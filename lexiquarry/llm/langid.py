@@ -87,11 +87,11 @@ class Model:
     @classmethod
     def from_counts(cls, langs: list[str], counts: np.ndarray) -> Model:
         """``counts``: languages x trigrams."""
-        grams = counts.reshape(len(langs), -1, 2**CLASS_BITS).astype(np.float64)
-        letters = counts.reshape(len(langs), -1, 2**CLASS_BITS).sum(axis=1) + 1.0
+        grams = counts.reshape(len(langs), 4**CLASS_BITS, 2**CLASS_BITS).astype(np.float64)
+        letters = counts.reshape(len(langs), 4**CLASS_BITS, 2**CLASS_BITS).sum(axis=1) + 1.0
         prior = letters / letters.sum(axis=1, keepdims=True)
         logp = np.log((grams + 2.0 * prior[:, None, :]) / (grams.sum(axis=2, keepdims=True) + 2.0))
-        return cls(langs, np.ascontiguousarray(logp.reshape(len(langs), -1).T, dtype=np.float32))
+        return cls(langs, np.ascontiguousarray(logp.reshape(len(langs), GRAMS).T, dtype=np.float32))
 
     def to_text(self) -> str:
         out = io.BytesIO()

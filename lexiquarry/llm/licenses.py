@@ -153,25 +153,23 @@ def licenses(docs: DataFrame, path_col: str = "path", templates: Mapping[str, st
     for name in RESULT:
         if name in docs.columns:
             raise ValueError(f"the table has a column {name} already")
-    found = scan(docs, templates).drop("text")
-    named = F.col(path_col).rlike(_NAME)
-    speaks = found.where(F.col("own_license").isNotNull() & F.col(path_col).isNotNull() & (named | (F.col("license_share") >= FILE_SHARE)))
+    columns = [c for c in docs.columns if c != "text"]
+    found = scan(docs, templates).select(F.struct(*columns).alias("row"), F.col(path_col).alias("path"), *OWN.fieldNames())
+    folder = F.element_at(_above("path"), -1)
+    named = F.col("path").rlike(_NAME)
+    speaks = found.where(F.col("own_license").isNotNull() & F.col("path").isNotNull() & (named | (F.col("license_share") >= FILE_SHARE)))
     given = (
-        speaks.select(F.element_at(_above(path_col), -1).alias("dir"), "own_license", "similarity")
+        speaks.select(folder.alias("dir"), "own_license", "similarity")
         .groupBy("dir").agg(F.min(F.struct((-F.col("similarity")).alias("far"), "own_license")).alias("best"))
         .select("dir", F.col("best.own_license").alias("given"))
     )
     # A path needs its distinct directory only; each directory looks at the directories above it once.
-    placed = found.withColumn("_dir", F.when(F.col(path_col).isNotNull(), F.element_at(_above(path_col), -1)))
-    dirs = placed.where("_dir is not null").select("_dir").distinct().withColumn("dir", F.explode(F.array_distinct(F.array_append(_above("_dir"), F.col("_dir")))))
-    nearest = dirs.join(given, "dir").groupBy("_dir").agg(F.max(F.struct(F.length("dir").alias("depth"), "dir", "given")).alias("near")).select("_dir", F.col("near.dir").alias("near_dir"), F.col("near.given").alias("given"))
-    joined = placed.join(nearest, "_dir", "left")
-    own = F.col("own_license").isNotNull()
-    return joined.select(
-        *[c for c in docs.columns if c != "text"], "own_license", "similarity", "license_share",
-        F.coalesce("own_license", "given").alias("license"),
-        F.when(own, "own").otherwise(F.col("near_dir")).alias("license_from"),
-    )
+    placed = found.withColumn("folder", F.when(F.col("path").isNotNull(), folder))
+    dirs = placed.where("folder is not null").select("folder").distinct().withColumn("dir", F.explode(F.array_distinct(F.array_append(_above("folder"), F.col("folder")))))
+    nearest = dirs.join(given, "dir").groupBy("folder").agg(F.max(F.struct(F.length("dir").alias("depth"), "dir", "given")).alias("near")).select("folder", F.col("near.dir").alias("near_dir"), F.col("near.given").alias("given"))
+    joined = placed.join(nearest, "folder", "left")
+    origin = F.when(F.col("own_license").isNotNull(), "own").otherwise(F.col("near_dir"))
+    return joined.select("row.*", *OWN.fieldNames(), F.coalesce("own_license", "given").alias("license"), origin.alias("license_from"))
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,7 +148,9 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
         .select("doc_id", F.struct("h1", "h2", F.col("doc_id").eqNullSafe(F.col("keeper")).alias("keeps")).alias("goes"))
         .groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("goes").alias("goes"))  # as many as the document has chunks
     )
-    joined = docs.join(marks, docs["doc_id"].cast("long").eqNullSafe(marks["of"]), "left").select(*[docs[c] for c in docs.columns], "goes")
+    whole = docs.select(F.struct(*docs.columns).alias("row"))
+    joined = whole.join(marks, F.col("row.doc_id").cast("long").eqNullSafe(F.col("of")), "left")
+    joined = joined.select(*[F.col("row")[c].alias(f"c{k}") for k, c in enumerate(docs.columns)], "goes")
     schema = T.StructType([*docs.schema.fields, *REMOVED.fields])
     return joined.mapInArrow(_drop(docs.columns, docs.columns.index("text"), len(docs.columns)), schema)
 

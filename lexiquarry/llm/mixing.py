@@ -104,7 +104,8 @@ def mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS,
     for name in ("topic", "tokens", "probability", "kept"):
         if name in docs.columns:
             raise ValueError(f"the table has a column {name} already")
-    rows = docs.withColumn("topic", topic_of(F.col("text"))).withColumn("tokens", tokens_of(F.col("text")))
+    cells = [F.struct(*docs.columns).alias("row"), topic_of(F.col("text")).alias("topic"), tokens_of(F.col("text")).alias("tokens")]
+    rows = docs.select(*cells).select("*", F.col("row.source").alias("source"), F.col("row.lang").alias("lang"))
     levels = {m: [*targets[m], OTHER] for m in MARGINS}
     cell = [levelled(F.col(m), targets[m]).alias(f"_{m}") for m in MARGINS]
     counted = rows.select(*cell, "tokens").groupBy(*[f"_{m}" for m in MARGINS]).agg(F.sum("tokens").alias("n")).collect()
@@ -119,8 +120,8 @@ def mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS,
     )
     # The table of cells is bounded by the targets.
     rows = rows.select("*", *cell).join(F.broadcast(table_), [f"_{m}" for m in MARGINS]).drop(*[f"_{m}" for m in MARGINS])
-    draw = F.expr(f"pmod(xxhash64(coalesce(cast(doc_id as long), 0L), {seed}), 9007199254740992L) / 9007199254740992D")
-    return rows.select(*docs.columns, "topic", "tokens", "probability", (draw < F.col("probability")).alias("kept"))
+    draw = F.expr(f"pmod(xxhash64(coalesce(cast(row.doc_id as long), 0L), {seed}), 9007199254740992L) / 9007199254740992D")
+    return rows.select("row.*", "topic", "tokens", "probability", (draw < F.col("probability")).alias("kept"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

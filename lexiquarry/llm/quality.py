@@ -199,11 +199,10 @@ def _train(rows: pa.Table) -> pa.Table:
 
 
 def voted(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column for the vote of each labeller."""
+    """``row``, all columns of ``docs`` but the text, ``text``, and a column for the vote of each labeller."""
     own = measures(F.col("text"))
-    measured = docs.select("*", F.struct(*[c.alias(k) for k, c in own.items()]).alias("_m"))
-    named = regex.compile(r"\b(" + "|".join(own) + r")\b")
-    return measured.select(*docs.columns, *[F.expr(named.sub(r"_m.\1", sql)).alias(k) for k, sql in votes().items()])
+    measured = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), F.col("text").cast("string"), *[c.alias(k) for k, c in own.items()])
+    return measured.select("row", "text", *[F.expr(sql).alias(k) for k, sql in votes().items()])
 
 
 def labellers(rows: DataFrame) -> tuple[float, np.ndarray]:
@@ -238,7 +237,7 @@ def quality(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     good = F.col("posterior") >= 0.5
     size = labelled.agg(F.count_if(good), F.count_if(~good)).first()
     chance = F.when(good, F.lit(min(1.0, sample / max(size[0], 1)))).otherwise(F.lit(min(1.0, sample / max(size[1], 1))))
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6 < chance).select("doc_id", "posterior")
+    chosen = labelled.where(F.pmod(F.xxhash64("row.doc_id"), F.lit(1_000_000)) / 1e6 < chance).select("row.doc_id", "posterior")
     # The chosen rows, about ``sample`` of each half, go to the texts, not the texts to them.
     chosen = chosen.groupBy("doc_id").agg(F.min("posterior").alias("posterior"))
     learned = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "posterior").agg(F.min("text").alias("text")).select("posterior", "text")
@@ -246,21 +245,18 @@ def quality(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     made = learned.groupBy(F.lit(1).alias("all")).applyInArrow(_train, "model string").collect()
     text = made[0][0] if made else Scorer(np.zeros(DIMS), 0.0).to_text()
     shipped, key = docs.sparkSession.sparkContext.broadcast(text), hash(text)  # at most DIMS weights
-    n = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _loaded(shipped, key)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                rows = batch.slice(at, 500)
-                made = pa.array([own.score(t) for t in rows.column(n).to_pylist()], pa.float64())
-                yield pa.RecordBatch.from_arrays([*rows.columns[:n], *rows.columns[n + 1 :], made], names=[*rows.schema.names[:n], *rows.schema.names[n + 1 :], "score"])
-
-    names = [c for c in docs.columns if c != "text"]
-    scored = rows.select(*names, post.alias("posterior"), F.col("text").cast("string"))
-    n = len(names) + 1
-    schema = T.StructType([*[docs.schema[c] for c in names], T.StructField("posterior", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    return scored.mapInArrow(run, schema).withColumn("good", F.col("score") >= 0.5)
+                part = batch.slice(at, 500)
+                made = pa.array([own.score(t) for t in part.column(2).to_pylist()], pa.float64())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), made], names=["row", "posterior", "score"])
+
+    scored = rows.select("row", post.alias("posterior"), "text")
+    schema = T.StructType([scored.schema["row"], T.StructField("posterior", T.DoubleType()), T.StructField("score", T.DoubleType())])
+    return scored.mapInArrow(run, schema).select("row.*", "posterior", "score", (F.col("score") >= 0.5).alias("good"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,7 +141,7 @@ def fit(features: list[np.ndarray], toxic: np.ndarray, share: float, swaps: dict
                 if at < m and chosen[at] == f:
                     gap[at] += sign
         gaps.append(gap * np.sqrt(times))
-    gaps = np.array(gaps).reshape(-1, m)
+    gaps = np.array(gaps).reshape(len(gaps), m)
     # Both labels weigh alike, as label 1 is rare; the bound of the curvature gives each weight's step.
     weight = np.where(toxic > 0, 0.5 / ones, 0.5 / (n - ones))
     size = np.bincount(row, weights=val, minlength=n) + 1
