@@ -4,7 +4,7 @@ A text is cut into lines and sentences. Each is a sparse TF-IDF vector over the
 with the other words counting in its length; inverse document frequencies of the template words are
 counted over all texts. A document's own licence is the template with the highest cosine of at least
 ``CLOSE`` over its lines. A licence file, known by its name or by licence lines making up ``FILE_SHARE`` of
-its words, speaks for its directory; a file without a licence of its own takes that of the nearest ancestor
+its characters, speaks for its directory; a file without a licence of its own takes that of the nearest ancestor
 directory that has one, found by joining the directories above each path.
 
 Cases: null and empty texts have no licence of their own; a null path has no directories; of several licence
@@ -18,7 +18,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Mapping
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -40,26 +39,50 @@ TEMPLATES: dict[str, str] = {
     "MPL-2.0": "This file is subject to the terms of the Mozilla Public License, version 2.0",
     "proprietary": "All rights reserved",
 }
+#: Chunks whose words a worker keeps.
+KEPT = 200_000
 _WORD = regex.compile(r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*")
 _NAME = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)[^/]*$"
 
 
+class _Words(dict):
+    """The words of what stands between white space."""
+
+    def __missing__(self, chunk: str) -> tuple[str, ...]:
+        if len(self) >= KEPT:
+            self.clear()
+        value = self[chunk] = tuple(_WORD.findall(chunk))
+        return value
+
+
+_WORDS = _Words()
+
+
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return [w for chunk in text.lower().split() for w in _WORDS[chunk]]
 
 
 def _documents_with(vocabulary: list[str]):
     place = {w: k for k, w in enumerate(vocabulary)}
 
+    class Places(dict):
+        """The template words of a chunk, by number."""
+
+        def __missing__(self, chunk: str) -> tuple[int, ...]:
+            if len(self) >= KEPT:
+                self.clear()
+            value = self[chunk] = tuple(place[w] for w in _WORD.findall(chunk) if w in place)
+            return value
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """How many documents hold each template word, and how many there are."""
-        total = np.zeros(len(vocabulary) + 1, dtype=np.int64)
+        total, places = [0] * (len(vocabulary) + 1), Places()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 for text in batch.column(0).slice(at, 500).to_pylist():
                     total[-1] += 1
-                    for w in place.keys() & set(words_of(text or "")):
-                        total[place[w]] += 1
+                    for k in set().union(*filter(None, map(places.__getitem__, set((text or "").lower().split())))):
+                        total[k] += 1
         yield pa.RecordBatch.from_arrays([pa.array([*vocabulary, ""], pa.string()), pa.array(total, pa.int64())], names=["word", "n"])
 
     return run
@@ -74,6 +97,19 @@ def document_counts(docs: DataFrame, templates: Mapping[str, str]) -> tuple[dict
     return {w: counts.get(w, 0) for w in vocabulary}, total
 
 
+class _Bounds(dict):
+    """What a chunk can add to the square of a cosine, at most."""
+
+    def __init__(self, most: Mapping[str, float]):
+        self.most = most
+
+    def __missing__(self, chunk: str) -> float:
+        if len(self) >= KEPT:
+            self.clear()
+        value = self[chunk] = sum(self.most.get(w, 0.0) for w in _WORD.findall(chunk))
+        return value
+
+
 class Matcher:
     """Cosines of a line to the templates."""
 
@@ -88,10 +124,12 @@ class Matcher:
             size = math.sqrt(sum(x * x for x in weights.values()))
             self.unit[name] = {w: x / size for w, x in weights.items()}
 
+        # A cosine is at most the root of what the shared words make of the template's own length.
+        self.most = {w: max(unit.get(w, 0.0) for unit in self.unit.values()) ** 2 for w in self.idf}
+        self.bounds = _Bounds(self.most)
+
     def best(self, words: list[str]) -> tuple[str | None, float]:
         """The closest template and its cosine; none if no word is shared."""
-        if self.idf.keys().isdisjoint(words):
-            return None, 0.0
         count: dict[str, int] = {}
         for w in words:
             count[w] = count.get(w, 0) + 1
@@ -99,23 +137,24 @@ class Matcher:
         size = math.sqrt(sum(x * x for x in weights.values()))
         found, top = None, 0.0
         for name, unit in self.unit.items():
-            cosine = sum(x * weights.get(w, 0.0) for w, x in unit.items()) / size
+            cosine = sum(x * weights.get(w, 0.0) for w, x in unit.items()) / size if size else 0.0
             if cosine > top + 1e-12:
                 found, top = name, cosine
         return found, top
 
     def scan(self, text: str | None) -> tuple[str | None, float, float]:
-        """The licence of a text, its cosine, and the share of its words in licence lines."""
-        found, top, inside, total = None, 0.0, 0, 0
-        for line in lines_of(text or ""):
-            words = words_of(line)
-            total += len(words)
-            name, cosine = self.best(words)
+        """The licence of a text, its cosine, and the share of its characters in licence lines."""
+        found, top, inside, text = None, 0.0, 0, (text or "").lower()
+        bound, least = self.bounds.__getitem__, CLOSE * CLOSE - 1e-9
+        for line in lines_of(text):
+            if sum(map(bound, line.split())) < least:
+                continue
+            name, cosine = self.best(words_of(line))
             if cosine >= CLOSE:
-                inside += len(words)
+                inside += len(line)
                 if cosine > top + 1e-12 or abs(cosine - top) <= 1e-12 and (found is None or name < found):
                     found, top = name, cosine
-        return found, top, inside / total if total else 0.0
+        return found, top, inside / len(text) if text else 0.0
 
 
 OWN = T.StructType([T.StructField("own_license", T.StringType()), T.StructField("similarity", T.DoubleType()), T.StructField("license_share", T.DoubleType())])
