@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiquarry.llm.line_dedup import lines_of
-from lexiquarry.llm.shared import table
+from lexiquarry.llm.shared import table, written
 
 CLOSE, FILE_SHARE = 0.6, 0.25
 #: Sentences by which common licences are declared.
@@ -194,6 +194,7 @@ def licenses(docs: DataFrame, path_col: str = "path", templates: Mapping[str, st
             raise ValueError(f"the table has a column {name} already")
     columns = [c for c in docs.columns if c != "text"]
     found = scan(docs, templates).select(F.struct(*columns).alias("row"), F.col(path_col).alias("path"), *OWN.fieldNames())
+    found = written(found, "licenses")
     folder = F.element_at(_above("path"), -1)
     named = F.col("path").rlike(_NAME)
     speaks = found.where(F.col("own_license").isNotNull() & F.col("path").isNotNull() & (named | (F.col("license_share") >= FILE_SHARE)))
