@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiquarry.llm.shared import table
+from lexiquarry.llm.shared import give_back, table
 
 #: Chunks between white space that a worker keeps; about 150 bytes each, and as much for their pieces.
-KEPT = 250_000
+KEPT = 150_000
 
 
 # Letters and numbers assigned after Unicode 16, which the vocabulary's library takes for neither.
@@ -233,11 +233,12 @@ class _Shipped:
 BATCH_CHARS = 4_000_000
 
 
-def _apply(df: DataFrame, source: str, target: str, kind: T.DataType, arrow: pa.DataType, call) -> DataFrame:
-    """``df`` with column ``target`` made from ``source`` a few MB at a time."""
-    if target in df.columns:
-        raise ValueError(f"the table has a column {target} already")
-    schema = T.StructType([*df.schema.fields, T.StructField(target, kind)])
+def _apply(df: DataFrame, source: str, made: list[tuple[T.StructField, pa.DataType]], call) -> DataFrame:
+    """``df`` with the columns ``made`` from ``source`` a few MB at a time."""
+    for field, _ in made:
+        if field.name in df.columns:
+            raise ValueError(f"the table has a column {field.name} already")
+    schema = T.StructType([*df.schema.fields, *(field for field, _ in made)])
     n = df.columns.index(source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,27 +248,48 @@ def _apply(df: DataFrame, source: str, target: str, kind: T.DataType, arrow: pa.
             for k in np.unique(part):
                 at = np.flatnonzero(part == k)
                 rows = batch.slice(int(at[0]), len(at))
-                made = pa.array(call(rows.column(n).to_pylist()), type=arrow)
-                yield pa.RecordBatch.from_arrays([*rows.columns, made], names=[*rows.schema.names, target])
+                new = [pa.array(values, type=kind) for values, (_, kind) in zip(call(rows.column(n).to_pylist()), made, strict=True)]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *new], names=schema.fieldNames())
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def _ids(name: str) -> tuple[T.StructField, pa.DataType]:
+    return T.StructField(name, T.BinaryType()), pa.binary()
+
+
+def _text(name: str) -> tuple[T.StructField, pa.DataType]:
+    return T.StructField(name, T.StringType()), pa.string()
+
+
 def encode(df: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
     """Adds the ids of each text, packed as little-endian unsigned 32-bit integers."""
     shipped = _Shipped(df.sparkSession, vocab_path)
-    return _apply(df, text_col, ids_col, T.BinaryType(), pa.binary(), lambda texts: _loaded(shipped).encode([t or "" for t in texts]))
+    return _apply(df, text_col, [_ids(ids_col)], lambda texts: [_loaded(shipped).encode([t or "" for t in texts])])
 
 
 def decode(df: DataFrame, vocab_path: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
     """Adds the text of each packed id list, special tokens included."""
     shipped = _Shipped(df.sparkSession, vocab_path)
 
-    def call(packed: list[bytes | None]) -> list[str]:
+    def call(packed: list[bytes | None]) -> list[list[str]]:
+        vocabulary = _loaded(shipped)
+        return [[vocabulary.decode(x or b"") for x in packed]]
+
+    return _apply(df, ids_col, [_text(text_col)], call)
+
+
+def round_trip(df: DataFrame, vocab_path: str, text_col: str = "text") -> DataFrame:
+    """``df`` with ``token_ids`` and, decoded from those in the same worker, ``decoded``."""
+    shipped = _Shipped(df.sparkSession, vocab_path)
+
+    def call(texts: list[str | None]) -> list[list]:
         vocabulary = _loaded(shipped)
-        return [vocabulary.decode(x or b"") for x in packed]
+        packed = vocabulary.encode([t or "" for t in texts])
+        return [packed, [vocabulary.decode(x) for x in packed]]
 
-    return _apply(df, ids_col, text_col, T.StringType(), pa.string(), call)
+    return _apply(df, text_col, [_ids("token_ids"), _text("decoded")], call)
 
 
 def default_vocabulary() -> str:
@@ -276,11 +298,6 @@ def default_vocabulary() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
-def round_trip(df: DataFrame, vocab_path: str) -> DataFrame:
-    """``df`` with ``token_ids`` and ``decoded``."""
-    return decode(encode(df, vocab_path), vocab_path)
-
-
 def digests(df: DataFrame) -> DataFrame:
     """The result columns of ``op9_bpe``: counts and digests of what :func:`round_trip` made."""
     return df.select(

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiquarry.llm.shared import table
+from lexiquarry.llm.shared import give_back, table
 
 UNKNOWN = "und"
 PENALTY = 4.0
@@ -76,6 +76,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for lang, counts in total.items():
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names=["lang", "gram", "n"])
+    total.clear()
+    give_back()
 
 
 class Model:
@@ -204,6 +206,7 @@ def detect(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                     shares.append([(own.langs[i], float(s[i])) for i in np.flatnonzero(s)] if known else [])
                 made = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(shares, pa.map_(pa.string(), pa.float64()))]
                 yield pa.RecordBatch.from_arrays([*rows.columns, *made], names=[*rows.schema.names, *FOUND.fieldNames()])
+        give_back()
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *FOUND.fields]))
 

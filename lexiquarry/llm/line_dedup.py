@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiquarry.llm.shared import table
+from lexiquarry.llm.shared import give_back, table
 
 WINDOW, DIVISOR = 2, 3
 #: Odd factors of the rolling hash over the lines before, and the one that spreads it.
@@ -86,6 +86,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         chunks.append(chunk.strip())
             h1, h2 = _longs(keys)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), h1, h2, pa.array(chunks, pa.string())], names=["doc_id", "h1", "h2", "chunk"])
+    give_back()
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
@@ -132,6 +133,7 @@ def _drop(columns: list[str], text_at: int, width: int):
                 own = [*rows.columns[:width]]
                 own[text_at] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays([*own, pa.array(cut, pa.int64()), pa.array(size, pa.int64())], names=[*columns, *REMOVED.fieldNames()])
+        give_back()
 
     return run
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiquarry.llm.components import components
-from lexiquarry.llm.shared import blocks, table, unwritten, written
+from lexiquarry.llm.shared import blocks, give_back, table, unwritten, written
 
 WIDTH = 5
 HASHES, ROWS, BANDS, BITS = 128, 5, 24, 4
@@ -42,7 +42,7 @@ SCREEN = 0.68
 #: Members that meet one leader in one task, and the side of a block of signatures.
 BLOCK, SIDE = 64, 512
 #: Words whose hashes a worker keeps.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 200_000
 
 _rng = np.random.default_rng(20)
 _ODD = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -152,6 +152,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [rows.column(0), pa.array(nodes, pa.binary()), pa.array(size, pa.int64()), _lists(packed(mins), there), _lists(band_keys(mins), there)],
                 names=SIGNED.fieldNames(),
             )
+    _HASHES.clear()
+    give_back()
 
 
 def signatures(docs: DataFrame) -> DataFrame:

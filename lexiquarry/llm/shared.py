@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +61,11 @@ def fold_ascii(text: Column) -> Column:
 def blocks(rows: int, size: int) -> int:
     """How many blocks of about ``size`` rows; at least one."""
     return max(1, -(-rows // size))
+
+
+def give_back() -> None:
+    """Return freed memory to the system; workers are used again by other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
