@@ -39,6 +39,18 @@ TOPICS = {
     "byelaws": r"\bbye[- ]?laws?\b",
 }
 
+#: Lower-case strings of which each match of a topic's pattern holds one; texts without them need no pattern.
+TOPIC_HINTS = {
+    "membership": ["membership", "admission of", "who may become"], "registration": ["registration"], "management": ["manag"],
+    "governance": ["governance", "board of directors"], "elections": ["elect"], "meetings": ["meeting"], "loans": ["loan", "borrow"],
+    "deposits": ["deposit"], "financial_literacy": ["financial literacy"], "pacs": ["pacs", "primary agricultural"], "pacs_services": ["pacs"],
+    "computerization": ["computeri"], "crop_insurance": ["crop insurance"], "pmfby": ["pmfby", "pradhan mantri"], "eligibility": ["eligib"],
+    "premium": ["premium"], "crop_loss": ["crop"], "claim": ["claim"], "reporting": ["report", "intimat"], "documents": ["document"],
+    "timeline": ["within", "time-limit", "time limit", "deadline", "timeline", "days from", "hours of"], "grievance": ["grievance"],
+    "complaint": ["complain"], "ombudsman": ["ombudsman"], "appeal": ["appeal"], "form_vi": ["form"], "form_vii": ["form"],
+    "registrar": ["registrar"], "multistate": ["multi"], "state_law": ["karnataka", "maharashtra"], "byelaws": ["bye"],
+}
+
 #: Topics that a source has by itself.
 SOURCE_TOPICS = {
     "PMFBY_2023": ["crop_insurance", "pmfby"],

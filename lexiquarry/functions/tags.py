@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,10 +22,20 @@ def _where(conditions: Mapping[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in conditions.items()])) if conditions else _strings([])
 
 
-def topic_tags(text: Column, patterns: Mapping[str, str] = L.TOPICS, given: Column | None = None) -> Column:
-    """Sorted topics whose pattern is found, with those ``given``."""
-    found = _where({k: filled(text).rlike("(?is)" + p) for k, p in patterns.items()})
-    return F.array_sort(F.array_distinct(F.concat(found, given) if given is not None else found))
+def topic_tags(text: Column, patterns: Mapping[str, str] = L.TOPICS, given: Column | None = None, hints: Mapping[str, Sequence[str]] = L.TOPIC_HINTS) -> Column:
+    """Sorted topics whose pattern is found, with those ``given``.
+
+    A pattern is only tried on texts that hold one of its ``hints``, which a plain search tells.
+    """
+    lower = F.lower(filled(text))
+
+    def found(topic: str, pattern: str) -> Column:
+        match = filled(text).rlike("(?is)" + pattern)
+        hinted = [F.contains(lower, F.lit(h)) for h in hints.get(topic, ())]
+        return reduce(or_, hinted) & match if hinted else match
+
+    own = _where({k: found(k, p) for k, p in patterns.items()})
+    return F.array_sort(F.array_distinct(F.concat(own, given) if given is not None else own))
 
 
 def source_topics(source_id: Column) -> Column:

@@ -23,6 +23,7 @@ FORMS = {
     "table": r" \| ",
     "question": r"\?",
 }
+HINTS = {**L.TOPIC_HINTS, "license": ["licen"], "rights": ["rights reserved"], "insult": ["idiot", "moron", "stupid", "worthless"], "mail": ["@"], "table": [" | "], "question": ["?"]}
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,12 +39,12 @@ _QTOPICS = "list_sort(list_filter([" + ", ".join(
 
 @query(f"SELECT doc_id, array_to_string({_TAGS}, ';') AS topics FROM documents")
 def topic_tags(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.array_join(tags.topic_tags(F.col("text"), {**L.TOPICS, **FORMS}), ";").alias("topics"))
+    return docs(spark, sf_dir).select("doc_id", F.array_join(tags.topic_tags(F.col("text"), {**L.TOPICS, **FORMS}, hints=HINTS), ";").alias("topics"))
 
 
 @query(f"SELECT lang, topic, count(*) AS documents FROM (SELECT lang, unnest({_TAGS}) AS topic FROM documents) GROUP BY lang, topic")
 def topic_counts(spark, sf_dir):
-    rows = docs(spark, sf_dir).select("lang", F.explode(tags.topic_tags(F.col("text"), {**L.TOPICS, **FORMS})).alias("topic"))
+    rows = docs(spark, sf_dir).select("lang", F.explode(tags.topic_tags(F.col("text"), {**L.TOPICS, **FORMS}, hints=HINTS)).alias("topic"))
     return rows.groupBy("lang", "topic").agg(F.count("*").alias("documents"))
 
 
