@@ -22,12 +22,13 @@ def _where(conditions: Mapping[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in conditions.items()])) if conditions else _strings([])
 
 
-def topic_tags(text: Column, patterns: Mapping[str, str] = L.TOPICS, given: Column | None = None, hints: Mapping[str, Sequence[str]] = L.TOPIC_HINTS) -> Column:
+def topic_tags(text: Column, patterns: Mapping[str, str] = L.TOPICS, given: Column | None = None, hints: Mapping[str, Sequence[str]] = L.TOPIC_HINTS, lowered: Column | None = None) -> Column:
     """Sorted topics whose pattern is found, with those ``given``.
 
-    A pattern is only tried on texts that hold one of its ``hints``, which a plain search tells.
+    A pattern is only tried on texts that hold one of its ``hints``, which a plain search tells. ``lowered``
+    is the text in lower case where a column has it already, so that it is made once.
     """
-    lower = F.lower(filled(text))
+    lower = F.lower(filled(text)) if lowered is None else lowered
 
     def found(topic: str, pattern: str) -> Column:
         match = filled(text).rlike("(?is)" + pattern)

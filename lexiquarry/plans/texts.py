@@ -37,14 +37,20 @@ _QTOPICS = "list_sort(list_filter([" + ", ".join(
 ) + "], lambda x: x IS NOT NULL))"
 
 
+def _tagged(spark, sf_dir) -> DataFrame:
+    rows = docs(spark, sf_dir).withColumn("lowered", F.lower(X.filled("text")))
+    return rows.withColumn("topics", tags.topic_tags(F.col("text"), {**L.TOPICS, **FORMS}, hints=HINTS, lowered=F.col("lowered")))
+
+
 @query(f"SELECT doc_id, array_to_string({_TAGS}, ';') AS topics FROM documents")
 def topic_tags(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.array_join(tags.topic_tags(F.col("text"), {**L.TOPICS, **FORMS}, hints=HINTS), ";").alias("topics"))
+    return _tagged(spark, sf_dir).select("doc_id", F.array_join("topics", ";").alias("topics"))
 
 
 @query(f"SELECT lang, topic, count(*) AS documents FROM (SELECT lang, unnest({_TAGS}) AS topic FROM documents) GROUP BY lang, topic")
 def topic_counts(spark, sf_dir):
-    rows = docs(spark, sf_dir).select("lang", F.explode(tags.topic_tags(F.col("text"), {**L.TOPICS, **FORMS}, hints=HINTS)).alias("topic"))
+    # An outer generator: a plain one would make the tags again for a filter on their number.
+    rows = _tagged(spark, sf_dir).select("lang", F.explode_outer("topics").alias("topic")).where("topic is not null")
     return rows.groupBy("lang", "topic").agg(F.count("*").alias("documents"))
 
 
