@@ -40,7 +40,7 @@ def packed(evidence: DataFrame, size: str, budget: int = L.EVIDENCE_CHARS, by: s
         )
 
     rows = evidence.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("order"), F.col(item).cast("long").alias("item"), F.col(size).cast("long").alias("size")))).alias("items"))
-    return rows.select(by, F.explode(F.aggregate("items", first, step)["kept"]).alias("k")).select(by, F.col("k.item").alias(item), F.col("k.place").alias("place"), F.col("k.cut").alias("truncated"))
+    return rows.select(by, F.explode_outer(F.aggregate("items", first, step)["kept"]).alias("k")).select(by, F.col("k.item").alias(item), F.col("k.place").alias("place"), F.col("k.cut").alias("truncated"))
 
 
 def prompt(question: Column, jurisdiction: Column, evidence: Column) -> Column:
@@ -78,7 +78,7 @@ def citations(used: DataFrame, supplied: DataFrame, by: str, item: str) -> DataF
 
 def unsupported_claims(answers: DataFrame, by: str, answer: str, evidence: str) -> DataFrame:
     """``by, claim`` for each section, rule or form of the answer that its evidence does not name."""
-    rows = answers.select(by, F.explode(claims(nfkc(answer))).alias("claim"), fold(norm(nfkc(evidence))).alias("_evidence"))
+    rows = answers.select(by, F.explode_outer(claims(nfkc(answer))).alias("claim"), fold(norm(nfkc(evidence))).alias("_evidence"))
     return rows.where(~F.contains("_evidence", F.col("claim"))).select(by, "claim")
 
 
@@ -144,7 +144,7 @@ def failed_questions(rows: DataFrame) -> DataFrame:
 def answer_blocks(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Blocks of an answer between blank lines: ordered list, bullet list or paragraph."""
     parts = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda b: F.trim(b, F.lit(" \t\r\n"))), lambda b: b != "")
-    rows = texts.select(key, F.posexplode(parts).alias("block_no", "block"))
+    rows = texts.select(key, F.posexplode_outer(parts).alias("block_no", "block")).where("block_no is not null")
     lines = F.filter(F.split("block", "\n"), lambda x: F.trim(x) != "")
     return rows.select(
         key, "block_no",

@@ -133,7 +133,7 @@ def readiness(records: DataFrame, by: str = "source_id", status: str = "retrieva
 
 def warning_union(records: DataFrame, by: str, warnings: str = "warnings", without: Sequence[str] = ("CONTEXT_PARENT",)) -> DataFrame:
     """All warnings of each source, sorted and joined; only distinct pairs are gathered."""
-    pairs = records.select(by, F.explode(warnings).alias("w")).where(~F.col("w").isin(*without)).distinct()
+    pairs = records.select(by, F.explode_outer(warnings).alias("w")).where(~F.col("w").isin(*without)).distinct()
     return pairs.groupBy(by).agg(F.array_join(F.array_sort(F.collect_list("w")), ";").alias("warnings"))
 
 

@@ -40,7 +40,7 @@ def token_windows(records: DataFrame, key: str, text: str, header: str, tokens:
     size = F.least(F.lit(width), F.lit(tokens) - F.size("_head"))
     rows = rows.withColumn("_size", size).withColumn("_n", F.greatest(F.ceil(F.size("_body") / F.col("_size")), F.lit(1)).cast("int"))
     parts = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.slice("_body", i * F.col("_size") + 1, F.col("_size")))
-    cut = rows.select(key, "_head", F.posexplode(parts).alias("window_no", "_part"))
+    cut = rows.select(key, "_head", F.posexplode_outer(parts).alias("window_no", "_part"))
     return cut.select(key, "window_no", F.array_join(F.concat("_head", "_part"), " ").alias("window"), F.size("_part").alias("weight"))
 
 

@@ -15,7 +15,7 @@ QUERIES, ORACLE_SQL, query = registry()
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as sources of one page each; their lines with the columns of a layout."""
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "source", F.posexplode(F.split(filled("text"), "\n")).alias("line_no", "text"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "source", F.posexplode_outer(F.split(filled("text"), "\n")).alias("line_no", "text"))
     return rows.select("source_id", "source", F.lit(1).alias("page"), "line_no", "text", F.lit(0).alias("block"), F.contains("text", F.lit(" | ")).alias("table"))
 
 

@@ -187,7 +187,7 @@ def token_windows(spark, sf_dir):
 @query()
 def prose_chunks(spark, sf_dir):
     """Long documents in parts of about 300 to 500 words that end where sentences do."""
-    rows = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("source_id"), F.lit(0).cast("long").alias("unit_no"), F.posexplode(F.split(X.filled("text"), "\n")).alias("seq", "text"))
+    rows = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("source_id"), F.lit(0).cast("long").alias("unit_no"), F.posexplode_outer(F.split(X.filled("text"), "\n")).alias("seq", "text"))
     lines = rows.select("source_id", "unit_no", F.col("seq").cast("double").alias("seq"), "text", F.lit(1).alias("page"), F.col("seq").alias("block"), F.contains("text", F.lit(" | ")).alias("table"), F.lit("heading").alias("kind"))
     return chunking.prose_children(lines).select(F.col("source_id").cast("long").alias("doc_id"), "piece", X.words("text").alias("words"), X.content_hash("text").alias("text_hash"))
 
@@ -199,7 +199,7 @@ SELECT doc_id, claim, count(*) AS times FROM a GROUP BY doc_id, claim
 def numbered_claims(spark, sf_dir):
     """Mentions of numbered things (versions and licences too, as the texts have no sections)."""
     found = F.regexp_extract_all(X.fold(X.norm("text")), F.lit(r"\b(?:section|rule|form|version|license)\s+[a-z0-9]+(?:-[a-z0-9]+)?\b"), 0)
-    return docs(spark, sf_dir).select("doc_id", F.explode(found).alias("claim")).groupBy("doc_id", "claim").agg(F.count("*").alias("times"))
+    return docs(spark, sf_dir).select("doc_id", F.explode_outer(found).alias("claim")).where("claim is not null").groupBy("doc_id", "claim").agg(F.count("*").alias("times"))
 
 
 @query()

@@ -103,7 +103,7 @@ def html_lines(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         text = F.replace(text, F.lit(name), F.lit(char))
     parts = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return pages.select(key, F.posexplode(parts).alias("line_no", "text"))
+    return pages.select(key, F.posexplode_outer(parts).alias("line_no", "text")).where("line_no is not null")
 
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
