@@ -2,7 +2,8 @@
 
 A text is cut into lines, and long lines at their sentence ends, since a paragraph is often one line. Each
 line has a hash; a rolling hash over the last ``WINDOW`` line hashes ends a chunk where it is divisible by
-``DIVISOR``, so that chunks depend on their own lines only and an insertion elsewhere does not shift them.
+``DIVISOR``, so that chunks depend on their own lines only and an insertion elsewhere does not shift them. A
+paragraph of two sentences or more is chunks of its own; paragraphs of one line are chunked together.
 Chunks of two lines or more that occur more than once are removed, but for the first occurrence in the
 document with the smallest doc_id.
 
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 
 from lexiquarry.llm.shared import give_back, table
 
-WINDOW, DIVISOR = 2, 3
+WINDOW, DIVISOR = 2, 4
 #: Odd factors of the rolling hash over the lines before, and the one that spreads it.
 STEP, SPREAD = tuple(pow(0x9E3779B1, k + 1, 2**32) for k in range(WINDOW - 1)), 0x85EBCA6B
 #: A chunk has at least so many lines.
@@ -46,18 +47,32 @@ def lines_of(text: str) -> list[str]:
 
 def chunks_of(text: str) -> list[tuple[str, int]]:
     """The chunks of ``text`` and their numbers of lines; joined they are ``text``."""
-    out, lines, start, before = [], lines_of(text), 0, [0] * (WINDOW - 1)
+    out, held, before, paragraph = [], [], [0] * (WINDOW - 1), []
+    lines = lines_of(text)
     for at, line in enumerate(lines):
-        own = crc32(line.strip().encode("utf-8", "replace"))
-        rolled = own
-        for back, h in enumerate(before):
-            rolled += h * STEP[back]
-        before = [*before[1:], own]
-        if at + 1 - start >= LEAST_LINES and (rolled * SPREAD >> 32) % DIVISOR == 0:
-            out.append(("".join(lines[start : at + 1]), at + 1 - start))
-            start = at + 1
-    if start < len(lines):
-        out.append(("".join(lines[start:]), len(lines) - start))
+        paragraph.append(line)
+        if not line.endswith("\n") and at + 1 < len(lines):
+            continue
+        whole = len(paragraph) >= LEAST_LINES
+        if whole and held:
+            out.append(("".join(held), len(held)))
+            held = []
+        for left, own_line in zip(range(len(paragraph) - 1, -1, -1), paragraph, strict=True):
+            held.append(own_line)
+            own = crc32(own_line.strip().encode("utf-8", "replace"))
+            rolled = own
+            for back, h in enumerate(before):
+                rolled += h * STEP[back]
+            before = [*before[1:], own]
+            if len(held) >= LEAST_LINES and left != 1 and (rolled * SPREAD >> 32) % DIVISOR == 0:
+                out.append(("".join(held), len(held)))
+                held = []
+        if whole and held:
+            out.append(("".join(held), len(held)))
+            held = []
+        paragraph = []
+    if held:
+        out.append(("".join(held), len(held)))
     return out
 
 
@@ -98,7 +113,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct chunk hashes of each document, without texts."""
+    """The chunk hashes of each document, without texts."""
     for batch in _cut(batches):
         yield batch.select(["doc_id", "h1", "h2"])
 
@@ -144,7 +159,7 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
         if name in docs.columns:
             raise ValueError(f"the table has a column {name} already")
     repeated = repeated_chunks(docs)
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_occurrences, "doc_id long, h1 long, h2 long").distinct()
+    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_occurrences, "doc_id long, h1 long, h2 long")
     marks = (
         found.join(repeated, ["h1", "h2"])
         .select("doc_id", F.struct("h1", "h2", F.col("doc_id").eqNullSafe(F.col("keeper")).alias("keeps")).alias("goes"))
