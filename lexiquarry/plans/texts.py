@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexiquarry.functions import lexicon as L
+from lexiquarry.functions import serving
 from lexiquarry.functions import tags
 from lexiquarry.functions import text as X
 from lexiquarry.operators import answers, chunking, dialog, retrieval
@@ -241,3 +242,36 @@ def word_bands(spark, sf_dir):
 def page_labels(spark, sf_dir):
     k = F.col("doc_id") % 3
     return docs(spark, sf_dir).select("doc_id", X.page_label(F.when(k != 0, F.col("doc_id")), F.when(k == 1, F.col("doc_id")).otherwise(F.col("doc_id") + 1)).alias("label"))
+
+
+@query("""
+WITH k AS (SELECT CASE n_nationkey % 2 WHEN 0 THEN 'hi' ELSE 'en' END AS lang, n_name AS key, n_nationkey AS n FROM nation),
+a AS (SELECT 'hi' AS lang, n_name AS key, 'new ' || n_name AS label FROM nation WHERE n_nationkey % 6 = 0),
+b AS (SELECT 'hi' AS lang, n_name AS key, 'old ' || n_name AS label FROM nation WHERE n_nationkey % 4 = 0 UNION ALL SELECT 'en', n_name, 'base ' || n_name FROM nation WHERE n_nationkey % 3 = 0)
+SELECT k.lang, k.key, coalesce(a1.label, b1.label, a2.label, b2.label, k.key) AS label FROM k
+LEFT JOIN a a1 ON a1.lang = k.lang AND a1.key = k.key LEFT JOIN b b1 ON b1.lang = k.lang AND b1.key = k.key
+LEFT JOIN a a2 ON a2.lang = 'en' AND a2.key = k.key LEFT JOIN b b2 ON b2.lang = 'en' AND b2.key = k.key
+""")
+def translated_labels(spark, sf_dir):
+    """Labels in a language, from two tables, then in the base language, then the key itself."""
+    rows = table(spark, sf_dir, "nation")
+    n = F.col("n_nationkey")
+    keys = rows.select(F.when(n % 2 == 0, "hi").otherwise("en").alias("lang"), F.col("n_name").alias("key"))
+
+    def labels(kept, lang: str, prefix: str) -> DataFrame:
+        return rows.where(kept).select(F.lit(lang).alias("lang"), F.col("n_name").alias("key"), F.concat(F.lit(prefix + " "), "n_name").alias("label"))
+
+    return serving.translated(keys, [labels(n % 6 == 0, "hi", "new"), labels(n % 4 == 0, "hi", "old").unionByName(labels(n % 3 == 0, "en", "base"))])
+
+
+@query("""
+SELECT conv_id, turn, CASE WHEN lower(trim(coalesce(text, ''))) = '' THEN 'Unknown' END AS scope, role <> 'system' AND trim(coalesce(text, '')) <> '' AND turn % 3 <> 0 AS playable,
+  CASE WHEN regexp_matches(coalesce(text, ''), 'the', 'i') THEN 'A' WHEN regexp_matches(coalesce(text, ''), 'de ', 'i') THEN 'B' ELSE 'none' END AS answer FROM conversations
+""")
+def serving_rules(spark, sf_dir):
+    text = F.col("text")
+    language = F.when(F.col("role") != "system", "en").otherwise("xx")
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", serving.scope_of_label(F.when(F.trim(F.coalesce(text, F.lit(""))) == "", "").otherwise("?")).alias("scope"),
+        serving.playable(text, language, F.col("turn") % 3 == 0).alias("playable"), serving.first_match(text, [("the", "A"), ("de ", "B")], "none").alias("answer"),
+    )
