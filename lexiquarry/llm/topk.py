@@ -27,11 +27,17 @@ from pyspark.sql import functions as F
 from lexiquarry.llm.shared import blocks, table, written
 
 #: Rows in a block of vectors and queries in a block of queries.
-ROWS, QUERIES = 4096, 512
+ROWS, QUERIES = 4096, 2048
+#: Shuffle partitions that pairs of blocks are dealt to, at most; a partition can hold several pairs.
+PARTITIONS = 10_000
 #: Entries of each list that the first step walks; each later step doubles the depth.
 FIRST_STEP = 32
 
 
+#: Components have less than 30 bits; scores are summed in 64.
+COMPONENT = np.int32
+
+
 def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
     """``(id, v)``: ``floor(scale * x)`` of every component; rows that take no part are gone."""
     valid = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float(2**20)))
@@ -47,7 +53,7 @@ def _pack(rows: pa.Table) -> pa.Table:
             least[i] = v
     ids = np.array(sorted(least), dtype=np.int64)
     width = max(map(len, least.values()))
-    matrix = np.array([least[i] + [0] * (width - len(least[i])) for i in ids.tolist()], dtype=np.int64).reshape(len(ids), width)
+    matrix = np.array([least[i] + [0] * (width - len(least[i])) for i in ids.tolist()], dtype=COMPONENT).reshape(len(ids), width)
     order = np.argsort(matrix, axis=0, kind="stable").T.astype(np.int32)
     return pa.table({"block": rows.column("block")[:1], "width": pa.array([width], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "matrix": pa.array([matrix.tobytes()], pa.binary()), "lists": pa.array([order.tobytes()], pa.binary())})
 
@@ -56,7 +62,7 @@ def _queries(rows: pa.Table, every: int) -> pa.Table:
     """The queries of a packed block."""
     ids = np.frombuffer(rows.column("ids")[0].as_py(), dtype=np.int64)
     width = rows.column("width")[0].as_py()
-    matrix = np.frombuffer(rows.column("matrix")[0].as_py(), dtype=np.int64).reshape(len(ids), width)
+    matrix = np.frombuffer(rows.column("matrix")[0].as_py(), dtype=COMPONENT).reshape(len(ids), width)
     at = np.flatnonzero(ids % every == 0)
     return pa.table({"q_width": pa.array([width] * len(at), pa.int32()), "q_id": pa.array(ids[at], pa.int64()), "q": pa.array([matrix[i].tobytes() for i in at], pa.binary())})
 
@@ -83,7 +89,7 @@ def walk(query: np.ndarray, own: int, ids: np.ndarray, matrix: np.ndarray, lists
         met |= new
         rows = rows[ids[rows] != own]
         if len(rows):
-            best_s = np.concatenate((best_s, matrix[rows] @ query))
+            best_s = np.concatenate((best_s, matrix[rows].astype(np.int64) @ query))
             best_i = np.concatenate((best_i, ids[rows]))
             keep = np.lexsort((best_i, -best_s))[:k]
             best_s, best_i = best_s[keep], best_i[keep]
@@ -103,12 +109,12 @@ def _meet(rows: pa.Table, k: int) -> pa.Table:
     if at is not None:
         ids = np.frombuffer(rows.column("ids")[at].as_py(), dtype=np.int64)
         width = rows.column("width")[at].as_py()
-        matrix = np.frombuffer(rows.column("matrix")[at].as_py(), dtype=np.int64).reshape(len(ids), width)
+        matrix = np.frombuffer(rows.column("matrix")[at].as_py(), dtype=COMPONENT).reshape(len(ids), width)
         lists = np.frombuffer(rows.column("lists")[at].as_py(), dtype=np.int32).reshape(width, len(ids))
         for own, raw in zip(rows.column("q_id").to_pylist(), rows.column("q").to_pylist(), strict=True):
             if own is not None:
                 query = np.zeros(width, dtype=np.int64)
-                given = np.frombuffer(raw, dtype=np.int64)[:width]
+                given = np.frombuffer(raw, dtype=COMPONENT)[:width]
                 query[: len(given)] = given
                 out += [(own, s, i) for s, i in walk(query, own, ids, matrix, lists, k)[0]]
     columns = list(zip(*out, strict=True)) or [(), (), ()]
@@ -132,7 +138,7 @@ def top_k(df: DataFrame, k: int, every: int, scale: int = 256, id_col: str = "ve
     dealt = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     met = (
         dealt.unionByName(asked, allowMissingColumns=True)
-        .repartition(parts * groups, "block", "part")
+        .repartition(min(parts * groups, PARTITIONS), "block", "part")
         .groupBy("block", "part").applyInArrow(lambda t: _meet(t, k), "query_id long, score long, vec_id long")
     )
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
