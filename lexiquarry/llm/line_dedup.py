@@ -1,41 +1,52 @@
 """Removal of multi-line passages that repeat across documents.
 
-A text is cut into lines, and long lines at their sentence ends, since a paragraph is often one line. Each
-line has a hash; a rolling hash over the last ``WINDOW`` line hashes ends a chunk where it is divisible by
-``DIVISOR``, so that chunks depend on their own lines only and an insertion elsewhere does not shift them. A
-paragraph of two sentences or more is chunks of its own; paragraphs of one line are chunked together.
-Chunks of two lines or more that occur more than once are removed, but for the first occurrence in the
-document with the smallest doc_id.
+A text is cut into chunks between words, by content alone. A paragraph (a line of the text) of two sentences
+or more is cut on its own; shorter lines are cut together, so that hard-wrapped text is as
+good as flowing text. Inside, the text is cut where the hash of the words on both sides is the least of all
+within ``REACH`` words, so that chunks have ``LEAST_WORDS`` words or more, about 11 in the mean, and a passage has
+the same chunks wherever it stands, but for those at its two ends. Chunks of two sentences or ``LEAST_WORDS``
+words or more that occur more than once are removed, but for the first occurrence in the document with the
+smallest doc_id.
 
-Byte comparison: occurrences are grouped by hash and chunk text, combined before they are shuffled; a hash
-that has two texts is left alone. What is then sent to the documents is hashes only.
+Byte comparison: chunks are found by hash; the texts of those that occur more than once are then compared,
+combined before they are shuffled, and a hash that has two texts is left alone.
 
 Cases: null and empty texts stay as they are; white space inside a chunk counts; a chunk that repeats
 inside one document only is removed there too after its first place; rows that share a doc_id are one
-document; rows without doc_id lose the chunks that another document keeps; an empty table gives an empty
-result; other columns stay, and a column that has the name of a result column is an error that names it.
+document; rows without doc_id lose the chunks that another document keeps; words are what stands between white
+space, so text without any is one chunk; an empty table gives an empty result; other columns stay, and a
+column that has the name of a result column is an error that names it.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiquarry.llm.shared import give_back, table
+from lexiquarry.llm.shared import give_back, table, unwritten, written
 
-WINDOW, DIVISOR = 2, 4
-#: Odd factors of the rolling hash over the lines before, and the one that spreads it.
-STEP, SPREAD = tuple(pow(0x9E3779B1, k + 1, 2**32) for k in range(WINDOW - 1)), 0x85EBCA6B
-#: A chunk has at least so many lines.
-LEAST_LINES = 2
+#: Words on each side among which a cut has the least hash.
+REACH = 5
+#: A chunk of so many words, or of so many lines or sentences, can be removed; no cut leaves fewer words.
+LEAST_WORDS, LEAST_LINES = 6, 2
+#: Bytes that are worked on together.
+TOGETHER = 400_000
+
+_SPACE, _STOP = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_STOP[[*b".!?"]] = True
+#: Factors of the hash of a word, and of those of two neighbours.
+_ODD, _LEFT, _RIGHT = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+_BACK = np.uint64(pow(int(_ODD), -1, 2**64))
 
 _LINE = re.compile(r"[^\n.!?]*(?:[.!?]+(?!\s)[^\n.!?]*)*[.!?]*[ \t]*\n?")
 
@@ -45,110 +56,160 @@ def lines_of(text: str) -> list[str]:
     return [x for x in _LINE.findall(text) if x]
 
 
-def chunks_of(text: str) -> list[tuple[str, int]]:
-    """The chunks of ``text`` and their numbers of lines; joined they are ``text``."""
-    out, held, before, paragraph = [], [], [0] * (WINDOW - 1), []
-    lines = lines_of(text)
-    for at, line in enumerate(lines):
-        paragraph.append(line)
-        if not line.endswith("\n") and at + 1 < len(lines):
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _cuts(hard: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+    """The words that begin a chunk: those that begin a part (``hard``) and the least of ``mixed`` around."""
+    n = len(mixed)
+    begin = np.flatnonzero(hard)
+    size = np.diff(np.append(begin, n))
+    since = np.arange(n) - np.repeat(begin, size)
+    free = (since >= LEAST_WORDS) & (np.repeat(size, size) - since >= LEAST_WORDS)
+    mixed = np.where(free, mixed, np.uint64(2**64 - 1))
+    for d in range(1, REACH + 1):
+        free[:-d] &= mixed[:-d] <= mixed[d:]
+        free[d:] &= mixed[d:] <= mixed[:-d]
+    at = np.flatnonzero(free | hard)
+    close = np.diff(at) < LEAST_WORDS
+    if (close & free[at[1:]] & free[at[:-1]]).any():  # equal hashes, as in words that repeat
+        kept, last = [], -1
+        for k in at.tolist():
+            if hard[k] or k - last >= LEAST_WORDS:
+                kept.append(k)
+                last = k
+        at = np.array(kept)
+    return at
+
+
+def chunks_of_all(texts: list[bytes]) -> Iterator[list[tuple[bytes, int]]]:
+    """For each text its chunks and their sizes in lines; joined they are the text."""
+    raw = b"\n".join(texts) + b"\n"
+    c = np.frombuffer(raw, dtype=np.uint8)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    space = _SPACE[c]
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], space)).view(np.int8)))
+    start, stop = edge[::2], edge[1::2]
+    n = len(start)
+    first = np.searchsorted(start, np.concatenate(([0], ends)))  # the first word of each text
+    if n:
+        prefix = np.concatenate(([np.uint64(0)], np.cumsum((c.astype(np.uint64) + np.uint64(1)) * _powers(_ODD, len(c)), dtype=np.uint64)))
+        word = (prefix[stop] - prefix[start]) * _powers(_BACK, len(c))[start]
+        word ^= word >> np.uint64(32)
+        mixed = word * _RIGHT
+        mixed[1:] += word[:-1] * _LEFT
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * _ODD
+        mixed ^= mixed >> np.uint64(32)
+        line = np.searchsorted(start, np.flatnonzero(c == 10))  # the words that follow a line break
+        opens = np.zeros(n + 1, dtype=bool)
+        opens[line] = opens[0] = True
+        opens = opens[:-1]
+        closes = np.append(opens[1:], True)
+        sentence = (_STOP[c[stop - 1]] | closes).astype(np.int64)
+        begin = np.flatnonzero(opens)
+        own = np.add.reduceat(sentence, begin) >= LEAST_LINES
+        hard = np.zeros(n, dtype=bool)
+        hard[begin] = own | np.concatenate(([True], own[:-1]))
+        hard[first[first < n]] = True
+        at = _cuts(hard, mixed)
+        inside = np.add.reduceat(sentence, at)
+        last = np.append(at[1:], n) - 1
+        inside += sentence[last] == 0
+        lines = np.maximum(inside, np.diff(np.append(at, n)) * LEAST_LINES // LEAST_WORDS)
+        where, lines = start[at].tolist(), lines.tolist()
+        chunk = np.searchsorted(at, first).tolist()
+    for k, text in enumerate(texts):
+        lo, hi = (chunk[k], chunk[k + 1]) if n else (0, 0)
+        if lo == hi:
+            yield [(text, 1)] if text else []
             continue
-        whole = len(paragraph) >= LEAST_LINES
-        if whole and held:
-            out.append(("".join(held), len(held)))
-            held = []
-        for left, own_line in zip(range(len(paragraph) - 1, -1, -1), paragraph, strict=True):
-            held.append(own_line)
-            own = crc32(own_line.strip().encode("utf-8", "replace"))
-            rolled = own
-            for back, h in enumerate(before):
-                rolled += h * STEP[back]
-            before = [*before[1:], own]
-            if len(held) >= LEAST_LINES and left != 1 and (rolled * SPREAD >> 32) % DIVISOR == 0:
-                out.append(("".join(held), len(held)))
-                held = []
-        if whole and held:
-            out.append(("".join(held), len(held)))
-            held = []
-        paragraph = []
-    if held:
-        out.append(("".join(held), len(held)))
-    return out
-
-
-def _key(chunk: str) -> bytes:
-    return blake2b(chunk.strip().encode("utf-8", "replace"), digest_size=16).digest()
-
-
-CHUNKS = "doc_id long, h1 long, h2 long, chunk string"
-
-
-def _longs(keys: list[bytes]) -> tuple[pa.Array, pa.Array]:
-    both = np.frombuffer(b"".join(keys), dtype=np.int64).reshape(-1, 2)
-    return pa.array(both[:, 0]), pa.array(both[:, 1])
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 200):
-            rows = batch.slice(at, 200)
-            ids, keys, chunks = [], [], []
-            for i, t in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                for chunk, n in chunks_of(t or ""):
-                    if n >= LEAST_LINES and chunk.strip():
-                        ids.append(i)
-                        keys.append(_key(chunk))
-                        chunks.append(chunk.strip())
-            h1, h2 = _longs(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), h1, h2, pa.array(chunks, pa.string())], names=["doc_id", "h1", "h2", "chunk"])
-    give_back()
+        base = int(ends[k]) - len(text) - 1
+        cut = [0, *(x - base for x in where[lo + 1 : hi]), len(text)]
+        yield [(text[i:j], m) for i, j, m in zip(cut, cut[1:], lines[lo:hi], strict=False)]
+
+
+def chunks_of(text: str) -> list[tuple[str, int]]:
+    """The chunks of ``text`` and their numbers of lines; joined they are ``text``.
+
+    A line is a line, a sentence or half of ``LEAST_WORDS`` words, whichever gives more.
+    """
+    (found,) = chunks_of_all([text.encode("utf-8", "surrogatepass")])
+    return [(c.decode("utf-8", "surrogatepass"), n) for c, n in found]
+
 
+def _key(chunk: bytes) -> int:
+    return int.from_bytes(blake2b(chunk.strip(), digest_size=8).digest(), "little", signed=True)
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """``h1, h2, keeper, n``: chunks that occur more than once, the smallest doc_id that has them, how often."""
-    cut = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_cut, CHUNKS)
-    same = cut.groupBy("h1", "h2", "chunk").agg(F.count("*").alias("n"), F.min("doc_id").alias("keeper"))
-    repeated = same.select("h1", "h2", "n", "keeper").groupBy("h1", "h2").agg(F.count("*").alias("texts"), F.sum("n").alias("n"), F.min("keeper").alias("keeper"))
-    return repeated.where("texts = 1 and n > 1").select("h1", "h2", "keeper", "n")
+
+def _keyed(chunks: list[tuple[bytes, int]]) -> list[tuple[bytes, int | None]]:
+    """Chunks with the keys of those that can be removed."""
+    return [(c, _key(c) if n >= LEAST_LINES and c.strip() else None) for c, n in chunks]
+
+
+def _slices(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.RecordBatch, list[bytes | None], Iterator[list[tuple[bytes, int | None]]]]]:
+    """Rows whose texts have about ``TOGETHER`` bytes, their texts, and the keyed chunks of each."""
+    for batch in batches:
+        size = pa.compute.fill_null(pa.compute.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(size.astype(np.int64) + 1) // TOGETHER
+        for k in np.unique(part):
+            at = np.flatnonzero(part == k)
+            rows = batch.slice(int(at[0]), len(at))
+            texts = rows.column(text_at).cast(pa.binary()).to_pylist()
+            yield rows, texts, map(_keyed, chunks_of_all([t or b"" for t in texts]))
+    give_back()
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The chunk hashes of each document, without texts."""
-    for batch in _cut(batches):
-        yield batch.select(["doc_id", "h1", "h2"])
+    """The chunk hashes of each document and how often it has them, without texts."""
+    for rows, _, chunks in _slices(batches, 1):
+        ids, keys, times = [], [], []
+        for i, own in zip(rows.column(0).to_pylist(), chunks, strict=True):
+            count = Counter(key for _, key in own if key is not None)
+            ids += [i] * len(count)
+            keys += count.keys()
+            times += count.values()
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(times, pa.int64())], names=["doc_id", "h", "n"])
+
+
+def _texts_of(text_at: int, goes_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The hashes and texts of the chunks that occur more than once, each once in what is read together."""
+        for rows, _, chunks in _slices(batches, text_at):
+            found = set()
+            for goes, own in zip(rows.column(goes_at).to_pylist(), chunks, strict=True):
+                marked = {g["h"] for g in goes or ()}
+                found.update((key, c.strip()) for c, key in own if key in marked)
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.int64()), pa.array([c for _, c in found], pa.binary())], names=["h", "chunk"])
+
+    return run
 
 
 REMOVED = T.StructType([T.StructField("removed_chunks", T.LongType()), T.StructField("removed_chars", T.LongType())])
 
 
-def _drop(columns: list[str], text_at: int, width: int):
+def _drop(columns: list[str], text_at: int, width: int, unlike: set[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                rows = batch.slice(at, 200)
-                texts, cut, size = [], [], []
-                for text, goes in zip(rows.column(text_at).to_pylist(), rows.column(width).to_pylist(), strict=True):
-                    if not goes or text is None:
-                        texts.append(text)
-                        cut.append(0)
-                        size.append(0)
-                        continue
-                    own = {np.array([g["h1"], g["h2"]], dtype=np.int64).tobytes(): g["keeps"] for g in goes}
-                    kept, seen, n = [], set(), 0
-                    for chunk, lines in chunks_of(text):
-                        key = _key(chunk) if lines >= LEAST_LINES and chunk.strip() else b""
-                        if key in own and (not own[key] or key in seen):
-                            n += 1
-                        else:
-                            kept.append(chunk)
-                            seen.add(key)
-                    texts.append("".join(kept) if n else text)
-                    cut.append(n)
-                    size.append(len(text) - len(texts[-1]))
-                own = [*rows.columns[:width]]
-                own[text_at] = pa.array(texts, pa.string())
-                yield pa.RecordBatch.from_arrays([*own, pa.array(cut, pa.int64()), pa.array(size, pa.int64())], names=[*columns, *REMOVED.fieldNames()])
-        give_back()
+        for rows, whole, chunks in _slices(batches, text_at):
+            texts, cut, size = [], [], []
+            for text, goes, pieces in zip(whole, rows.column(width).to_pylist(), chunks, strict=True):
+                own = {g["h"]: g["keeps"] for g in goes or () if g["h"] not in unlike}
+                kept, seen, n = [], set(), 0
+                for chunk, key in pieces if own else ():
+                    if key in own and (not own[key] or key in seen):
+                        n += 1
+                    else:
+                        kept.append(chunk)
+                        seen.add(key)
+                left = b"".join(kept) if n else text
+                texts.append(left)
+                cut.append(n)
+                size.append(len(text.decode()) - len(left.decode()) if n else 0)
+            own = [*rows.columns[:width]]
+            own[text_at] = pa.array(texts, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*own, pa.array(cut, pa.int64()), pa.array(size, pa.int64())], names=[*columns, *REMOVED.fieldNames()])
 
     return run
 
@@ -158,18 +219,24 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     for name in REMOVED.fieldNames():
         if name in docs.columns:
             raise ValueError(f"the table has a column {name} already")
-    repeated = repeated_chunks(docs)
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_occurrences, "doc_id long, h1 long, h2 long")
+    text_at, width = docs.columns.index("text"), len(docs.columns)
+    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_occurrences, "doc_id long, h long, n long")
+    found = written(found, "chunks")
+    repeated = found.groupBy("h").agg(F.sum("n").alias("n"), F.min("doc_id").alias("keeper")).where("n > 1").select("h", "keeper")
     marks = (
-        found.join(repeated, ["h1", "h2"])
-        .select("doc_id", F.struct("h1", "h2", F.col("doc_id").eqNullSafe(F.col("keeper")).alias("keeps")).alias("goes"))
+        found.join(repeated, "h")
+        .select("doc_id", F.struct("h", F.col("doc_id").eqNullSafe(F.col("keeper")).alias("keeps")).alias("goes"))
         .groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("goes").alias("goes"))  # as many as the document has chunks
     )
     whole = docs.select(F.struct(*docs.columns).alias("row"))
     joined = whole.join(marks, F.col("row.doc_id").cast("long").eqNullSafe(F.col("of")), "left")
-    joined = joined.select(*[F.col("row")[c].alias(f"c{k}") for k, c in enumerate(docs.columns)], "goes")
+    joined = written(joined.select(*[F.col("row")[c].alias(f"c{k}") for k, c in enumerate(docs.columns)], "goes"), "marked")
+    unwritten(found)
+    texts = joined.where("goes is not null").mapInArrow(_texts_of(text_at, width), "h long, chunk binary").groupBy("h", "chunk").agg(F.lit(1).alias("one"))
+    # Hashes of 64 bits with two texts: none is expected up to billions of chunks.
+    unlike = {r.h for r in texts.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1").select("h").collect()}
     schema = T.StructType([*docs.schema.fields, *REMOVED.fields])
-    return joined.mapInArrow(_drop(docs.columns, docs.columns.index("text"), len(docs.columns)), schema)
+    return joined.mapInArrow(_drop(docs.columns, text_at, width, unlike), schema)
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,3 +78,42 @@ def test_insertion_does_not_shift_chunks():
     one = {c for c, _ in line_dedup.chunks_of("\n".join(lines))}
     two = {c for c, _ in line_dedup.chunks_of("\n".join(["An inserted line here."] + lines[:30] + ["Another one."] + lines[30:]))}
     assert len(one & two) > 0.7 * len(one)
+
+
+def words(rng, n):
+    return [f"w{rng.randrange(3000)}" for _ in range(n)]
+
+
+def sentences(rng, n):
+    own = words(rng, n)
+    return " ".join(w + "." * (k % 11 == 10) for k, w in enumerate(own))
+
+
+def shares_removed(docs, make, rng, passages_=60):
+    """Of each passage in two documents, the share that the second loses."""
+    made = [make(rng) for _ in range(passages_)]
+    rows = [(2 * k + side, around(p)) for k, (p, around) in enumerate(made) for side in (0, 1)]
+    got = {r.doc_id: r for r in line_dedup.drop_repeated_lines(docs(rows)).collect()}
+    assert all(got[2 * k].removed_chars == 0 for k in range(passages_))
+    return [got[2 * k + 1].removed_chars / len(p) for k, (p, _) in enumerate(made)]
+
+
+def inside_a_paragraph(rng):
+    return sentences(rng, 55), lambda p: f"{sentences(rng, 62)} {p} {sentences(rng, 73)}"
+
+
+def hard_wrapped(rng):
+    lines = lambda n: "\n".join(" ".join(words(rng, 11)) for _ in range(n))
+    return lines(5), lambda p: f"{lines(6)}\n{p}\n{lines(7)}"
+
+
+@pytest.mark.parametrize("make", [inside_a_paragraph, hard_wrapped])
+def test_a_passage_of_55_words_goes_wherever_it_stands(docs, make):
+    shares = shares_removed(docs, make, random.Random(6))
+    assert min(shares) > 0
+    assert np.mean(shares) > 0.65
+
+
+def test_a_text_that_repeats_one_word_is_cut():
+    text = "spam " * 1000
+    assert len(line_dedup.chunks_of(text)) > 100
