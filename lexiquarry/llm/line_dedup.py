@@ -1,7 +1,7 @@
 """Removal of multi-line passages that repeat across documents.
 
 A text is cut into chunks between words, by content alone. A paragraph (a line of the text) of two sentences
-or more is cut on its own; shorter lines are cut together, so that hard-wrapped text is as
+or ``LONG`` words or more is cut on its own; shorter lines are cut together, so that hard-wrapped text is as
 good as flowing text. Inside, the text is cut where the hash of the words on both sides is the least of all
 within ``REACH`` words, so that chunks have ``LEAST_WORDS`` words or more, about 11 in the mean, and a passage has
 the same chunks wherever it stands, but for those at its two ends. Chunks of two sentences or ``LEAST_WORDS``
@@ -38,6 +38,8 @@ from lexiquarry.llm.shared import give_back, table, unwritten, written
 REACH = 5
 #: A chunk of so many words, or of so many lines or sentences, can be removed; no cut leaves fewer words.
 LEAST_WORDS, LEAST_LINES = 6, 2
+#: A line of so many words is cut on its own.
+LONG = 20
 #: Bytes that are worked on together.
 TOGETHER = 400_000
 
@@ -110,7 +112,7 @@ def chunks_of_all(texts: list[bytes]) -> Iterator[list[tuple[bytes, int]]]:
         closes = np.append(opens[1:], True)
         sentence = (_STOP[c[stop - 1]] | closes).astype(np.int64)
         begin = np.flatnonzero(opens)
-        own = np.add.reduceat(sentence, begin) >= LEAST_LINES
+        own = (np.add.reduceat(sentence, begin) >= LEAST_LINES) | (np.diff(np.append(begin, n)) >= LONG)
         hard = np.zeros(n, dtype=bool)
         hard[begin] = own | np.concatenate(([True], own[:-1]))
         hard[first[first < n]] = True

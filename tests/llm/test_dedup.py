@@ -117,3 +117,12 @@ def test_a_passage_of_55_words_goes_wherever_it_stands(docs, make):
 def test_a_text_that_repeats_one_word_is_cut():
     text = "spam " * 1000
     assert len(line_dedup.chunks_of(text)) > 100
+
+
+def test_a_paragraph_of_one_long_sentence_goes_whole(docs):
+    rng = random.Random(7)
+    shared = " ".join(words(rng, 60)) + "."
+    rows = [(i, f"{' '.join(words(rng, 9))}.\n{shared}\n{' '.join(words(rng, 9))}.") for i in range(21)]
+    got = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(docs(rows)).collect()}
+    assert [i for i, t in sorted(got.items()) if shared in t] == [0]
+    assert all(got[i] == t.replace(shared + "\n", "") for i, t in rows[1:])
