@@ -11,6 +11,9 @@ So at most the product of the numbers of levels comes to the driver, whatever th
 Probabilities above 1 are held at 1 and the rest is scaled up, until the wanted tokens are reached or all
 documents are taken.
 
+A target whose named levels have the whole weight says nothing of other levels: these keep the share of the
+tokens that they have, and the named ones are scaled to the rest, so that no level is lost.
+
 Cases: null levels count as ``other``; null and empty texts have no tokens and take their cell's
 probability; targets of levels without tokens are spread over the others in proportion; a null doc_id is
 hashed as 0; rows that share a doc_id are taken or left together; an empty table gives an empty result; an
@@ -31,7 +34,8 @@ OTHER = "other"
 ROUNDS, CLOSE = 200, 1e-10
 MARGINS = ("source", "lang", "topic")
 
-#: Target shares of the query and the pipeline; levels that are not named share what is left.
+#: Target shares of the query and the pipeline; levels that are not named share what is left, or keep their
+#: own share if nothing is.
 TARGETS: dict[str, dict[str, float]] = {
     "source": {"src0": 0.15, **{f"src{k}": 0.04 for k in range(1, 20)}},
     "lang": {"en": 0.55, "de": 0.17, "fr": 0.16, "es": 0.12},
@@ -63,6 +67,15 @@ def levelled(level: Column, named: Mapping[str, float]) -> Column:
     return F.when(level.isin(*named), level).otherwise(OTHER)
 
 
+def shares_of(tokens: np.ndarray, axis: int, named: Mapping[str, float]) -> np.ndarray:
+    """Target shares of the named levels and, last, of ``other``."""
+    left = 1 - sum(named.values())
+    if left > CLOSE:
+        return np.array([*named.values(), left])
+    own = float(tokens.take(-1, axis=axis).sum() / max(tokens.sum(), 1))
+    return np.array([*(x / sum(named.values()) * (1 - own) for x in named.values()), own])
+
+
 def rake(tokens: np.ndarray, targets: list[np.ndarray]) -> np.ndarray:
     """Weights of the cells, in all 1, whose totals along each axis are ``targets`` as far as cells allow."""
     weight = tokens / max(tokens.sum(), 1)
@@ -112,7 +125,7 @@ def mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS,
     tokens = np.zeros([len(levels[m]) for m in MARGINS])
     for r in counted:
         tokens[tuple(levels[m].index(r[f"_{m}"]) for m in MARGINS)] = r["n"]
-    shares = [np.array([*targets[m].values(), max(0.0, 1 - sum(targets[m].values()))]) for m in MARGINS]
+    shares = [shares_of(tokens, k, targets[m]) for k, m in enumerate(MARGINS)]
     p = probabilities(tokens, rake(tokens, shares), budget)
     table_ = docs.sparkSession.createDataFrame(
         [(*(levels[m][i] for m, i in zip(MARGINS, at, strict=True)), float(p[at])) for at in np.ndindex(p.shape)],

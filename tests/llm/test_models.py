@@ -164,3 +164,20 @@ def test_quality_agrees_with_labels(spark):
     rows = quality.op7_quality(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect()
     assert np.mean([r.good == (r.quality == 1) for r in rows]) > 0.95
     assert np.mean([not r.good for r in rows if r.quality == 1]) < 0.02
+
+
+def test_mixing_keeps_null_and_unlisted_languages(docs):
+    rng = random.Random(9)
+    langs = ["en"] * 6 + ["de", "fr", "es", None, "it"]
+    rows = [(i, " ".join(rng.choice("abcdefgh") * 3 for _ in range(120)), langs[i % len(langs)], "src0") for i in range(1100)]
+    got = mixing.mixed(docs(rows)).collect()
+    other = [r for r in got if r.lang in (None, "it")]
+    assert len(other) == 200 and all(r.probability > 0 for r in other)
+    for lang in (None, "it"):
+        assert sum(r.kept for r in other if r.lang == lang) > 30
+    weight = {m: sum(r.tokens * r.probability for r in got if (r.lang or "") in m) for m in (("en",), ("de",), ("", "it"))}
+    total = sum(r.tokens * r.probability for r in got)
+    assert total == pytest.approx(0.6 * sum(r.tokens for r in got), rel=1e-6)
+    assert weight["", "it"] / total == pytest.approx(2 / 11, abs=0.01)
+    alone = mixing.mixed(docs([(i, "a b c", None, "src0") for i in range(50)])).collect()
+    assert all(r.probability == pytest.approx(0.6) for r in alone)
