@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from lexiquarry.llm import bpe, langid, line_dedup, mixing, near_dup
 from lexiquarry.llm.shared import table, written
 
+#: Least similarity, in hundredths, of near duplicates.
+NEAR = 80
 #: Least share of the main language of a document that stays.
 LEAST_SHARE = 0.5
 
@@ -33,7 +35,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    kept = near_dup.near_duplicates(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("stays"))
+    kept = near_dup.near_duplicates(docs.select("doc_id", "text"), NEAR).where("kept").select(F.col("doc_id").alias("stays"))
     return docs.join(kept.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(kept["stays"]), "left_semi")
 
 

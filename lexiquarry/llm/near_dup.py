@@ -3,10 +3,11 @@
 A document is the set of its 5-word shingles. Per document, 128 minima are taken; 24 bands of 5 minima
 give candidate buckets, and the low 4 bits of all minima are packed in a signature of 8 longs. Estimates
 come from bit counts of two signatures, corrected for the 1 in 16 of unequal minima whose low bits agree.
-Pairs with an estimate of at least ``screen`` are confirmed on their full shingle sets.
+Pairs with an estimate of at least the screen are confirmed on their full shingle sets.
 
-A pair at 0.85 is missed by all bands with probability 8e-7 and by the estimate (5 standard deviations
-below) with about 1e-7.
+Bands and screen follow from the least similarity, here for 0.85: at 0.80 there are 27 bands of 4. A pair at
+the least similarity is missed by all bands with a probability below ``MISSED`` and by the estimate
+(``DEVIATIONS`` standard deviations below) with about 1e-7.
 
 Documents with equal word sequences are one node before any pair is made. In each bucket the node that
 shares most buckets is tested against the others, which takes a number of pairs that is linear in the
@@ -23,6 +24,7 @@ table gives an empty result; other columns of the input play no part.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -36,9 +38,9 @@ from lexiquarry.llm.components import components
 from lexiquarry.llm.shared import blocks, give_back, table, unwritten, written
 
 WIDTH = 5
-HASHES, ROWS, BANDS, BITS = 128, 5, 24, 4
-#: Estimates below this are taken for pairs under 0.85.
-SCREEN = 0.68
+HASHES, BITS = 128, 4
+#: Chance that a pair at the least similarity shares no band, at most, and how far below it estimates are tested.
+MISSED, DEVIATIONS = 8e-7, 5.2
 #: Members that meet one leader in one task, and the side of a block of signatures.
 BLOCK, SIDE = 64, 512
 #: Words whose hashes a worker keeps.
@@ -48,7 +50,27 @@ _rng = np.random.default_rng(20)
 _ODD = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _XOR = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
 _STEP = _rng.integers(0, 2**63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BAND = _rng.integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands_for(share: int) -> tuple[int, int]:
+    """Bands and rows a band: the longest bands that miss a pair at ``share`` with less than ``MISSED``.
+
+    Where 128 minima do not suffice, as many bands of one row as there are minima.
+    """
+    for rows in range(HASHES, 0, -1):
+        same = (share / 100) ** rows
+        bands = HASHES // rows if same <= 0 else 1 if same >= 1 else math.ceil(math.log(MISSED) / math.log1p(-same))
+        if bands * rows <= HASHES and (same >= 1 or bands * math.log1p(-same) <= math.log(MISSED)):
+            return bands, rows
+    return HASHES, 1
+
+
+def screen_for(share: int) -> float:
+    """The estimate below which a pair is taken to be under ``share``."""
+    chance = 1 / 2**BITS
+    agree = share / 100 * (1 - chance) + chance
+    return share / 100 - DEVIATIONS * math.sqrt(agree * (1 - agree) / HASHES) / (1 - chance)
 
 
 class _WordHashes(dict):
@@ -113,9 +135,9 @@ def packed(mins: np.ndarray) -> np.ndarray:
     return (low << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
-def band_keys(mins: np.ndarray) -> np.ndarray:
-    m = _mix(mins[:, : BANDS * ROWS].reshape(len(mins), BANDS, ROWS) + np.uint64(1))
-    return _mix((m * _BAND[None]).sum(axis=2, dtype=np.uint64)).view(np.int64)
+def band_keys(mins: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    m = _mix(mins[:, : bands * rows].reshape(len(mins), bands, rows) + np.uint64(1))
+    return _mix((m * _BAND[: bands * rows].reshape(1, bands, rows)).sum(axis=2, dtype=np.uint64)).view(np.int64)
 
 
 SIGNED = T.StructType(
@@ -136,29 +158,32 @@ def _lists(rows: np.ndarray, there: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.ravel()), mask=pa.array(~there))
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            rows = batch.slice(at, 256)
-            nodes, sets = [], []
-            for text in rows.column(1).cast(pa.binary()).to_pylist():
-                words = words_of(text)
-                nodes.append(blake2b(b" ".join(words), digest_size=16).digest() if words else None)
-                sets.append(shingle_hashes(words))
-            size = np.array([len(s) for s in sets])
-            there = size > 0
-            mins = minima([s for s in sets if len(s)]) if there.any() else np.empty((0, HASHES), dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(nodes, pa.binary()), pa.array(size, pa.int64()), _lists(packed(mins), there), _lists(band_keys(mins), there)],
-                names=SIGNED.fieldNames(),
-            )
-    _HASHES.clear()
-    give_back()
+def _sign(bands: int, rows_: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                rows = batch.slice(at, 256)
+                nodes, sets = [], []
+                for text in rows.column(1).cast(pa.binary()).to_pylist():
+                    words = words_of(text)
+                    nodes.append(blake2b(b" ".join(words), digest_size=16).digest() if words else None)
+                    sets.append(shingle_hashes(words))
+                size = np.array([len(s) for s in sets])
+                there = size > 0
+                mins = minima([s for s in sets if len(s)]) if there.any() else np.empty((0, HASHES), dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0), pa.array(nodes, pa.binary()), pa.array(size, pa.int64()), _lists(packed(mins), there), _lists(band_keys(mins, bands, rows_), there)],
+                    names=SIGNED.fieldNames(),
+                )
+        _HASHES.clear()
+        give_back()
+
+    return run
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """Node, set size, packed signature and band keys of every row of ``docs (doc_id, text)``."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sign, SIGNED)
+def signatures(docs: DataFrame, share: int) -> DataFrame:
+    """Node, set size, packed signature and band keys for ``share`` of every row of ``docs (doc_id, text)``."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sign(*bands_for(share)), SIGNED)
 
 
 def estimate(a: str, b: str) -> Column:
@@ -227,7 +252,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, share: int) -> DataFrame:
     return rows.groupBy("leader", "part").applyInArrow(_confirm(share), "a binary, b binary")
 
 
-def _passing(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _passing(rows: pa.Table, screen: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each group of blocks in ``rows``, the rows of minor and of any role whose pairs pass the estimate.
 
     The two rows of a pair are in different components. Also returned: which rows are in such a pair.
@@ -243,7 +268,7 @@ def _passing(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for at in map(np.array, of.values()):
         own, rest = at[minor[at]], at[~minor[at]]
         if len(own) and len(rest):
-            x, y = np.nonzero(_estimates(sig[own], sig[rest]) >= SCREEN)
+            x, y = np.nonzero(_estimates(sig[own], sig[rest]) >= screen)
             p, q = own[x], rest[y]
             apart = (comp[p] != comp[q]) & (node[p] != node[q])
             left.append(p[apart])
@@ -257,15 +282,18 @@ def _passing(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 MET = ["bin", "i", "j", "leader", "node", "comp", "minor", "sig"]
 
 
-def _screen(rows: pa.Table) -> pa.Table:
-    """The rows of a group of blocks that are in a pair that passes the estimate."""
-    return rows.filter(pa.array(_passing(rows)[2])).select(MET)
+def _screen(screen: float):
+    def run(rows: pa.Table) -> pa.Table:
+        """The rows of a group of blocks that are in a pair that passes the estimate."""
+        return rows.filter(pa.array(_passing(rows, screen)[2])).select(MET)
+
+    return run
 
 
 def _settle(share: int):
     def run(rows: pa.Table) -> pa.Table:
         """Links of the passing pairs; rows that are connected by then are not tested again."""
-        p, q, _ = _passing(rows)
+        p, q, _ = _passing(rows, screen_for(share))
         comp, node, text = (rows.column(c).to_pylist() for c in ("comp", "node", "text"))
         kept: dict[int, tuple[list[bytes], set]] = {}
         root: dict[bytes, bytes] = {}
@@ -323,7 +351,7 @@ def remaining(led: DataFrame, comps: DataFrame, texts: DataFrame, share: int) ->
     every = rows.withColumn("j", F.expr("cast(pmod(h, sides) as int)")).withColumn("i", F.explode(F.expr("sequence(0, minors - 1)"))).withColumn("minor", F.lit(False))
     met = minor.select(MET).unionByName(every.select(MET))
     schema = "bin long, i int, j int, leader binary, node binary, comp binary, minor boolean, sig array<long>"
-    close = written(met.groupBy("bin", "i", "j").applyInArrow(_screen, schema), "close")
+    close = written(met.groupBy("bin", "i", "j").applyInArrow(_screen(screen_for(share)), schema), "close")
     return close.join(texts, "node").groupBy("bin", "i", "j").applyInArrow(_settle(share), "a binary, b binary")
 
 
@@ -333,7 +361,7 @@ def near_duplicates(docs: DataFrame, share: int = 85) -> DataFrame:
     Two documents are linked when ``100 * intersection >= share * union`` of their shingle sets;
     ``component_id`` is the smallest doc_id that links reach, ``kept`` marks the row that has it.
     """
-    signed = written(signatures(docs), "signed")
+    signed = written(signatures(docs, share), "signed")
     nodes = written(signed.where("node is not null and doc_id is not null").groupBy("node", "sig", "bands").agg(F.min("doc_id").alias("doc")), "nodes")
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     common = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -345,7 +373,7 @@ def near_duplicates(docs: DataFrame, share: int = 85) -> DataFrame:
     signs = degree.select("node", "sig")
     led = members.join(signs, "node").join(signs.select(F.col("node").alias("leader"), F.col("sig").alias("leader_sig")), "leader")
     led = written(led.withColumn("estimate", estimate("leader_sig", "sig")).drop("leader_sig"), "led")
-    stars = led.where(f"node <> leader and estimate >= {SCREEN}").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    stars = led.where(f"node <> leader and estimate >= {screen_for(share)}").select(F.col("leader").alias("a"), F.col("node").alias("b"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").cast("binary").alias("text"))
     texts = written(texts.join(degree.select("node", "doc").hint("merge"), "doc").select("node", "text"), "texts")
     links = written(confirmed(stars, texts, share), "links")

@@ -8,6 +8,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from lexiquarry.llm import near_dup
 from lexiquarry.llm.components import components
 
@@ -137,3 +138,30 @@ def test_components(spark):
     got = {r.node: r.comp for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_bands_and_screen_follow_from_the_share():
+    for share in (60, 70, 80, 85, 95, 100):
+        bands, rows = near_dup.bands_for(share)
+        assert bands * rows <= near_dup.HASHES
+        assert (1 - (share / 100) ** rows) ** bands <= 1e-6
+    assert near_dup.bands_for(85) == (24, 5)
+    assert near_dup.screen_for(85) == pytest.approx(0.68, abs=0.005)
+    assert near_dup.screen_for(80) < 0.62
+
+
+def test_the_stage_links_from_80_of_100(spark, docs):
+    """Pairs between 0.80 and 0.85 are near duplicates to the stage; those below 0.80 are not."""
+    rng, rows = random.Random(8), []
+    for k in range(150):
+        base = [f"k{k}x{j}" for j in range(104)]
+        cut = 100 - rng.choice([15, 17, 19, 20, 21, 22])
+        rows += [(2 * k, " ".join(base[: cut + 4])), (2 * k + 1, " ".join(base))]
+    want = brute(rows, 80)
+    kept = {r.doc_id for r in corpus_pipeline.near_dup_stage(spark, docs(rows), "").collect()}
+    assert kept == {i for i, x in want.items() if x[2]}
+    assert 150 < len(kept) < len({i for i, x in brute(rows).items() if x[2]})
+    base = text_of(rng, 150)
+    rows = [(i, " ".join(edited(rng, base, rng.choice([1, 2, 3, 4, 5])))) for i in range(200)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(docs(rows), 80).collect()}
+    assert got == brute(rows, 80)
