@@ -13,7 +13,7 @@ combined before they are shuffled, and a hash that has two texts is left alone.
 
 Cases: null and empty texts stay as they are; white space inside a chunk counts; a chunk that repeats
 inside one document only is removed there too after its first place; rows that share a doc_id are one
-document; rows without doc_id lose the chunks that another document keeps; words are what stands between white
+document; rows without doc_id lose the chunks that a document with one keeps; words are what stands between white
 space, so text without any is one chunk; an empty table gives an empty result; other columns stay, and a
 column that has the name of a result column is an error that names it.
 """
@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +43,8 @@ LEAST_WORDS, LEAST_LINES = 6, 2
 LONG = 20
 #: Bytes that are worked on together.
 TOGETHER = 400_000
+#: Share of the rows from which a hash is told by a broadcast.
+FREQUENT = 0.002
 
 _SPACE, _STOP = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -165,53 +168,78 @@ def _slices(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[p
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The chunk hashes of each document and how often it has them, without texts."""
-    for rows, _, chunks in _slices(batches, 1):
-        ids, keys, times = [], [], []
-        for i, own in zip(rows.column(0).to_pylist(), chunks, strict=True):
+    """The chunk hashes of each document, those that it has more than once twice, without texts."""
+    for rows, _, chunks in _slices(batches, 2):
+        ids, of, keys = [], [], []
+        for i, named, own in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), chunks, strict=True):
             count = Counter(key for _, key in own if key is not None)
-            ids += [i] * len(count)
+            twice = [key for key, n in count.items() if n > 1]
+            ids += [i] * (len(count) + len(twice))
+            of += [named] * (len(count) + len(twice))
             keys += count.keys()
-            times += count.values()
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(times, pa.int64())], names=["doc_id", "h", "n"])
+            keys += twice
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(of, pa.bool_()), pa.array(keys, pa.int64())], names=["id", "named", "h"])
 
 
-def _texts_of(text_at: int, goes_at: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The hashes and texts of the chunks that occur more than once, each once in what is read together."""
-        for rows, _, chunks in _slices(batches, text_at):
-            found = set()
-            for goes, own in zip(rows.column(goes_at).to_pylist(), chunks, strict=True):
-                marked = {g["h"] for g in goes or ()}
-                found.update((key, c.strip()) for c, key in own if key in marked)
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.int64()), pa.array([c for _, c in found], pa.binary())], names=["h", "chunk"])
+def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes that are a ``FREQUENT`` share of the rows read together, and how often they are."""
+    for batch in batches:
+        h, n = np.unique(batch.column(0).to_numpy(), return_counts=True)
+        at = n >= max(2, FREQUENT * batch.num_rows)
+        yield pa.RecordBatch.from_arrays([pa.array(h[at], pa.int64()), pa.array(n[at], pa.int64())], names=["h", "n"])
 
-    return run
+
+def repeated_chunks(found: DataFrame) -> DataFrame:
+    """``id, named, h, keeps`` of the occurrences ``found (id, named, h)`` of hashes that occur more than once.
+
+    A hash with twice a ``FREQUENT`` share of all rows has that share in some rows that are read together and
+    is found by these alone; there are fewer than ``1 / FREQUENT`` such hashes. Their rows are counted before they
+    are shuffled, and told by a broadcast; all others are dealt by hash, once.
+    """
+    total = found.count()
+    often = found.select("h").mapInArrow(_often, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT * total).select("h")
+    often = written(often, "often")
+    first = F.min(F.when(F.col("named"), F.col("id")))
+    few = found.join(F.broadcast(often), "h").groupBy("h").agg(F.count("*").alias("n"), first.alias("keeper")).where("n > 1")
+    hot = found.join(F.broadcast(few), "h").select("id", "named", "h", "keeper")
+    by = W.partitionBy("h")
+    rest = found.join(F.broadcast(often), "h", "left_anti").select("id", "named", "h", F.count("*").over(by).alias("n"), first.over(by).alias("keeper")).where("n > 1").drop("n")
+    return hot.unionByName(rest).select("id", "named", "h", F.coalesce(F.col("named") & (F.col("id") == F.col("keeper")), F.lit(True)).alias("keeps"))
 
 
 REMOVED = T.StructType([T.StructField("removed_chunks", T.LongType()), T.StructField("removed_chars", T.LongType())])
+_SEEN = T.StructField("seen", T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("chunk", T.BinaryType())])))
+_PIECE = pa.list_(pa.struct([("h", pa.int64()), ("chunk", pa.binary())]))
 
 
-def _drop(columns: list[str], text_at: int, width: int, unlike: set[int]):
+def _drop(columns: list[str], text_at: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows without the marked chunks, and the texts of all marked ones, each once in what is read together."""
         for rows, whole, chunks in _slices(batches, text_at):
-            texts, cut, size = [], [], []
+            texts, cut, size, seen = [], [], [], []
+            told: set[tuple[int, bytes]] = set()
             for text, goes, pieces in zip(whole, rows.column(width).to_pylist(), chunks, strict=True):
-                own = {g["h"]: g["keeps"] for g in goes or () if g["h"] not in unlike}
-                kept, seen, n = [], set(), 0
+                own = {g["h"]: g["keeps"] for g in goes or ()}
+                kept, here, n, new = [], set(), 0, []
                 for chunk, key in pieces if own else ():
-                    if key in own and (not own[key] or key in seen):
+                    if key in own:
+                        piece = (key, chunk.strip())
+                        if piece not in told:
+                            told.add(piece)
+                            new.append({"h": key, "chunk": piece[1]})
+                    if key in own and (not own[key] or key in here):
                         n += 1
                     else:
                         kept.append(chunk)
-                        seen.add(key)
+                        here.add(key)
                 left = b"".join(kept) if n else text
                 texts.append(left)
                 cut.append(n)
                 size.append(len(text.decode()) - len(left.decode()) if n else 0)
+                seen.append(new)
             own = [*rows.columns[:width]]
             own[text_at] = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*own, pa.array(cut, pa.int64()), pa.array(size, pa.int64())], names=[*columns, *REMOVED.fieldNames()])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(cut, pa.int64()), pa.array(size, pa.int64()), pa.array(seen, _PIECE)], names=columns)
 
     return run
 
@@ -222,23 +250,30 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
         if name in docs.columns:
             raise ValueError(f"the table has a column {name} already")
     text_at, width = docs.columns.index("text"), len(docs.columns)
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_occurrences, "doc_id long, h long, n long")
+    names = [f"c{k}" for k in range(width)]
+    # Rows without doc_id go by their texts.
+    named, own_id = F.col("doc_id").isNotNull(), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")))
+    found = docs.select(own_id.alias("id"), named.alias("named"), F.col("text").cast("string")).mapInArrow(_occurrences, "id long, named boolean, h long")
     found = written(found, "chunks")
-    repeated = found.groupBy("h").agg(F.sum("n").alias("n"), F.min("doc_id").alias("keeper")).where("n > 1").select("h", "keeper")
-    marks = (
-        found.join(repeated, "h")
-        .select("doc_id", F.struct("h", F.col("doc_id").eqNullSafe(F.col("keeper")).alias("keeps")).alias("goes"))
-        .groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("goes").alias("goes"))  # as many as the document has chunks
-    )
-    whole = docs.select(F.struct(*docs.columns).alias("row"))
-    joined = whole.join(marks, F.col("row.doc_id").cast("long").eqNullSafe(F.col("of")), "left")
-    joined = written(joined.select(*[F.col("row")[c].alias(f"c{k}") for k, c in enumerate(docs.columns)], "goes"), "marked")
-    unwritten(found)
-    texts = joined.where("goes is not null").mapInArrow(_texts_of(text_at, width), "h long, chunk binary").groupBy("h", "chunk").agg(F.lit(1).alias("one"))
-    # Hashes of 64 bits with two texts: none is expected up to billions of chunks.
-    unlike = {r.h for r in texts.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1").select("h").collect()}
-    schema = T.StructType([*docs.schema.fields, *REMOVED.fields])
-    return joined.mapInArrow(_drop(docs.columns, text_at, width, unlike), schema)
+    whole = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)], own_id.alias("_id"), named.alias("_named"))
+    schema = T.StructType([*[T.StructField(n, f.dataType) for n, f in zip(names, docs.schema.fields, strict=True)], *REMOVED.fields, _SEEN])
+    repeated, unlike = repeated_chunks(found), []
+    while True:
+        # At most as many marks as the document has chunks.
+        marks = repeated.groupBy(F.col("id").alias("of"), F.col("named").alias("of_named")).agg(F.collect_set(F.struct("h", "keeps")).alias("goes"))
+        joined = whole.join(marks.hint("merge"), (F.col("_id") == F.col("of")) & (F.col("_named") == F.col("of_named")), "left").select(*names, "goes")
+        cleaned = written(joined.mapInArrow(_drop(schema.fieldNames(), text_at, width), schema), "cleaned", compression="zstd")
+        # The byte comparison: a hash whose texts differ is left alone, and the work done again.
+        pieces = cleaned.select(F.explode("seen").alias("s")).groupBy("s.h").agg(F.min("s.chunk").alias("least"), F.max("s.chunk").alias("most"))
+        differ = written(pieces.where("least <> most").select("h"), "differ")
+        if differ.isEmpty():
+            break
+        unlike.append(differ)
+        unwritten(cleaned)
+        repeated = repeated.join(differ, "h", "left_anti")
+    for done in (found, differ, *unlike):
+        unwritten(done)
+    return cleaned.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)], *REMOVED.fieldNames())
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

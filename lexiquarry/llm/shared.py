@@ -5,8 +5,10 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,29 +25,50 @@ def shared_root(spark: SparkSession) -> str:
     """
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lexiquarry-")
         spark.conf.set(CHECKPOINT_CONF, root)
     return root.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Folders that :func:`written` made, for :func:`scratch`.
+_MADE: list[str] = []
+
+
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: evaluated once, lineage cut."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/lexiquarry/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end what was :func:`written` inside, but for the folders that the given list holds by then."""
+    begun, kept = len(_MADE), []
+    try:
+        yield kept
+    finally:
+        for folder in _MADE[begun:]:
+            if folder not in kept:
+                _delete(spark, folder)
+        del _MADE[begun:]
+        _MADE.extend(kept)
+
+
 def unwritten(df: DataFrame) -> None:
     """Delete the files behind a :func:`written` table that nothing will read again."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/lexiquarry/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            _delete(df.sparkSession, folder)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,3 +92,30 @@ def give_back() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+#: A key that more than one in ``HOT`` rows have is hot; so there are fewer than ``HOT`` hot keys.
+HOT = 1000
+
+
+def split_hot(side: DataFrame, weight: str, total: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``side``, one a key, whose key has more than ``total / HOT`` rows elsewhere, and the others.
+
+    ``weight`` is the column of how many rows have the key, ``total`` the sum of that. The first are fewer
+    than ``HOT`` whatever the data, so they may be broadcast.
+    """
+    hot = F.coalesce(F.col(weight) > F.lit(total / HOT), F.lit(False))
+    return side.where(hot), side.where(~hot)
+
+
+def dealt_join(rows: DataFrame, side: DataFrame, key: str, weight: str, total: int, how: str = "inner", shuffled: bool = False) -> DataFrame:
+    """``rows`` joined (inner or left) with ``side``, which has a row a key and the ``weight`` of the key.
+
+    Rows with a hot key meet a broadcast of the few hot keys where they are; only the others are shuffled, so
+    that no task gets the rows of a hot key. ``shuffled`` keeps the others from a broadcast at any size, for rows
+    with texts.
+    """
+    hot, rest = (x.drop(weight) for x in split_hot(side, weight, total))
+    met = rows.join(F.broadcast(hot), key)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest.hint("merge") if shuffled else rest, key, how)
+    return met.unionByName(others.select(met.columns))
