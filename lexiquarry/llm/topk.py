@@ -7,17 +7,24 @@ at the walked depth bounds the score of every row not yet met; the walk of a blo
 best score so far is above that bound. A row that could still tie the k-th score is always met, so ties
 are settled by the smaller id.
 
-Work is one task for each pair of a block of vectors and a block of queries; results of a pair are at most
-k rows a query, and the best k of all blocks are taken by a window per query.
+Work is one task for each pair of a block of vectors and a block of queries, each of them one row in the
+shuffle; results of a pair are at most k rows a query, and the best k of all blocks are taken
+by a window per query.
 
-Cases: a vector that is null, or holds a null, a non-finite number or a number of 2**20 or more in size,
-takes no part; of rows with one id the smallest vector stands; a shorter vector counts as ending in zeros;
-fewer than k candidates give fewer rows; an empty table gives no rows; a null id takes no part; other
+Components of less than 31 bits are kept and added as machine integers; a block with a larger one, of any
+finite size, is worked on with Python's integers. Scores are exact; one beyond 64 bits counts as the nearest
+number of 64 bits.
+
+Cases: a vector that is null, or holds a null or a non-finite number, takes no part; of rows that share an id
+each is a candidate, and the best k of all their queries are returned; a shorter vector counts as ending in
+zeros; fewer than k candidates give fewer rows; an empty table gives no rows; a null id takes no part; other
 columns play no part.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,95 +34,118 @@ from pyspark.sql import functions as F
 from lexiquarry.llm.shared import blocks, table, written
 
 #: Rows in a block of vectors and queries in a block of queries.
-ROWS, QUERIES = 4096, 2048
+ROWS, QUERIES = 4096, 8192
 #: Shuffle partitions that pairs of blocks are dealt to, at most; a partition can hold several pairs.
 PARTITIONS = 10_000
 #: Entries of each list that the first step walks; each later step doubles the depth.
 FIRST_STEP = 32
+#: Components below this in size are stored in 32 bits; their products can be added over 2**20 dimensions in 64.
+SMALL = 2.0**21
+LEAST, MOST = -(2**63), 2**63 - 1
+
+
+def finite_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """``(id, v)`` of the rows that take part, in double precision."""
+    valid = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    return df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & valid).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+
+
+def integers(raw: np.ndarray, scale: int) -> np.ndarray:
+    """``floor(scale * x)`` as 32-bit integers, or as Python's if one is large."""
+    if not raw.size or np.abs(raw).max() * scale < SMALL:
+        return np.floor(raw * scale).astype(np.int32)
+    large = [int(x) * scale if abs(x) >= 2.0**52 else math.floor(x * scale) for x in raw.ravel().tolist()]
+    return np.array(large, dtype=object).reshape(raw.shape)
+
+
+def _pack(rows: pa.Table, scale: int, every: int) -> pa.Table:
+    """A block as byte strings: ids, the matrix, each dimension's order of the rows, and its queries."""
+    ids, vectors = rows.column("id").to_numpy(), rows.column("v").to_pylist()
+    width = max(map(len, vectors))
+    raw = np.array([v + [0.0] * (width - len(v)) for v in vectors], dtype=np.float64).reshape(len(ids), width)
+    order = np.argsort(ids, kind="stable")
+    ids, raw = ids[order], raw[order]
+    own = integers(raw, scale)
+    lists = np.argsort(own, axis=0, kind="stable").T.astype(np.int32)
+    small = own.dtype != object
+    asks = ids % every == 0
+    return pa.table(
+        {
+            "block": rows.column("block")[:1], "width": pa.array([width], pa.int32()), "small": pa.array([small]), "ids": pa.array([ids.tobytes()], pa.binary()),
+            "matrix": pa.array([(own if small else raw).tobytes()], pa.binary()), "lists": pa.array([lists.tobytes()], pa.binary()),
+            "q_ids": pa.array([ids[asks].tobytes()], pa.binary()), "queries": pa.array([(own[asks] if small else raw[asks]).tobytes()], pa.binary()),
+        }
+    )
 
 
-#: Components have less than 30 bits; scores are summed in 64.
-COMPONENT = np.int32
-
-
-def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """``(id, v)``: ``floor(scale * x)`` of every component; rows that take no part are gone."""
-    valid = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float(2**20)))
-    made = F.transform(vec_col, lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("long"))
-    return df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & valid).select(F.col(id_col).cast("long").alias("id"), made.alias("v"))
+PACKED = "block int, width int, small boolean, ids binary, matrix binary, lists binary, q_ids binary, queries binary"
 
 
-def _pack(rows: pa.Table) -> pa.Table:
-    """A block as three byte strings: ids, the matrix, and each dimension's order of the rows."""
-    least: dict[int, list[int]] = {}
-    for i, v in zip(rows.column("id").to_pylist(), rows.column("v").to_pylist(), strict=True):
-        if i not in least or v < least[i]:
-            least[i] = v
-    ids = np.array(sorted(least), dtype=np.int64)
-    width = max(map(len, least.values()))
-    matrix = np.array([least[i] + [0] * (width - len(least[i])) for i in ids.tolist()], dtype=COMPONENT).reshape(len(ids), width)
-    order = np.argsort(matrix, axis=0, kind="stable").T.astype(np.int32)
-    return pa.table({"block": rows.column("block")[:1], "width": pa.array([width], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "matrix": pa.array([matrix.tobytes()], pa.binary()), "lists": pa.array([order.tobytes()], pa.binary())})
+def _matrix(raw: bytes, small: bool, rows: int, width: int, scale: int) -> np.ndarray:
+    if small:
+        return np.frombuffer(raw, dtype=np.int32).reshape(rows, width)
+    return integers(np.frombuffer(raw, dtype=np.float64).reshape(rows, width), scale)
 
 
-def _queries(rows: pa.Table, every: int) -> pa.Table:
-    """The queries of a packed block."""
-    ids = np.frombuffer(rows.column("ids")[0].as_py(), dtype=np.int64)
-    width = rows.column("width")[0].as_py()
-    matrix = np.frombuffer(rows.column("matrix")[0].as_py(), dtype=COMPONENT).reshape(len(ids), width)
-    at = np.flatnonzero(ids % every == 0)
-    return pa.table({"q_width": pa.array([width] * len(at), pa.int32()), "q_id": pa.array(ids[at], pa.int64()), "q": pa.array([matrix[i].tobytes() for i in at], pa.binary())})
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """The places of the ``k`` highest scores, ties to the smaller id."""
+    if scores.dtype == object:
+        return np.array(sorted(range(len(scores)), key=lambda j: (-scores[j], ids[j]))[:k], dtype=np.int64)
+    return np.lexsort((ids, -scores))[:k]
 
 
-def walk(query: np.ndarray, own: int, ids: np.ndarray, matrix: np.ndarray, lists: np.ndarray, k: int) -> tuple[list[tuple[int, int]], int]:
-    """The best ``(score, id)`` of a block for one query, and how deep its lists were walked."""
-    n = len(ids)
+def walk(query: np.ndarray, own: int, ids: np.ndarray, matrix: np.ndarray, lists: np.ndarray, k: int) -> tuple[list[tuple[int, int]], int, int]:
+    """The best ``(score, id)`` of a block for one query, how deep its lists were walked, and the rows met."""
+    n, exact = len(ids), matrix.dtype == object or query.dtype == object
+    held = (lambda x: min(max(int(x), LEAST), MOST)) if exact else int
     dims = np.flatnonzero(query)
     if not len(dims):  # every score is zero
-        return [(0, int(i)) for i in ids[ids != own][:k]], 0
-    sign = query[dims] > 0
+        return [(0, int(i)) for i in ids[ids != own][:k]], 0, 0
+    sign = np.array([bool(x > 0) for x in query[dims]])
+    wide = object if exact else np.int64
     met = np.zeros(n, dtype=bool)
-    best_s, best_i = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    best_s, best_i = np.empty(0, dtype=wide), np.empty(0, dtype=np.int64)
     depth, step = 0, FIRST_STEP
     while depth < n:
         to = min(n, depth + step)
         head = lists[dims[~sign], depth:to].ravel()
         tail = lists[dims[sign], n - to : n - depth].ravel()
-        rows = np.concatenate((head, tail))
         new = np.zeros(n, dtype=bool)
-        new[rows] = True
+        new[head] = new[tail] = True
         new &= ~met
-        rows = np.flatnonzero(new)
         met |= new
+        rows = np.flatnonzero(new)
         rows = rows[ids[rows] != own]
         if len(rows):
-            best_s = np.concatenate((best_s, matrix[rows].astype(np.int64) @ query))
-            best_i = np.concatenate((best_i, ids[rows]))
-            keep = np.lexsort((best_i, -best_s))[:k]
+            found = matrix[rows].astype(wide) @ query.astype(wide)
+            if exact:
+                found = np.array([held(x) for x in found], dtype=object)
+            best_s, best_i = np.concatenate((best_s, found)), np.concatenate((best_i, ids[rows]))
+            keep = _best(best_s, best_i, k)
             best_s, best_i = best_s[keep], best_i[keep]
         at = np.where(sign, n - to, to - 1)
-        bound = int((query[dims] * matrix[lists[dims, at], dims]).sum())
+        bound = held((query[dims].astype(wide) * matrix[lists[dims, at], dims].astype(wide)).sum())
         depth, step = to, step * 2
         if len(best_s) == k and best_s[-1] > bound:
             break
-    return list(zip(best_s.tolist(), best_i.tolist(), strict=True)), depth
+    return list(zip(best_s.tolist(), best_i.tolist(), strict=True)), depth, int(met.sum())
 
 
-def _meet(rows: pa.Table, k: int) -> pa.Table:
-    """All queries of the group against the group's block of vectors."""
-    kinds = rows.column("matrix").is_valid().to_pylist()
-    at = kinds.index(True) if True in kinds else None
+def _meet(rows: pa.Table, k: int, scale: int) -> pa.Table:
+    """Each block of vectors in the group against the group's queries."""
     out: list[tuple[int, int, int]] = []
-    if at is not None:
-        ids = np.frombuffer(rows.column("ids")[at].as_py(), dtype=np.int64)
-        width = rows.column("width")[at].as_py()
-        matrix = np.frombuffer(rows.column("matrix")[at].as_py(), dtype=COMPONENT).reshape(len(ids), width)
-        lists = np.frombuffer(rows.column("lists")[at].as_py(), dtype=np.int32).reshape(width, len(ids))
-        for own, raw in zip(rows.column("q_id").to_pylist(), rows.column("q").to_pylist(), strict=True):
-            if own is not None:
-                query = np.zeros(width, dtype=np.int64)
-                given = np.frombuffer(raw, dtype=COMPONENT)[:width]
-                query[: len(given)] = given
+    packed = rows.to_pylist()
+    for block in (r for r in packed if r["matrix"] is not None):
+        ids, width = np.frombuffer(block["ids"], dtype=np.int64), block["width"]
+        matrix = _matrix(block["matrix"], block["small"], len(ids), width, scale)
+        lists = np.frombuffer(block["lists"], dtype=np.int32).reshape(width, len(ids))
+        for asked in (q for r in packed for q in r["asked"] or ()):
+            q_ids = np.frombuffer(asked["q_ids"], dtype=np.int64)
+            queries = _matrix(asked["queries"], asked["small"], len(q_ids), asked["width"], scale)
+            shared = min(width, asked["width"])
+            for own, given in zip(q_ids.tolist(), queries, strict=True):
+                query = np.zeros(width, dtype=object if given.dtype == object else np.int64)
+                query[:shared] = given[:shared]
                 out += [(own, s, i) for s, i in walk(query, own, ids, matrix, lists, k)[0]]
     columns = list(zip(*out, strict=True)) or [(), (), ()]
     return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(("query_id", "score", "vec_id"), columns, strict=True)})
@@ -123,23 +153,22 @@ def _meet(rows: pa.Table, k: int) -> pa.Table:
 
 def top_k(df: DataFrame, k: int, every: int, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` best other rows for each row whose id ``every`` divides."""
-    vectors = integer_vectors(df, id_col, vec_col, scale)
-    parts = blocks(vectors.count(), ROWS)
+    vectors = finite_vectors(df, id_col, vec_col)
+    total, asked = vectors.agg(F.count("*"), F.count_if(F.col("id") % every == 0)).first()
+    parts, groups = blocks(total, ROWS), blocks(asked, QUERIES)
     packed = (
-        vectors.withColumn("block", F.expr(f"cast(pmod(xxhash64(id), {parts}) as int)"))
-        .groupBy("block").applyInArrow(_pack, "block int, width int, ids binary, matrix binary, lists binary")
+        vectors.withColumn("block", F.expr(f"cast(pmod(xxhash64(monotonically_increasing_id()), {parts}) as int)"))
+        .groupBy("block").applyInArrow(lambda t: _pack(t, scale, every), PACKED)
     )
     packed = written(packed, "vectors")
-    queries = packed.groupBy("block").applyInArrow(lambda t: _queries(t, every), "q_width int, q_id long, q binary")
-    queries = written(queries, "queries")
-    groups = blocks(queries.count(), QUERIES)
-    queries = queries.withColumn("part", F.expr(f"cast(pmod(xxhash64(q_id, 7), {groups}) as int)"))
-    asked = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    dealt = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    # Each block goes to every group of queries, and each group, some blocks' queries, to every block.
+    dealt = packed.select("block", "width", "small", "ids", "matrix", "lists", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
+    queries = packed.where(F.length("q_ids") > 0).select(F.expr(f"cast(pmod(block, {groups}) as int)").alias("part"), F.struct("width", "small", "q_ids", "queries").alias("q"))
+    queries = queries.groupBy("part").agg(F.collect_list("q").alias("asked")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     met = (
-        dealt.unionByName(asked, allowMissingColumns=True)
+        dealt.unionByName(queries, allowMissingColumns=True)
         .repartition(min(parts * groups, PARTITIONS), "block", "part")
-        .groupBy("block", "part").applyInArrow(lambda t: _meet(t, k), "query_id long, score long, vec_id long")
+        .groupBy("block", "part").applyInArrow(lambda t: _meet(t, k, scale), "query_id long, score long, vec_id long")
     )
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
