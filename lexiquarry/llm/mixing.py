@@ -2,22 +2,26 @@
 
 Tokens are counted by cell (source, language, topic). Iterative proportional fitting rakes the cells'
 token weights until the totals by source, by language and by topic have the target shares. A document's
-probability is its cell's weight over the cell's tokens, scaled to the wanted number of tokens; a
-document is taken when a hash of its id, seen as a number in [0, 1), is below that probability.
+probability is its cell's weight over the cell's tokens. A document is taken when a hash of its id, seen as a
+number in [0, 1), is below a cut. That is a multiple of 1 / ``CUTS`` within ``NEAR`` of the probability, chosen so that
+the taken tokens of each level are close to what the probabilities ask: a few long documents would else move the shares.
 
-The cells are known from the targets alone: levels that a target does not name are one level ``other``.
-So at most the product of the numbers of levels comes to the driver, whatever the corpus holds.
+No probability exceeds 1: a step of the fitting gives a level the factor at which its cells, none with more than
+its tokens, add up to the level's target, so that cells that are taken whole stay fixed and the others are raked
+on. The wanted number of tokens is an upper bound: where cells run out before it is reached, the largest
+number is taken at which all shares are within ``SLACK`` of what they would be without that bound.
 
-Probabilities above 1 are held at 1 and the rest is scaled up, until the wanted tokens are reached or all
-documents are taken.
+The cells are known from the targets alone: levels that a target does not name are one level ``other``.
+So at most the product of the numbers of levels and of ``CUTS`` comes to the driver, whatever the corpus holds.
 
 A target whose named levels have the whole weight says nothing of other levels: these keep the share of the
 tokens that they have, and the named ones are scaled to the rest, so that no level is lost.
 
 Cases: null levels count as ``other``; null and empty texts have no tokens and take their cell's
-probability; targets of levels without tokens are spread over the others in proportion; a null doc_id is
-hashed as 0; rows that share a doc_id are taken or left together; an empty table gives an empty result; an
-input column with the name of a result column is an error that names it.
+probability (0 in a cell without tokens); targets of levels without tokens are spread over the others in
+proportion; targets that no weights can meet are missed by the least that raking reaches, which :func:`report`
+shows; a null doc_id is hashed as 0; rows that share a doc_id are taken or left together if they are of one cell;
+an empty table gives an empty result; an input column with the name of a result column is an error that names it.
 """
 
 from __future__ import annotations
@@ -28,10 +32,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiquarry.llm.shared import table
+from lexiquarry.llm.shared import table, written
 
 OTHER = "other"
-ROUNDS, CLOSE = 200, 1e-10
+#: Rounds of fitting at most, and the miss of a share that ends them.
+ROUNDS, CLOSE = 1000, 1e-9
+CUTS, NEAR, PASSES = 256, 0.1, 5
+#: What a share may be off for the sake of the wanted number of tokens.
+SLACK = 0.005
 MARGINS = ("source", "lang", "topic")
 
 #: Target shares of the query and the pipeline; levels that are not named share what is left, or keep their
@@ -41,7 +49,7 @@ TARGETS: dict[str, dict[str, float]] = {
     "lang": {"en": 0.55, "de": 0.17, "fr": 0.16, "es": 0.12},
     "topic": {"table": 0.1, "contact": 0.1, "short": 0.05, "prose": 0.75},
 }
-#: Share of all tokens that the mixture shall have.
+#: Share of all tokens that the mixture has at most.
 BUDGET = 0.6
 SEED = 11
 
@@ -51,7 +59,7 @@ def topic_of(text: Column) -> Column:
     text = F.coalesce(text.cast("string"), F.lit(""))
     return (
         F.when(F.contains(text, F.lit(" | ")), "table")
-        .when(text.rlike(r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z]") | text.rlike(r"\+\d+ \(?\d"), "contact")
+        .when((F.contains(text, F.lit("@")) & text.rlike(r"[A-Za-z0-9._-]@[A-Za-z0-9-]++\.[A-Za-z]")) | (F.contains(text, F.lit("+")) & text.rlike(r"\+\d++ \(?\d")), "contact")
         .when(F.length(text) < 400, "short")
         .otherwise("prose")
     )
@@ -76,67 +84,164 @@ def shares_of(tokens: np.ndarray, axis: int, named: Mapping[str, float]) -> np.n
     return np.array([*(x / sum(named.values()) * (1 - own) for x in named.values()), own])
 
 
-def rake(tokens: np.ndarray, targets: list[np.ndarray]) -> np.ndarray:
-    """Weights of the cells, in all 1, whose totals along each axis are ``targets`` as far as cells allow."""
-    weight = tokens / max(tokens.sum(), 1)
-    wanted = []
+def wanted(tokens: np.ndarray, targets: list[np.ndarray]) -> list[np.ndarray]:
+    """``targets`` without the levels that have no tokens, each adding up to 1."""
+    out = []
     for axis, target in enumerate(targets):
         there = tokens.sum(axis=tuple(k for k in range(tokens.ndim) if k != axis)) > 0
         target = np.where(there, target, 0.0)
-        wanted.append(target / target.sum() if target.sum() > 0 else np.where(there, 1.0, 0.0) / max(there.sum(), 1))
+        out.append(target / target.sum() if target.sum() > 0 else np.where(there, 1.0, 0.0) / max(there.sum(), 1))
+    return out
+
+
+def factors(tokens: np.ndarray, rate: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """For each row of cells the factor ``f`` at which ``sum(tokens * min(1, f * rate))`` is the row's goal.
+
+    Cells reach 1 in the order of their rates; a row that cannot have its goal gets the factor at which all do.
+    """
+    order = np.argsort(-rate, axis=1, kind="stable")
+    n, r = np.take_along_axis(tokens, order, 1), np.take_along_axis(rate, order, 1)
+    weight = n * r
+    full = np.cumsum(n, axis=1) - n  # tokens of the cells before, taken whole
+    free = np.cumsum(weight[:, ::-1], axis=1)[:, ::-1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        f = np.where(free > 0, (goal[:, None] - full) / free, np.inf)
+        fits = f * r <= 1
+    first = fits.argmax(axis=1)
+    at = np.arange(len(goal))
+    least = np.where(n > 0, r, np.inf).min(axis=1)
+    most = np.where(np.isfinite(least) & (least > 0), 1 / np.where(least > 0, least, 1), 0.0)
+    return np.where(fits.any(axis=1), np.maximum(f[at, first], 0.0), most)
+
+
+def rake(tokens: np.ndarray, targets: list[np.ndarray], goal: float) -> tuple[np.ndarray, float]:
+    """Probabilities of the cells, none above 1, that take ``goal`` tokens with the shares ``targets`` along each axis,
+    as far as the cells allow, and by how much the worst share is off."""
+    rate, best, since = np.where(tokens > 0, goal / max(tokens.sum(), 1), 0.0), (np.zeros_like(tokens), np.inf), 0
     for _ in range(ROUNDS):
-        most = 0.0
-        for axis, target in enumerate(wanted):
-            now = weight.sum(axis=tuple(k for k in range(tokens.ndim) if k != axis))
-            factor = np.divide(target, now, out=np.zeros_like(now), where=now > 0)
-            most = max(most, float(np.abs(now - target).max(initial=0)))
-            weight = weight * factor.reshape([-1 if k == axis else 1 for k in range(tokens.ndim)])
-        if most < CLOSE:
-            break
-    return weight
-
-
-def probabilities(tokens: np.ndarray, weight: np.ndarray, budget: float) -> np.ndarray:
-    """Sampling probabilities: ``budget`` times all tokens in the proportions of ``weight``, none above 1."""
-    goal = budget * tokens.sum()
-    rate = np.divide(weight, tokens, out=np.zeros_like(weight), where=tokens > 0)
-    full = np.zeros(tokens.shape, dtype=bool)
-    while True:
-        rest = goal - tokens[full].sum()
-        free = (rate * tokens)[~full].sum()
-        scale = rest / free if free > 0 else 0.0
-        over = ~full & (rate * scale > 1)
-        if not over.any():
+        for axis, target in enumerate(targets):
+            flat = lambda x: np.moveaxis(x, axis, 0).reshape(tokens.shape[axis], -1)  # noqa: B023, E731
+            f = factors(flat(tokens), flat(rate), target * goal)
+            rate = np.minimum(rate * f.reshape([-1 if k == axis else 1 for k in range(tokens.ndim)]), 1e9)
+        taken = tokens * np.minimum(rate, 1.0)
+        total = max(taken.sum(), 1e-300)
+        off = max(float(np.abs(taken.sum(axis=tuple(k for k in range(tokens.ndim) if k != a)) / total - t).max(initial=0)) for a, t in enumerate(targets))
+        off = max(off, 1 - total / goal if goal > 0 else 0.0)
+        since = 0 if off < 0.999 * best[1] else since + 1
+        if off < best[1]:
+            best = np.minimum(rate, 1.0), off
+        if off < CLOSE or since > 30:
             break
-        full |= over
-    return np.where(full, 1.0, rate * scale)
-
-
-def mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, budget: float = BUDGET, seed: int = SEED) -> DataFrame:
-    """``docs`` with ``topic, tokens, probability, kept``."""
+    return best
+
+
+def calibrated(tokens: np.ndarray, targets: list[np.ndarray], budget: float) -> tuple[np.ndarray, float]:
+    """Probabilities with the target shares for ``budget`` of all tokens or the largest part that has them, and the worst miss."""
+    total = tokens.sum()
+    if not total:
+        return np.zeros_like(tokens), 0.0
+    targets = wanted(tokens, targets)
+    free = rake(tokens, targets, 1e-6 * total)  # too few tokens for any cell to run out
+    p, off = rake(tokens, targets, budget * total)
+    if off <= free[1] + SLACK:
+        return p, off
+    (low, found), high = (1e-6, free), budget
+    while high / low > 1.01:
+        middle = (low * high) ** 0.5
+        made = rake(tokens, targets, middle * total)
+        if made[1] <= free[1] + SLACK:
+            low, found = middle, made
+        else:
+            high = middle
+    return found
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``topic`` and ``tokens``."""
     for name in ("topic", "tokens", "probability", "kept"):
         if name in docs.columns:
             raise ValueError(f"the table has a column {name} already")
-    cells = [F.struct(*docs.columns).alias("row"), topic_of(F.col("text")).alias("topic"), tokens_of(F.col("text")).alias("tokens")]
-    rows = docs.select(*cells).select("*", F.col("row.source").alias("source"), F.col("row.lang").alias("lang"))
-    levels = {m: [*targets[m], OTHER] for m in MARGINS}
+    return docs.withColumns({"topic": topic_of(F.col("text")), "tokens": tokens_of(F.col("text"))})
+
+
+def _cells(rows: DataFrame, targets: Mapping[str, Mapping[str, float]], by: list[Column], *sums: Column) -> list:
     cell = [levelled(F.col(m), targets[m]).alias(f"_{m}") for m in MARGINS]
-    counted = rows.select(*cell, "tokens").groupBy(*[f"_{m}" for m in MARGINS]).agg(F.sum("tokens").alias("n")).collect()
-    tokens = np.zeros([len(levels[m]) for m in MARGINS])
+    return rows.groupBy(*cell, *by).agg(F.sum("tokens").alias("n"), *sums).collect()
+
+
+def _table(counted: list, value: str, targets: Mapping[str, Mapping[str, float]], width: int = 0) -> np.ndarray:
+    """The values by cell, and with a ``width`` by place ``at`` too."""
+    levels = [[*targets[m], OTHER] for m in MARGINS]
+    out = np.zeros([*map(len, levels), *([width] if width else [])])
     for r in counted:
-        tokens[tuple(levels[m].index(r[f"_{m}"]) for m in MARGINS)] = r["n"]
-    shares = [shares_of(tokens, k, targets[m]) for k, m in enumerate(MARGINS)]
-    p = probabilities(tokens, rake(tokens, shares), budget)
-    table_ = docs.sparkSession.createDataFrame(
-        [(*(levels[m][i] for m, i in zip(MARGINS, at, strict=True)), float(p[at])) for at in np.ndindex(p.shape)],
-        ", ".join(f"_{m} string" for m in MARGINS) + ", probability double",
+        out[(*(x.index(r[f"_{m}"]) for x, m in zip(levels, MARGINS, strict=True)), *([r["at"]] if width else []))] = r[value]
+    return out
+
+
+def cuts(tokens: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """For each cell a cut near its probability, so that the taken tokens of all levels are what the probabilities ask.
+
+    ``tokens`` by cell and place of the draw. Cells start at the cut that takes nearest to their own expected
+    tokens; a few passes then move single cells where that brings their levels nearer.
+    """
+    taken = np.concatenate((np.zeros([*p.shape, 1]), np.cumsum(tokens, axis=-1)), axis=-1)
+    edges, want = np.arange(CUTS + 1) / CUTS, p * taken[..., -1]
+    near = (np.abs(edges - p[..., None]) <= NEAR) & (p > 0)[..., None] & (p < 1)[..., None]
+    off = (taken - want[..., None]) ** 2 + 1e-9 * (taken[..., -1:] * (edges - p[..., None])) ** 2
+    at = np.argmin(np.where(near, off, np.inf), axis=-1)
+    free = [c for c in np.ndindex(p.shape) if near[c].any() and taken[c][-1] > 0]
+    now = {c: taken[c][at[c]] for c in free}
+    miss = [np.zeros(n) for n in p.shape]  # taken less wanted, by level
+    for c in free:
+        for axis, level in enumerate(c):
+            miss[axis][level] += now[c] - want[c]
+    for _ in range(PASSES):
+        for c in free:
+            step = taken[c] - now[c]
+            cost = sum((miss[axis][level] + step) ** 2 for axis, level in enumerate(c)) + 0.1 * off[c]
+            best = int(np.argmin(np.where(near[c], cost, np.inf)))
+            for axis, level in enumerate(c):
+                miss[axis][level] += step[best]
+            at[c], now[c] = best, taken[c][best]
+    return np.where((p <= 0) | (p >= 1), p, edges[at])
+
+
+def weighed(rows: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, budget: float = BUDGET, seed: int = SEED) -> DataFrame:
+    """``rows``, as from :func:`measured`, with ``probability`` and ``kept``."""
+    draw = "pmod(xxhash64(coalesce(cast({} as long), 0L), " + str(seed) + "), 9007199254740992L) / 9007199254740992D"
+    at = F.expr(f"cast(floor(({draw.format('doc_id')}) * {CUTS}) as int)").alias("at")
+    dealt = _table(_cells(rows, targets, [at]), "n", targets, CUTS)
+    tokens = dealt.sum(axis=-1)
+    p, _ = calibrated(tokens, [shares_of(tokens, k, targets[m]) for k, m in enumerate(MARGINS)], budget)
+    cut = cuts(dealt, p)
+    levels = [[*targets[m], OTHER] for m in MARGINS]
+    table_ = rows.sparkSession.createDataFrame(
+        [(*(x[i] for x, i in zip(levels, at, strict=True)), float(p[at]), float(cut[at])) for at in np.ndindex(p.shape)], ", ".join(f"_{m} string" for m in MARGINS) + ", probability double, cut double"
     )
     # The table of cells is bounded by the targets.
-    rows = rows.select("*", *cell).join(F.broadcast(table_), [f"_{m}" for m in MARGINS]).drop(*[f"_{m}" for m in MARGINS])
-    draw = F.expr(f"pmod(xxhash64(coalesce(cast(row.doc_id as long), 0L), {seed}), 9007199254740992L) / 9007199254740992D")
-    return rows.select("row.*", "topic", "tokens", "probability", (draw < F.col("probability")).alias("kept"))
+    packed = rows.select(F.struct(*rows.columns).alias("row"), *[levelled(F.col(m), targets[m]).alias(f"_{m}") for m in MARGINS])
+    found = packed.join(F.broadcast(table_), [f"_{m}" for m in MARGINS])
+    return found.select("row.*", "probability", (F.expr(draw.format("row.doc_id")) < F.col("cut")).alias("kept"))
+
+
+def mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, budget: float = BUDGET, seed: int = SEED) -> DataFrame:
+    """``docs`` with ``topic, tokens, probability, kept``."""
+    return weighed(measured(docs), targets, budget, seed)
+
+
+def report(found: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS) -> DataFrame:
+    """``margin, level, target, expected, kept``: the wanted share of tokens, the one by probabilities, and the one taken."""
+    counted = _cells(found, targets, [], F.sum(F.col("tokens") * F.col("probability")).alias("expected"), F.sum(F.when(F.col("kept"), F.col("tokens")).otherwise(0)).alias("kept"))
+    tables = {name: _table(counted, name, targets) for name in ("n", "expected", "kept")}
+    want = wanted(tables["n"], [shares_of(tables["n"], k, targets[m]) for k, m in enumerate(MARGINS)])
+    out = []
+    for k, m in enumerate(MARGINS):
+        along = {name: x.sum(axis=tuple(a for a in range(3) if a != k)) / max(x.sum(), 1e-300) for name, x in tables.items()}
+        out += [(m, level, float(want[k][i]), float(along["expected"][i]), float(along["kept"][i])) for i, level in enumerate([*targets[m], OTHER])]
+    return found.sparkSession.createDataFrame(out, "margin string, level string, target double, expected double, kept double")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    return found.select("doc_id", "topic", "tokens", "probability", "kept")
+    """Texts are read once; their topics and counts of tokens are written for the two passes that need them."""
+    rows = measured(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).drop("text")
+    return weighed(written(rows, "measured")).select("doc_id", "topic", "tokens", "probability", "kept")
