@@ -2,9 +2,14 @@
 
 Character trigrams of all learning texts are counted by language. A document is a mixture: each of its
 words comes from one language with that language's n-gram likelihood, and the shares of the languages are
-estimated by expectation-maximisation. Sets of languages (the largest share alone, the two largest, ...)
-are fitted again and compared by likelihood less ``PENALTY * log(words) / 2`` a language; the best set
-gives the shares, and its largest share the predicted language.
+estimated by expectation-maximisation until no share moves by ``STILL`` (``ROUNDS`` rounds at most, which only
+documents of nearly equal languages need). Sets of languages (the largest share alone, the two largest, and so on to
+all) are fitted again and compared by likelihood less ``PENALTY * log(words) / 2`` a language; the best set
+gives the shares, and its largest share the predicted language. A set is not tried if the language that it adds
+has less than half a word of the document, which no penalty would pay for.
+
+Learning takes at most ``LANGUAGES`` languages, as each is a table of ``GRAMS`` numbers on the driver and in each
+task; more are an error that tells so.
 
 Cases: null texts and texts without letters are ``und`` with score 0; without any learning text all are
 ``und``; ties go to the language first in order; texts are taken whole; repeated rows get equal results; an
@@ -33,7 +38,9 @@ CLASS_BITS = 6
 GRAMS = 2 ** (3 * CLASS_BITS)
 #: Characters that are worked on together.
 CHUNK = 400_000
-ROUNDS, REFIT, MOST = 6, 4, 4
+ROUNDS, STILL = 60, 1e-3
+#: Languages that are learned, at most.
+LANGUAGES = 256
 
 _CLASS = np.zeros(256, dtype=np.int32)
 _CLASS[97:123] = np.arange(1, 27)
@@ -80,6 +87,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
+def _fit(pi: np.ndarray, p: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The shares of the languages in documents of ``size`` words with likelihoods ``p``, from ``pi`` on."""
+    pi, moving = pi.copy(), np.arange(len(pi))
+    for _ in range(ROUNDS):
+        first = np.cumsum(size) - size
+        r = p * np.repeat(pi[moving].astype(np.float32), size, axis=0)
+        r /= r.sum(axis=1, keepdims=True)
+        new = np.add.reduceat(r, first, axis=0) / size[:, None]
+        still = np.abs(new - pi[moving]).max(axis=1) < STILL
+        pi[moving] = new
+        if still.all():
+            break
+        if still.mean() > 0.3:  # go on with the others
+            p, moving, size = p[np.repeat(~still, size)], moving[~still], size[~still]
+    return pi
+
+
 class Model:
     """Log-likelihoods of trigrams given the two characters before, by language."""
 
@@ -123,21 +147,26 @@ class Model:
         p = np.exp(ll - ll.max(axis=1, keepdims=True)).astype(np.float32) + np.float32(1e-20)
         of = np.repeat(np.arange(len(there)), size.astype(np.int64))
 
-        def fit(pi: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-            for _ in range(rounds):
-                r = p * pi[of].astype(np.float32)
-                r /= r.sum(axis=1, keepdims=True)
-                pi = np.add.reduceat(r, first, axis=0) / size[:, None]
-            return pi, np.add.reduceat(np.log((p * pi[of].astype(np.float32)).sum(axis=1)), first)
+        def likelihood(pi: np.ndarray) -> np.ndarray:
+            return np.add.reduceat(np.log((p * pi[of].astype(np.float32)).sum(axis=1)), first)
 
-        full, best = fit(np.full((len(there), width), 1 / width), ROUNDS)
+        full = _fit(np.full((len(there), width), 1 / width), p, size.astype(np.int64))
         order = np.argsort(-full, axis=1, kind="stable")
-        chosen, top = np.zeros_like(full), np.full(len(there), -np.inf)
-        for k in range(1, min(width, MOST) + 1):
-            inside = np.zeros_like(full)
-            np.put_along_axis(inside, order[:, :k], np.take_along_axis(np.maximum(full, 1e-6), order[:, :k], 1), 1)
-            pi, best = fit(inside / inside.sum(axis=1, keepdims=True), REFIT if k > 1 else 0)
-            value = best - PENALTY * (k - 1) * np.log(size + 1) / 2
+        chosen = np.zeros_like(full)
+        np.put_along_axis(chosen, order[:, :1], 1.0, 1)
+        top = likelihood(chosen)
+        for k in range(2, width + 1):
+            held = np.take_along_axis(full, order[:, :k], 1)
+            some = np.flatnonzero(held[:, -1] * size >= 0.5)
+            if not len(some):
+                break
+            inside = np.zeros((len(some), width))
+            np.put_along_axis(inside, order[some, :k], held[some], 1)
+            words = np.isin(of, some)
+            pi = np.zeros_like(full)
+            pi[some] = _fit(inside / inside.sum(axis=1, keepdims=True), p[words], size[some].astype(np.int64))
+            value = np.full(len(there), -np.inf)
+            value[some] = likelihood(np.where(pi > 0, pi, 1e-30))[some] - PENALTY * (k - 1) * np.log(size[some] + 1) / 2
             better = value > top
             chosen[better], top[better] = pi[better], value[better]
         out[there] = chosen
@@ -150,6 +179,9 @@ def train(rows: DataFrame) -> Model:
     What comes to the driver has at most ``GRAMS`` rows a language.
     """
     rows = rows.where("lang is not null and text is not null").select(F.col("lang").cast("string"), F.col("text").cast("string"))
+    many = rows.select("lang").distinct().limit(LANGUAGES + 1).count()
+    if many > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages to learn; name fewer in the column lang")
     counted = rows.mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     lang = np.array(counted.column("lang").to_pylist(), dtype=object)
     langs = sorted(set(lang.tolist()))
