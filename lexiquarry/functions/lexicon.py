@@ -63,6 +63,10 @@ SOURCE_TOPICS = {
 #: And by the start of its id.
 PREFIX_TOPICS = {"MSCS_": ["multistate"]}
 
+#: A source of which texts on who may take part are about eligibility too.
+ELIGIBLE_SOURCE = "PMFBY_2023"
+ELIGIBLE = r"(?:optional|compulsory|mandatory) for (?:all )?farmers|farmers (?:who|including)|eligible|eligibility"
+
 #: A question is about a topic where one of its terms stands between other characters than a to z.
 QUERY_TERMS = {
     "membership": ["member", "membership", "admission"],
@@ -171,6 +175,14 @@ FLAGS = {
     "multistate": r"\bmulti[- ]state\b",
     "deposit": r"\bdeposits?\b",
 }
+#: Subject and procedure of each task, as queries must have them (a complaint's subject follows from the question).
+TASKS = {
+    "crop_loss": (" after crop damage or loss", "crop-loss reporting, loss assessment, and insurance claim"),
+    "complaint": ("", "complaint or Ombudsman filing for the "),
+    "membership": ("cooperative society membership", "admission to cooperative society membership and disqualification from admission"),
+    "pacs": ("PACS services", "the PACS service or request described by the user"),
+    "multistate": ("multi-state cooperative issue", "the multi-state cooperative procedure described by the user"),
+}
 #: Focus of a follow-up; {} stands for the procedure.
 FOCUS = {
     "documents": "required supporting documents for {}",
@@ -183,6 +195,12 @@ FOCUS = {
 }
 CROP_TIMELINE = "general procedure for settlement of crop-loss insurance claims; time frame for loss assessment and claims payment"
 
+#: Reason of an abstention that asks for more.
+CLARIFY = "NEEDS_CLARIFICATION"
+#: Languages of requests.
+LANGUAGES = ["en", "kn", "hi", "mr"]
+#: Statuses of a responder after which it is asked again.
+TRANSIENT = (429, 500, 502, 503, 504)
 #: Limits of requests.
 QUESTION_CHARS, CONTENT_CHARS, HISTORY, SPEECH_CHARS, AUDIO_BYTES, EVIDENCE_CHARS = 1500, 4000, 4, 4000, 5_000_000, 12_000
 

@@ -7,12 +7,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiquarry.functions import lexicon as L
 from lexiquarry.functions.text import audio_kind, filled, fold
 
 # Labels of the form, kinds of audio, languages of speech.
 SCOPE_LABELS = {"karnataka": "Karnataka", "maharashtra": "Maharashtra", "multi-state cooperative": "Multi-State", "central / india scheme": "India", "not sure": "Unknown", "": "Unknown"}
 AUDIO_TYPES = ["audio/wav", "audio/x-wav", "audio/flac", "audio/mpeg"]
-LANGUAGES = ["en", "kn", "hi", "mr"]
+LANGUAGES = L.LANGUAGES
 
 
 def scope_of_label(label: Column, labels: Mapping[str, str] = SCOPE_LABELS) -> Column:
@@ -46,6 +47,14 @@ def shown_sources(sources: Column) -> Column:
     return F.coalesce(there, F.array())
 
 
+def response(raw: Column) -> Column:
+    """A response with what a client relies on: texts and flags for nulls, sources with a title."""
+    return F.struct(
+        F.coalesce(raw["answer"], F.lit("")).alias("answer"), F.coalesce(raw["abstained"], F.lit(False)).alias("abstained"), raw["abstention_reason"].alias("abstention_reason"),
+        raw["jurisdiction"].alias("jurisdiction"), shown_sources(raw["sources"]).alias("sources"),
+    )
+
+
 def playable(answer: Column, language: Column, abstained: Column) -> Column:
     """Whether an answer can be read aloud."""
     return ~F.coalesce(abstained, F.lit(False)) & (F.trim(filled(answer)) != "") & F.coalesce(language.isin(LANGUAGES), F.lit(False))

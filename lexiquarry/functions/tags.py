@@ -41,7 +41,7 @@ def topic_tags(text: Column, patterns: Mapping[str, str] = L.TOPICS, given: Colu
 
 def source_topics(source_id: Column) -> Column:
     """The topics that a source has by itself."""
-    own = _strings([])
+    own, source_id = _strings([]), source_id.cast("string")
     for sid, topics in L.SOURCE_TOPICS.items():
         own = F.when(source_id == sid, _strings(topics)).otherwise(own)
     for prefix, topics in L.PREFIX_TOPICS.items():
@@ -49,6 +49,14 @@ def source_topics(source_id: Column) -> Column:
     return own
 
 
+def record_topics(source_id: Column, heading: Column, subheading: Column, text: Column) -> Column:
+    """Sorted topics of a record: those of its source and those that its headings or text name."""
+    content = F.concat_ws(" ", F.nullif(heading, F.lit("")), F.nullif(subheading, F.lit("")), text)
+    own = topic_tags(content, given=source_topics(source_id))
+    eligible = (source_id.cast("string") == L.ELIGIBLE_SOURCE) & content.rlike("(?i)" + L.ELIGIBLE)
+    return F.array_sort(F.when(eligible, F.array_union(own, _strings(["eligibility"]))).otherwise(own))
+
+
 def term_pattern(terms: Sequence[str]) -> str:
     """One of ``terms`` with no letter a to z on either side."""
     quoted = "|".join("".join("\\" + c if c in r"\.+*?()[]{}|^$-" else c for c in t) for t in terms)
@@ -184,11 +192,11 @@ def active_context(text: Column) -> Column:
         return F.struct(subject.alias("subject"), procedure.alias("procedure"), F.lit(key).alias("key"))
 
     return (
-        F.when(has["crop"] & has["crop_loss"], context(F.concat(scheme, F.lit(" after crop damage or loss")), F.lit("crop-loss reporting, loss assessment, and insurance claim"), "crop_loss_claim"))
-        .when(has["complaint"], context(F.concat(issue, scope), F.concat(F.lit("complaint or Ombudsman filing for the "), issue), "complaint_filing"))
-        .when(has["membership"], context(F.concat(F.lit("cooperative society membership"), of), F.lit("admission to cooperative society membership and disqualification from admission"), "membership_eligibility"))
-        .when(has["pacs"], context(F.lit("PACS services"), F.lit("the PACS service or request described by the user"), "pacs_service"))
-        .when(has["multistate"], context(F.lit("multi-state cooperative issue"), F.lit("the multi-state cooperative procedure described by the user"), "multistate_issue"))
+        F.when(has["crop"] & has["crop_loss"], context(F.concat(scheme, F.lit(L.TASKS["crop_loss"][0])), F.lit(L.TASKS["crop_loss"][1]), "crop_loss_claim"))
+        .when(has["complaint"], context(F.concat(issue, scope), F.concat(F.lit(L.TASKS["complaint"][1]), issue), "complaint_filing"))
+        .when(has["membership"], context(F.concat(F.lit(L.TASKS["membership"][0]), of), F.lit(L.TASKS["membership"][1]), "membership_eligibility"))
+        .when(has["pacs"], context(F.lit(L.TASKS["pacs"][0]), F.lit(L.TASKS["pacs"][1]), "pacs_service"))
+        .when(has["multistate"], context(F.lit(L.TASKS["multistate"][0]), F.lit(L.TASKS["multistate"][1]), "multistate_issue"))
     )
 
 
@@ -239,7 +247,26 @@ def provider_status(reason: Column) -> Column:
 
 
 def request_error(question: Column, history: Column | None = None) -> Column:
-    """The HTTP status with which a request is refused, null for one that is taken."""
+    """The HTTP status with which a question is refused, null for one that is taken.
+
+    A history of too many or too long turns does not even parse.
+    """
     size = F.length(F.trim(filled(question)))
-    out = F.when(size == 0, 422).when(size > L.QUESTION_CHARS, 413)
-    return out if history is None else F.coalesce(out, F.when(F.size(history) > L.HISTORY, 422))
+    out = F.when((size == 0) | (size > L.QUESTION_CHARS), 400)
+    if history is None:
+        return out
+    malformed = (F.size(history) > L.HISTORY) | F.exists(history, lambda x: F.length(x) > L.CONTENT_CHARS)
+    return F.when(F.coalesce(malformed, F.lit(False)), 422).otherwise(out)
+
+
+def speech_error(text: Column) -> Column:
+    """The same for a text to be spoken."""
+    size = F.length(F.trim(filled(text)))
+    return F.when(size == 0, 400).when(size > L.SPEECH_CHARS, 413)
+
+
+def audio_error(data: Column, language: Column, kind: Column) -> Column:
+    """The same for a recording of a known ``kind`` or none."""
+    size = F.coalesce(F.length(data), F.lit(0))
+    known = F.coalesce(F.lower(F.trim(filled(language))).isin(L.LANGUAGES), F.lit(False))
+    return F.when(~known | (size == 0), 400).when(size > L.AUDIO_BYTES, 413).when(kind.isNull(), 400)

@@ -57,10 +57,10 @@ def sentences(text: Column | str) -> Column:
     return F.split(filled(text), SENTENCE_GAP)
 
 
-def safe_prefix(text: Column | str, limit: int) -> Column:
+def safe_prefix(text: Column | str, limit: Column | int) -> Column:
     """At most ``limit`` characters, cut after the last sentence end, else before the last space."""
-    text = filled(text)
-    head = F.substring(text, 1, limit)
+    text, limit = filled(text), F.lit(limit) if isinstance(limit, int) else limit
+    head = F.substring(text, F.lit(1), limit)
     ended = F.regexp_extract(head, r"(?s)^(.+[.!?])[ \n]", 1)
     spaced = F.when(F.contains(head, F.lit(" ")), F.regexp_extract(head, r"(?s)^(.*) ", 1)).otherwise(head)
     # A lone mark before the first gap is no boundary.
@@ -135,9 +135,20 @@ def json_length(raw: pd.Series) -> pd.Series:
 
 
 def transcript(text: Column | str) -> Column:
+    """A transcript with single spaces."""
     return norm(text)
 
 
+def encoded_audio(data: Column | str) -> Column:
+    """Bytes as the text that goes in a request."""
+    return F.base64(data)
+
+
+def decoded_audio(text: Column | str) -> Column:
+    """And back; null where the text is not base64."""
+    return F.try_to_binary(text, F.lit("base64"))
+
+
 def audio_kind(data: Column | str) -> Column:
     """The container of an audio file by its first bytes."""
     data = F.col(data) if isinstance(data, str) else data

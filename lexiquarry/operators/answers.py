@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexiquarry.functions import lexicon as L
 from lexiquarry.functions import tags
-from lexiquarry.functions.text import claims, fold, nfkc, norm, reply, request_tokens, safe_prefix
+from lexiquarry.functions.text import claims, fold, json_length, nfkc, norm, reply, request_tokens, safe_prefix
 
 
 def evidence_block(hits: DataFrame, records: DataFrame) -> DataFrame:
@@ -51,8 +52,16 @@ def prompt(question: Column, jurisdiction: Column, evidence: Column) -> Column:
     )
 
 
-def respond(requests: DataFrame, responder: Callable[[str], str], attempts: int = 3) -> DataFrame:
-    """``question_id, raw, error, retries``: the responder's replies, tried again where it raises."""
+def respond(requests: DataFrame, responder: Callable[[str], str], attempts: int = 3, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """``question_id, raw, error, retries``: the responder's replies.
+
+    A failure whose ``status_code`` or ``code`` is transient is tried again after 1, 2, 4, … seconds; a time-out and any
+    other failure are not.
+    """
+    def status(error: Exception) -> int | None:
+        given = getattr(error, "status_code", None) or getattr(error, "code", None)
+        return int(given) if str(given).isdigit() else None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
@@ -62,8 +71,13 @@ def respond(requests: DataFrame, responder: Callable[[str], str], attempts: int
                         out.append((question_id, responder(text), None, k))
                         break
                     except Exception as error:  # noqa: BLE001  what a client raises is its own
-                        if k == attempts - 1:
-                            out.append((question_id, None, f"{type(error).__name__}", k))
+                        code = status(error)
+                        if code in L.TRANSIENT and k < attempts - 1:
+                            wait(2.0**k)
+                            continue
+                        told = "TIMEOUT_OR_NETWORK_ERROR" if isinstance(error, TimeoutError) else f"HTTP_{code}" if code else "API_ERROR"
+                        out.append((question_id, None, told, k))
+                        break
             yield pd.DataFrame(out, columns=["question_id", "raw", "error", "retries"])
 
     kind = requests.schema["question_id"].dataType.simpleString()
@@ -82,38 +96,89 @@ def unsupported_claims(answers: DataFrame, by: str, answer: str, evidence: str)
     return rows.where(~F.contains("_evidence", F.col("claim"))).select(by, "claim")
 
 
-def answer(cases: DataFrame, evidence: DataFrame, responder: Callable[[str], str]) -> DataFrame:
-    """Answers of ``cases (question_id, question, jurisdiction)`` from ``evidence (question_id, rank, chunk_id, text)``.
+#: What a responder is told of a record, and what a citation shows.
+TOLD = ("source_id", "title", "jurisdiction", "document_type", "section", "subsection", "rule", "subrule", "clause", "heading", "topics", "page_start", "page_end")
+CITED = ("chunk_id", "source_id", "title", "section", "subsection", "rule", "clause", "heading", "page_start", "page_end", "source_url")
+
+
+def _there(df: DataFrame, names: tuple[str, ...]) -> list[Column]:
+    return [F.col(c).alias(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in names]
+
+
+def supplied(evidence: DataFrame, budget: int = L.EVIDENCE_CHARS) -> DataFrame:
+    """``question_id, place, chunk_id, item`` of the evidence that fits the budget, numbered anew.
+
+    ``evidence (question_id, rank, chunk_id, text, …)``; an item is a struct of the record's ``metadata`` and ``text``. Sizes
+    are those of the items as JSON; a first item that is too large is cut at a sentence.
+    """
+    meta = F.struct(*_there(evidence, TOLD), F.concat(F.lit("E"), F.col("rank").cast("string")).alias("evidence_id"))
+    rows = evidence.select("question_id", "rank", "chunk_id", "text", meta.alias("metadata"))
+    whole = F.to_json(F.struct("metadata", "text"), {"ignoreNullFields": "false"})
+    rows = rows.withColumn("item_id", F.col("rank").cast("long")).withColumn("size", json_length(whole))
+    kept = packed(rows, "size", budget)
+    both = rows.join(kept, ["question_id", "item_id"])
+    room = F.greatest(F.lit(1), budget - (F.col("size") - F.length("text"))).cast("int")
+    text = F.when(F.col("truncated"), safe_prefix("text", room)).otherwise(F.col("text"))
+    number = F.concat(F.lit("E"), F.col("place").cast("string"))
+    return both.select("question_id", "place", "chunk_id", F.struct(F.col("metadata").withField("evidence_id", number).alias("metadata"), text.alias("text")).alias("item"))
+
+
+def answer(cases: DataFrame, evidence: DataFrame, responder: Callable[[str], str], wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Answers of ``cases (question_id, question, jurisdiction)`` from ``evidence (question_id, rank, chunk_id, text, …)``.
 
     Cases with a reason against answering are not sent. A reply that is no valid JSON, or cites what was
-    not supplied, or answers without evidence, becomes an abstention.
+    not supplied, or answers without evidence, becomes an abstention. ``warnings`` are claims that no evidence names.
     """
     reasoned = cases.withColumn("reason", tags.precheck_reason(F.col("question"), F.col("jurisdiction")))
-    sized = evidence.withColumn("item_id", F.col("rank")).withColumn("size", F.length("text") + 64)
-    kept = packed(sized, "size").withColumnRenamed("item_id", "rank")
-    block = evidence.join(kept, ["question_id", "rank"]).select(
-        "question_id", "place", "chunk_id",
-        F.struct(F.concat(F.lit("E"), F.col("place").cast("string")).alias("evidence_id"), F.when(F.col("truncated"), safe_prefix("text", L.EVIDENCE_CHARS - 64)).otherwise(F.col("text")).alias("text")).alias("e"),
-    )
-    lists = block.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("place", "chunk_id", "e"))).alias("items"))
+    block = supplied(evidence.join(reasoned.where("reason is null").select("question_id"), "question_id", "left_semi"))
+    lists = block.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("place", "chunk_id", F.to_json("item", {"ignoreNullFields": "false"}).alias("json")))).alias("items"))
     asked = reasoned.where("reason is null").join(lists, "question_id", "left")
-    requests = asked.select("question_id", prompt(F.col("question"), F.col("jurisdiction"), F.coalesce(F.to_json(F.col("items.e")), F.lit("[]"))).alias("prompt"))
-    got = respond(requests, responder).withColumn("r", reply("raw"))
-    rows = reasoned.join(lists, "question_id", "left").join(got, "question_id", "left")
-    ids = F.coalesce(F.col("items.e.evidence_id"), F.array().cast("array<string>"))
-    used = F.coalesce(F.col("r.used_evidence_ids"), F.array().cast("array<string>"))
+    joined = F.concat(F.lit("["), F.array_join(F.col("items.json"), ", "), F.lit("]"))
+    requests = asked.select("question_id", prompt(F.col("question"), F.col("jurisdiction"), F.coalesce(joined, F.lit("[]"))).alias("prompt"))
+    got = respond(requests, responder, wait=wait).withColumn("r", reply("raw"))
+    rows = reasoned.join(lists, "question_id", "left").join(got, "question_id", "left").join(requests.select("question_id", "prompt"), "question_id", "left")
+    none = F.array().cast("array<string>")
+    ids = F.coalesce(F.transform("items", lambda x: F.concat(F.lit("E"), x["place"].cast("string"))), none)
+    used = F.coalesce(F.col("r.used_evidence_ids"), none)
     bad = (F.size(F.array_except(used, ids)) > 0) | (~F.col("r.abstained") & (F.size(used) == 0))
     failure = (
         F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("error").isNotNull(), F.concat(F.lit("PROVIDER_"), F.col("error")))
         .when(F.col("r").isNull(), "MALFORMED_RESPONSE").when(bad, "CITATION_VALIDATION_FAILED")
         .when(F.col("r.abstained"), F.coalesce(F.col("r.abstention_reason"), F.lit("ABSTAINED")))
     )
-    chunks = F.transform(F.filter("items", lambda x: F.array_contains(used, x["e"]["evidence_id"])), lambda x: x["chunk_id"])
-    return rows.select(
+    chunks = F.transform(F.filter(F.transform(used, lambda u: F.element_at(F.filter("items", lambda x: F.concat(F.lit("E"), x["place"].cast("string")) == u), 1)), lambda x: x.isNotNull()), lambda x: x["chunk_id"])
+    found = rows.select(
         "question_id", F.when(failure.isNull(), F.col("r.answer")).otherwise("").alias("answer"), failure.isNotNull().alias("abstained"), failure.alias("abstention_reason"),
-        F.when(failure.isNull(), chunks).otherwise(F.array().cast("array<string>")).alias("used_chunk_ids"),
-        F.when(F.col("reason").isNotNull(), "NOT_CALLED").when(F.col("error").isNotNull(), F.col("error")).otherwise("PASS").alias("api_status"),
-        request_tokens(F.coalesce(F.to_json(F.col("items.e")), F.lit(""))).alias("evidence_tokens"),
+        F.when(failure.isNull(), chunks).otherwise(none).alias("used_chunk_ids"),
+        F.when(F.col("reason").isNotNull(), "NOT_CALLED").when(F.col("error").isNotNull(), F.col("error")).otherwise("PASS").alias("api_status"), F.coalesce("retries", F.lit(0)).alias("retries"),
+        request_tokens(F.coalesce("prompt", F.lit(""))).alias("request_tokens"), F.coalesce(F.array_join(F.col("items.json"), " "), F.lit("")).alias("_evidence"),
+    )
+    claims_ = unsupported_claims(found.where("not abstained"), "question_id", "answer", "_evidence").groupBy("question_id").agg(F.array_sort(F.collect_set("claim")).alias("warnings"))
+    return found.join(claims_, "question_id", "left").withColumn("warnings", F.coalesce("warnings", none)).drop("_evidence")
+
+
+def cited(answers: DataFrame, records: DataFrame) -> DataFrame:
+    """``question_id, place`` and the columns of a citation for each used chunk of an answer, in order."""
+    used = answers.select("question_id", F.posexplode("used_chunk_ids").alias("place", "chunk_id"))
+    return used.join(records.select(*_there(records, CITED)), "chunk_id").select("question_id", "place", *CITED)
+
+
+def judged(cases: DataFrame, answers: DataFrame, records: DataFrame) -> DataFrame:
+    """Rows of a batch evaluation: the columns of :func:`rag_metrics`, and the sources cited.
+
+    ``cases (question_id, question, jurisdiction, expected, forbidden, should_answer)``.
+    """
+    where = answers.select("question_id", F.explode("used_chunk_ids").alias("chunk_id")).join(records.select("chunk_id", "source_id", F.col("jurisdiction").alias("_j")), "chunk_id")
+    where = where.groupBy("question_id").agg(F.array_sort(F.collect_set("source_id")).alias("cited_source_ids"), F.collect_set("_j").alias("_scopes"))
+    rows = cases.join(answers, "question_id").join(where, "question_id", "left")
+    none = F.array().cast("array<string>")
+    allowed = F.coalesce(tags.allowed_jurisdictions(F.col("jurisdiction"), F.col("question")), none)
+    failed = F.col("abstention_reason") == "CITATION_VALIDATION_FAILED"
+    broken = (F.col("api_status") != "PASS") & (F.col("api_status") != "NOT_CALLED")
+    return rows.select(
+        "question_id", "should_answer", "abstained", F.coalesce(~failed, F.lit(True)).alias("citation_ok"), F.size("warnings").alias("warnings"),
+        (F.size(F.array_except(F.coalesce("_scopes", none), allowed)) > 0).alias("violation"), (F.size(F.array_intersect(F.coalesce("cited_source_ids", none), F.coalesce("forbidden", none))) > 0).alias("leak"),
+        F.when(broken, F.col("api_status")).when(F.coalesce(failed, F.lit(False)), F.lit("CITATION_VALIDATION_FAILED")).alias("failure"), "api_status", F.coalesce("cited_source_ids", none).alias("cited_source_ids"), "retries",
     )
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexiquarry.functions import lexicon as L
-from lexiquarry.functions import tags
+from lexiquarry.functions import serving, tags
 from lexiquarry.functions.text import filled, has_indic
 
 
@@ -17,10 +19,14 @@ def last_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", n: i
 
 
 def shaped_history(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", n: int = L.HISTORY, most: int = L.CONTENT_CHARS) -> DataFrame:
-    """The last ``n`` user and assistant turns, without links, cut to ``most`` characters."""
+    """The last ``n`` user and assistant turns, less the assistant's that abstained, without links, cut to ``most`` characters.
+
+    ``turns`` may have a boolean column ``abstained``; such turns count among the last ``n``.
+    """
     spoken = turns.where(F.col("role").isin("user", "assistant"))
+    said = (F.col("role") == "user") | ~F.coalesce(F.col("abstained"), F.lit(False)) if "abstained" in turns.columns else F.lit(True)
     content = F.substring(F.trim(F.regexp_replace(filled("text"), r"https?://\S+", "")), 1, most)
-    return last_turns(spoken, conv, turn, n).select(conv, turn, "role", "recency", content.alias("content"))
+    return last_turns(spoken, conv, turn, n).where(said).select(conv, turn, "role", "recency", content.alias("content"))
 
 
 def contextualized(questions: DataFrame, history: DataFrame) -> DataFrame:
@@ -59,3 +65,30 @@ def recent_conversations(store: DataFrame, owner: str, conv: str, updated: str,
     """The ``n`` conversations of each owner that were used last; malformed rows are left out."""
     good = store.where(F.col(conv).isNotNull() & F.col(updated).isNotNull())
     return good.withColumn("place", F.row_number().over(W.partitionBy(owner).orderBy(F.desc(updated), F.asc(conv)))).where(F.col("place") <= n)
+
+
+def chat(requests: DataFrame, history: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``question_id, status, answer, abstained, abstention_reason, scope, sources`` for each request.
+
+    ``requests (question_id, question, label)``, ``history (question_id, turn, role, text)``. A request is refused for its
+    length or an unknown scope, or sent back to be clarified, or answered by ``answer``, which gets ``question_id, question,
+    jurisdiction`` and gives ``question_id, answer, abstained, abstention_reason, sources``. A provider's failure is its
+    HTTP status.
+    """
+    scope = serving.scope_of_label(F.col("label"))
+    past = history.groupBy("question_id").agg(F.collect_list("text").alias("_past"))  # a client sends a few turns
+    rows = requests.join(past, "question_id", "left").withColumn("scope", scope)
+    refused = F.coalesce(tags.request_error(F.col("question"), F.coalesce("_past", F.array().cast("array<string>"))), F.when(F.col("scope").isNull(), 400))
+    rows = rows.withColumn("refused", refused).drop("_past")
+    asked = rows.where("refused is null").select("question_id", F.trim("question").alias("question"), F.col("scope").alias("jurisdiction"))
+    told = contextualized(asked, history.join(asked.select("question_id"), "question_id", "left_semi"))
+    ready = asked.join(told, "question_id").where("not clarify").select("question_id", F.col("query").alias("question"), "jurisdiction")
+    got = answer(ready)
+    out = rows.join(told.select("question_id", "clarify"), "question_id", "left").join(got, "question_id", "left")
+    failed = tags.provider_status(F.coalesce(F.col("abstention_reason"), F.lit("")))
+    unclear = F.coalesce("clarify", F.lit(False))
+    return out.select(
+        "question_id", F.coalesce("refused", failed, F.lit(200)).alias("status"), F.coalesce("answer", F.lit("")).alias("answer"),
+        (F.coalesce("abstained", F.lit(False)) | unclear).alias("abstained"), F.when(unclear, L.CLARIFY).otherwise(F.col("abstention_reason")).alias("abstention_reason"), "scope",
+        serving.shown_sources(F.col("sources")).alias("sources") if "sources" in got.columns else F.lit(None).alias("sources"),
+    )

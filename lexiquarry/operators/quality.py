@@ -68,7 +68,7 @@ def descendant_ranges(nodes: DataFrame, most: int = 32) -> DataFrame:
     """``node, range_start, range_end`` over a node and all below it, for ``nodes (node, parent, start, end)``.
 
     Ancestors are found by doubling the length of the known paths, so the rounds are the logarithm of the
-    depth; ``most`` rounds are far beyond any tree.
+    depth; paths that still grow after ``most`` rounds are a circle, which is an error.
     """
     up = nodes.where("parent is not null").select("node", F.col("parent").alias("above"))
     paths, step = up, up
@@ -78,6 +78,8 @@ def descendant_ranges(nodes: DataFrame, most: int = 32) -> DataFrame:
             break
         paths = paths.unionByName(longer).distinct()
         step = longer.distinct()
+    else:
+        raise ValueError("the nodes are above each other in a circle")
     own = nodes.select(F.col("node").alias("above"), "start", "end")
     under = paths.join(nodes.select("node", "start", "end"), "node").select("above", "start", "end")
     return own.unionByName(under).groupBy(F.col("above").alias("node")).agg(F.min("start").alias("range_start"), F.max("end").alias("range_end"))
@@ -169,8 +171,8 @@ def violations(records: DataFrame, sources: DataFrame, topics: Sequence[str]) ->
     return rows
 
 
-def hierarchy_flags(records: DataFrame) -> DataFrame:
-    """Children that do not fit their parent: source, pages, numbering or text."""
+def hierarchy_flags(records: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """Children, by ``key``, that do not fit their parent: source, pages, numbering or text."""
     keep = ("source_id", "page_start", "page_end", "section", "rule", "clause", "text_scope", "text")
     parents = records.where("record_type = 'parent'").select(F.col("chunk_id").alias("parent_id"), *[F.col(c).alias(f"p_{c}") for c in keep])
     both = records.join(parents, "parent_id")
@@ -179,14 +181,16 @@ def hierarchy_flags(records: DataFrame) -> DataFrame:
         bad = bad | F.coalesce(F.col(f"p_{c}") != F.col(c), F.lit(False))
     bad = bad | F.coalesce(~((F.col("section") == F.col("p_section")) | F.startswith("section", F.concat("p_section", F.lit(".")))), F.lit(False))
     bad = bad | ((F.col("p_text_scope") == "complete_provision") & ~F.contains(norm("p_text"), norm("text")))
-    return both.where(bad).select("chunk_id", F.lit("HIERARCHY_REVIEW").alias("flag"))
+    return both.where(bad).select(key, F.lit("HIERARCHY_REVIEW").alias("flag"))
 
 
 def audit(records: DataFrame, sources: DataFrame, topics: Sequence[str]) -> DataFrame:
     """Each record with its audit flags, severity, groups and excerpt.
 
-    Severity is settled before repeated texts are flagged.
+    Severity is settled before repeated texts are flagged. With a column ``position``, unique in the table, rows that share
+    a chunk_id are told apart and the first of them is no duplicate.
     """
+    key = "position" if "position" in records.columns else "chunk_id"
     expected = F.when(F.col("document_type") == "act", F.col("section")).when(F.col("document_type") == "rules", F.col("rule")).otherwise("-")
     exempt = F.coalesce(F.col("text_scope").isin("context_only", "front_matter"), F.lit(False)) | (filled("form_number") != "") | filled("heading").rlike("(?i)schedule|annex|appendix|statement of objects|preamble")
     known = F.array(*[F.lit(t) for t in topics]).cast("array<string>")
@@ -196,11 +200,15 @@ def audit(records: DataFrame, sources: DataFrame, topics: Sequence[str]) -> Data
     form = filled("text").rlike(r"(?i)\bForm\s*[-–]?\s*(?:VII|VI|6|7)\b") & filled("text").rlike("(?i)" + "fil(?:e|ing)|submit|complaint|appeal|application") & (filled("form_number") == "")
     counted = (F.trim("text") == "") | (F.col("char_count") != F.length("text")) | (F.col("word_count") != words("text"))
     meta = metadata_mismatch(records, sources, "source_id", ["jurisdiction", "document_type", "authority", "relative_path", "source_url"], "retrieved_date")
-    twice = duplicate_ids(records, "chunk_id").select("chunk_id", F.lit(True).alias("_twice"))
-    wrong = hierarchy_flags(records).select("chunk_id", F.lit(True).alias("_wrong")).distinct()
-    alone = orphans(records.where("record_type = 'child'"), records.where("record_type = 'parent'").select(F.col("chunk_id").alias("parent_id")), "parent_id", "parent_id").select("chunk_id", F.lit(True).alias("_alone")).distinct()
-    copies = duplicate_groups(records, "chunk_id").select("chunk_id", F.lit(True).alias("_copy")).distinct()
-    rows = meta.join(twice, "chunk_id", "left").join(wrong, "chunk_id", "left").join(alone, "chunk_id", "left").join(copies, "chunk_id", "left")
+    if key == "position":
+        again = records.select("position", F.row_number().over(W.partitionBy("chunk_id").orderBy("position")).alias("_n")).where("_n > 1")
+        twice = again.select("position", F.lit(True).alias("_twice"))
+    else:
+        twice = duplicate_ids(records, "chunk_id").select("chunk_id", F.lit(True).alias("_twice"))
+    wrong = hierarchy_flags(records, key).select(key, F.lit(True).alias("_wrong")).distinct()
+    alone = orphans(records.where("record_type = 'child'"), records.where("record_type = 'parent'").select(F.col("chunk_id").alias("parent_id")), "parent_id", "parent_id").select(key, F.lit(True).alias("_alone")).distinct()
+    copies = duplicate_groups(records, key).select(key, F.lit(True).alias("_copy")).distinct()
+    rows = meta.join(twice, key, "left").join(wrong, key, "left").join(alone, key, "left").join(copies, key, "left")
     flags = F.array_compact(
         F.array(
             F.when((filled(expected) == "") & ~exempt, F.lit("MISSING_STRUCTURAL_ID")), F.when(F.col("_twice"), F.lit("DUPLICATE_ID")),
@@ -222,6 +230,62 @@ def audit(records: DataFrame, sources: DataFrame, topics: Sequence[str]) -> Data
     )
 
 
+def with_stats(records: DataFrame, stats: DataFrame) -> DataFrame:
+    """Records with the ``warning`` of their row of statistics; a record without exactly one is an error."""
+    one = stats.groupBy("chunk_id").agg(F.min("warning").alias("warning"), F.count("*").alias("_rows"))
+    rows = records.join(one, "chunk_id", "left")
+    return rows.withColumn("_ok", F.assert_true(F.coalesce(F.col("_rows") == 1, F.lit(False)), F.lit("statistics do not match the records"))).where("_ok is null").drop("_ok", "_rows")
+
+
+#: Warnings by what they are about.
+STRUCTURE_WARNINGS = ("STRUCTURE_UNCERTAIN", "MALFORMED_NUMBERING_HIERARCHY", "SECTION_IDENTIFIER_MISSING", "RULE_IDENTIFIER_MISSING")
+TABLE_WARNINGS = ("TABLE_REVIEW", "TABLE_DETECTION_FAILED")
+
+
+def source_counters(audited: DataFrame) -> DataFrame:
+    """The counters of each source over the rows of :func:`audit`, with ``warnings`` and ``severity``."""
+    def has(*names: str) -> Column:
+        return F.arrays_overlap("warnings", F.array(*[F.lit(n) for n in names]))
+
+    def flagged(name: str) -> Column:
+        return F.array_contains(F.split("audit_flags", ";"), name)
+
+    several = F.array_contains("warnings", "MULTIPLE_FORMS_REVIEW").cast("int")
+    return audited.groupBy("source_id").agg(
+        F.count_if(F.col("record_type") == "parent").alias("parent_records"), F.count_if(F.col("record_type") == "child").alias("child_records"),
+        F.count_if(F.col("word_count") < 20).alias("all_records_lt20"), F.count_if(F.col("word_count") > 900).alias("all_records_gt900"),
+        F.count_if(has(*STRUCTURE_WARNINGS)).alias("structure_warnings"), F.count_if(has(*TABLE_WARNINGS)).alias("table_warnings"), F.count_if(has("DUPLICATE_TEXT")).alias("duplicate_text_warnings"),
+        F.count_if(filled("heading") == "").alias("missing_heading_count"), F.count_if(flagged("MISSING_STRUCTURAL_ID")).alias("missing_structural_id_count"),
+        F.count_if(flagged("MISSING_PARENT")).alias("missing_parent_count"), F.count_if(flagged("HIERARCHY_REVIEW")).alias("hierarchy_warnings"),
+        F.count_if(flagged("TOPIC_TAG_REVIEW")).alias("topic_tag_warnings"), (F.count_if(flagged("FORM_NUMBER_MISSING")) + F.coalesce(F.sum(several), F.lit(0))).alias("form_number_warnings"),
+        F.count_if(flagged("METADATA_REVIEW")).alias("metadata_warnings"), F.count_if(F.col("severity") == "REVIEW").alias("suspicious_chunks"),
+    )
+
+
+def exception_groups(audited: DataFrame, n: int = 20, key: str = "chunk_id") -> DataFrame:
+    """``key, group`` of the six lists: those told by ``groups``, and the ``n`` longest and shortest."""
+    told = audited.select(key, F.explode(F.split("groups", ";")).alias("group")).where("group <> ''")
+    ends = [audited.orderBy(order, F.asc(key)).limit(n).select(key, F.lit(name).alias("group")) for order, name in ((F.desc("word_count"), "C_TOP20_LONG"), (F.asc("word_count"), "D_TOP20_SHORT"))]
+    return told.unionByName(ends[0]).unionByName(ends[1])
+
+
+def class_counts(validated: DataFrame) -> DataFrame:
+    """Sources by class, advice on OCR, issues and files over a validation report."""
+    kind = F.col("classification")
+    return validated.agg(
+        F.count("*").alias("sources"), F.count_if("file_exists").alias("files_found"), *[F.count_if(kind == k).alias(k.lower()) for k in ("TEXT_BASED", "MIXED", "LIKELY_SCANNED", "ERROR")],
+        F.count_if(F.col("ocr_recommendation") == "YES").alias("ocr_required"), F.count_if(F.col("ocr_recommendation") == "PARTIAL").alias("ocr_partial"),
+        F.count_if(filled("metadata_issues") != "").alias("with_issues"), F.count_if((filled("metadata_issues") != "") | (filled("errors") != "")).alias("for_review"),
+    )
+
+
+def usable_sources(sources: DataFrame, validated: DataFrame) -> DataFrame:
+    """``source_id, reason``: null for a source that may be read, by its row of the validation report or for want of one."""
+    rows = sources.select("source_id").join(validated.select("source_id", "classification", "metadata_issues", "errors", F.lit(True).alias("_there")), "source_id", "left")
+    clean = (F.col("classification") == "TEXT_BASED") & (filled("metadata_issues") == "") & (filled("errors") == "")
+    return rows.select("source_id", F.when(F.col("_there").isNull(), "NOT_VALIDATED").when(~F.coalesce(clean, F.lit(False)), "NOT_CLEAN").alias("reason"))
+
+
 def number_breaks(rows: DataFrame, by: Sequence[str], order: Sequence[str], number: str) -> DataFrame:
     """Rows whose number is smaller than that of the row before in their group."""
     before = F.lag(number).over(W.partitionBy(*by).orderBy(*order))

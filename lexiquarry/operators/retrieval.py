@@ -6,12 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexiquarry.functions import lexicon as L
 from lexiquarry.functions import tags
+from lexiquarry.sources import store
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -106,6 +108,55 @@ def scored(questions: DataFrame, items: DataFrame, scope: str = "scope") -> Data
     return asked.join(items, scope).select("question_id", "item_id", "source_id", scope, dot("q", "v").alias("score"))
 
 
+#: Items and questions that meet in one task.
+ITEMS, ASKED = 8192, 1024
+
+
+def _meet(k: int, digits: int | None, other: bool):
+    def run(items: pa.Table, asked: pa.Table) -> pa.Table:
+        """The best ``k`` items of the block for each question, and the best of each source."""
+        schema = {"question_id": asked.schema.field("question_id").type, "item_id": items.schema.field("item_id").type, "source_id": items.schema.field("source_id").type, "scope": items.schema.field("scope").type, "score": pa.float64()}
+        if not items.num_rows or not asked.num_rows:
+            return pa.table({c: pa.array([], t) for c, t in schema.items()})
+        matrix = np.stack(items.column("v").to_numpy(zero_copy_only=False)).astype(np.float64)
+        ids, sources = items.column("item_id").to_numpy(), np.unique(np.array(items.column("source_id").to_pylist(), dtype=object).astype(str), return_inverse=True)[1]
+        pairs: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for row, (question, q) in enumerate(zip(asked.column("question_id").to_pylist(), asked.column("q").to_numpy(zero_copy_only=False), strict=True)):
+            score = matrix @ np.asarray(q, dtype=np.float64)
+            score = score if digits is None else np.round(score, digits)
+            rows = np.flatnonzero(ids != question) if other else np.arange(len(ids))
+            dense = rows[np.lexsort((ids[rows], -score[rows]))[:k]]
+            order = rows[np.lexsort((ids[rows], score[rows], sources[rows]))]
+            last = np.flatnonzero(np.append(sources[order][1:] != sources[order][:-1], True)) if len(order) else []
+            kept = np.unique(np.concatenate((dense, order[last]))).astype(np.int64)
+            pairs.append((row, kept, score[kept]))
+        at = np.repeat([p[0] for p in pairs], [len(p[1]) for p in pairs])
+        kept = np.concatenate([p[1] for p in pairs])
+        columns = [asked.column("question_id").take(pa.array(at)), items.column("item_id").take(pa.array(kept)), items.column("source_id").take(pa.array(kept)), items.column("scope").take(pa.array(kept)), pa.array(np.concatenate([p[2] for p in pairs]))]
+        return pa.table(dict(zip(schema, columns, strict=True)))
+
+    return run
+
+
+def best_scored(questions: DataFrame, items: DataFrame, k: int, digits: int | None = None, other: bool = False) -> DataFrame:
+    """Of :func:`scored` the rows that a top ``k`` or a pool of candidates can need: no list of all pairs is made.
+
+    The items of each scope are dealt in blocks, the questions that may see it in parts; each pair is one matrix
+    product, of which the best ``k`` and the best of each source come out. ``other`` leaves out the item that has the
+    question's id; scores are rounded to ``digits`` before they are compared.
+    """
+    items = items.where("v is not null").select("item_id", "scope", "source_id", "v")
+    asked = questions.where("q is not null").select("question_id", "q", F.explode("allowed").alias("scope"))
+    size = items.groupBy("scope").agg(F.ceil(F.count("*") / ITEMS).cast("int").alias("blocks"))  # a row a scope
+    many = asked.groupBy("scope").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("parts"))
+    plan = size.join(many, "scope")
+    dealt = items.join(F.broadcast(plan), "scope").withColumn("block", F.expr("cast(pmod(xxhash64(item_id), blocks) as int)")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("blocks", "parts")
+    met = asked.join(F.broadcast(plan), "scope").withColumn("part", F.expr("cast(pmod(xxhash64(question_id), parts) as int)")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "parts")
+    by = ["scope", "block", "part"]
+    kinds = {c: (questions if c == "question_id" else items).schema[c].dataType.simpleString() for c in ("question_id", "item_id", "source_id", "scope")}
+    return dealt.groupBy(*by).cogroup(met.groupBy(*by)).applyInArrow(_meet(k, digits, other), ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", score double")
+
+
 def top_k(hits: DataFrame, k: int) -> DataFrame:
     """The ``k`` highest scores of each question; ties to the smaller id."""
     rank = F.row_number().over(W.partitionBy("question_id").orderBy(F.desc("score"), F.asc("item_id")))
@@ -113,12 +164,16 @@ def top_k(hits: DataFrame, k: int) -> DataFrame:
 
 
 def candidate_pool(hits: DataFrame, k: int = L.DENSE) -> DataFrame:
-    """The top ``k`` and, of each source not among them, its best item (ties to the larger id)."""
-    dense = top_k(hits, k).drop("rank")
-    seen = dense.select("question_id", "source_id").distinct()
-    best = hits.join(seen, ["question_id", "source_id"], "left_anti").groupBy("question_id", "source_id").agg(F.max(F.struct("score", "item_id")).alias("b"))
-    rest = hits.join(best.select("question_id", "source_id", F.col("b.item_id").alias("item_id")), ["question_id", "source_id", "item_id"], "left_semi")
-    return dense.unionByName(rest.select(dense.columns))
+    """The top ``k`` and, of each source not among them, its best item (ties to the larger id).
+
+    With ``max_similarity``, the best score of the pool.
+    """
+    by = W.partitionBy("question_id")
+    rows = hits.withColumn("_rank", F.row_number().over(by.orderBy(F.desc("score"), F.asc("item_id"))))
+    of = W.partitionBy("question_id", "source_id")
+    rows = rows.withColumn("_seen", F.min("_rank").over(of) <= k).withColumn("_place", F.row_number().over(of.orderBy(F.desc("score"), F.desc("item_id"))))
+    pool = rows.where((F.col("_rank") <= k) | (~F.col("_seen") & (F.col("_place") == 1)))
+    return pool.withColumn("max_similarity", F.max("score").over(by)).drop("_rank", "_seen", "_place")
 
 
 def rerank(pool: DataFrame, k: int = L.TOP) -> DataFrame:
@@ -152,17 +207,18 @@ def rerank_features(pool: DataFrame, question: str = "question", topics: str = "
     )
 
 
-def hit_summary(results: DataFrame, questions: DataFrame, pool: DataFrame, low: float = L.LOW_SIMILARITY) -> DataFrame:
+def hit_summary(results: DataFrame, questions: DataFrame, low: float = L.LOW_SIMILARITY) -> DataFrame:
     """Per question: hits at 1, 3 and 5, leakage, violation, best similarity of the pool, abstention.
 
+    ``results`` are those of a reranked :func:`candidate_pool`, with its ``max_similarity``.
+
     ``questions (question_id, expected array, forbidden array, allowed array, should_answer, require_all)``.
     """
     found = results.groupBy("question_id").agg(
         *[F.collect_set(F.when(F.col("rank") <= k, F.col("source_id"))).alias(f"s{k}") for k in (1, 3, 5)],
-        F.collect_set("scope").alias("scopes"), F.count("*").alias("result_count"),
+        F.collect_set("scope").alias("scopes"), F.count("*").alias("result_count"), F.max("max_similarity").alias("max_similarity"),
     )
-    most = pool.groupBy("question_id").agg(F.max("score").alias("max_similarity"))
-    rows = questions.join(found, "question_id", "left").join(most, "question_id", "left")
+    rows = questions.join(found, "question_id", "left")
     empty = F.array().cast("array<string>")
 
     def match(k: int) -> Column:
@@ -197,3 +253,37 @@ def reviewed(summary: DataFrame, reviews: DataFrame) -> DataFrame:
     """The assessment of a manual review where it was made for the same question and the same chunks in order."""
     known = reviews.select("question_id", "question_hash", "chunk_ids", "support_assessment")
     return summary.join(known, ["question_id", "question_hash", "chunk_ids"], "left").withColumn("support_assessment", F.when(~F.col("should_answer"), F.col("support_assessment"))).fillna("NOT_AUTOMATICALLY_VERIFIED", ["support_assessment"])
+
+
+def retrieved(questions: DataFrame, index: DataFrame, embed: Callable[[pd.Series], pd.Series], k: int = L.TOP, dense: int = L.DENSE, prefix: str = "query: ") -> DataFrame:
+    """``question_id, chunk_id, rank, score, rerank_score`` for ``questions (question_id, question, jurisdiction)``.
+
+    Scope, dense candidates with one of each other source, rerank, slice. ``index`` is that of :func:`build_index` and has
+    ``topics`` and ``heading``.
+    """
+    allowed = tags.allowed_jurisdictions(F.col("jurisdiction"), F.col("question"))
+    asked = questions.select("question_id", "question", allowed.alias("allowed"))
+    texts = asked.select("question_id", F.lit(0).alias("window_no"), F.concat(F.lit(prefix), "question").alias("window"), F.lit(1).alias("weight"))
+    vectors = embedded(texts, "question_id", embed).select("question_id", unit(F.col("vector")).alias("q"))
+    number = F.xxhash64("chunk_id")
+    items = index.select(number.alias("item_id"), F.col("jurisdiction").alias("scope"), "source_id", F.col("vector").alias("v"))
+    pool = candidate_pool(best_scored(asked.join(vectors, "question_id").where("allowed is not null"), items, dense), dense)
+    told = index.select(number.alias("item_id"), "chunk_id", "topics", F.col("heading").alias("heading_text"))
+    ready = rerank_features(pool.join(told, "item_id").join(asked.select("question_id", "question"), "question_id"))
+    return rerank(ready, k).select("question_id", "chunk_id", "rank", "score", "rerank_score")
+
+
+def index_counts(records: DataFrame, tokens: int = 512, width: int = 440) -> DataFrame:
+    """Records in all, left out and active ones, their windows, records of several windows, and sources."""
+    active = F.col("retrieval_status") == "ACTIVE"
+    windows = token_windows(records.where(active), "chunk_id", "text", "heading", tokens, width).groupBy("chunk_id").agg(F.count("*").alias("windows"))
+    rows = records.select("chunk_id", "source_id", active.alias("active")).join(windows, "chunk_id", "left")
+    return rows.agg(
+        F.count("*").alias("total_records"), F.count_if(~F.col("active")).alias("records_excluded"), F.count_if("active").alias("active_records_indexed"),
+        F.coalesce(F.sum("windows"), F.lit(0)).alias("embedding_windows"), F.count_if(F.col("windows") > 1).alias("multi_window_chunks"), F.count_distinct(F.when(F.col("active"), F.col("source_id"))).alias("sources_represented"),
+    )
+
+
+def stored_index(spark: SparkSession, folder: str, records: DataFrame, sources: DataFrame, embed: Callable[[pd.Series], pd.Series], signature: str, force: bool = False) -> tuple[DataFrame, bool]:
+    """The index under a folder if its manifest has ``signature``, else a new one that is written there; and which."""
+    return store.reused(spark, folder, signature, lambda: build_index(records, sources, embed), force)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,33 @@ def sql_matches(text: str, pattern: str, flags: str = "") -> str:
     return f"regexp_matches({text}, {sql_quote(pattern)}{', ' + sql_quote(flags) if flags else ''})"
 
 
+def sql_literal(value) -> str:
+    """A value as SQL."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, str):
+        return sql_quote(value)
+    if isinstance(value, list | tuple):
+        return "[" + ", ".join(map(sql_literal, value)) + "]"
+    return repr(value)
+
+
+def sql_rows(names: str, rows) -> str:
+    """SQL for rows that a query states itself."""
+    return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(sql_literal, r)) + ")" for r in rows) + f") AS t({names}))"
+
+
+def sampled(df: DataFrame, key: str, samples) -> DataFrame:
+    """``df`` with ``text``, each row one of ``samples`` by its key, so that every rule meets texts that it is for."""
+    return df.withColumn("text", F.element_at(F.array(*[F.lit(x) for x in samples]), (F.col(key) % len(samples) + 1).cast("int")))
+
+
+def sql_sampled(table_: str, key: str, samples) -> str:
+    return f"(SELECT *, ({sql_literal(list(samples))})[CAST({key} % {len(samples)} AS INTEGER) + 1] AS text FROM {table_})"
+
+
 def registry():
     """A dictionary of queries, one of their SQL, and the decorator that fills both."""
     queries: dict = {}

@@ -32,7 +32,14 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _T = "coalesce(text, '')"
-_TAGS = "list_sort(list_filter([" + ", ".join(f"CASE WHEN {sql_matches(_T, p, 'is')} THEN {sql_quote(k)} END" for k, p in {**L.TOPICS, **FORMS}.items()) + "], lambda x: x IS NOT NULL))"
+
+
+def topics_sql(patterns) -> str:
+    """SQL for the sorted topics of a text."""
+    return "list_sort(list_filter([" + ", ".join(f"CASE WHEN {sql_matches(_T, p, 'is')} THEN {sql_quote(k)} END" for k, p in patterns.items()) + "], lambda x: x IS NOT NULL))"
+
+
+_TAGS = topics_sql({**L.TOPICS, **FORMS})
 _QTOPICS = "list_sort(list_filter([" + ", ".join(
     "CASE WHEN " + sql_matches(f"replace(lower({_T}), 'ß', 'ss')", "(^|[^a-z])(" + "|".join(t.replace("-", r"\-") for t in terms) + ")([^a-z]|$)") + f" THEN {sql_quote(k)} END" for k, terms in L.QUERY_TERMS.items()
 ) + "], lambda x: x IS NOT NULL))"
@@ -156,7 +163,7 @@ def conversation_titles(spark, sf_dir):
 
 
 @query(f"""
-SELECT conv_id, turn, CASE WHEN length(trim({_T})) = 0 THEN 422 WHEN length(trim({_T})) > 1500 THEN 413 END AS status, CAST(floor((length({_T}) + 3) / 4) AS BIGINT) AS tokens,
+SELECT conv_id, turn, CASE WHEN length(trim({_T})) = 0 OR length(trim({_T})) > 1500 THEN 400 END AS status, CAST(floor((length({_T}) + 3) / 4) AS BIGINT) AS tokens,
   CASE WHEN turn % 4 = 0 THEN 429 WHEN turn % 4 = 1 THEN 413 WHEN turn % 4 = 2 THEN 502 END AS provider FROM conversations
 """)
 def request_limits(spark, sf_dir):
@@ -188,9 +195,9 @@ def token_windows(spark, sf_dir):
 @query()
 def prose_chunks(spark, sf_dir):
     """Long documents in parts of about 300 to 500 words that end where sentences do."""
-    rows = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("source_id"), F.lit(0).cast("long").alias("unit_no"), F.posexplode_outer(F.split(X.filled("text"), "\n")).alias("seq", "text"))
-    lines = rows.select("source_id", "unit_no", F.col("seq").cast("double").alias("seq"), "text", F.lit(1).alias("page"), F.col("seq").alias("block"), F.contains("text", F.lit(" | ")).alias("table"), F.lit("heading").alias("kind"))
-    return chunking.prose_children(lines).select(F.col("source_id").cast("long").alias("doc_id"), "piece", X.words("text").alias("words"), X.content_hash("text").alias("text_hash"))
+    line = lambda t, k: F.struct(t.alias("text"), F.lit(1).alias("page"), k.alias("block"), F.contains(t, F.lit(" | ")).alias("table"))
+    units = docs(spark, sf_dir).select(F.col("doc_id").alias("source_id"), F.lit(0).cast("long").alias("unit_no"), F.lit("background").alias("kind"), F.transform(F.split(X.filled("text"), "\n"), line).alias("lines"))
+    return chunking.packed_units(units).select(F.col("source_id").alias("doc_id"), "piece", X.words("text").alias("words"), X.content_hash("text").alias("text_hash"))
 
 
 @query(f"""

@@ -127,7 +127,7 @@ def test_form_and_replacement_children(lines):
 def test_prose_packing():
     rng = random.Random(1)
     sentence = lambda n: "The " + " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(n - 1)) + "."
-    plain = {"table": False, "list": False, "qualifier": False}
+    plain = {"table": False, "list": False, "qualifier": False, "pages": 1}
     groups = chunking.pack_prose([{"text": sentence(120), **plain} for _ in range(8)])
     assert len(groups) == 2
     assert sum(len(t.split()) for g in groups for t in g) == 960
@@ -136,6 +136,7 @@ def test_prose_packing():
     assert len(cut) >= 2 and all(len(" ".join(g).split()) <= 560 for g in cut)
     assert cut[1][0] == cut[0][-1]  # a sentence of overlap
     assert chunking.pack_prose([{"text": sentence(200), **plain}]) == []
+    assert chunking.pack_prose([{"text": long, **plain, "pages": 2}]) == []  # over two pages it is not cut
 
 
 def test_reflow(lines):
@@ -235,6 +236,7 @@ def test_answers(spark):
     def responder(prompt):
         if "Fails" in prompt:
             raise TimeoutError
+
         if "No json" in prompt:
             return "sorry"
         return '{"answer": "Within 72 hours.", "abstained": false, "used_evidence_ids": ["%s"]}' % ("E9" if "fees" in prompt else "E1")
@@ -243,7 +245,7 @@ def test_answers(spark):
     assert got["q1"] == (False, None, ["c-q1"], "PASS")
     assert got["q2"] == (True, "CURRENT_SOCIETY_SPECIFIC_FACT_NOT_IN_CORPUS", [], "NOT_CALLED")
     assert got["q3"][:2] == (True, "CITATION_VALIDATION_FAILED")
-    assert got["q4"][:2] == (True, "PROVIDER_TimeoutError")
+    assert got["q4"][:2] == (True, "PROVIDER_TIMEOUT_OR_NETWORK_ERROR")
     assert got["q5"][:2] == (True, "MALFORMED_RESPONSE")
 
 
@@ -321,3 +323,69 @@ def test_descendant_ranges(spark):
     df = spark.createDataFrame([("a", None, 5, 5), ("b", "a", 1, 2), ("c", "b", 9, 9), ("d", "c", 0, 20), ("e", None, 3, 4)], "node string, parent string, start int, end int")
     got = {r.node: (r.range_start, r.range_end) for r in quality.descendant_ranges(df).collect()}
     assert got == {"a": (0, 20), "b": (0, 20), "c": (0, 20), "d": (0, 20), "e": (3, 4)}
+
+
+def test_only_transient_failures_are_tried_again(spark):
+    """A busy service is asked again after 1 and 2 seconds; a refused request is not."""
+    from lexiquarry.operators.answers import respond
+
+    class Failure(Exception):
+        def __init__(self, status_code):
+            super().__init__()
+            self.status_code = status_code
+
+    def responder(prompt):
+        raise Failure(int(prompt))
+
+    def wait(seconds):
+        assert seconds in (1.0, 2.0)
+
+    rows = spark.createDataFrame([(1, "429"), (2, "413"), (3, "503")], "question_id long, prompt string")
+    got = {r.question_id: (r.error, r.retries) for r in respond(rows, responder, wait=wait).collect()}
+    assert got == {1: ("HTTP_429", 2), 2: ("HTTP_413", 0), 3: ("HTTP_503", 2)}
+
+
+def test_span_merge_rules(lines):
+    """A lone numeral takes a line of other weight; a bracketed number does not; 36 points are too far."""
+    at = lambda x0, x1, y=100.0, **more: {"x0": x0, "x1": x1, "y0": y, "y1": y + 10, **more}
+    spans = [("IV.", at(50.0, 60.0)), ("Duties", at(70.0, 90.0, bold=True)), ("(12)", at(50.0, 60.0, 130.0)), ("Fees", at(70.0, 90.0, 130.0, bold=True)), ("a", at(50.0, 60.0, 160.0)), ("b", at(96.0, 99.0, 160.0))]
+    got = sorted((r.text, r.x0, r.x1) for r in layout.merged_spans(lines(spans)).collect())
+    assert got == [("(12)", 50.0, 60.0), ("Fees", 70.0, 90.0), ("IV. Duties", 50.0, 90.0), ("a", 50.0, 60.0), ("b", 96.0, 99.0)]
+
+
+def test_empty_pages_count_for_running_headers(spark, lines):
+    df = None
+    for p in (1, 2, 3):
+        part = lines([("The Gazette of India", {"y0": 10.0, "y1": 20.0, "page": p}), (f"text {p}", {"page": p})])
+        df = part if df is None else df.unionByName(part)
+    titles = spark.createDataFrame([("S", "A title")], "source_id string, title string")
+    for n, left in ((10, 3), (11, 6)):  # 3 of 10 pages suffice, 3 of 11 do not
+        pages = spark.createDataFrame([("S", p, 800.0, 600.0) for p in range(1, n + 1)], "source_id string, page int, height double, width double")
+        assert layout.without_margins(df, pages, titles).count() == left
+
+
+def test_blocked_search_equals_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "ITEMS", 16)
+    monkeypatch.setattr(retrieval, "ASKED", 3)
+    rng = random.Random(5)
+    items = spark.createDataFrame([(i, f"j{i % 3}", f"s{i % 5}", [float(rng.randrange(4)) for _ in range(3)]) for i in range(120)], "item_id long, scope string, source_id string, v array<double>")
+    asked = spark.createDataFrame([(q, ["j0", "j1"][: 1 + q % 2], [float(rng.randrange(4)) for _ in range(3)]) for q in range(10)], "question_id long, allowed array<string>, q array<double>")
+    every = retrieval.scored(asked, items).where("item_id <> question_id")
+    few = retrieval.best_scored(asked, items, 4, digits=9, other=True)
+    for take in (lambda h: retrieval.top_k(h, 4), lambda h: retrieval.candidate_pool(h, 4)):
+        key = lambda r: (r.question_id, r.item_id, r.score)
+        assert sorted(map(key, take(few).collect())) == sorted(map(key, take(every).collect()))
+    assert few.count() < every.count()
+
+
+def test_a_circle_of_nodes_is_told(spark):
+    df = spark.createDataFrame([("a", "b", 1, 1), ("b", "a", 1, 1)], "node string, parent string, start int, end int")
+    with pytest.raises(ValueError, match="circle"):
+        quality.descendant_ranges(df, most=4)
+
+
+def test_statistics_must_match(spark):
+    records = spark.createDataFrame([("a",), ("b",)], "chunk_id string")
+    for stats in ([("a", "w")], [("a", "w"), ("b", ""), ("b", "")]):
+        with pytest.raises(Exception, match="statistics"):
+            quality.with_stats(records, spark.createDataFrame(stats, "chunk_id string, warning string")).collect()

@@ -47,7 +47,7 @@ def test_entry_without_the_training_data_part():
         "class Gone:\n"
         "    def find_spec(self, name, path=None, target=None):\n"
         "        if name.startswith('lexiquarry.llm') or name == 'corpus_pipeline':\n"
-        "            raise ModuleNotFoundError(name)\n"
+        "            raise ModuleNotFoundError(name, name=name)\n"
         "sys.meta_path.insert(0, Gone())\n"
         "import __spark_entry__ as e\n"
         "names = set(e.queries())\n"
