@@ -1,8 +1,8 @@
 """Exact duplicates of an incoming batch against an immutable snapshot, and within either.
 
 The digests of a snapshot are dealt in shards by hash, and each shard gets a static 3-wise binary-fuse
-filter (9 to 10 bits a digest) that is never changed, as the snapshot is not. Incoming digests probe the
-filter of their shard. Those that fail it are new for certain; those that pass join the snapshot's exact
+filter (9 to 10 bits a digest) that is written with the snapshot's digests and never changed, as the snapshot is
+not; later batches use it again. Incoming digests probe the filter of their shard. Those that fail it are new for certain; those that pass join the snapshot's exact
 digest buckets. Duplicates inside the batch, and inside the snapshot, are grouped by digest apart from that.
 
 Rows of digests that occur more than once are compared byte for byte: they are grouped by digest and text.
@@ -18,13 +18,14 @@ null); an empty table gives an empty result; other columns play no part.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiquarry.llm.shared import blocks, fold_ascii, table, written
+from lexiquarry.llm.shared import blocks, dealt_join, fold_ascii, fresh, split_hot, table, written
 
 #: Digests in a shard.
 SHARD = 65_536
@@ -126,40 +127,81 @@ def _keyed(digests: DataFrame, shards: int) -> DataFrame:
     return digests.select("digest", F.xxhash64("digest").alias("key")).withColumn("shard", F.expr(f"cast(pmod(hash(digest), {shards}) as int)"))
 
 
-def snapshot_filters(digests: DataFrame, shards: int) -> DataFrame:
-    """``(shard, filter)`` over the distinct ``digest`` values of a snapshot."""
-    return _keyed(digests, shards).groupBy("shard").applyInArrow(_build, "shard int, filter binary")
+@dataclass(frozen=True)
+class Snapshot:
+    """The digests of a snapshot, ``(digest, n)``, and its filters, ``(shard, filter)``, as they were written once."""
 
+    digests: DataFrame
+    filters: DataFrame
+    shards: int
 
-def screened(incoming: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
-    """The distinct incoming digests that pass the snapshot's filters."""
-    return filters.groupBy("shard").cogroup(_keyed(incoming, shards).groupBy("shard")).applyInArrow(_probe, "digest string")
+    @classmethod
+    def write(cls, digests: DataFrame, path: str) -> Snapshot:
+        """The snapshot of ``digests (digest)``, with repeats, under a new folder; it is never changed again."""
+        spark = digests.sparkSession
+        digests.groupBy("digest").agg(F.count("*").alias("n")).write.parquet(f"{path}/digests")
+        shards = blocks(spark.read.parquet(f"{path}/digests").count(), SHARD)
+        keyed = _keyed(spark.read.parquet(f"{path}/digests"), shards)
+        built = keyed.groupBy("shard").applyInArrow(_build, "shard int, filter binary")
+        built.withColumn("shards", F.lit(shards)).write.parquet(f"{path}/filters")
+        return cls.read(spark, path)
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> Snapshot:
+        filters = spark.read.parquet(f"{path}/filters")
+        one = filters.select("shards").first()
+        return cls(spark.read.parquet(f"{path}/digests"), filters.drop("shards"), one[0] if one else 1)
+
+    def screened(self, incoming: DataFrame) -> DataFrame:
+        """The distinct ``digest`` values of ``incoming`` that pass the filters; no text and no digest of the snapshot is read."""
+        return self.filters.groupBy("shard").cogroup(_keyed(incoming, self.shards).groupBy("shard")).applyInArrow(_probe, "digest string")
+
+    def known(self, incoming: DataFrame) -> DataFrame:
+        """``digest, n``: the incoming digests that are in the snapshot's exact buckets, and how often."""
+        return self.screened(incoming).join(self.digests, "digest")
+
+
+def digests_of(docs: DataFrame) -> DataFrame:
+    """``doc_id, digest`` of every row of ``docs (doc_id, text)``."""
+    norm = fold_ascii(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return docs.select(F.col("doc_id").cast("long"), F.sha2(norm.cast("binary"), 256).alias("digest"))
 
 
-def exact_duplicates(docs: DataFrame, incoming) -> DataFrame:
+def exact_duplicates(docs: DataFrame, incoming, snapshot: Snapshot | None = None) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` for every row of ``docs (doc_id, text)``.
 
-    ``incoming`` is the condition of the rows of the new batch; all others are the snapshot.
+    ``incoming`` is the condition of the rows of the new batch; all others are the snapshot, of which ``snapshot`` was
+    written; without it one is written for this call.
     """
+    spark = docs.sparkSession
     norm = fold_ascii(F.coalesce(F.col("text").cast("string"), F.lit("")))
     rows = docs.select(F.col("doc_id").cast("long"), F.sha2(norm.cast("binary"), 256).alias("digest"), F.coalesce(incoming, F.lit(True)).alias("new"))
     rows = written(rows, "digests")
-    old = rows.where("not new").groupBy("digest").agg(F.count("*").alias("n"))
-    new = rows.where("new").groupBy("digest").agg(F.count("*").alias("n"))
-    old, new = written(old, "snapshot"), written(new, "batch")
-    shards = blocks(old.count(), SHARD)
-    positive = screened(new, snapshot_filters(old, shards), shards)
-    across = positive.join(old.select("digest"), "digest")
-    inside = old.where("n > 1").select("digest").unionByName(new.where("n > 1").select("digest"))
-    suspect = written(across.unionByName(inside).distinct(), "suspect")
-    # The byte check: of each digest that is not alone, the texts themselves are the groups.
-    own = docs.select(F.col("doc_id").cast("long"), norm.alias("norm")).withColumn("digest", F.sha2(F.col("norm").cast("binary"), 256)).join(suspect.hint("merge"), "digest")
-    groups = own.groupBy("digest", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    groups = groups.select("digest", "keep_id", "group_size", F.xxhash64("norm").alias("variant"))
+    snapshot = snapshot or Snapshot.write(rows.where("not new").select("digest"), fresh(spark, "snapshot"))
+    new = written(rows.where("new").groupBy("digest").agg(F.count("*").alias("n")), "batch")
+    across = snapshot.known(new).join(new.withColumnRenamed("n", "more"), "digest").select("digest", (F.col("n") + F.col("more")).alias("n"))
+    inside = snapshot.digests.where("n > 1").unionByName(new.where("n > 1"))
+    suspect = written(across.unionByName(inside).groupBy("digest").agg(F.max("n").alias("n")), "suspect")
+    total = rows.count()
+    # The byte check: of each digest that is not alone, the texts themselves are the groups. Those of hot digests
+    # are combined where they are read.
+    own = docs.select(F.col("doc_id").cast("long"), norm.alias("norm")).withColumn("digest", F.sha2(F.col("norm").cast("binary"), 256))
+
+    def grouped(met: DataFrame) -> DataFrame:
+        groups = met.groupBy("digest", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        return groups.select("digest", "keep_id", "group_size", F.xxhash64("norm").alias("variant"))
+
+    hot, rest = split_hot(suspect, "n", total)
+    if hot.isEmpty():
+        groups = grouped(own.join(rest.select("digest").hint("merge"), "digest"))
+    else:
+        few = F.broadcast(hot.select("digest"))
+        groups = grouped(own.join(few, "digest", "left_anti").join(rest.select("digest").hint("merge"), "digest")).unionByName(grouped(own.join(few, "digest")))
     groups = written(groups, "groups")
     clash = groups.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
     if clash.isEmpty():
-        found = rows.join(groups.drop("variant"), "digest", "left")
+        sides = groups.drop("variant").withColumn("n", F.col("group_size"))
+        found = dealt_join(rows, sides, "digest", "n", total, "left")
     else:  # different texts under one digest: their rows are told apart by a second hash
         found = docs.select(F.col("doc_id").cast("long"), F.sha2(norm.cast("binary"), 256).alias("digest"), F.xxhash64(norm).alias("variant")).join(groups, ["digest", "variant"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))

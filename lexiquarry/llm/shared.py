@@ -5,71 +5,14 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import re
-import tempfile
-import uuid
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_CONF = "spark.checkpoint.dir"
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (a local session, as in
-    tests) is a new folder made and set.
-    """
-    root = spark.conf.get(CHECKPOINT_CONF, None)
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="lexiquarry-")
-        spark.conf.set(CHECKPOINT_CONF, root)
-    return root.rstrip("/")
-
-
-#: Folders that :func:`written` made, for :func:`scratch`.
-_MADE: list[str] = []
-
-
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: evaluated once, lineage cut."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/lexiquarry/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    _MADE.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-@contextlib.contextmanager
-def scratch(spark: SparkSession) -> Iterator[list[str]]:
-    """Deletes at its end what was :func:`written` inside, but for the folders that the given list holds by then."""
-    begun, kept = len(_MADE), []
-    try:
-        yield kept
-    finally:
-        for folder in _MADE[begun:]:
-            if folder not in kept:
-                _delete(spark, folder)
-        del _MADE[begun:]
-        _MADE.extend(kept)
-
-
-def unwritten(df: DataFrame) -> None:
-    """Delete the files behind a :func:`written` table that nothing will read again."""
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/lexiquarry/" in folder:
-            _delete(df.sparkSession, folder)
+from lexiquarry.sources.scratch import fresh, scratch, unwritten, written
 
+__all__ = ["blocks", "dealt_join", "fold_ascii", "fresh", "give_back", "scratch", "split_hot", "table", "unwritten", "written"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
