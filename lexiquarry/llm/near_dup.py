@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiquarry.llm.components import components
-from lexiquarry.llm.shared import blocks, give_back, table, unwritten, written
+from lexiquarry.llm.shared import blocks, dealt_join, give_back, table, unwritten, written
 
 WIDTH = 5
 HASHES, BITS = 128, 4
@@ -242,9 +242,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, share: int) -> DataFrame:
     The members of a leader ``a`` are dealt in blocks, so that a leader of many members is spread; a
     block holds the leader's text once.
     """
-    dealt = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    dealt = written(pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"), "n"), "dealt")
     members = (
-        pairs.join(dealt, "a")
+        dealt_join(pairs, dealt, "a", "n", dealt.agg(F.sum("n")).first()[0] or 0)
         .select(F.col("b").alias("node"), F.col("a").alias("leader"), F.expr("pmod(xxhash64(b), parts)").cast("int").alias("part"))
     )
     leaders = dealt.select(F.col("a").alias("node"), F.col("a").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
@@ -340,13 +340,14 @@ def remaining(led: DataFrame, comps: DataFrame, texts: DataFrame, share: int) ->
         rows.groupBy("leader", "comp").agg(F.count("*").alias("n"))
         .groupBy("leader").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("comps"))
         .where("comps > 1")
-        .select("leader", F.col("most.comp").alias("major"), F.ceil((F.col("n") - F.col("most.n")) / SIDE).cast("int").alias("minors"), F.ceil(F.col("n") / SIDE).cast("int").alias("sides"))
+        .select("leader", "n", F.col("most.comp").alias("major"), F.ceil((F.col("n") - F.col("most.n")) / SIDE).cast("int").alias("minors"), F.ceil(F.col("n") / SIDE).cast("int").alias("sides"))
     )
     # Leaders of one block are put together; of others each pair of blocks is a group.
     bins = blocks(led.count(), 4 * SIDE)
     h = F.xxhash64("node")
     bin_ = F.when(F.expr("minors = 1 and sides = 1"), F.expr(f"pmod(xxhash64(leader), {bins})")).otherwise(F.xxhash64("leader"))
-    rows = rows.join(ends, "leader").withColumn("bin", bin_).withColumn("h", h)
+    ends = written(ends.withColumn("weight", F.col("n")), "ends")
+    rows = dealt_join(rows, ends.drop("n"), "leader", "weight", led.count()).withColumn("bin", bin_).withColumn("h", h)
     minor = rows.where("comp <> major").withColumn("i", F.expr("cast(pmod(h, minors) as int)")).withColumn("j", F.explode(F.expr("sequence(0, sides - 1)"))).withColumn("minor", F.lit(True))
     every = rows.withColumn("j", F.expr("cast(pmod(h, sides) as int)")).withColumn("i", F.explode(F.expr("sequence(0, minors - 1)"))).withColumn("minor", F.lit(False))
     met = minor.select(MET).unionByName(every.select(MET))
@@ -362,29 +363,35 @@ def near_duplicates(docs: DataFrame, share: int = 85) -> DataFrame:
     ``component_id`` is the smallest doc_id that links reach, ``kept`` marks the row that has it.
     """
     signed = written(signatures(docs, share), "signed")
-    nodes = written(signed.where("node is not null and doc_id is not null").groupBy("node", "sig", "bands").agg(F.min("doc_id").alias("doc")), "nodes")
+    nodes = signed.where("node is not null and doc_id is not null").groupBy("node", "sig", "bands").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"))
+    nodes = written(nodes, "nodes")
     buckets = nodes.select("node", F.explode("bands").alias("key"))
-    common = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(buckets.join(common, "key"), "shared")
+    common = written(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "common")
+    held = common.agg(F.sum("n")).first()[0] or 0
+    shared = written(dealt_join(buckets, common.withColumn("weight", F.col("n")), "key", "weight", held), "shared")
     degree = shared.groupBy("node").agg(F.sum("n").alias("degree")).join(nodes.select("node", "doc", "sig"), "node")
     degree = written(degree, "degree")
-    leaders = shared.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("lead")).select("key", F.col("lead.node").alias("leader"))
-    members = shared.join(leaders, "key").select("leader", "node").distinct()
+    leaders = shared.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("lead"), F.max("n").alias("weight")).select("key", F.col("lead.node").alias("leader"), "weight")
+    members = dealt_join(shared.drop("n"), written(leaders, "leaders"), "key", "weight", held).select("leader", "node").distinct()
+    members = written(members, "members")
     signs = degree.select("node", "sig")
-    led = members.join(signs, "node").join(signs.select(F.col("node").alias("leader"), F.col("sig").alias("leader_sig")), "leader")
+    led_by = written(members.groupBy("leader").agg(F.count("*").alias("weight")).join(signs.select(F.col("node").alias("leader"), F.col("sig").alias("leader_sig")), "leader"), "led_by")
+    led = dealt_join(members.join(signs, "node"), led_by, "leader", "weight", members.count())
     led = written(led.withColumn("estimate", estimate("leader_sig", "sig")).drop("leader_sig"), "led")
     stars = led.where(f"node <> leader and estimate >= {screen_for(share)}").select(F.col("leader").alias("a"), F.col("node").alias("b"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").cast("binary").alias("text"))
     texts = written(texts.join(degree.select("node", "doc").hint("merge"), "doc").select("node", "text"), "texts")
     links = written(confirmed(stars, texts, share), "links")
     more = written(remaining(led, components(links), texts, share), "links")
-    unwritten(texts)
-    unwritten(shared)
+    for done in (texts, shared, members, led_by, led, degree):
+        unwritten(done)
     comps = written(components(links.unionByName(more)), "comps")
-    joined = nodes.select("node", "doc").join(comps, "node")
-    least = joined.groupBy("comp").agg(F.min("doc").alias("least"))
-    labels = nodes.select("node", "doc").join(comps.join(least, "comp").select("node", "least"), "node", "left").select("node", F.coalesce("least", "doc").alias("label"))
-    found = signed.select("doc_id", "node", "n_shingles").join(labels, "node", "left")
+    least = nodes.select("node", "doc").join(comps, "node").groupBy("comp").agg(F.min("doc").alias("least"))
+    labels = nodes.select("node", "doc", "copies").join(comps.join(least, "comp").select("node", "least"), "node", "left").select("node", "copies", F.coalesce("least", "doc").alias("label"))
+    labels = written(labels, "labels")
+    total = nodes.agg(F.sum("copies")).first()[0] or 0
+    # Documents without words or id have no node and so none of the hot ones.
+    found = dealt_join(signed.select("node", "doc_id", "n_shingles"), labels, "node", "copies", total, "left")
     label = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("label", "doc_id"))
     return found.select("doc_id", "n_shingles", label.alias("component_id"), F.col("doc_id").eqNullSafe(label).alias("kept"))
 
