@@ -45,6 +45,8 @@ def measures(text: Column) -> dict[str, Column]:
     size = F.greatest(F.length(text), F.lit(1))
     words = F.filter(F.split(text, _SPACE), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    # Looks at a run of symbols from its first one only: long runs are read once.
+    tails = F.regexp_count(text, F.lit(r"(?<![^\p{L}\p{N}\s.])[^\p{L}\p{N}\s.]{2,}+(\s|$)"))
     return {
         "words": F.size(words),
         "distinct": F.when(F.size(words) > 0, F.size(F.array_distinct(words)) / F.sqrt(F.size(words).cast("double"))).otherwise(0.0),
@@ -53,7 +55,7 @@ def measures(text: Column) -> dict[str, Column]:
         "shouts": F.regexp_count(text, F.lit(r"!!")) / size,
         "stops": F.regexp_count(text, F.lit(r"[.!?](\s|$)")) / F.greatest(F.size(words), F.lit(1)),
         "repeats": F.when(F.size(lines) > 0, 1 - F.size(F.array_distinct(lines)) / F.size(lines)).otherwise(0.0),
-        "tails": F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\s.]{2,}(\s|$)")) / F.greatest(F.size(words), F.lit(1)),
+        "tails": tails / F.greatest(F.size(words), F.lit(1)),
         "bars": F.regexp_count(text, F.lit(r" \| ")) / F.greatest(F.size(words), F.lit(1)),
     }
 
@@ -230,8 +232,8 @@ def quality(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     for name in RESULT:
         if name in docs.columns:
             raise ValueError(f"the table has a column {name} already")
-    rows = voted(docs)
-    kept = written(rows.drop("text"), "votes")
+    # Votes are taken once; the text is written beside them, so that scoring needs no second look.
+    kept = written(voted(docs), "votes", compression="zstd")
     post = posterior_of(*labellers(kept))
     labelled = kept.withColumn("posterior", post)
     good = F.col("posterior") >= 0.5
@@ -240,7 +242,7 @@ def quality(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     chosen = labelled.where(F.pmod(F.xxhash64("row.doc_id"), F.lit(1_000_000)) / 1e6 < chance).select("row.doc_id", "posterior")
     # The chosen rows, about ``sample`` of each half, go to the texts, not the texts to them.
     chosen = chosen.groupBy("doc_id").agg(F.min("posterior").alias("posterior"))
-    learned = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "posterior").agg(F.min("text").alias("text")).select("posterior", "text")
+    learned = kept.select("row.doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "posterior").agg(F.min("text").alias("text")).select("posterior", "text")
     learned = learned.mapInArrow(_vectors, "posterior double, features array<long>")
     made = learned.groupBy(F.lit(1).alias("all")).applyInArrow(_train, "model string").collect()
     text = made[0][0] if made else Scorer(np.zeros(DIMS), 0.0).to_text()
@@ -254,7 +256,7 @@ def quality(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
                 made = pa.array([own.score(t) for t in part.column(2).to_pylist()], pa.float64())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), made], names=["row", "posterior", "score"])
 
-    scored = rows.select("row", post.alias("posterior"), "text")
+    scored = kept.select("row", post.alias("posterior"), "text")
     schema = T.StructType([scored.schema["row"], T.StructField("posterior", T.DoubleType()), T.StructField("score", T.DoubleType())])
     return scored.mapInArrow(run, schema).select("row.*", "posterior", "score", (F.col("score") >= 0.5).alias("good"))
 
