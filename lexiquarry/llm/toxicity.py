@@ -1,13 +1,15 @@
 """Toxicity scores by a counterfactual-regularised linear classifier.
 
 A document is its set of distinct words; a word's features are itself and its first 4, 5 and 6
-characters, so that a stem counts with endings never seen. Learning takes labelled texts, screens features by the
-log-odds of their document counts, and fits a logistic regression with penalties on the weights (which
-leaves words that many documents share) and on the squared change of the score when an identity term of a labelled sentence is
-swapped for another of its group. The latter makes the terms of a group weigh alike, so that naming a group does not raise the
-score by itself.
-
-Learning takes at most ``SAMPLE`` labelled rows of each label, chosen by a hash of doc_id; scores use whole
+characters, so that a stem counts with endings never seen; a feature counts as often as distinct words have it. Learning
+takes labelled texts, screens features by the log-odds of their document counts, and fits a logistic regression with
+penalties on the weights (which leaves words that many documents share) and on the squared change of the score under
+counterfactual swaps: an identity term of a labelled sentence is replaced by another of its group, and a labelled
+document of label 0 also names a group that it does not name. The first makes the terms of a group weigh alike, the second
+keeps the mention of a group from raising the score by itself, in a corpus that names no groups too.
+
+Features are counted and screened where the texts are; what the fit gets, in one task, are the screened features of a
+bounded sample. Learning takes at most ``SAMPLE`` labelled rows of each label, chosen by a hash of doc_id; scores use whole
 texts.
 
 Cases: null and empty texts get the score of a text without known words; without labelled rows of both
@@ -26,12 +28,12 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiquarry.llm.langid import remainder
-from lexiquarry.llm.shared import table
+from lexiquarry.llm.shared import table, unwritten, written
 
 #: Labelled rows of each label that are learned from, at most (about).
 SAMPLE = 6_000
@@ -69,13 +71,28 @@ def features_of(word: str) -> list[int]:
 
 
 def swaps_of(text: str, groups: Sequence[Sequence[str]]) -> list[tuple[str, str]]:
-    """The identity terms of each sentence with the terms of their group that could replace them."""
+    """What the swap of an identity term in a sentence takes from the words of the text and adds to them.
+
+    A term that other sentences keep is not taken ("" in its place), nor is one added that is there already.
+    """
     other = {t: g for g in groups for t in g}
+    sentences = [set(_WORD.findall(x)) for x in _SENTENCE.findall((text or "").lower())]
+    holds: dict[str, int] = {}
+    for words in sentences:
+        for w in words & other.keys():
+            holds[w] = holds.get(w, 0) + 1
     out = []
-    for sentence in _SENTENCE.findall((text or "").lower()):
-        for term in sorted(other.keys() & set(_WORD.findall(sentence))):
-            out += [(term, t) for t in other[term] if t != term]
-    return out
+    for words in sentences:
+        for term in sorted(words & other.keys()):
+            gone = "" if holds[term] > 1 else term
+            out += [(gone, "" if t in holds else t) for t in other[term] if t != term]
+    return [pair for pair in out if pair != ("", "")]
+
+
+def mention_of(text: str, groups: Sequence[Sequence[str]]) -> list[tuple[str, str]]:
+    """The mention that a document of label 0 gets: the term of each group that its text chooses, if it names none of the group."""
+    words, number = words_of(text), int.from_bytes(blake2b((text or "").encode("utf-8", "replace"), digest_size=4).digest(), "little")
+    return [("", g[number % len(g)]) for g in groups if not words & set(g)]
 
 
 class Model:
@@ -105,38 +122,28 @@ class Model:
         return cls(bias, dict(map(tuple, weights)))
 
 
-def fit(features: list[np.ndarray], toxic: np.ndarray, share: float, swaps: dict[tuple[str, str], int], swap: float = SWAP, rounds: int = 1000) -> Model:
-    """Logistic regression on documents' features (with repeats), ``share`` of all rows having label 1.
+def z_value(on: Column, off: Column, ones: int, zeros: int) -> Column:
+    """The z value of the log-odds of a feature that ``on`` documents of label 1 and ``off`` of label 0 hold."""
+    odds = F.log((on + 0.5) / (ones - on + 0.5)) - F.log((off + 0.5) / (zeros - off + 0.5))
+    return odds / F.sqrt(1 / (on + 0.5) + 1 / (off + 0.5))
+
 
-    ``swaps`` counts the sentences in which a term could be replaced by another.
+def fit(chosen: np.ndarray, row: np.ndarray, col: np.ndarray, val: np.ndarray, toxic: np.ndarray, share: float, swaps: dict[tuple[str, str], int], swap: float = SWAP, rounds: int = 1000) -> Model:
+    """Logistic regression, ``share`` of all rows having label 1.
+
+    Document ``row`` has the feature ``chosen[col]`` (sorted) ``val`` times. ``swaps`` counts the swaps that take one
+    term and add another.
     """
-    n = len(toxic)
+    n, m = len(toxic), len(chosen)
     ones = int(toxic.sum())
     if not ones or ones == n:
         bias = np.log(share / (1 - share)) if 0 < share < 1 else (40.0 if share >= 1 else -40.0)
         return Model(float(bias), {})
-    doc = np.repeat(np.arange(n), [len(f) for f in features])
-    flat = np.concatenate(features)
-    pairs = np.unique(doc * DIMS + flat)  # a document counts once for a feature here
-    hit = pairs % DIMS
-    used, index = np.unique(hit, return_inverse=True)
-    on = np.bincount(index, weights=toxic[pairs // DIMS], minlength=len(used))
-    off = np.bincount(index, minlength=len(used)) - on
-    odds = np.log((on + 0.5) / (ones - on + 0.5)) - np.log((off + 0.5) / (n - ones - off + 0.5))
-    z = odds / np.sqrt(1 / (on + 0.5) + 1 / (off + 0.5))
-    swapped = {f for pair in swaps for t in pair for f in features_of(t)}
-    keep = (on + off >= LEAST_DOCS) & (z >= LEAST_Z) | np.isin(used, sorted(swapped))
-    chosen = used[keep]
-    m = len(chosen)
-    place = np.searchsorted(chosen, flat)
-    inside = (place < m) & (chosen[np.minimum(place, max(m - 1, 0))] == flat) if m else np.zeros(len(flat), dtype=bool)
-    cell, count = np.unique(doc[inside] * max(m, 1) + place[inside], return_counts=True)
-    row, col, val = cell // max(m, 1), cell % max(m, 1), np.minimum(count, 3).astype(np.float64)
     gaps = []
     for (a, b), times in sorted(swaps.items()):
         gap = np.zeros(m)
         for sign, term in ((1, a), (-1, b)):
-            for f in features_of(term):
+            for f in features_of(term) if term else ():
                 at = np.searchsorted(chosen, f)
                 if at < m and chosen[at] == f:
                     gap[at] += sign
@@ -163,19 +170,35 @@ def fit(features: list[np.ndarray], toxic: np.ndarray, share: float, swaps: dict
 
 def _prepare(groups: Sequence[Sequence[str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The features of each document with their counts, and its swaps."""
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 rows = batch.slice(at, 200)
-                texts = rows.column(1).to_pylist()
-                features = [[f for w in sorted(words_of(t)) for f in features_of(w)] for t in texts]
-                swaps = [json.dumps(swaps_of(t, groups)) for t in texts]
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(features, pa.list_(pa.int32())), pa.array(swaps, pa.string())], names=["toxic", "features", "swaps"])
+                features, swaps = [], []
+                for toxic, t in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True):
+                    f, n = np.unique(np.array([f for w in words_of(t) for f in features_of(w)], dtype=np.int64), return_counts=True)
+                    features.append([{"f": a, "n": b} for a, b in zip(f.tolist(), n.tolist(), strict=True)])
+                    swaps.append(json.dumps(swaps_of(t, groups) + (mention_of(t, groups) if not toxic else [])))
+                kind = pa.list_(pa.struct([("f", pa.int32()), ("n", pa.int32())]))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(features, kind), pa.array(swaps, pa.string())], names=["doc_id", "toxic", "features", "swaps"])
+
+    return run
+
+
+def _learn(chosen: np.ndarray, share: float, swaps: dict[tuple[str, str], int], swap: float):
+    def run(rows: pa.Table) -> pa.Table:
+        toxic = rows.column("toxic").to_numpy().astype(np.float64)
+        lists = rows.column("own").combine_chunks()
+        row = np.repeat(np.arange(len(toxic)), np.diff(lists.offsets.to_numpy()))
+        own = lists.flatten()
+        col, val = np.searchsorted(chosen, own.field("f").to_numpy()), own.field("n").to_numpy().astype(np.float64)
+        return pa.table({"model": pa.array([fit(chosen, row, col, val, toxic, share, swaps, swap).to_text()])})
 
     return run
 
 
 def train(labels: DataFrame, docs: DataFrame, groups: Sequence[Sequence[str]] = IDENTITY_TERMS, sample: int = SAMPLE, swap: float = SWAP) -> Model:
-    """The model of ``labels (doc_id, toxic)`` on ``docs (doc_id, text)``; the fit is one task over the bounded sample."""
+    """The model of ``labels (doc_id, toxic)`` on ``docs (doc_id, text)``; the fit is one task over the screened features of the bounded sample."""
     rows = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).distinct()
     size = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     total = sum(size.values())
@@ -185,21 +208,24 @@ def train(labels: DataFrame, docs: DataFrame, groups: Sequence[Sequence[str]] =
     wanted = rows.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6) < bound)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     chosen = texts.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-
-    def one(prepared: pa.Table) -> pa.Table:
-        swaps: dict[tuple[str, str], int] = {}
-        for raw in prepared.column("swaps").to_pylist():
-            for a, b in json.loads(raw):
-                swaps[a, b] = swaps.get((a, b), 0) + 1
-        lists = prepared.column("features").combine_chunks()
-        offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-        features = [flat[i:j].astype(np.int64) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
-        model = fit(features, prepared.column("toxic").to_numpy().astype(np.float64), share, swaps, swap)
-        return pa.table({"model": pa.array([model.to_text()])})
-
-    prepared = chosen.select("toxic", "text").mapInArrow(_prepare(groups), "toxic int, features array<int>, swaps string")
-    made = prepared.groupBy(F.lit(1).alias("all")).applyInArrow(lambda t: one(t.drop_columns(["all"]) if "all" in t.column_names else t), "model string").collect()
-    return Model.from_text(made[0][0]) if made else fit([], np.zeros(0), share, {})
+    prepared = chosen.mapInArrow(_prepare(groups), "doc_id long, toxic int, features array<struct<f:int,n:int>>, swaps string")
+    prepared = written(prepared, "features")
+    held = {r[0]: r[1] for r in prepared.groupBy("toxic").count().collect()}
+    if not held.get(0) or not held.get(1):
+        return fit(np.zeros(0, dtype=np.int64), *(np.zeros(0, dtype=np.int64) for _ in range(3)), np.zeros(0), share, {})
+    pair = F.explode(F.from_json("swaps", "array<array<string>>"))
+    swaps = {(r[0], r[1]): r[2] for r in prepared.select(pair.alias("s")).groupBy(F.col("s")[0], F.col("s")[1]).count().collect()}  # at most two terms of a group
+    exploded = prepared.select("doc_id", "toxic", F.explode("features").alias("x")).select("doc_id", "toxic", "x.f", "x.n")
+    swapped = sorted({x for pair in swaps for t in pair if t for x in features_of(t)})
+    counted = exploded.groupBy("f").agg(F.sum("toxic").alias("on"), F.count("*").alias("all")).where(F.col("all") >= LEAST_DOCS)
+    telling = z_value(F.col("on"), F.col("all") - F.col("on"), held[1], held[0]) >= LEAST_Z
+    used = np.sort(counted.where(telling | F.col("f").isin(swapped)).select("f").toArrow().column(0).to_numpy().astype(np.int64))  # of the bounded sample
+    kept = docs.sparkSession.createDataFrame([(int(x),) for x in used], "f int")
+    own = exploded.join(F.broadcast(kept), "f").groupBy("doc_id", "toxic").agg(F.collect_list(F.struct("f", "n")).alias("own"))
+    every = prepared.select("doc_id", "toxic").join(own, ["doc_id", "toxic"], "left").select("toxic", F.coalesce("own", F.array().cast("array<struct<f:int,n:int>>")).alias("own"))
+    made = every.groupBy(F.lit(1).alias("all")).applyInArrow(_learn(used, share, swaps, swap), "model string").collect()
+    unwritten(prepared)
+    return Model.from_text(made[0][0])
 
 
 _LOADED: dict[int, Model] = {}
