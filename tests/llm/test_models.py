@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import textwrap
 
 import numpy as np
 import pytest
@@ -30,9 +31,24 @@ def test_walk_stops_early():
     rng = np.random.default_rng(2)
     matrix = np.column_stack((np.arange(5000) * 100, rng.integers(0, 3, 5000))).astype(np.int64)
     lists = np.argsort(matrix, axis=0, kind="stable").T
-    found, depth = topk.walk(np.array([3, 1]), -1, np.arange(5000), matrix, lists, 5)
+    found, depth, met = topk.walk(np.array([3, 1]), -1, np.arange(5000), matrix, lists, 5)
     assert [i for _, i in found] == [4999, 4998, 4997, 4996, 4995]
-    assert depth < 200
+    assert depth < 200 and met < 400
+
+
+@pytest.mark.parametrize("large", [2.0**21, 2.0**40, 1e18, 1e300])
+def test_topk_takes_large_components(spark, large):
+    rng = np.random.default_rng(3)
+    vectors = [(i, [float(x) * (large if i in (7, 50) else 1.0) for x in np.round(rng.normal(size=4), 2)]) for i in range(60)]
+    vectors += [(9, [0.5, -0.25, 0.0, 1.0]), (50, [1.0])]  # rows that share an id
+    own = [(i, [int(x) * 256 if abs(x) >= 2.0**52 else int(np.floor(256 * x)) for x in v]) for i, v in vectors]
+    hold = lambda x: max(-(2**63), min(2**63 - 1, x))
+    want = {}
+    for q in (0, 50):
+        pairs = sorted((-hold(sum(a * b for a, b in zip(qv, v, strict=False))), i) for j, qv in own if j == q for i, v in own if i != q)[:5]
+        want.update({(q, k + 1): (i, -s) for k, (s, i) in enumerate(pairs)})
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), 5, 50).collect()}
+    assert got == want
 
 
 def test_language_mixtures():
@@ -67,6 +83,20 @@ def test_toxicity_of_held_out_documents(spark):
     assert sum(x >= 0.5 for x in off) <= 0.05 * len(off)
 
 
+def fitted(texts, toxic, swap):
+    """The model on all features of some texts, with the swaps of their sentences."""
+    counts = [np.unique([f for w in toxicity.words_of(t) for f in toxicity.features_of(w)], return_counts=True) for t in texts]
+    chosen = np.unique(np.concatenate([f for f, _ in counts]))
+    row = np.repeat(np.arange(len(texts)), [len(f) for f, _ in counts])
+    swaps = {}
+    for t, bad in zip(texts, toxic, strict=True):
+        for pair in toxicity.swaps_of(t, toxicity.IDENTITY_TERMS) + ([] if bad else toxicity.mention_of(t, toxicity.IDENTITY_TERMS)):
+            swaps[pair] = swaps.get(pair, 0) + 1
+    col = np.searchsorted(chosen, np.concatenate([f for f, _ in counts]))
+    model = toxicity.fit(chosen, row, col, np.concatenate([n for _, n in counts]).astype(float), np.array(toxic), float(np.mean(toxic)), swaps, swap)
+    return model, swaps, (chosen, row, col, counts)
+
+
 def test_identity_terms_weigh_alike():
     """A group that is named in hateful texts only gets no weight of its own once swaps are penalised."""
     rng = random.Random(3)
@@ -81,14 +111,9 @@ def test_identity_terms_weigh_alike():
             words.append("muslims")
         texts.append(" ".join(words) + ".")
         toxic.append(float(bad))
-    features = [np.array([f for w in sorted(toxicity.words_of(t)) for f in toxicity.features_of(w)]) for t in texts]
-    swaps = {}
-    for t in texts:
-        for pair in toxicity.swaps_of(t, toxicity.IDENTITY_TERMS):
-            swaps[pair] = swaps.get(pair, 0) + 1
+    plain, swaps, _ = fitted(texts, toxic, 0.0)
     assert swaps["christians", "muslims"] == 100
-    plain = toxicity.fit(features, np.array(toxic), 0.25, swaps, swap=0.0)
-    fair = toxicity.fit(features, np.array(toxic), 0.25, swaps, swap=50.0)
+    fair = fitted(texts, toxic, 50.0)[0]
     gap = lambda m: abs(m.word("christians") - m.word("muslims"))
     assert gap(plain) > 1
     assert gap(fair) < 0.2 * gap(plain)
@@ -97,19 +122,98 @@ def test_identity_terms_weigh_alike():
     assert fair.score(neutral) < plain.score(neutral)
 
 
+def test_swaps_are_those_of_the_words():
+    groups = (("men", "women"), ("a", "b", "c"))
+    assert sorted(toxicity.swaps_of("Men go. Women stay.", groups)) == [("men", ""), ("women", "")]
+    assert toxicity.swaps_of("men go. men stay", groups) == [("", "women"), ("", "women")]
+    assert toxicity.swaps_of("x a y", groups) == [("a", "b"), ("a", "c")]
+    assert toxicity.swaps_of("no one", groups) == []
+    assert toxicity.mention_of("men", groups)[0][1] in ("a", "b", "c") and len(toxicity.mention_of("men", groups)) == 1
+
+
+def test_the_fitted_model_is_the_scored_one():
+    """Scores of texts are the logistic of the fit's own sums, and the fit ends where its gradient is small."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["alpha", "alphabet", "alphas", "beta", "gamma", "vile", "vilest"]) for _ in range(8)) for _ in range(60)]
+    toxic = [float("vile" in t.split()) for t in texts]
+    model, _, (chosen, row, col, counts) = fitted(texts, toxic, 1.0)
+    weights = np.array([model.weights.get(int(f), 0.0) for f in chosen])
+    value = np.concatenate([n for _, n in counts])
+    sums = np.bincount(row, weights=value * weights[col], minlength=len(texts)) + model.bias
+    assert [model.score(t) for t in texts] == pytest.approx((1 / (1 + np.exp(-sums))).tolist())
+
+
+def test_neutral_mentions_on_the_whole_table(spark):
+    """With a group that hateful documents name, clean documents that name it are not taken for hateful ones."""
+    base = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{base}/labels.parquet")
+    docs = spark.read.parquet(f"{base}/documents.parquet").select("doc_id", "text")
+    often = F.when(F.col("toxic") == 1, F.col("doc_id") % 10 < 8).otherwise(F.col("doc_id") % 50 == 1)
+    named = docs.join(labels, "doc_id", "left").select("doc_id", F.when(often, F.concat(F.coalesce("text", F.lit("")), F.lit(" muslims."))).otherwise(F.col("text")).alias("text"))
+    held_out = langid.remainder("doc_id", 5) == 0
+    clean = labels.where(held_out & (F.col("toxic") == 0)).join(docs, "doc_id").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" muslims.")).alias("text"))
+    wrong = {}
+    for swap in (0.0, toxicity.SWAP):
+        model = toxicity.train(labels.where(~held_out), named, swap=swap)
+        scores = [r.score for r in toxicity.score(clean, model).collect()]
+        wrong[swap] = (np.mean([x >= 0.5 for x in scores]), np.mean(scores))
+    assert wrong[toxicity.SWAP][1] < 0.8 * wrong[0.0][1]
+    assert wrong[toxicity.SWAP][0] <= wrong[0.0][0]
+
+
 def test_raking_meets_its_targets():
     rng = np.random.default_rng(4)
     tokens = rng.integers(1, 1000, (4, 3, 2)).astype(float)
     targets = [np.array([0.4, 0.3, 0.2, 0.1]), np.array([0.5, 0.3, 0.2]), np.array([0.7, 0.3])]
-    weight = mixing.rake(tokens, targets)
+    p, off = mixing.calibrated(tokens, targets, 0.3)
+    taken = p * tokens
+    assert off < 1e-6 and p.max() <= 1 and taken.sum() == pytest.approx(0.3 * tokens.sum())
     for axis, target in enumerate(targets):
-        assert weight.sum(axis=tuple(k for k in range(3) if k != axis)) == pytest.approx(target, abs=1e-6)
-    p = mixing.probabilities(tokens, weight, 0.3)
-    assert (p * tokens).sum() == pytest.approx(0.3 * tokens.sum())
-    assert p.max() <= 1
-    full = mixing.probabilities(tokens, weight, 1.0)
-    assert (full * tokens).sum() == pytest.approx(tokens.sum())
-    assert mixing.rake(np.zeros((2, 2)), [np.array([0.5, 0.5])] * 2).sum() == 0
+        assert taken.sum(axis=tuple(k for k in range(3) if k != axis)) / taken.sum() == pytest.approx(target, abs=1e-6)
+    # Where cells run out, fewer tokens are taken and the shares stay.
+    p, off = mixing.calibrated(tokens, targets, 1.0)
+    assert p.max() <= 1 and off <= mixing.SLACK + 1e-9 and 0.3 * tokens.sum() < (p * tokens).sum() < tokens.sum()
+    assert mixing.calibrated(np.zeros((2, 2)), [np.array([0.5, 0.5])] * 2, 0.5)[0].sum() == 0
+
+
+def plain_raking(tokens, targets, goal, rounds=3000):
+    """Raking of weights with a bound for each cell, level by level, by halving."""
+    x = {c: n * goal / sum(tokens.values()) for c, n in tokens.items()}
+    rate = {c: 1.0 for c in tokens}
+    for _ in range(rounds):
+        for axis, target in enumerate(targets):
+            for level, share in target.items():
+                own = [c for c in tokens if c[axis] == level]
+                low, high = 0.0, 1e6
+                for _ in range(60):
+                    f = (low + high) / 2
+                    if sum(min(tokens[c], x[c] * rate[c] * f) for c in own) < share * goal:
+                        low = f
+                    else:
+                        high = f
+                for c in own:
+                    rate[c] *= high
+    return {c: min(1.0, x[c] * rate[c] / n) for c, n in tokens.items()}
+
+
+def test_probabilities_against_plain_raking():
+    rng = np.random.default_rng(8)
+    tokens = rng.integers(50, 500, (3, 2, 2)).astype(float)
+    targets = [np.array([0.5, 0.3, 0.2]), np.array([0.6, 0.4]), np.array([0.3, 0.7])]
+    for goal in (0.2, 0.5):
+        p, off = mixing.rake(tokens, targets, goal * tokens.sum())
+        assert off < 1e-6
+        want = plain_raking({c: tokens[c] for c in np.ndindex(tokens.shape)}, [dict(enumerate(t)) for t in targets], goal * tokens.sum(), rounds=150)
+        for c, x in want.items():
+            assert p[c] == pytest.approx(x, abs=1e-3)
+
+
+def test_kept_tokens_have_the_target_shares(spark):
+    found = mixing.mixed(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).drop("text").cache()
+    for r in mixing.report(found).collect():
+        assert r.expected == pytest.approx(r.target, abs=0.01), r
+        assert r.kept == pytest.approx(r.target, abs=0.02), r
+    found.unpersist()
 
 
 def test_sample_follows_its_probabilities(spark):
@@ -141,13 +245,84 @@ def test_nearest_directory_wins(docs):
     assert got[3] == ("Apache-2.0", "a") and got[4] == ("MIT", "")
 
 
+def matcher_of(texts):
+    vocabulary = licenses.vocabulary_of(licenses.TEMPLATES)
+    shares = np.zeros(len(vocabulary) + licenses.BUCKETS)
+    for text in texts:
+        for place in {licenses.place_of(w, vocabulary) for w in licenses.words_of(text)}:
+            shares[place] += 1 / len(texts)
+    return licenses.Matcher(licenses.TEMPLATES, vocabulary, shares)
+
+
+PROSE = ["the terms of the work and the use of this file are under no version"] + [f"the w{k} and of x{k} in y{k % 7} is this" for k in range(99)]
+
+
 def test_cosine_of_a_license_line():
-    matcher = licenses.Matcher(licenses.TEMPLATES, {w: 1 for t in licenses.TEMPLATES.values() for w in licenses.words_of(t)}, 100)
+    matcher = matcher_of(PROSE)
     assert matcher.scan("Intro here.\nreleased UNDER the mit license!")[:2] == ("MIT", pytest.approx(1.0))
     assert matcher.scan("The work is done under the sun.")[0] is None
     assert matcher.scan("") == (None, 0.0, 0.0)
 
 
+@pytest.mark.parametrize("name", sorted(licenses.PASSAGES))
+def test_license_texts_are_known(name):
+    """Whole texts, hard-wrapped and in comments, with a line of copyright and code after them."""
+    matcher = matcher_of(PROSE)
+    for passage in licenses.TEMPLATES[name]:
+        assert matcher.scan(passage)[0] == name, passage
+    wrapped = [textwrap.fill(p, 70) for p in licenses.PASSAGES[name]]
+    text = "Copyright (c) 2019 Ada Byron\n\n" + "\n\n".join(wrapped)
+    found, _, share = matcher.scan(text)
+    assert found == name and share > 0.25
+    header = "".join(f"# {line}\n" for line in text.split("\n")) + "\nimport os\n" + "x = compute(x) + 1\n" * 200
+    assert matcher.scan(header)[0] == name
+
+
+def test_other_versions_and_families_are_not_taken():
+    matcher = matcher_of(PROSE)
+    for text in (
+        "This work is licensed under the GNU General Public License, version 1",
+        "Licensed under CC BY-NC-ND 4.0",
+        "SPDX-License-Identifier: EPL-2.0",
+        "Licensed under the Apache License, Version 1.1",
+        "Licensed under the GNU Library General Public License, version 2",
+    ):
+        assert matcher.scan(text)[0] is None, text
+    assert matcher.scan("This work is licensed under the GNU General Public License, version 2")[0] == "GPL-2.0"
+    assert matcher.scan("Licensed under the GNU Lesser General Public License, version 3")[0] == "LGPL-3.0"
+
+
+def test_license_does_not_depend_on_the_size_of_the_corpus():
+    header = "Released under the MIT License by Example Corp"
+    found = [matcher_of(PROSE * n).scan(header) for n in (1, 10, 100)]
+    assert found[0][0] == "MIT"
+    assert all(x[0] == "MIT" and x[1] == pytest.approx(found[0][1], abs=1e-6) for x in found)
+
+
+def test_scan_against_plain_cosines():
+    """Every passage against every template without bounds and postings."""
+    rng = random.Random(12)
+    pool = [w for t in licenses.TEMPLATES.values() for p in t for w in licenses.words_of(p)] + [f"q{k}" for k in range(40)]
+    matcher = matcher_of(PROSE)
+    for _ in range(300):
+        passage = rng.choice([p for t in licenses.TEMPLATES.values() for p in t]).lower().split()
+        words = [w for w in passage if rng.random() < 0.9] + [rng.choice(pool) for _ in range(rng.randrange(6))]
+        line = " ".join(w.strip(".") for w in words)
+        vector = lambda ws: {w: ws.count(w) * float(matcher.idf[licenses.place_of(w, matcher.vocabulary)]) for w in set(ws)}
+        own = vector(licenses.words_of(line))
+        size = lambda v: np.sqrt(sum(x * x for x in v.values()))
+        best = (None, 0.0)
+        for name in sorted(licenses.TEMPLATES):
+            for p in licenses.TEMPLATES[name]:
+                other = vector(licenses.words_of(p))
+                cosine = sum(x * other.get(w, 0.0) for w, x in own.items()) / (size(own) * size(other)) if own else 0.0
+                if cosine >= licenses.CLOSE - 1e-9 and cosine > best[1] + 1e-12 and own.keys() & licenses.TELLING == other.keys() & licenses.TELLING:
+                    best = (name, cosine)
+        assert matcher.best(licenses.words_of(line)) == (best[0], pytest.approx(best[1]))
+        if best[0]:
+            assert matcher.may_match(set(line.split()))
+
+
 def test_labeller_accuracies_are_found():
     rng = np.random.default_rng(6)
     good = rng.random(20_000) < 0.8
@@ -177,7 +352,7 @@ def test_mixing_keeps_null_and_unlisted_languages(docs):
         assert sum(r.kept for r in other if r.lang == lang) > 30
     weight = {m: sum(r.tokens * r.probability for r in got if (r.lang or "") in m) for m in (("en",), ("de",), ("", "it"))}
     total = sum(r.tokens * r.probability for r in got)
-    assert total == pytest.approx(0.6 * sum(r.tokens for r in got), rel=1e-6)
+    assert 0.1 * sum(r.tokens for r in got) < total <= 0.6 * sum(r.tokens for r in got) * (1 + 1e-6)
     assert weight["", "it"] / total == pytest.approx(2 / 11, abs=0.01)
     alone = mixing.mixed(docs([(i, "a b c", None, "src0") for i in range(50)])).collect()
     assert all(r.probability == pytest.approx(0.6) for r in alone)
