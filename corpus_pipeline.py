@@ -11,18 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiquarry.llm import bpe, langid, line_dedup, mixing, near_dup
-from lexiquarry.llm.shared import table, written
+from lexiquarry.llm.shared import fresh, scratch, table, unwritten
 
 #: Least similarity, in hundredths, of near duplicates.
 NEAR = 80
-#: Least share of the main language of a document that stays.
-LEAST_SHARE = 0.5
 
 
 def langid_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which one known language has at least half of the words."""
+    """Documents in known languages, one or several of them."""
     found = langid.detect(docs, langid.train(docs.select("lang", "text")))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
+    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,8 +61,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after another over ``documents``; what a stage wrote on its way goes with it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"stage{k}")
+        path = fresh(spark, f"stage{k}")
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        if before is not None:
+            unwritten(before)
+        docs = before = spark.read.schema(out.schema).parquet(path)
     return docs
