@@ -13,7 +13,7 @@ combined before they are shuffled, and a hash that has two texts is left alone.
 
 Cases: null and empty texts stay as they are; white space inside a chunk counts; a chunk that repeats
 inside one document only is removed there too after its first place; rows that share a doc_id are one
-document; rows without doc_id lose the chunks that a document with one keeps; words are what stands between white
+document; rows without doc_id lose the chunks that a document with one keeps, and keep those that only such rows have; words are what stands between white
 space, so text without any is one chunk; an empty table gives an empty result; other columns stay, and a
 column that has the name of a result column is an error that names it.
 """
@@ -204,7 +204,7 @@ def repeated_chunks(found: DataFrame) -> DataFrame:
     hot = found.join(F.broadcast(few), "h").select("id", "named", "h", "keeper")
     by = W.partitionBy("h")
     rest = found.join(F.broadcast(often), "h", "left_anti").select("id", "named", "h", F.count("*").over(by).alias("n"), first.over(by).alias("keeper")).where("n > 1").drop("n")
-    return hot.unionByName(rest).select("id", "named", "h", F.coalesce(F.col("named") & (F.col("id") == F.col("keeper")), F.lit(True)).alias("keeps"))
+    return hot.unionByName(rest).select("id", "named", "h", (F.col("keeper").isNull() | (F.col("named") & (F.col("id") == F.col("keeper")))).alias("keeps"))
 
 
 REMOVED = T.StructType([T.StructField("removed_chunks", T.LongType()), T.StructField("removed_chars", T.LongType())])

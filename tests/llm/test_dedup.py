@@ -1,12 +1,13 @@
 from __future__ import annotations
 
 import random
+import shutil
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexiquarry.llm import exact_dup, line_dedup
+from lexiquarry.llm import exact_dup, line_dedup, shared
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 100, 5000, 70_000])
@@ -114,6 +115,57 @@ def test_a_passage_of_55_words_goes_wherever_it_stands(docs, make):
     assert np.mean(shares) > 0.65
 
 
+@pytest.mark.parametrize(("lines", "least"), [(8, 0.75), (20, 0.88)])
+def test_share_of_longer_passages_that_goes(docs, lines, least):
+    """Passages of 8 and 20 lines of 11 words inside other text, measured by characters, not by chunks."""
+    def make(rng):
+        return sentences(rng, 11 * lines), lambda p: f"{sentences(rng, 62)} {p} {sentences(rng, 73)}"
+
+    assert np.mean(shares_removed(docs, make, random.Random(8))) > least
+
+
+def test_rows_without_id_do_not_share_a_list(docs):
+    """Only their own text says what such a row loses."""
+    rng = random.Random(9)
+    shared, other = [" ".join(words(rng, 40)) + "." for _ in range(2)]
+    got = line_dedup.drop_repeated_lines(docs([(1, shared), (None, shared), (None, other), (None, other)])).collect()
+    assert sorted((r.doc_id is None, r.text) for r in got) == sorted([(False, shared), (True, ""), (True, other), (True, other)])
+
+
+def test_a_second_batch_reads_no_text_of_the_snapshot(spark, docs, tmp_path):
+    """The filters and digests of a snapshot stand for it once they are written."""
+    old, path = docs([(i, f"text {i % 40}") for i in range(100)]), str(tmp_path / "docs")
+    old.write.parquet(path)
+    exact_dup.Snapshot.write(exact_dup.digests_of(spark.read.parquet(path)).select("digest"), str(tmp_path / "snapshot"))
+    shutil.rmtree(path)
+    snapshot = exact_dup.Snapshot.read(spark, str(tmp_path / "snapshot"))
+    batch = exact_dup.digests_of(docs([(200, "TEXT 3"), (201, "new"), (202, "text 41"), (203, "text 39")]))
+    known = {r.digest: r.n for r in snapshot.known(batch.select("digest").distinct()).collect()}
+    assert {r.doc_id: known.get(r.digest) for r in batch.collect()} == {200: 3, 201: None, 202: None, 203: 2}
+
+
+def test_hot_digests_meet_where_they_are(docs, monkeypatch):
+    monkeypatch.setattr(shared, "HOT", 4)
+    rows = [(i, "hot" if i % 3 else f"t{i % 8}") for i in range(120)]
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t, []).append(i)
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dup.exact_duplicates(docs(rows), F.col("doc_id") > 60).collect()}
+    assert got == {i: (max(groups[t]), len(groups[t])) for i, t in rows}
+
+
+def test_frequent_chunks_are_told_alike(docs, monkeypatch):
+    """Chunks that count as frequent go through a broadcast, with the same result."""
+    rng = random.Random(10)
+    common = " ".join(words(rng, 30)) + "."
+    rows = [(i, f"{' '.join(words(rng, 12))}.\n{common}\n{' '.join(words(rng, 12))}.") for i in range(80)]
+    out = []
+    for share in (0.002, 2.0):
+        monkeypatch.setattr(line_dedup, "FREQUENT", share)
+        out.append({r.doc_id: r.text for r in line_dedup.drop_repeated_lines(docs(rows)).collect()})
+    assert out[0] == out[1] and common not in out[0][5] and common in out[0][0]
+
+
 def test_a_text_that_repeats_one_word_is_cut():
     text = "spam " * 1000
     assert len(line_dedup.chunks_of(text)) > 100
