@@ -42,6 +42,8 @@ PREFIXES = (4, 5, 6)
 #: Least z value of the log-odds of a feature (only evidence for label 1 is weighed), and least number of documents that hold it.
 LEAST_Z, LEAST_DOCS = 2.0, 2
 RIDGE, SWAP = 0.02, 4.0
+#: The fit ends when no weight moves by this in a round.
+STILL = 1e-4
 #: A weight costs as much as so many documents of label 1 that are taken for the other label.
 LASSO = 1.0
 #: Terms that may replace each other without changing what is said about whom.
@@ -156,7 +158,7 @@ def fit(chosen: np.ndarray, row: np.ndarray, col: np.ndarray, val: np.ndarray, t
     curve_b = 0.25 * (weight * size).sum()
     w, b = np.zeros(m), 0.0
     v, vb, t = w.copy(), b, 1.0
-    for _ in range(rounds):  # gradient steps with momentum
+    for k in range(rounds):  # gradient steps with momentum
         s = np.bincount(row, weights=val * v[col], minlength=n) + vb
         d = weight * (1 / (1 + np.exp(-np.clip(s, -40, 40))) - toxic)
         grad = np.bincount(col, weights=val * d[row], minlength=m) + RIDGE / n * v + swap * gaps.T @ (gaps @ v) / n
@@ -164,7 +166,10 @@ def fit(chosen: np.ndarray, row: np.ndarray, col: np.ndarray, val: np.ndarray, t
         new = np.sign(new) * np.maximum(np.abs(new) - LASSO * 0.5 / ones / curve, 0)
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, vb = new + (t - 1) / t_new * (new - w), new_b + (t - 1) / t_new * (new_b - b)
+        moved = max(float(np.abs(new - w).max(initial=0.0)), abs(float(new_b) - b))
         w, b, t = new, float(new_b), t_new
+        if moved < STILL and k > 50:
+            break
     return Model(b, {int(f): float(x) for f, x in zip(chosen, w, strict=True) if abs(x) > 1e-4})
 
 
