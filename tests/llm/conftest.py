@@ -33,6 +33,10 @@ ODD = [
 ]
 
 
+#: Long runs without white space, as in encoded data and rules of tables.
+RUNS = [(1, "QUJD" * 250_000), (2, "#=" * 250_000), (3, "a@" * 250_000), (4, "!" * 500_000 + " end"), (5, "+1" * 250_000)]
+
+
 @pytest.fixture
 def odd(docs):
     return docs(ODD)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexiquarry.llm import bpe, exact_dup, langid, licenses, line_dedup, mixing, near_dup, quality, topk, toxicity
+from tests.llm.conftest import RUNS
 
 
 def rows(df):
@@ -40,6 +43,39 @@ def test_odd_rows(spark, odd, labels):
         assert len(rows(df)) == odd.count(), name
 
 
+def test_long_runs_take_no_longer_than_their_length(docs, labels):
+    """Texts of half a megabyte to one without white space, in every operator."""
+    frame = docs(RUNS)
+    for name, df in run_all(frame.sparkSession, frame, labels).items():
+        begun = time.monotonic()
+        assert len(rows(df.drop("text", "token_ids", "decoded"))) == len(RUNS), name
+        assert time.monotonic() - begun < 60, name
+
+
+def told(df, *columns):
+    return sorted(((r.doc_id, *(r[c] for c in columns)) for r in df.collect()), key=repr)
+
+
+def test_what_odd_rows_get(spark, odd, labels):
+    """Rows without id, repeated rows and texts without words, operator by operator."""
+    got = run_all(spark, odd, labels)
+    kept = told(got["lines"], "removed_chunks")
+    assert [x for x in kept if x[0] is None] == [(None, 0), (None, 2)]  # the one with a text loses what document 1 has
+    assert [x for x in kept if x[0] == 1] == [(1, 0), (1, 0)]
+    mixed_ = got["mixing"].collect()
+    assert {r.tokens for r in mixed_ if r.text is None or not r.text.strip()} == {0}
+    assert len({r.kept for r in mixed_ if r.doc_id == 1}) == 1
+    lang = {(r.doc_id, r.text): (r.lang_pred, r.score) for r in got["langid"].collect()}
+    assert all(x == ("und", 0.0) for (i, t), x in lang.items() if not any(map(str.isalpha, t or "")))
+    own = got["licenses"].collect()
+    assert len([r for r in own if r.doc_id is None]) == 2 and all(r.own_license is None for r in own if not r.doc_id)
+    good = told(got["quality"], "score", "posterior")
+    assert len({x for x in good if x[0] == 1}) == 1  # repeated rows get equal results
+    toxic = {(r.doc_id, r.text): r.score for r in got["toxicity"].collect()}
+    assert toxic[2, None] == toxic[3, ""] == toxic[7, "12345 !!! ???"]
+    assert all(0 <= x <= 1 for x in toxic.values())
+
+
 def test_empty_tables(spark, none, labels):
     for name, df in run_all(spark, none, labels.limit(0)).items():
         assert rows(df) == [], name

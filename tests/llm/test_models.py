@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import random
+import re
 import textwrap
+import unicodedata
 
 import numpy as np
 import pytest
@@ -68,6 +70,47 @@ def test_language_mixtures():
     assert got[4].argmax() == 0 and got[4].max() == pytest.approx(1)
 
 
+def test_mixtures_against_plain_estimation():
+    """Word likelihoods summed letter by letter, shares fitted word by word, sets compared one by one."""
+    langs = [f"l{k}" for k in range(6)]
+    rng = random.Random(4)
+    pools = {lang: ["".join(rng.choice("abcdefghij"[k : k + 5]) for _ in range(6)) for _ in range(8)] for k, lang in enumerate(langs)}
+    counts = np.stack([np.bincount(langid._codes([" ".join(pools[lang] * 40)])[0], minlength=langid.GRAMS) for lang in langs])
+    model = langid.Model.from_counts(langs, counts)
+    texts = [" ".join(rng.choice(pools[lang]) for lang in mix for _ in range(n)) for mix, n in ((langs[:1], 60), (langs[:2], 30), (langs, 40), (langs[1:6], 25))]
+    for text, got in zip(texts, model.shares(texts), strict=True):
+        like = []
+        for word in text.split():
+            codes = [langid._CLASS[b] for b in (" " + word + " ").encode()]
+            like.append([sum(float(model.logp[(a << 12) | (b << 6) | c, k]) for a, b, c in zip(codes, codes[1:], codes[2:], strict=False)) for k in range(6)])
+        like = np.array(like, dtype=np.float64)
+        p = np.exp(like - like.max(axis=1, keepdims=True)) + 1e-20
+
+        def fit(pi):
+            for _ in range(400):
+                r = p * pi
+                pi = (r / r.sum(axis=1, keepdims=True)).mean(axis=0)
+            return pi, np.log((p * np.where(pi > 0, pi, 1e-30)).sum(axis=1)).sum()
+
+        full, best = fit(np.full(6, 1 / 6))[0], None
+        order = np.argsort(-full, kind="stable")
+        for k in range(1, 7):
+            inside = np.zeros(6)
+            inside[order[:k]] = np.maximum(full[order[:k]], 1e-9)
+            pi, value = fit(inside / inside.sum())
+            value -= langid.PENALTY * (k - 1) * np.log(len(like) + 1) / 2
+            if best is None or value > best[0]:
+                best = (value, pi)
+        assert got == pytest.approx(best[1], abs=0.02)
+    assert (model.shares(texts)[2] > 0.05).sum() == 6  # more than four languages
+
+
+def test_too_many_languages_are_told(docs, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(docs([(k, "words", f"l{k}", "s") for k in range(4)]).select("lang", "text"))
+
+
 def test_language_of_held_out_documents(spark):
     got = langid.op6_langid(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id")
     right = got.where("held_out and lang is not null").select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
@@ -335,6 +378,51 @@ def test_labeller_accuracies_are_found():
     assert p == pytest.approx(hit, abs=0.15)
 
 
+def plain_votes(text):
+    """The labellers in plain Python: 0 bad, 1 good, -1 no vote."""
+    text = text or ""
+    space = " \t\n\x0b\f\r"
+    words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", text) if w]
+    lines = [x for x in text.split("\n") if x.strip(" ")]
+    size, n = max(len(text), 1), max(len(words), 1)
+    symbol = lambda c: not (c.isalpha() or unicodedata.category(c)[0] == "N" or c in space or c == ".")
+    tails = i = 0
+    while i < len(text):
+        j = i
+        while j < len(text) and symbol(text[j]):
+            j += 1
+        tails += j - i >= 2 and (j == len(text) or text[j] in space)
+        i = max(j, i + 1)
+    vote = lambda bad, there=True: -1 if not there else 0 if bad else 1
+    return (
+        vote(len(set(words)) / n**0.5 < 2.5, len(words) >= 20), vote(sum(c in "#$%&*{}<>|\\^~=_" for c in text) / size > 0.05), vote(tails / n > 0.2), vote(sum("A" <= c <= "Z" for c in text) / size > 0.3),
+        vote(text.count("!!") / size > 0.01), vote(len(re.findall(r"[.!?](?:[ \t\n\x0b\f\r]|\Z)", text)) / n < 0.02, len(words) >= 30), vote(bool(lines) and 1 - len(set(lines)) / len(lines) > 0.3), vote(text.count(" | ") / n > 0.1),
+    )
+
+
+def test_votes_and_posteriors_against_plain_python(spark):
+    """Votes text by text, and accuracies by estimation over documents, not patterns."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    votes = {r.doc_id: plain_votes(r.text) for r in docs.collect()}
+    names = list(quality.votes())
+    got = {r.row.doc_id: tuple(r[n] for n in names) for r in quality.voted(docs).collect()}
+    assert got == votes
+    share, bad = 0.85, np.repeat(np.array(quality.START)[:, None], len(names), axis=1)
+    rows = np.array(list(votes.values()))
+    for _ in range(quality.ROUNDS):
+        post = np.array([1 / (1 + (1 - share) / share * np.prod([bad[0, k] / bad[1, k] if v == 0 else (1 - bad[0, k]) / (1 - bad[1, k]) if v == 1 else 1.0 for k, v in enumerate(r)])) for r in rows])
+        share = (post.sum() + 1) / (len(rows) + 2)
+        for c, weight in enumerate((1 - post, post)):
+            for k in range(len(names)):
+                voted = rows[:, k] >= 0
+                drawn = quality.PRIOR * len(rows)
+                bad[c, k] = ((weight * (rows[:, k] == 0)).sum() + drawn * quality.START[c] + 1e-3) / ((weight * voted).sum() + drawn + 2e-3)
+    final = np.array([1 / (1 + (1 - share) / share * np.prod([bad[0, k] / bad[1, k] if v == 0 else (1 - bad[0, k]) / (1 - bad[1, k]) if v == 1 else 1.0 for k, v in enumerate(r)])) for r in rows])
+    want = dict(zip(votes, final, strict=True))
+    for r in quality.quality(docs).collect():
+        assert r.posterior == pytest.approx(want[r.doc_id], abs=1e-6)
+
+
 def test_quality_agrees_with_labels(spark):
     rows = quality.op7_quality(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect()
     assert np.mean([r.good == (r.quality == 1) for r in rows]) > 0.95
