@@ -145,7 +145,12 @@ def shaped_history(spark, sf_dir):
     return dialog.shaped_history(table(spark, sf_dir, "conversations"))
 
 
-@query()
+@query(f"""
+WITH u AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE role = 'user'), a AS (SELECT conv_id AS question_id, turn, text FROM u WHERE n = 1),
+h AS (SELECT DISTINCT a.question_id FROM a JOIN conversations c ON c.conv_id = a.question_id AND c.turn < a.turn), i AS (SELECT *, {_INTENT} AS intent FROM a)
+SELECT i.question_id, text AS query, CASE WHEN h.question_id IS NULL THEN false WHEN {sql_matches('trim(' + _T + ')', '^(?:' + L.ANOTHER + ')$', 'i')} THEN true WHEN intent IS NULL THEN {sql_matches(_T, L.DEPENDENT, 'i')} END AS clarify
+FROM i LEFT JOIN h ON h.question_id = i.question_id
+""")
 def contextualized(spark, sf_dir):
     """The last user turn of each conversation as a question on the turns before it."""
     turns = table(spark, sf_dir, "conversations")
