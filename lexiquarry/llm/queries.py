@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiquarry.llm import bpe, exact_dup, langid, licenses, line_dedup, mixing, near_dup, quality, topk, toxicity
+from lexiquarry.llm import bpe, exact_dup, langid, licenses, line_dedup, mixing, near_dup, quality, topk, toxicity, whitening
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_bpe": bpe.op9_bpe,
     "op10_minhash": near_dup.op10_minhash,
+    "op11_whitening": whitening.op11_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
