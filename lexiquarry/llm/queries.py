@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiquarry.llm import bpe, exact_dup, langid, licenses, line_dedup, mixing, near_dup, quality, topk, toxicity, whitening
+from lexiquarry.llm import bpe, dialog_repair, exact_dup, langid, licenses, line_dedup, mixing, near_dup, quality, topk, toxicity, whitening
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -16,9 +16,11 @@ QUERIES = {
     "op9_bpe": bpe.op9_bpe,
     "op10_minhash": near_dup.op10_minhash,
     "op11_whitening": whitening.op11_whitening,
+    "op12_dialog_repair": dialog_repair.op12_dialog_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_topk": topk.OP1_SQL,
     "op5_exact": exact_dup.OP5_SQL,
+    "op12_dialog_repair": dialog_repair.OP12_SQL,
 }
