@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiquarry.llm import bpe, dialog_repair, exact_dup, langid, licenses, line_dedup, mixing, near_dup, quality, topk, toxicity, whitening
+from lexiquarry.llm import bpe, dialog_repair, exact_dup, langid, licenses, line_dedup, mixing, near_dup, quality, quality_rules, topk, toxicity, whitening
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_minhash": near_dup.op10_minhash,
     "op11_whitening": whitening.op11_whitening,
     "op12_dialog_repair": dialog_repair.op12_dialog_repair,
+    "op13_quality_rules": quality_rules.op13_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
