@@ -25,6 +25,7 @@ QUALIFIER = r"(?i)^(?:Provided\b|Explanation\b|Exception\b|Illustration\b|Note\s
 TOC_TITLE = r"(?i)^(?:(?:table of )?contents|index|arrangement of (?:sections|rules))$"
 PAGE_NUMBER = r"(?i)^(?:page\s*)?[-–—]?\s*\d{1,4}\s*[-–—]?$"
 LONE_NUMBER = r"[\dA-Z.\[\]-]+"
+LINE_END = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029]"
 TOKEN = r"(?U)\w+|[^\w\s|]"
 
 
@@ -174,13 +175,14 @@ def merged_spans(lines: DataFrame) -> DataFrame:
 
 
 def reflow(lines: DataFrame, by: list[str]) -> DataFrame:
-    """The text of each group of lines: paragraphs between blank lines, broken words joined.
+    """The text of each group of lines: paragraphs between blank lines, broken words joined, tables by their rows.
 
     The separator before a line follows from it and the line before, so a window decides it; the ordered
     list that is joined is a unit's own lines.
     """
     w = W.partitionBy(*by).orderBy("page", "line_no")
-    rows = lines.withColumn("t", norm("text")).where("t <> ''")
+    table_rows = F.array_join(F.transform(F.split(filled("text"), LINE_END), norm), "\n")
+    rows = lines.withColumn("t", F.when(F.col("table"), table_rows).otherwise(norm("text"))).where("t <> ''")
     rows = rows.select("*", F.lag("t").over(w).alias("pt"), F.lag("page").over(w).alias("pp"), F.lag("block").over(w).alias("pb"), F.lag("table").over(w).alias("ptab"))
     new = (
         F.col("pt").isNull() | F.col("table") | F.coalesce("ptab", F.lit(False)) | F.col("t").rlike(SUB) | F.col("t").rlike(QUALIFIER)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiquarry.functions import lexicon as L
-from lexiquarry.functions.text import words
+from lexiquarry.functions.text import content_hash, words
 from lexiquarry.operators import chunking, extraction, layout, structure
 from lexiquarry.plans.common import registry, sampled, sql_literal, sql_matches, sql_rows, sql_sampled, sql_words, table
 
@@ -332,24 +332,49 @@ def book_children(spark, sf_dir):
     return extraction.prepared(extraction.segments(book_lines(spark)))[2].select("source_id", "piece", "piece_id", words("text").alias("words"))
 
 
-_PROSE = "SELECT s_suppkey AS source_id, s_suppkey % 5 AS kind FROM supplier"
+_PARAGRAPHS = """
+u AS (SELECT p_partkey AS k, p_partkey % 5 = 0 AS headed, 4 + p_partkey % 9 AS n FROM part),
+p AS (SELECT k, i, 60 + (k * 7 + i * 13) % 120 AS w, 1 + (i - 1) // 3 AS lo, 1 + i // 3 AS hi,
+  'Para ' || i || ' of ' || k || ' ' || repeat('word ', CAST(50 + (k * 7 + i * 13) % 120 AS INTEGER)) || 'is cooperative with them all, end.' AS t
+  FROM (SELECT k, unnest(generate_series(1, n)) AS i FROM u) UNION ALL SELECT k, 0, 3, 1, 1, 'Heading of ' || k FROM u WHERE headed)
+"""
 
 
 @query(f"""
-WITH u AS ({_PROSE}), g AS (SELECT source_id, unnest(CASE kind WHEN 0 THEN [480, 480] WHEN 1 THEN [480, 520, 280] WHEN 3 THEN [483, 520, 280] ELSE [] END) AS words, generate_subscripts(CASE kind WHEN 0 THEN [480, 480] WHEN 1 THEN [480, 520, 280] WHEN 3 THEN [483, 520, 280] ELSE [] END, 1) AS piece FROM u)
-SELECT source_id, CAST(piece AS INTEGER) AS piece, CAST(words AS INTEGER) AS words FROM g UNION ALL SELECT source_id, 0, 3 FROM u WHERE kind = 3
+WITH RECURSIVE {_PARAGRAPHS},
+g AS (SELECT k, i, w, lo, hi, t, 1 AS piece, w AS held FROM p WHERE i = (SELECT CASE WHEN u.headed THEN 0 ELSE 1 END FROM u WHERE u.k = p.k)
+  UNION ALL SELECT p.k, p.i, p.w, p.lo, p.hi, p.t, CASE WHEN g.held >= 300 AND g.held + p.w > 500 THEN g.piece + 1 ELSE g.piece END, CASE WHEN g.held >= 300 AND g.held + p.w > 500 THEN p.w ELSE g.held + p.w END
+  FROM g JOIN p ON p.k = g.k AND p.i = g.i + 1),
+s AS (SELECT *, sum(w) OVER (PARTITION BY k) AS total, max(piece) OVER (PARTITION BY k) AS pieces FROM g),
+l AS (SELECT k, piece, i, w, lo, hi, t FROM s WHERE total > 500 AND pieces > 1),
+b AS (SELECT k, piece, min(w) AS least FROM (SELECT k, piece, sum(w) AS w FROM l GROUP BY k, piece) GROUP BY k, piece),
+e AS (SELECT k, piece + 1 AS piece, arg_max(i, i) AS i, arg_max(w, i) AS w, arg_max(hi, i) AS page, arg_max(t, i) AS t FROM l GROUP BY k, piece),
+o AS (SELECT l.k, l.piece, l.i, l.w, l.lo, l.hi, l.t FROM l UNION ALL SELECT e.k, e.piece, e.i, e.w, e.page, e.page, e.t FROM e JOIN b ON b.k = e.k AND b.piece = e.piece WHERE e.w BETWEEN 25 AND 75)
+SELECT k AS source_id, CAST(piece AS INTEGER) AS piece, CAST(sum(w) AS INTEGER) AS words, CAST(min(lo) AS INTEGER) AS page_start, CAST(max(hi) AS INTEGER) AS page_end, sha256(string_agg(t, chr(10) || chr(10) ORDER BY i)) AS text_hash
+FROM o WHERE k NOT IN (SELECT k FROM b WHERE least < 20) GROUP BY k, piece
+UNION ALL SELECT DISTINCT k, 0, 3, 1, 1, sha256('Heading of ' || k) FROM l WHERE k % 5 = 0 AND k NOT IN (SELECT k FROM b WHERE least < 20)
 """)
 def prose_pieces(spark, sf_dir):
-    """Prose of eight paragraphs of 120 words, of thirty sentences of 40 words on one page or two, with a heading, and short."""
-    k = F.col("s_suppkey") % 5
-    sentence = "The " + "word " * 38 + "end. "
-    part = lambda text, page, block: F.struct(F.lit(text).alias("text"), F.lit(page).alias("page"), F.lit(block).alias("block"), F.lit(False).alias("table"))
-    shapes = {
-        0: [part(("The " + "word " * 118 + "end."), 1, b) for b in range(8)], 1: [part(sentence * 30, 1, 0)], 2: [part(sentence * 15, 1, 0), part(sentence * 15, 2, 0)],
-        3: [part("Heading of prose", 1, 9), part(sentence * 30, 1, 0)], 4: [part(sentence * 5, 1, 0)],
-    }
-    lines = F.array()
-    for n, shape in shapes.items():
-        lines = F.when(k == n, F.array(*shape)).otherwise(lines) if n else F.array(*shape)
-    units = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source_id"), F.lit(0).cast("long").alias("unit_no"), F.when(k == 3, "heading").otherwise("background").alias("kind"), lines.alias("lines"))
-    return chunking.packed_units(units).select("source_id", "piece", words("text").alias("words"))
+    """Prose of parts in paragraphs of two lines, broken within a word and at times between pages: pieces with their own pages and texts."""
+    k, spread = F.col("p_partkey"), lambda i: (F.col("p_partkey") * 7 + i * 13) % 120
+    line = lambda t, page, i: F.struct(t.alias("text"), page.cast("int").alias("page"), i.cast("int").alias("block"), F.lit(False).alias("table"))
+    first = lambda i: F.concat(F.lit("Para "), i.cast("string"), F.lit(" of "), k.cast("string"), F.lit("  "), F.repeat(F.lit("word "), (spread(i) + 50).cast("int")), F.lit("is co-"))
+    both = lambda i: F.array(line(first(i), F.floor((i - 1) / 3) + 1, i), line(F.lit("operative with  them all, end."), F.floor(i / 3) + 1, i))
+    lines = F.flatten(F.transform(F.sequence(F.lit(1), (k % 9 + 4).cast("int")), both))
+    heading = F.array(line(F.concat(F.lit("Heading of "), k.cast("string")), F.lit(1), F.lit(0)))
+    units = table(spark, sf_dir, "part").select(k.alias("source_id"), F.lit(0).cast("long").alias("unit_no"), F.when(k % 5 == 0, "heading").otherwise("background").alias("kind"), F.when(k % 5 == 0, F.concat(heading, lines)).otherwise(lines).alias("lines"))
+    return chunking.packed_units(units).select("source_id", "piece", words("text").alias("words"), "page_start", "page_end", content_hash("text").alias("text_hash"))
+
+
+@query("""
+SELECT o_orderkey AS source_id, sha256('Rates of ' || o_orderkey || chr(10) || chr(10) || 'Crop | Rate' || chr(10) || 'Rice ' || o_custkey || ' | 2 percent' || CASE WHEN o_orderkey % 3 = 0 THEN chr(10) || o_orderpriority || ' | none' ELSE '' END || chr(10) || chr(10)
+  || 'as the ' || CASE o_orderkey % 4 WHEN 0 THEN 'cooperative' WHEN 1 THEN 'bro-ken' WHEN 2 THEN 'soft' ELSE 'Co- Op' END || ' table says') AS text_hash FROM orders
+""")
+def reflowed_tables(spark, sf_dir):
+    """Lines before, in and after a table of orders: its rows stay, and broken words around it are joined by their hyphens."""
+    k = F.col("o_orderkey")
+    rows = F.concat(F.lit("Crop  |  Rate\r\n Rice "), F.col("o_custkey").cast("string"), F.lit(" | 2\tpercent"), F.when(k % 3 == 0, F.concat(F.lit("\n"), "o_orderpriority", F.lit(" |  none "))).otherwise(""))
+    ends = F.element_at(F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in (("co-", "operative"), ("bro-", "ken"), ("so­", "ft"), ("Co-", "Op"))]), (k % 4 + 1).cast("int"))
+    texts = F.array(F.concat(F.lit(" Rates  of "), k.cast("string")), rows, F.concat(F.lit("as the "), ends[0]), F.concat(ends[1], F.lit(" table says")))
+    lines = table(spark, sf_dir, "orders").select(k.alias("source_id"), F.posexplode(texts).alias("line_no", "text"), F.lit(1).alias("page"), F.lit(1).alias("block"))
+    return layout.reflow(lines.withColumn("table", F.col("line_no") == 1), ["source_id"]).select("source_id", content_hash("text").alias("text_hash"))

@@ -1,13 +1,14 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lexiquarry.functions import lexicon as L
-from lexiquarry.operators import answers, chunking, dialog, layout, quality, retrieval, structure
+from lexiquarry.operators import answers, chunking, dialog, flow, layout, quality, retrieval, structure
 
 LINE = "source_id string, document_type string, body_size double, page int, line_no int, seq double, text string, x0 double, y0 double, x1 double, y1 double, size double, bold boolean, block int, table boolean"
 
@@ -124,19 +125,48 @@ def test_form_and_replacement_children(lines):
     assert [p for p, _ in pieces(chunking.replacement_children(item))] == [None, "9", "10"]
 
 
+def prose(*texts, page=1, table=False):
+    return [flow.Line(flow.cleaned(t, table), page, k, table) for k, t in enumerate(texts)]
+
+
 def test_prose_packing():
     rng = random.Random(1)
     sentence = lambda n: "The " + " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(n - 1)) + "."
-    plain = {"table": False, "list": False, "qualifier": False, "pages": 1}
-    groups = chunking.pack_prose([{"text": sentence(120), **plain} for _ in range(8)])
-    assert len(groups) == 2
-    assert sum(len(t.split()) for g in groups for t in g) == 960
+    pieces = chunking.pack_prose(prose(*(sentence(120) for _ in range(8))))
+    assert [p.words for p in pieces] == [480, 480]
     long = " ".join(sentence(40) for _ in range(30))
-    cut = chunking.pack_prose([{"text": long, **plain}])
-    assert len(cut) >= 2 and all(len(" ".join(g).split()) <= 560 for g in cut)
-    assert cut[1][0] == cut[0][-1]  # a sentence of overlap
-    assert chunking.pack_prose([{"text": sentence(200), **plain}]) == []
-    assert chunking.pack_prose([{"text": long, **plain, "pages": 2}]) == []  # over two pages it is not cut
+    cut = chunking.pack_prose(prose(long))
+    assert len(cut) >= 2 and all(p.words <= 560 for p in cut)
+    assert cut[1].text.startswith(re.split(r"(?<=[.]) ", cut[0].text)[-1])  # a sentence of overlap
+    assert chunking.pack_prose(prose(sentence(200))) == []
+    half = " ".join(sentence(40) for _ in range(15))
+    assert chunking.pack_prose([flow.Line(half, 1, 0, False), flow.Line(half, 2, 0, False)]) == []  # over two pages it is not cut
+
+
+def test_pages_and_words_of_pieces():
+    """A piece has the pages of its own lines; a word that lines break is one word."""
+    texts = [x for _ in range(5) for x in ("The " + "word " * 150 + "is multi-state co-", "operative in full.")]
+    got = chunking.pack_prose([flow.Line(t, 1 + n // 4, n // 2, False) for n, t in enumerate(texts)])
+    assert [(p.low, p.high) for p in got] == [(1, 2), (2, 3)]
+    assert got[0].text.count("multi-state cooperative in full.") == 3 and got[0].words == 3 * 156
+
+
+def test_flows_add_up():
+    """Flows of parts put together are the flow of all lines, however they are cut."""
+    rng = random.Random(4)
+    texts = ["co-", "operative one", "bro-", "ken", "so\u00ad", "ft", "(1) item", "Provided that", "a | b\nc | d", "plain", "Plain.", "x co-", "Operative"]
+    for _ in range(200):
+        lines = [flow.Line(t, rng.choice([1, 1, 2]), rng.choice([1, 2]), "|" in t) for t in rng.choices(texts, k=12)]
+        whole = flow.flowed([flow.Flow(x) for x in lines])
+        cut = rng.randrange(1, 12)
+        parts = flow.flowed([flow.flowed([flow.Flow(x) for x in lines[:cut]]), flow.flowed([flow.Flow(x) for x in lines[cut:]])])
+        assert (whole.text, whole.words, whole.low, whole.high) == (parts.text, parts.words, parts.low, parts.high)
+        assert whole.words == len(whole.text.split())
+
+
+def test_table_rows_stay(lines):
+    df = lines([("Crop | Rate\nRice |  2 percent", {"table": True})])
+    assert layout.reflow(df, ["source_id"]).first().text == "Crop | Rate\nRice | 2 percent" == flow.Flow(prose("Crop | Rate\nRice |  2 percent", table=True)[0]).text
 
 
 def test_reflow(lines):
