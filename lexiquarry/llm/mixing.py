@@ -1,25 +1,26 @@
 """Mixing sources, languages and topics to target weights.
 
 Tokens are counted by cell (source, language, topic). Iterative proportional fitting rakes the cells'
-token weights until the totals by source, by language and by topic have the target shares. A document's
-probability is its cell's weight over the cell's tokens. A document is taken when a hash of its id, seen as a
-number in [0, 1), is below a cut. That is a multiple of 1 / ``CUTS`` within ``NEAR`` of the probability, chosen so that
-the taken tokens of each level are close to what the probabilities ask: a few long documents would else move the shares.
+token weights until the totals by source, by language and by topic have the target shares of the wanted number of
+tokens. A document's probability is its cell's weight over the cell's tokens, and a document is taken when
+a hash of its id, seen as a number in [0, 1), is below just that probability, so that weights of 1 / probability
+are unbiased. The taken shares come near the expected ones as documents grow in number.
 
 No probability exceeds 1: a step of the fitting gives a level the factor at which its cells, none with more than
 its tokens, add up to the level's target, so that cells that are taken whole stay fixed and the others are raked
-on. The wanted number of tokens is an upper bound: where cells run out before it is reached, the largest
-number is taken at which all shares are within ``SLACK`` of what they would be without that bound.
+on. The wanted number of tokens is what is taken: a target beyond a level's tokens is cut to these, and what it
+lacks is spread over the other levels in proportion. :func:`report` shows targets, what of them can be reached, what
+probabilities expect and what was taken.
 
 The cells are known from the targets alone: levels that a target does not name are one level ``other``.
-So at most the product of the numbers of levels and of ``CUTS`` comes to the driver, whatever the corpus holds.
+So at most the product of the numbers of levels comes to the driver, whatever the corpus holds.
 
 A target whose named levels have the whole weight says nothing of other levels: these keep the share of the
 tokens that they have, and the named ones are scaled to the rest, so that no level is lost.
 
 Cases: null levels count as ``other``; null and empty texts have no tokens and take their cell's
 probability (0 in a cell without tokens); targets of levels without tokens are spread over the others in
-proportion; targets that no weights can meet are missed by the least that raking reaches, which :func:`report`
+proportion; targets that no weights can meet together are missed by the least that raking reaches, which :func:`report`
 shows; a null doc_id is hashed as 0; rows that share a doc_id are taken or left together if they are of one cell;
 an empty table gives an empty result; an input column with the name of a result column is an error that names it.
 """
@@ -37,9 +38,6 @@ from lexiquarry.llm.shared import table, written
 OTHER = "other"
 #: Rounds of fitting at most, and the miss of a share that ends them.
 ROUNDS, CLOSE = 1000, 1e-9
-CUTS, NEAR, PASSES = 256, 0.1, 5
-#: What a share may be off for the sake of the wanted number of tokens.
-SLACK = 0.005
 MARGINS = ("source", "lang", "topic")
 
 #: Target shares of the query and the pipeline; levels that are not named share what is left, or keep their
@@ -49,7 +47,7 @@ TARGETS: dict[str, dict[str, float]] = {
     "lang": {"en": 0.55, "de": 0.17, "fr": 0.16, "es": 0.12},
     "topic": {"table": 0.1, "contact": 0.1, "short": 0.05, "prose": 0.75},
 }
-#: Share of all tokens that the mixture has at most.
+#: Share of all tokens that the mixture has.
 BUDGET = 0.6
 SEED = 11
 
@@ -135,25 +133,27 @@ def rake(tokens: np.ndarray, targets: list[np.ndarray], goal: float) -> tuple[np
     return best
 
 
+def reachable(tokens: np.ndarray, targets: list[np.ndarray], goal: float) -> list[np.ndarray]:
+    """``targets`` with none beyond its level's tokens, if ``goal`` are taken; the others get what is left in proportion."""
+    out = []
+    for axis, target in enumerate(targets):
+        most = tokens.sum(axis=tuple(k for k in range(tokens.ndim) if k != axis)) / goal
+        capped = np.zeros(len(target), dtype=bool)
+        share = target.copy()
+        while (over := ~capped & (share > most)).any():
+            capped |= over
+            rest = target[~capped].sum()
+            share = np.where(capped, most, target * (1 - most[capped].sum()) / rest if rest > 0 else 0.0)
+        out.append(share)
+    return out
+
+
 def calibrated(tokens: np.ndarray, targets: list[np.ndarray], budget: float) -> tuple[np.ndarray, float]:
-    """Probabilities with the target shares for ``budget`` of all tokens or the largest part that has them, and the worst miss."""
-    total = tokens.sum()
-    if not total:
+    """Probabilities that take ``budget`` of all tokens with the target shares, as far as these can be reached, and the worst miss."""
+    goal = budget * tokens.sum()
+    if not goal:
         return np.zeros_like(tokens), 0.0
-    targets = wanted(tokens, targets)
-    free = rake(tokens, targets, 1e-6 * total)  # too few tokens for any cell to run out
-    p, off = rake(tokens, targets, budget * total)
-    if off <= free[1] + SLACK:
-        return p, off
-    (low, found), high = (1e-6, free), budget
-    while high / low > 1.01:
-        middle = (low * high) ** 0.5
-        made = rake(tokens, targets, middle * total)
-        if made[1] <= free[1] + SLACK:
-            low, found = middle, made
-        else:
-            high = middle
-    return found
+    return rake(tokens, reachable(tokens, wanted(tokens, targets), goal), goal)
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -164,64 +164,37 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"topic": topic_of(F.col("text")), "tokens": tokens_of(F.col("text"))})
 
 
-def _cells(rows: DataFrame, targets: Mapping[str, Mapping[str, float]], by: list[Column], *sums: Column) -> list:
-    cell = [levelled(F.col(m), targets[m]).alias(f"_{m}") for m in MARGINS]
-    return rows.groupBy(*cell, *by).agg(F.sum("tokens").alias("n"), *sums).collect()
+def _cells(rows: DataFrame, targets: Mapping[str, Mapping[str, float]], *sums: Column) -> list:
+    return rows.groupBy(*[levelled(F.col(m), targets[m]).alias(f"_{m}") for m in MARGINS]).agg(F.sum("tokens").alias("n"), *sums).collect()
 
 
-def _table(counted: list, value: str, targets: Mapping[str, Mapping[str, float]], width: int = 0) -> np.ndarray:
-    """The values by cell, and with a ``width`` by place ``at`` too."""
+def _table(counted: list, value: str, targets: Mapping[str, Mapping[str, float]]) -> np.ndarray:
+    """The values by cell."""
     levels = [[*targets[m], OTHER] for m in MARGINS]
-    out = np.zeros([*map(len, levels), *([width] if width else [])])
+    out = np.zeros([*map(len, levels)])
     for r in counted:
-        out[(*(x.index(r[f"_{m}"]) for x, m in zip(levels, MARGINS, strict=True)), *([r["at"]] if width else []))] = r[value]
+        out[tuple(x.index(r[f"_{m}"]) for x, m in zip(levels, MARGINS, strict=True))] = r[value]
     return out
 
 
-def cuts(tokens: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """For each cell a cut near its probability, so that the taken tokens of all levels are what the probabilities ask.
-
-    ``tokens`` by cell and place of the draw. Cells start at the cut that takes nearest to their own expected
-    tokens; a few passes then move single cells where that brings their levels nearer.
-    """
-    taken = np.concatenate((np.zeros([*p.shape, 1]), np.cumsum(tokens, axis=-1)), axis=-1)
-    edges, want = np.arange(CUTS + 1) / CUTS, p * taken[..., -1]
-    near = (np.abs(edges - p[..., None]) <= NEAR) & (p > 0)[..., None] & (p < 1)[..., None]
-    off = (taken - want[..., None]) ** 2 + 1e-9 * (taken[..., -1:] * (edges - p[..., None])) ** 2
-    at = np.argmin(np.where(near, off, np.inf), axis=-1)
-    free = [c for c in np.ndindex(p.shape) if near[c].any() and taken[c][-1] > 0]
-    now = {c: taken[c][at[c]] for c in free}
-    miss = [np.zeros(n) for n in p.shape]  # taken less wanted, by level
-    for c in free:
-        for axis, level in enumerate(c):
-            miss[axis][level] += now[c] - want[c]
-    for _ in range(PASSES):
-        for c in free:
-            step = taken[c] - now[c]
-            cost = sum((miss[axis][level] + step) ** 2 for axis, level in enumerate(c)) + 0.1 * off[c]
-            best = int(np.argmin(np.where(near[c], cost, np.inf)))
-            for axis, level in enumerate(c):
-                miss[axis][level] += step[best]
-            at[c], now[c] = best, taken[c][best]
-    return np.where((p <= 0) | (p >= 1), p, edges[at])
+def taken(doc_id: Column, probability: Column, seed: int) -> Column:
+    """Whether the draw of a document, of 53 bits, is below its probability."""
+    draw = F.pmod(F.xxhash64(F.coalesce(doc_id.cast("long"), F.lit(0).cast("long")), F.lit(seed)), F.lit(2**53)) / F.lit(2.0**53)
+    return draw < probability
 
 
 def weighed(rows: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, budget: float = BUDGET, seed: int = SEED) -> DataFrame:
     """``rows``, as from :func:`measured`, with ``probability`` and ``kept``."""
-    draw = "pmod(xxhash64(coalesce(cast({} as long), 0L), " + str(seed) + "), 9007199254740992L) / 9007199254740992D"
-    at = F.expr(f"cast(floor(({draw.format('doc_id')}) * {CUTS}) as int)").alias("at")
-    dealt = _table(_cells(rows, targets, [at]), "n", targets, CUTS)
-    tokens = dealt.sum(axis=-1)
+    tokens = _table(_cells(rows, targets), "n", targets)
     p, _ = calibrated(tokens, [shares_of(tokens, k, targets[m]) for k, m in enumerate(MARGINS)], budget)
-    cut = cuts(dealt, p)
     levels = [[*targets[m], OTHER] for m in MARGINS]
     table_ = rows.sparkSession.createDataFrame(
-        [(*(x[i] for x, i in zip(levels, at, strict=True)), float(p[at]), float(cut[at])) for at in np.ndindex(p.shape)], ", ".join(f"_{m} string" for m in MARGINS) + ", probability double, cut double"
+        [(*(x[i] for x, i in zip(levels, at, strict=True)), float(p[at])) for at in np.ndindex(p.shape)], ", ".join(f"_{m} string" for m in MARGINS) + ", probability double"
     )
     # The table of cells is bounded by the targets.
     packed = rows.select(F.struct(*rows.columns).alias("row"), *[levelled(F.col(m), targets[m]).alias(f"_{m}") for m in MARGINS])
     found = packed.join(F.broadcast(table_), [f"_{m}" for m in MARGINS])
-    return found.select("row.*", "probability", (F.expr(draw.format("row.doc_id")) < F.col("cut")).alias("kept"))
+    return found.select("row.*", "probability", taken(F.col("row.doc_id"), F.col("probability"), seed).alias("kept"))
 
 
 def mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, budget: float = BUDGET, seed: int = SEED) -> DataFrame:
@@ -229,16 +202,18 @@ def mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS,
     return weighed(measured(docs), targets, budget, seed)
 
 
-def report(found: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS) -> DataFrame:
-    """``margin, level, target, expected, kept``: the wanted share of tokens, the one by probabilities, and the one taken."""
-    counted = _cells(found, targets, [], F.sum(F.col("tokens") * F.col("probability")).alias("expected"), F.sum(F.when(F.col("kept"), F.col("tokens")).otherwise(0)).alias("kept"))
+def report(found: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, budget: float = BUDGET) -> DataFrame:
+    """``margin, level, target, reachable, expected, kept``: the wanted share of tokens, what of it the level's tokens allow,
+    the share by probabilities, and the one taken."""
+    counted = _cells(found, targets, F.sum(F.col("tokens") * F.col("probability")).alias("expected"), F.sum(F.when(F.col("kept"), F.col("tokens")).otherwise(0)).alias("kept"))
     tables = {name: _table(counted, name, targets) for name in ("n", "expected", "kept")}
     want = wanted(tables["n"], [shares_of(tables["n"], k, targets[m]) for k, m in enumerate(MARGINS)])
+    can = reachable(tables["n"], want, max(budget * tables["n"].sum(), 1e-300))
     out = []
     for k, m in enumerate(MARGINS):
         along = {name: x.sum(axis=tuple(a for a in range(3) if a != k)) / max(x.sum(), 1e-300) for name, x in tables.items()}
-        out += [(m, level, float(want[k][i]), float(along["expected"][i]), float(along["kept"][i])) for i, level in enumerate([*targets[m], OTHER])]
-    return found.sparkSession.createDataFrame(out, "margin string, level string, target double, expected double, kept double")
+        out += [(m, level, float(want[k][i]), float(can[k][i]), float(along["expected"][i]), float(along["kept"][i])) for i, level in enumerate([*targets[m], OTHER])]
+    return found.sparkSession.createDataFrame(out, "margin string, level string, target double, reachable double, expected double, kept double")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
