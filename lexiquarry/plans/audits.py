@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiquarry.functions.text import words
 from lexiquarry.operators import dialog, quality, retrieval
-from lexiquarry.plans.common import registry, sql_rows, sql_words, table
-from lexiquarry.sources import store, tables
-from lexiquarry.sources.scratch import fresh
+from lexiquarry.plans.common import registry, sql_entities, sql_rows, sql_shown, sql_words, table
+from lexiquarry.sources import page_scan, store, tables
+from lexiquarry.sources.scratch import fresh, written
 from lexiquarry.streaming import incremental
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -195,14 +195,77 @@ def indexed_records(spark, sf_dir):
     return made.where("size(vector) = 64").select("chunk_id", "text_preview")
 
 
-@query("SELECT * FROM " + "(VALUES (1, false, 'a'), (2, true, 'a'), (3, false, 'b'), (4, false, 'b')) AS t(step, reused, signature)")
-def stored_tables(spark, sf_dir):
-    """A stored table is used again while its signature holds, and built anew for another or on demand."""
-    folder, out = fresh(spark, "store"), []
-    for step, (signature, force) in enumerate((("a", False), ("a", False), ("b", False), ("b", True)), 1):
-        _, reused = store.reused(spark, folder, signature, lambda: table(spark, sf_dir, "nation"), force)
-        out.append((step, reused, store.read_manifest(spark, folder)["signature"]))
-    return spark.createDataFrame(out, "step int, reused boolean, signature string")
+_HELD = "count(*) FILTER (c_custkey IS NOT NULL)"
+
+
+@query(f"""
+WITH n AS (SELECT n_nationkey, n_nationkey % 5 = 0 AS changed, {_HELD} AS before, count(*) FILTER (c_acctbal > 0) AS after FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND NOT (n_nationkey % 7 = 3 AND c_custkey % 2 = 0) GROUP BY n_nationkey),
+r AS (SELECT *, NOT changed AND before > 0 AS kept, CASE WHEN n_nationkey % 10 = 5 THEN 0 WHEN changed THEN after ELSE 0 END AS built FROM n)
+SELECT n_nationkey, CASE WHEN before > 0 THEN 'built' ELSE 'failed' END AS first, CASE WHEN kept THEN 'reused' WHEN built > 0 THEN 'built' ELSE 'failed' END AS second,
+  CAST(nullif(CASE WHEN built > 0 THEN built ELSE before END, 0) AS BIGINT) AS rows FROM r
+""")
+def rebuilt_sources(spark, sf_dir):
+    """Customers of nations as the records of sources: all are built, then those of changed nations alone; a source that fails keeps what it had."""
+    folder, k = fresh(spark, "sources"), F.col("n_nationkey")
+    nations = table(spark, sf_dir, "nation").select("n_nationkey")
+    people = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n_nationkey"), "c_custkey", "c_acctbal").where("not (n_nationkey % 7 = 3 and c_custkey % 2 = 0)")
+
+    def build(wanted: DataFrame) -> DataFrame:
+        rows = people.join(wanted, "n_nationkey").where((F.col("signature") == "1") | (F.col("c_acctbal") > 0))
+        refused = (F.col("signature") == "2") & (k % 10 == 5)
+        return rows.select("n_nationkey", "c_custkey", F.when(refused, "refused").alias("error"))
+
+    first = store.rebuilt(nations.withColumn("signature", F.lit("1")), folder, "n_nationkey", build, failed="error")
+    second = store.rebuilt(nations.withColumn("signature", F.when(k % 5 == 0, "2").otherwise("1")), folder, "n_nationkey", build, failed="error")
+    rows = store.read(spark, folder).groupBy("n_nationkey").agg(F.count("*").alias("rows"))
+    told = first.select("n_nationkey", F.col("status").alias("first")).join(second.select("n_nationkey", F.col("status").alias("second")), "n_nationkey")
+    return told.join(rows, "n_nationkey", "left")
+
+
+def _page_files(spark: SparkSession, sf_dir: str, folder: str, rows: Column) -> None:
+    """The pages of ``rows`` as a file each, in a folder each."""
+    html = table(spark, sf_dir, "pages").where(rows).select("page_id", F.coalesce("html", F.lit("")).alias("value"))
+    html.repartition(8).write.mode("overwrite").option("compression", "none").partitionBy("page_id").text(folder)
+
+
+_OPEN = "replace(replace(coalesce(html, ''), '&copy;', '©'), '&middot;', '·')"
+
+
+@query(f"""
+WITH p AS (SELECT page_id, html AS raw, {_OPEN} AS html FROM pages),
+s AS (SELECT page_id, raw, {sql_shown('html')} AS shown, {sql_entities("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS h1 FROM p)
+SELECT page_id, sha256(raw || chr(10)) AS sha256, trim(regexp_replace(h1, '\\s+', ' ', 'g')) AS heading, CAST(length(regexp_replace(shown, '\\s+', '', 'g')) AS BIGINT) AS characters, 0 AS outside FROM s WHERE trim(raw) <> ''
+""")
+def scanned_pages(spark, sf_dir):
+    """Web pages as files through the page scan: content hash, text of the largest size, characters of all spans, and spans beyond the page's edge."""
+    folder = fresh(spark, "pages")
+    _page_files(spark, sf_dir, folder, F.lit(True))
+    pages = page_scan.scan(spark, folder).where("error is null")
+    spans = pages.select("path", "sha256", "page", "width", "height", F.posexplode_outer("spans").alias("at", "s"))
+    large = F.array_sort(F.collect_list(F.when(F.col("s.size") == 20.0, F.struct("page", "at", "s.text"))))  # a heading's own spans
+    found = spans.groupBy(F.regexp_extract("path", r"page_id=(\d+)/", 1).cast("long").alias("page_id"), "sha256").agg(
+        F.array_join(large["text"], " ").alias("heading"), F.sum(F.coalesce(F.length(F.regexp_replace("s.text", " ", "")), F.lit(0))).cast("long").alias("characters"),
+        F.count_if((F.col("s.x1") > F.col("width")) & (F.length("s.text") < 50) | (F.col("s.y1") > F.col("height"))).cast("int").alias("outside"),
+    )
+    return found
+
+
+@query("""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages WHERE page_id % 3 <> 0),
+c AS (SELECT count(DISTINCT html) FILTER (trim(html) <> '') AS first, (SELECT count(DISTINCT html) FROM pages WHERE trim(html) <> '' AND page_id % 3 = 0 AND html NOT IN (SELECT html FROM p)) AS third FROM p)
+SELECT step, CASE step WHEN 1 THEN (SELECT first FROM c) WHEN 2 THEN 0 ELSE (SELECT third FROM c) END AS parsed, CASE step WHEN 3 THEN (SELECT count(*) FROM pages WHERE trim(coalesce(html, '')) <> '') ELSE (SELECT count(*) FROM p WHERE trim(html) <> '') END AS files
+FROM (SELECT unnest([1, 2, 3]) AS step)
+""")
+def cached_scans(spark, sf_dir):
+    """Three scans of page files with one cache: all new, nothing new, and a third of the files added."""
+    folder, cache, out = fresh(spark, "pages"), fresh(spark, "cache"), None
+    for step, rows in enumerate((F.col("page_id") % 3 != 0, None, F.lit(True)), 1):
+        if rows is not None:
+            _page_files(spark, sf_dir, folder, rows)
+        pages, parsed = page_scan.cached(spark, folder, cache)
+        made = written(pages.where("error is null").agg(F.lit(step).alias("step"), F.lit(parsed).cast("long").alias("parsed"), F.count_distinct("path").alias("files")), "scan")
+        out = made if out is None else out.unionByName(made)
+    return out
 
 
 @query("""SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE trim(' ' || n_name || ', "x"' || CASE WHEN n_nationkey % 3 = 0 THEN chr(10) || 'y' ELSE '' END) END AS label FROM nation""")

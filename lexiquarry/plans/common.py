@@ -19,6 +19,22 @@ def sql_norm(text: str) -> str:
     return f"trim(regexp_replace(coalesce({text}, ''), '\\s+', ' ', 'g'))"
 
 
+def sql_entities(text: str) -> str:
+    """SQL for a text with the entities of HTML as characters."""
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        text = f"replace({text}, '{name}', {sql_quote(char)})"
+    return text
+
+
+def sql_shown(html: str) -> str:
+    """SQL for what a web page shows, blocks between line ends."""
+    out = f"coalesce({html}, '')"
+    for tag in ("script", "style", "head"):
+        out = f"regexp_replace({out}, '(?is)<{tag}\\b.*?</{tag}\\s*>', '', 'g')"
+    out = f"regexp_replace(regexp_replace({out}, '(?s)<!--.*?-->', '', 'g'), '(?i)</?(?:p|div|li|ul|ol|h[1-6]|br|tr|table|section|article|nav|header|footer|body|html)\\b[^>]*>', chr(10), 'g')"
+    return sql_entities(f"regexp_replace({out}, '<[^>]*>', '', 'g')")
+
+
 def sql_quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 

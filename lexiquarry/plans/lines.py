@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiquarry.functions.text import content_hash, filled, fold, norm, words
 from lexiquarry.operators import layout, structure
-from lexiquarry.plans.common import registry, sql_matches, sql_norm, sql_words, table
+from lexiquarry.plans.common import registry, sql_matches, sql_norm, sql_shown, sql_words, table
 from lexiquarry.sources.tables import html_lines as shown_lines
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -129,17 +129,8 @@ def forward_merge(spark, sf_dir):
     return units.join(moved, ["source_id", "unit_no"]).groupBy("source_id", "target").agg(F.count("*").alias("units"), F.sum("words").cast("long").alias("words"))
 
 
-_STRIP = "coalesce(html, '')"
-for _tag in ("script", "style", "head"):
-    _STRIP = f"regexp_replace({_STRIP}, '(?is)<{_tag}\\b.*?</{_tag}\\s*>', '', 'g')"
-_STRIP = f"regexp_replace(regexp_replace({_STRIP}, '(?s)<!--.*?-->', '', 'g'), '(?i)</?(?:p|div|li|ul|ol|h[1-6]|br|tr|table|section|article|nav|header|footer|body|html)\\b[^>]*>', chr(10), 'g')"
-_STRIP = f"regexp_replace({_STRIP}, '<[^>]*>', '', 'g')"
-for _name, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-    _STRIP = f"replace({_STRIP}, '{_name}', '{_char.replace(chr(39), chr(39) * 2)}')"
-
-
 @query(f"""
-WITH s AS (SELECT page_id, list_filter(list_transform(string_split({_STRIP}, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS parts FROM pages)
+WITH s AS (SELECT page_id, list_filter(list_transform(string_split({sql_shown('html')}, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS parts FROM pages)
 SELECT page_id, len(parts) AS lines, sha256(array_to_string(parts, chr(10))) AS text_hash FROM s WHERE len(parts) > 0
 """)
 def page_lines(spark, sf_dir):
