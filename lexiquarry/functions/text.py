@@ -1,8 +1,8 @@
-"""Column functions on texts. All are built-in expressions but :func:`nfkc` and :func:`json_length`."""
+"""Column functions on texts. All are built-in expressions but :func:`nfkc`."""
 
 from __future__ import annotations
 
-import json
+import sys
 import unicodedata
 
 import pandas as pd
@@ -31,9 +31,25 @@ def slug(value: Column | str) -> Column:
     return F.upper(F.btrim(F.regexp_replace(filled(value), "[^A-Za-z0-9]+", "_"), F.lit("_")))
 
 
+#: Characters whose folded form is another one or several, by the rule of Unicode's full case folding.
+_FOLDED = {chr(c): chr(c).casefold() for c in range(128, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and chr(c).casefold() != chr(c)}
+_ONE, _MANY = ({c: f for c, f in _FOLDED.items() if (len(f) == 1) is one} for one in (True, False))
+_SEVERAL = "[" + "".join(_MANY) + "]"
+
+
 def fold(text: Column | str) -> Column:
-    """Case folding, with the sharp s as two letters."""
-    return F.replace(F.lower(filled(text)), F.lit("ß"), F.lit("ss"))
+    """Full case folding: letters that differ in case only become equal, also where one becomes several as the sharp s does.
+
+    Texts with none of these letters, nearly all, skip their replacements.
+    """
+    given = filled(text)
+    several = given
+    for char, folded in _MANY.items():
+        several = F.replace(several, F.lit(char), F.lit(folded))
+    many = F.when(given.rlike(_SEVERAL), several).otherwise(given)
+    one = F.translate(many, "".join(_ONE), "".join(_ONE.values()))
+    ascii_upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.when(given.rlike(r"[^\x00-\x7F]"), F.translate(one, ascii_upper, ascii_upper.lower())).otherwise(F.lower(given))
 
 
 def content_hash(text: Column | str) -> Column:
@@ -128,12 +144,6 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf(T.LongType())
-def json_length(raw: pd.Series) -> pd.Series:
-    """Characters of a JSON text when written with ``", "`` and ``": "`` and letters unescaped."""
-    return raw.map(lambda x: len(json.dumps(json.loads(x), ensure_ascii=False)) if x is not None else None)
-
-
 def transcript(text: Column | str) -> Column:
     """A transcript with single spaces."""
     return norm(text)

@@ -11,8 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexiquarry.functions import lexicon as L
-from lexiquarry.functions import tags
-from lexiquarry.functions.text import claims, fold, json_length, nfkc, norm, reply, request_tokens, safe_prefix
+from lexiquarry.functions import jsons, tags
+from lexiquarry.functions.text import claims, fold, nfkc, norm, reply, request_tokens, safe_prefix
 
 
 def evidence_block(hits: DataFrame, records: DataFrame) -> DataFrame:
@@ -113,8 +113,8 @@ def supplied(evidence: DataFrame, budget: int = L.EVIDENCE_CHARS) -> DataFrame:
     """
     meta = F.struct(*_there(evidence, TOLD), F.concat(F.lit("E"), F.col("rank").cast("string")).alias("evidence_id"))
     rows = evidence.select("question_id", "rank", "chunk_id", "text", meta.alias("metadata"))
-    whole = F.to_json(F.struct("metadata", "text"), {"ignoreNullFields": "false"})
-    rows = rows.withColumn("item_id", F.col("rank").cast("long")).withColumn("size", json_length(whole))
+    whole = jsons.length(F.struct("metadata", "text"), rows.select("metadata", "text").schema)
+    rows = rows.withColumn("item_id", F.col("rank").cast("long")).withColumn("size", whole)
     kept = packed(rows, "size", budget)
     both = rows.join(kept, ["question_id", "item_id"])
     room = F.greatest(F.lit(1), budget - (F.col("size") - F.length("text"))).cast("int")

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from lexiquarry.functions.text import words
 from lexiquarry.operators import dialog, quality, retrieval
-from lexiquarry.plans.common import registry, sql_entities, sql_rows, sql_shown, sql_words, table
+from lexiquarry.plans.common import registry, sql_entities, sql_shown, sql_words, table
 from lexiquarry.sources import page_scan, store, tables
 from lexiquarry.sources.scratch import fresh, written
 from lexiquarry.streaming import incremental
@@ -303,9 +303,17 @@ def question_files(spark, sf_dir):
     return tables.read_questions(spark, *paths).select("id", "expected_source_ids", "should_answer", "require_all_expected_sources")
 
 
-@query("SELECT * FROM (VALUES ('A', '1'), ('B', 'x=y'), ('LONG', 'a b')) AS t(key, value)")
+@query("""
+SELECT n_nationkey, CASE n_nationkey % 5 WHEN 4 THEN NULL ELSE 'KEY_' || n_nationkey END AS key, CASE n_nationkey % 5 WHEN 0 THEN n_name WHEN 1 THEN n_name || '=' || n_regionkey WHEN 2 THEN 'a b' WHEN 3 THEN '' END AS value FROM nation WHERE n_nationkey % 6 <> 5 AND n_nationkey % 5 <> 4
+""")
 def env_lines(spark, sf_dir):
-    return spark.createDataFrame(list(tables.read_env('# comment\nA=1\n B = "x=y" \n\nbad line\nLONG=\'a b\'\n').items()), "key string, value string")
+    """KEY=VALUE lines of nations; comments and lines without a sign are left out."""
+    k, key = F.col("n_nationkey"), F.concat(F.lit("KEY_"), F.col("n_nationkey").cast("string"))
+    line = (
+        F.when(k % 6 == 5, F.concat(F.lit("# "), key, F.lit("=x"))).when(k % 5 == 0, F.concat(key, F.lit("="), "n_name")).when(k % 5 == 1, F.concat(F.lit("  "), key, F.lit(' = "'), "n_name", F.lit("="), F.col("n_regionkey").cast("string"), F.lit('" ')))
+        .when(k % 5 == 2, F.concat(key, F.lit("='a b'"))).when(k % 5 == 3, F.concat(key, F.lit("="))).otherwise("no sign")
+    )
+    return tables.env_pairs(table(spark, sf_dir, "nation").select("n_nationkey", line.alias("line")), "line").select("n_nationkey", "key", "value")
 
 
 @query("SELECT user_id, event_id, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS place FROM events WHERE event_id % 7 <> 3) WHERE place <= 20")
@@ -324,9 +332,3 @@ def refreshed_results(spark, sf_dir):
     current = table(spark, sf_dir, "orders").select("o_orderkey", F.when(k % 5 == 1, "new").otherwise("old").alias("signature"))
     known = current.where(k % 11 != 2).withColumn("signature", F.lit("old")).withColumn("origin", F.lit("kept")).unionByName(spark.createDataFrame([(-1, "old", "kept")], "o_orderkey long, signature string, origin string"))
     return incremental.refreshed(current, known, "o_orderkey", "signature", lambda d: d.withColumn("origin", F.lit("built"))).select("o_orderkey", "origin")
-
-
-@query("SELECT k, sha256(h) AS hash FROM " + sql_rows("k, h", [(1, '{"a":[2,null],"b":"é"}'), (2, '[]')]))
-def canonical_hashes(spark, sf_dir):
-    """Hashes of JSON with sorted keys."""
-    return spark.createDataFrame([(1, tables.canonical_hash({"b": "é", "a": [2, None]})), (2, tables.canonical_hash([]))], "k int, hash string")

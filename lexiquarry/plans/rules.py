@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lexiquarry.functions import jsons, serving, tags
 from lexiquarry.functions import lexicon as L
-from lexiquarry.functions import serving, tags
 from lexiquarry.functions import text as X
 from lexiquarry.operators import answers, quality
 from lexiquarry.plans.common import registry, sampled, sql_literal, sql_matches, sql_quote, sql_rows, sql_sampled, sql_words, table
@@ -203,11 +204,20 @@ UPLOADS = (
 )
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, {sql_literal(u[3])})" for k, u in enumerate(UPLOADS)) + ") AS t(upload, kind)")
+_UPLOAD = sql_rows("k, name, type, hex", [(k, n, t, h) for k, (n, t, h, _) in enumerate(UPLOADS)])
+
+
+@query(f"""
+WITH u AS (SELECT c_custkey, name, type, hex || CASE WHEN c_custkey % 2 = 0 THEN '00FF' ELSE '' END AS hex FROM customer JOIN {_UPLOAD} ON k = c_custkey % {len(UPLOADS)}),
+f AS (SELECT *, lower(regexp_extract(coalesce(name, ''), '\\.([^./\\\\]+)$', 1)) AS suffix, CASE WHEN starts_with(hex, '52494646') AND hex[17:24] = '57415645' THEN 'wav' WHEN starts_with(hex, '664C6143') THEN 'flac' WHEN starts_with(hex, '494433') OR regexp_matches(hex, '^FF[EF]') THEN 'mp3' END AS kind FROM u)
+SELECT c_custkey, CASE WHEN suffix = kind AND coalesce(type, '') IN ('', 'audio/wav', 'audio/x-wav', 'audio/flac', 'audio/mpeg') THEN kind END AS kind FROM f
+""")
 def upload_kinds(spark, sf_dir):
-    """Recordings by name, declared type and first bytes."""
-    rows = spark.createDataFrame([(k, n, t, h) for k, (n, t, h, _) in enumerate(UPLOADS)], "upload int, name string, type string, hex string")
-    return rows.select("upload", serving.upload_kind(F.col("name"), F.col("type"), F.unhex("hex")).alias("kind"))
+    """Recordings of customers by name, declared type and first bytes."""
+    k = (F.col("c_custkey") % len(UPLOADS) + 1).cast("int")
+    pick = lambda n: F.element_at(F.array(*[F.lit(u[n]).cast("string") for u in UPLOADS]), k)
+    data = F.unhex(F.concat(pick(2), F.when(F.col("c_custkey") % 2 == 0, "00FF").otherwise("")))
+    return table(spark, sf_dir, "customer").select("c_custkey", serving.upload_kind(pick(0), pick(1), data).alias("kind"))
 
 
 @query("""
@@ -249,13 +259,15 @@ PATHS = ("a/b.pdf", "a/../b", "../b", "a/../../b", "/a", "C:\\a", "", "a\\b.pdf"
 
 
 @query(f"""
-WITH p AS (SELECT k, replace(coalesce(path, ''), chr(92), '/') AS path FROM {sql_rows('k, path', enumerate(PATHS))}),
-s AS (SELECT k, generate_subscripts(string_split(path, '/'), 1) AS i, unnest(string_split(path, '/')) AS step FROM p), d AS (SELECT k, sum(CASE step WHEN '' THEN 0 WHEN '.' THEN 0 WHEN '..' THEN -1 ELSE 1 END) OVER (PARTITION BY k ORDER BY i) AS depth FROM s)
-SELECT p.k, trim(path) <> '' AND NOT regexp_matches(path, '^(/|[A-Za-z]:)') AND (SELECT min(depth) FROM d WHERE d.k = p.k) >= 0 AS inside FROM p
+WITH p AS (SELECT c_custkey AS k, replace(coalesce(text, '') || CASE WHEN c_custkey % 3 = 0 THEN '/' || c_name ELSE '' END, chr(92), '/') AS path FROM {_customers(PATHS)}),
+s AS (SELECT k, generate_subscripts(string_split(path, '/'), 1) AS i, unnest(string_split(path, '/')) AS step FROM p), d AS (SELECT k, sum(CASE step WHEN '' THEN 0 WHEN '.' THEN 0 WHEN '..' THEN -1 ELSE 1 END) OVER (PARTITION BY k ORDER BY i) AS depth FROM s),
+m AS (SELECT k, min(depth) AS least FROM d GROUP BY k)
+SELECT p.k AS c_custkey, trim(path) <> '' AND NOT regexp_matches(path, '^(/|[A-Za-z]:)') AND least >= 0 AS inside FROM p JOIN m ON m.k = p.k
 """)
 def path_containment(spark, sf_dir):
-    """Relative paths that stay in their folder."""
-    return spark.createDataFrame(list(enumerate(PATHS)), "k int, path string").select("k", quality.path_is_inside(F.col("path")).alias("inside"))
+    """Relative paths of customers that stay in their folder."""
+    path = F.concat(X.filled("text"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("/"), "c_name")).otherwise(""))
+    return customers(spark, sf_dir, PATHS).select("c_custkey", quality.path_is_inside(path).alias("inside"))
 
 
 SENTENCES = ("One ends here. Two begins there! Is three a question? No. 5 is none. e.g. this. The Act s. 12 applies. Mr. Roe", "A. B. C. Then so.", "no end", "", "Ends. The end.\nNew line? Yes it is.")
@@ -299,12 +311,37 @@ def unlocated_claims(spark, sf_dir):
     return answers.unsupported_claims(sampled(rows, "c_custkey", [a for a, _ in ANSWERS]), "c_custkey", "text", "evidence")
 
 
-SCRIPTS = ("plain", "कर्नाटक", "ಕರ್ನಾಟಕ", "mixed क text", "Ünïcode", "")
+SCRIPTS = ("plain", "कर्नाटक", "ಕರ್ನಾಟಕ", "mixed क text", "Ünïcode", "", 'a "quoted" \\ line\n\ttab', "\x01\x1f control", "𝔸stral 🎉/")
 
 
-@query(f"SELECT c_custkey, {sql_matches('text', '[ऀ-ॿಀ-೿]')} AS indic, length('{{\"a\": \"' || text || '\", \"n\": [1, null]}}') AS size FROM {_customers(SCRIPTS)}")
+@query(f"SELECT c_custkey, {sql_matches('text', '[ऀ-ॿಀ-೿]')} AS indic, length('{{\"a\": ' || CAST(to_json(text) AS VARCHAR) || ', \"n\": [1, null], \"né\": {{\"b\": true, \"d\": \"1995-01-01\"}}, \"m\": {{\"x\": ' || c_custkey || '}}}}') AS size FROM {_customers(SCRIPTS)}")
 def script_and_json(spark, sf_dir):
-    """Indic script, and the length of JSON as it is sent."""
+    """Indic script, and the length of JSON as it is sent, with quotes, control characters and letters beyond the first plane."""
     rows = customers(spark, sf_dir, SCRIPTS)
-    raw = F.to_json(F.struct(F.col("text").alias("a"), F.array(F.lit(1), F.lit(None).cast("int")).alias("n")))
-    return rows.select("c_custkey", X.has_indic("text").alias("indic"), X.json_length(raw).alias("size"))
+    inner = F.struct(F.lit(True).alias("b"), F.lit("1995-01-01").cast("date").alias("d"))
+    value = F.struct(F.col("text").alias("a"), F.array(F.lit(1), F.lit(None).cast("int")).alias("n"), inner.alias("né"), F.create_map(F.lit("x"), F.col("c_custkey")).alias("m"))
+    kind = rows.select(value.alias("v")).schema["v"].dataType
+    return rows.select("c_custkey", X.has_indic("text").alias("indic"), jsons.length(value, kind).alias("size"))
+
+
+@query("""
+SELECT event_id, sha256('{"B":true,"a":[' || event_id || ',null],"b":{"y":"' || user_id || '","z":null},"props":' || replace(props, ' ', '') || ',"é":1}') AS of_text,
+  sha256('{"a":{"k":' || event_id || ',"é":2},"b":[{"x":null,"y":"' || user_id || '"}]}') AS of_columns FROM events
+""")
+def canonical_hashes(spark, sf_dir):
+    """Hashes of JSON with sorted keys: of texts with events' properties in them, and of structs, arrays and maps."""
+    user, event = F.col("user_id").cast("string"), F.col("event_id").cast("string")
+    text = F.concat(F.lit('{"é": 1, "b": {"z": null, "y": "'), user, F.lit('"}, "a": ['), event, F.lit(', null], "props": '), "props", F.lit(', "B":true}'))
+    value = F.struct(F.array(F.struct(user.alias("y"), F.lit(None).cast("string").alias("x"))).alias("b"), F.create_map(F.lit("é"), F.lit(2).cast("long"), F.lit("k"), F.col("event_id")).alias("a"))
+    rows = table(spark, sf_dir, "events")
+    kind = rows.select(value.alias("v")).schema["v"].dataType
+    return rows.select("event_id", jsons.canonical_hash(text, T.StringType()).alias("of_text"), jsons.canonical_hash(value, kind).alias("of_columns"))
+
+
+FOLDS = ("Straße", "ΣΊΣΥΦΟΣ ς", "ﬁnal ﬀ ŉ ΐ", "İstanbul ǰ", "Ünïcode", "Ꭰ ꭰ ᏸ", "PLAIN", "ẞ ſ K Å", "և ẖ ᾳ")
+
+
+@query(f"SELECT c_custkey, ({sql_literal([x.casefold() for x in FOLDS])})[CAST(c_custkey % {len(FOLDS)} AS INTEGER) + 1] || lower(c_name) AS folded FROM customer")
+def folded_texts(spark, sf_dir):
+    """Names after words of several scripts, case folded."""
+    return customers(spark, sf_dir, FOLDS).select("c_custkey", X.fold(F.concat("text", "c_name")).alias("folded"))

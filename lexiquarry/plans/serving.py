@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lexiquarry.functions import serving, tags
 from lexiquarry.functions.text import content_hash
 from lexiquarry.operators import answers, dialog, retrieval
-from lexiquarry.plans.common import registry, sql_quote, sql_rows, table
+from lexiquarry.plans.common import registry, sampled, sql_quote, sql_rows, sql_sampled, table
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -242,7 +242,14 @@ def normal_responses(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", serving.response(raw).alias("r")).select("c_custkey", out["answer"].alias("answer"), out["abstained"].alias("abstained"), F.size(out["sources"]).alias("sources"))
 
 
-@query(f"SELECT k, reason, CASE WHEN reason = 'GROQ_HTTP_429' THEN 429 WHEN reason = 'GROQ_HTTP_413' THEN 413 WHEN starts_with(reason, 'GROQ_') OR reason IN ('RETRIEVAL_ERROR', 'CITATION_VALIDATION_FAILED') THEN 502 END AS status FROM {sql_rows('k, reason', list(enumerate(['GROQ_HTTP_429', 'GROQ_HTTP_413', 'GROQ_API_ERROR', 'RETRIEVAL_ERROR', 'CITATION_VALIDATION_FAILED', 'NO_EVIDENCE', ''])))}")
+REASONS = ("GROQ_HTTP_429", "GROQ_HTTP_413", "GROQ_API_ERROR", "RETRIEVAL_ERROR", "CITATION_VALIDATION_FAILED", "NO_EVIDENCE", "", None)
+
+
+@query(f"""
+SELECT c_custkey, reason, CASE WHEN reason = 'GROQ_HTTP_429' THEN 429 WHEN reason = 'GROQ_HTTP_413' THEN 413 WHEN starts_with(reason, 'GROQ_') OR reason IN ('RETRIEVAL_ERROR', 'CITATION_VALIDATION_FAILED') THEN 502 END AS status
+FROM (SELECT c_custkey, text || CASE WHEN c_custkey % 20 = 10 THEN '_X' ELSE '' END AS reason FROM {sql_sampled('customer', 'c_custkey', REASONS)})
+""")
 def provider_statuses(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(["GROQ_HTTP_429", "GROQ_HTTP_413", "GROQ_API_ERROR", "RETRIEVAL_ERROR", "CITATION_VALIDATION_FAILED", "NO_EVIDENCE", ""])), "k int, reason string")
-    return rows.select("k", "reason", tags.provider_status(F.col("reason")).alias("status"))
+    """Statuses of customers' failed requests by their reasons."""
+    reason = F.concat("text", F.when(F.col("c_custkey") % 20 == 10, "_X").otherwise(""))
+    return sampled(table(spark, sf_dir, "customer"), "c_custkey", REASONS).select("c_custkey", reason.alias("reason"), tags.provider_status(reason).alias("status"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Callable, Iterator, Sequence
 from pathlib import PurePosixPath
 
@@ -49,7 +48,7 @@ class ContractError(ValueError):
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = False) -> DataFrame:
     """A CSV with a header, trimmed, nulls as empty texts. Columns missing or rows with more cells are errors."""
     options = {"header": True, "mode": "FAILFAST", "enforceSchema": False, "multiLine": multiline, "quote": '"', "escape": '"', "encoding": "UTF-8"}
-    head = [c.lstrip("﻿").strip().strip('"') for c in (spark.read.text(path).first() or [""])[0].split(",")]
+    head = [c.lstrip("\ufeff").strip() for c in spark.read.options(**{**options, "enforceSchema": True, "inferSchema": False}).csv(path).columns]
     missing = [f.name for f in schema.fields if f.name not in head]
     if missing:
         raise ContractError(f"{path}: no column {', '.join(missing)}")
@@ -120,11 +119,6 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     json_lines(df).write.mode("overwrite").text(path)
 
 
-def canonical_hash(value: object) -> str:
-    """A hash of JSON with sorted keys."""
-    return hashlib.sha256(json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
-
-
 def resolved(folder: str, relative: str) -> str:
     """A path inside ``folder``; one that is absolute, on a drive, or leads out is an error."""
     steps: list[str] = []
@@ -141,11 +135,9 @@ def resolved(folder: str, relative: str) -> str:
     return f"{folder.rstrip('/')}/{'/'.join(steps)}"
 
 
-def read_env(text: str) -> dict[str, str]:
-    """KEY=VALUE lines; comments and blank lines are skipped, quotes around values taken off."""
-    out = {}
-    for line in text.splitlines():
-        key, eq, value = line.strip().partition("=")
-        if eq and key and not key.startswith("#"):
-            out[key.strip()] = value.strip().strip("\"'")
-    return out
+def env_pairs(lines: DataFrame, line: str) -> DataFrame:
+    """``lines`` with ``key, value`` of KEY=VALUE lines; comments and other lines are left out, quotes around values taken off."""
+    text = F.trim(filled(line))
+    at = F.instr(text, "=")
+    rows = lines.withColumns({"key": F.trim(F.substring(text, F.lit(1), at - 1)), "value": F.btrim(F.btrim(F.substring(text, at + 1, F.length(text))), F.lit("\"'"))})
+    return rows.where((at > 0) & (F.col("key") != "") & ~F.startswith(text, F.lit("#")))

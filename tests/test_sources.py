@@ -73,9 +73,15 @@ def test_resolved(relative, want):
             tables.resolved("/d", relative)
 
 
-def test_env_and_hash():
-    assert tables.read_env('# c\nA=1\n B = "x=y" \n\nbad') == {"A": "1", "B": "x=y"}
-    assert tables.canonical_hash({"b": 1, "a": [2]}) == tables.canonical_hash({"a": [2], "b": 1})
+def test_env_pairs(spark):
+    df = spark.createDataFrame([("# c",), ("A=1",), (' B = "x=y" ',), ("",), ("bad",), (None,), ("=x",), ("C=",)], "line string")
+    assert {r.key: r.value for r in tables.env_pairs(df, "line").collect()} == {"A": "1", "B": "x=y", "C": ""}
+
+
+def test_csv_header_with_commas(spark, tmp_path):
+    path = tmp_path / "h.csv"
+    path.write_text('"a, b",c\n1,2\n', encoding="utf-8")
+    assert [tuple(r) for r in tables.read_csv(spark, str(path), tables.strings("a, b", "c")).collect()] == [("1", "2")]
 
 
 def test_store_reuses_what_is_sound(spark, tmp_path):

@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import datetime
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexiquarry.functions import tags
+from lexiquarry.functions import jsons, tags
 from lexiquarry.functions import text as X
 
 
@@ -39,9 +41,33 @@ def test_reply(spark):
         assert one(spark, X.reply("t").isNull(), t=bad)
 
 
-def test_json_length(spark):
-    value = {"a": "ä\n", "b": [1, 2]}
-    assert one(spark, X.json_length("t"), t=json.dumps(value)) == len(json.dumps(value, ensure_ascii=False))
+VALUE = T.StructType().add("a", "string").add("é", T.ArrayType(T.StringType())).add("n", "long").add("m", T.MapType(T.StringType(), T.LongType())).add("s", T.StructType().add("z", "boolean").add("b", "string"))
+VALUES = [
+    {"a": 'ä\n"\\u001F \\\x1f\x0b\x01\x7f /', "é": ["🎉", None, ""], "n": -5, "m": {"z": 1, "a\t": None}, "s": {"z": True, "b": None}},
+    {"a": None, "é": [], "n": None, "m": {}, "s": None}, {"a": "", "é": None, "n": 0, "m": None, "s": {"z": False, "b": "\r\b\f"}},
+]
+
+
+def test_json_length_and_canonical_form(spark):
+    """Against Python's own writer."""
+    df = spark.createDataFrame([(v,) for v in VALUES], T.StructType().add("v", VALUE))
+    got = df.select(jsons.length(F.col("v"), VALUE).alias("n"), jsons.canonical(F.col("v"), VALUE).alias("c"), jsons.canonical_hash(F.col("v"), VALUE).alias("h")).collect()
+    for r, v in zip(got, VALUES, strict=True):
+        assert r.n == len(json.dumps(v, ensure_ascii=False))
+        want = json.dumps(v, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+        assert r.c == want and r.h == hashlib.sha256(want.encode()).hexdigest()
+    texts = ['{"b": [1, true], "a": {"z": null, "y": "\\u0041\\n"}}', " [ ] ", '"x"', "bad", None]
+    texts_df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.c for r in texts_df.select(jsons.canonical_text(F.col("t")).alias("c")).collect()] == ['{"a":{"y":"A\\n","z":null},"b":[1,true]}', "[]", '"x"', None, None]
+
+
+def test_fold_is_full_case_folding(spark):
+    """Over all characters, one by one."""
+    every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    rows = [("|".join(every[k : k + 500]),) for k in range(0, len(every), 500)]
+    got = spark.createDataFrame(rows, "t string").select("t", X.fold("t").alias("f")).collect()
+    wrong = {a for r in got for a, b in zip(r.t.split("|") if "||" not in r.t else [], r.f.split("|"), strict=False) if a.casefold() != b}
+    assert all(r.f == r.t.casefold() for r in got), sorted(wrong)[:20]
 
 
 def test_page_label(spark):
