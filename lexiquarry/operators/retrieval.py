@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -46,9 +47,87 @@ def token_windows(records: DataFrame, key: str, text: str, header: str, tokens:
     return cut.select(key, "window_no", F.array_join(F.concat("_head", "_part"), " ").alias("window"), F.size("_part").alias("weight"))
 
 
+#: Places of a text's tokens: ``(start, end)`` by characters, in order.
+Tokenizer = Callable[[str], "list[tuple[int, int]]"]
+#: Tokens that a model adds of its own to a window.
+SPECIAL = 8
+
+
+def cut_windows(text: str, fields: str, tokenizer: Tokenizer, tokens: int, width: int, context: int, prefix: str) -> list[tuple[str, int]]:
+    """The windows of a text with their tokens; without what stands before it, a text is its windows one after another."""
+    places = tokenizer(text)
+    count = lambda t: len(tokenizer(t))
+    held: list[str] = []
+    for line in fields.split("\n") if fields else ():
+        if line.strip() and count("\n".join([*held, line])) <= min(context, len(places) // 3):
+            held.append(line)
+    before = prefix + "".join(f"{line}\n" for line in held) + "Text: "
+    room = min(width, tokens - count(before) - SPECIAL)
+    if room < 1:
+        raise ValueError("what stands before a window leaves no room for its text")
+    starts = [0, *(places[k][0] for k in range(room, len(places), room)), len(text)]
+    windows = [(before + text[a:b], min(room, len(places) - k * room)) for k, (a, b) in enumerate(pairwise(starts))] if places else []
+    if any(count(w) > tokens for w, _ in windows):  # a word cut in two may have more tokens
+        raise ValueError("a window is longer than a model takes")
+    return windows
+
+
+def tokenized_windows(
+    records: DataFrame, key: str, text: str, fields: str, tokenizer: Tokenizer, tokens: int = 512, width: int = 440, context: int = 64, prefix: str = "passage: "
+) -> DataFrame:
+    """``key, window_no, window, weight`` by the tokens of an injected tokenizer, which tells each token's place in a text.
+
+    ``fields`` holds lines on the record, of which as many stand before each window as have at most a third of its text's tokens
+    and at most ``context``. Windows do not overlap and none is longer than ``tokens``; weights are tokens. A text without tokens has
+    no window. An Arrow batch is cut at a time; the tokenizer goes to the tasks once.
+    """
+    kind = records.schema[key].dataType.simpleString()
+    name = records.schema[key].name
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0)
+            at, numbers, windows, weights = [], [], [], []
+            for k, (t, lines) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                for n, (window, weight) in enumerate(cut_windows(t or "", lines or "", tokenizer, tokens, width, context, prefix)):
+                    at.append(k)
+                    numbers.append(n)
+                    windows.append(window)
+                    weights.append(weight)
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), pa.array(numbers, pa.int32()), pa.array(windows, pa.string()), pa.array(weights, pa.int32())], names=[name, "window_no", "window", "weight"])
+
+    return records.select(key, text, fields).mapInArrow(run, f"`{name}` {kind}, window_no int, window string, weight int")
+
+
+def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each key of a batch the weighted sum of its vectors and its weight."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        found, keys = pd.factorize(batch.column(0).to_pandas(), use_na_sentinel=False)
+        lists = batch.column(1)
+        sizes = np.diff(lists.offsets.to_numpy())
+        if len(set(sizes.tolist())) > 1:
+            raise ValueError("vectors of different lengths")
+        weights = batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
+        values = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(sizes), -1) * weights[:, None]
+        order = np.argsort(found, kind="stable")
+        begins = np.flatnonzero(np.diff(found[order], prepend=-1))
+        sums = np.add.reduceat(values[order], begins, axis=0)
+        vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1) * sums.shape[1], pa.int32()), pa.array(sums.ravel()))
+        own = pa.array(keys, batch.schema.field(0).type, from_pandas=True)
+        yield pa.RecordBatch.from_arrays([own, vectors, pa.array(np.add.reduceat(weights[order], begins))], names=[batch.schema.names[0], "_sum", "_weight"])
+
+
 def pooled(windows: DataFrame, key: str, vector: str = "vector", weight: str = "weight") -> DataFrame:
-    """The weighted mean vector of each key's windows, at length 1."""
-    parts = windows.select(key, weight, F.posexplode(vector).alias("_i", "_x")).groupBy(key, "_i").agg((F.sum(F.col("_x").cast("double") * F.col(weight)) / F.sum(weight)).alias("_x"))
+    """The weighted mean vector of each key's windows, at length 1; a window without vector takes no part.
+
+    Windows of a key that stand in one batch are added there, so that the shuffle gets a row a key and batch, not one a window.
+    """
+    kind = windows.schema[key].dataType.simpleString()
+    rows = windows.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>"), F.col(weight).cast("double"))
+    sums = rows.mapInArrow(_partial_sums, f"`{key}` {kind}, _sum array<double>, _weight double")
+    parts = sums.select(key, "_weight", F.posexplode("_sum").alias("_i", "_x")).groupBy(key, "_i").agg((F.sum("_x") / F.sum("_weight")).alias("_x"))
     whole = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", "_x"))).alias("_v"))  # as many as dimensions
     return whole.select(key, unit(F.col("_v._x")).alias(vector))
 
@@ -80,10 +159,10 @@ def embedded(windows: DataFrame, key: str, embed: Callable[[pd.Series], pd.Serie
     return windows.mapInPandas(run, f"{key} {kind}, window_no int, weight int, vector array<double>")
 
 
-def build_index(records: DataFrame, sources: DataFrame, embed: Callable[[pd.Series], pd.Series]) -> DataFrame:
+def build_index(records: DataFrame, sources: DataFrame, embed: Callable[[pd.Series], pd.Series], tokenizer: Tokenizer | None = None) -> DataFrame:
     """ACTIVE records with their vector and a preview; a record that may not be indexed is an error.
 
-    Checked: known status, known source, jurisdiction as in the source, text, and vectors near length 1.
+    Checked: known status, known source, jurisdiction as in the source, text, and vectors near length 1. Windows are cut by the tokens of ``tokenizer``, or by words.
     """
     rows = records.withColumn("_ok", F.assert_true(F.col("retrieval_status").isin("ACTIVE", "REFERENCE_ONLY", "REVIEW"), F.lit("unknown retrieval_status")))
     active = rows.where(F.col("_ok").isNull() & (F.col("retrieval_status") == "ACTIVE")).drop("_ok")
@@ -91,7 +170,7 @@ def build_index(records: DataFrame, sources: DataFrame, embed: Callable[[pd.Seri
     checked = active.join(dim, "source_id", "left").withColumn(
         "_ok", F.assert_true(F.col("_j").eqNullSafe(F.col("jurisdiction")) & (F.trim("text") != ""), F.lit("source, jurisdiction or text of an active record")),
     ).where("_ok is null").drop("_j", "_ok")
-    windows = token_windows(checked, "chunk_id", "text", "heading")
+    windows = tokenized_windows(checked, "chunk_id", "text", "heading", tokenizer) if tokenizer else token_windows(checked, "chunk_id", "text", "heading")
     vectors = pooled(embedded(windows, "chunk_id", embed), "chunk_id")
     vectors = vectors.withColumn("_ok", F.assert_true(F.coalesce(norm2("vector") >= 0.99, F.lit(False)), F.lit("a vector without length"))).where("_ok is null").drop("_ok")
     meta = checked.select(*[c for c in checked.columns if c != "text"], F.substring("text", 1, 250).alias("text_preview"))

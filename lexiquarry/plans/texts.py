@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -197,6 +199,24 @@ def token_windows(spark, sf_dir):
     return rows.select("doc_id", "window_no", "weight", X.content_hash("window").alias("window_hash"))
 
 
+@query(f"""
+WITH d AS (SELECT doc_id, {sql_words('text')} AS n, text, lang FROM documents)
+SELECT doc_id, CAST(ceil(n / 440.0) AS BIGINT) AS windows, n AS tokens, CAST((n - 1) % 440 + 1 AS INTEGER) AS last_weight, sha256(text) AS text_hash, n >= 6 AND lang IS NOT NULL AS headed FROM d WHERE n > 0
+""")
+def tokenizer_windows(spark, sf_dir):
+    """Windows of documents by an injected tokenizer: their tokens, the text that they make together, and whether a line on the language stands before them."""
+    places = lambda t: [m.span() for m in re.finditer(r"\S+", t)]
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat(F.lit("Lang: "), "lang").alias("fields"))
+    cut = retrieval.tokenized_windows(rows, "doc_id", "text", "fields", places)
+    parts = F.split("window", "Text: ", 2)
+    parts = cut.select("doc_id", "window_no", "weight", F.startswith("window", F.lit("passage: Lang: ")).alias("headed"), parts[1].alias("part"))
+    whole = parts.groupBy("doc_id").agg(
+        F.count("*").alias("windows"), F.sum("weight").cast("int").alias("tokens"), F.max_by("weight", "window_no").alias("last_weight"),
+        F.array_sort(F.collect_list(F.struct("window_no", "part"))).alias("parts"), F.bool_and("headed").alias("headed"),  # a document's own text
+    )
+    return whole.select("doc_id", "windows", "tokens", "last_weight", X.content_hash(F.array_join(F.col("parts.part"), "")).alias("text_hash"), "headed")
+
+
 @query()
 def prose_chunks(spark, sf_dir):
     """Long documents in parts of about 300 to 500 words that end where sentences do."""

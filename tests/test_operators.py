@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -235,6 +236,41 @@ def test_features(spark):
     assert (got.topic, got.heading, got.boost) == (0.5, 0.5, L.PROCEDURAL)
 
 
+def test_windows_by_a_tokenizer(spark):
+    """Windows of half words make the text again, with lines on the record before them as far as they fit."""
+    halves = lambda t: [(a, b) for m in re.finditer(r"\S+", t) for a, b in ((m.start(), m.start() + len(m[0]) // 2), (m.start() + len(m[0]) // 2, m.end())) if a < b]
+    text = " ".join(f"word{k}" for k in range(1000)) + "\n  end "
+    fields = "Title: Official title\n" + "Long: " + "x " * 60 + "\nSection: 4"
+    df = spark.createDataFrame([("a", text, fields), ("b", "", "Title: x"), (None, "one two", "Title: too long here"), ("c", None, None)], "id string, text string, fields string")
+    rows = retrieval.tokenized_windows(df, "id", "text", "fields", halves, tokens=100, width=80).orderBy("id", "window_no").collect()
+    own = [r for r in rows if r.id == "a"]
+    assert len(own) > 20 and sum(r.weight for r in own) == 2002 and all(len(halves(r.window)) <= 100 for r in own)
+    assert "".join(r.window.split("Text: ", 1)[1] for r in own) == text
+    assert all(r.window.startswith("passage: Title: Official title\nSection: 4\nText: ") for r in own)
+    assert [(r.id, r.window, r.weight) for r in rows if r.id != "a"] == [(None, "passage: Text: one two", 4)]
+    with pytest.raises(ValueError, match="no room"):
+        retrieval.cut_windows("a b", "", halves, 8, 80, 64, "passage: ")
+
+
+def test_windows_by_a_public_tokenizer():
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    own = tokenizers.Tokenizer.from_file(str(public.path("word_bpe_49k.json")))
+    text = "Straße and naïve words, twice over. " * 200
+    windows = retrieval.cut_windows(text, "", lambda t: own.encode(t, add_special_tokens=False).offsets, 512, 440, 64, "passage: ")
+    assert "".join(w.split("Text: ", 1)[1] for w, _ in windows) == text and len(windows) > 2
+
+
+def test_pooled_vectors_of_batches(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(k) if k else None, rng.normal(size=3).tolist(), int(w)) for k, w in zip(rng.integers(0, 6, 90), rng.integers(1, 9, 90), strict=True)] + [(3, None, 5)]
+    df = spark.createDataFrame(rows, "k long, vector array<double>, weight int").repartition(4)
+    got = {r.k: r.vector for r in retrieval.pooled(df, "k").collect()}
+    for k in {r[0] for r in rows}:
+        mean = np.average([v for i, v, _ in rows if i == k and v], axis=0, weights=[w for i, v, w in rows if i == k and v])
+        assert got[k] == pytest.approx((mean / np.linalg.norm(mean)).tolist())
+    assert retrieval.pooled(df.limit(0), "k").count() == 0
+
+
 def test_windows_lose_no_word(spark):
     text = " ".join(f"w{k}" for k in range(1000))
     rows = retrieval.token_windows(spark.createDataFrame([(1, text, "a b"), (2, "", "h")], "id long, text string, header string"), "id", "text", "header").orderBy("id", "window_no").collect()
