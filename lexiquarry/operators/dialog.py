@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,19 +30,44 @@ def shaped_history(turns: DataFrame, conv: str = "conv_id", turn: str = "turn",
     return last_turns(spoken, conv, turn, n).where(said).select(conv, turn, "role", "recency", content.alias("content"))
 
 
-def contextualized(questions: DataFrame, history: DataFrame) -> DataFrame:
+#: English texts for texts and their languages, a batch at a time; null where there is none.
+Translate = Callable[[pd.Series, pd.Series], pd.Series]
+
+
+def english(turns: DataFrame, translate: Translate | None) -> DataFrame:
+    """``turns`` with a text in English, null if it cannot be used.
+
+    Texts in Indic script that name their language go to ``translate``, an Arrow batch at a time; others in Indic script, blank ones
+    and ones that are too long cannot be used.
+    """
+    language = F.col("language") if "language" in turns.columns else F.lit(None).cast("string")
+    rows = turns.withColumn("text", F.trim(filled("text"))).withColumn("_indic", has_indic("text")).withColumn("_from", F.when(~F.coalesce(language, F.lit("")).isin("", "en"), language))
+    fits = (F.length("text") > 0) & (F.length("text") <= L.QUESTION_CHARS)
+    plain = rows.withColumn("text", F.when(fits & ~F.col("_indic"), F.col("text")))
+    if translate is None:
+        return plain.drop("_indic", "_from")
+    needs = F.col("_indic") & F.col("_from").isNotNull() & fits
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(text=translate(batch["text"], batch["_from"]))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)  # any of them may be null
+    foreign = rows.where(needs).mapInPandas(run, kinds).withColumn("text", F.when(F.trim("text") != "", F.trim("text")))
+    return plain.where(~needs).unionByName(foreign).drop("_indic", "_from")
+
+
+def contextualized(questions: DataFrame, history: DataFrame, translate: Translate | None = None) -> DataFrame:
     """``question_id, query, clarify`` for ``questions (question_id, question, jurisdiction)``.
 
-    ``history (question_id, turn, role, text, language)``: only the last four turns count, user turns of
-    them. A follow-up needs exactly one task in its history; else it is to be clarified. Turns in Indic
-    script are expected in English already, else they are to be clarified as well.
+    ``history (question_id, turn, role, text[, language])``: only the last four turns count, user turns of
+    them, in :func:`english`. A follow-up needs exactly one task in its history; else it is to be clarified.
     """
-    recent = last_turns(history, "question_id").where("role = 'user'").withColumn("text", F.trim(filled("text")))
+    recent = english(last_turns(history, "question_id").where("role = 'user'"), translate)
     asked = questions.select("question_id", "jurisdiction")
     seen = recent.join(asked, "question_id").select(
         "question_id", "recency", tags.follow_up_intent(F.col("text")).alias("intent"), tags.active_context(F.col("text")).alias("context"),
-        ((F.length("text") > L.QUESTION_CHARS) | (F.length("text") == 0) | has_indic("text")).alias("unusable"),
-        tags.precheck_reason(F.col("text"), F.col("jurisdiction")).isNotNull().alias("checked"),
+        F.col("text").isNull().alias("unusable"), tags.precheck_reason(F.col("text"), F.col("jurisdiction")).isNotNull().alias("checked"),
     )
     plain = F.col("intent").isNull()
     told = seen.groupBy("question_id").agg(
@@ -67,21 +93,23 @@ def recent_conversations(store: DataFrame, owner: str, conv: str, updated: str,
     return good.withColumn("place", F.row_number().over(W.partitionBy(owner).orderBy(F.desc(updated), F.asc(conv)))).where(F.col("place") <= n)
 
 
-def chat(requests: DataFrame, history: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def chat(requests: DataFrame, history: DataFrame, answer: Callable[[DataFrame], DataFrame], translate: Translate | None = None) -> DataFrame:
     """``question_id, status, answer, abstained, abstention_reason, scope, sources`` for each request.
 
-    ``requests (question_id, question, label)``, ``history (question_id, turn, role, text)``. A request is refused for its
+    ``requests (question_id, question, label)``, ``history (question_id, turn, role, text[, language])``. A request is refused for its
     length or an unknown scope, or sent back to be clarified, or answered by ``answer``, which gets ``question_id, question,
     jurisdiction`` and gives ``question_id, answer, abstained, abstention_reason, sources``. A provider's failure is its
     HTTP status.
     """
     scope = serving.scope_of_label(F.col("label"))
-    past = history.groupBy("question_id").agg(F.collect_list("text").alias("_past"))  # a client sends a few turns
+    # More turns than the limit are refused, so no more than that and one are looked at.
+    first = history.withColumn("_k", F.row_number().over(W.partitionBy("question_id").orderBy("turn"))).where(F.col("_k") <= L.HISTORY + 1)
+    past = first.groupBy("question_id").agg(F.collect_list("text").alias("_past"))
     rows = requests.join(past, "question_id", "left").withColumn("scope", scope)
     refused = F.coalesce(tags.request_error(F.col("question"), F.coalesce("_past", F.array().cast("array<string>"))), F.when(F.col("scope").isNull(), 400))
     rows = rows.withColumn("refused", refused).drop("_past")
     asked = rows.where("refused is null").select("question_id", F.trim("question").alias("question"), F.col("scope").alias("jurisdiction"))
-    told = contextualized(asked, history.join(asked.select("question_id"), "question_id", "left_semi"))
+    told = contextualized(asked, history.join(asked.select("question_id"), "question_id", "left_semi"), translate)
     ready = asked.join(told, "question_id").where("not clarify").select("question_id", F.col("query").alias("question"), "jurisdiction")
     got = answer(ready)
     out = rows.join(told.select("question_id", "clarify"), "question_id", "left").join(got, "question_id", "left")

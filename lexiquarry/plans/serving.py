@@ -5,13 +5,15 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiquarry.functions import serving, tags
 from lexiquarry.functions.text import content_hash
 from lexiquarry.operators import answers, dialog, retrieval
 from lexiquarry.plans.common import registry, sampled, sql_quote, sql_rows, sql_sampled, table
+from lexiquarry.sources.scratch import fresh
+from lexiquarry.streaming import conversations
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -192,38 +194,51 @@ def told_history(spark, sf_dir):
 
 
 #: Follow-ups on histories: the last question, the user turns before it, and whether it is to be clarified.
-TALKS = (
-    ("What documents do I need?", ("My crop was damaged by flood",), False, True), ("What documents do I need?", ("My crop was damaged", "a complaint about deposits"), True, False), ("What documents do I need?", ("hello there",), True, False),
-    ("What documents do I need?", (), False, False), ("Tell me about PACS", ("x",), False, False), ("what about another problem?", ("x",), True, False), ("How long will it take?", ("crop loss by hail", "what next?"), False, True),
-    ("What documents do I need?", ("crop damage ನಷ್ಟ",), True, False), ("Where can I submit it?", ("A grievance on deposits",), False, True), ("What is that deadline?", ("hello",), True, False), ("Can I appeal?", ("Can you guarantee a crop loss claim?",), True, False),
-    ("Am I eligible?", ("", "crop loss"), True, False), ("Can I appeal?", ("one", "two", "three", "crop damage", "membership"), True, False), ("What documents do I need?", ("PACS", "crop damage by hail", "so", "and", "then"), False, True),
-)
+def _turns(spark: SparkSession, sf_dir: str, n: Column, text: Column, language: Column | None = None) -> DataFrame:
+    """``n`` user turns of each customer, each after a turn of the assistant but the first; ``text`` may use ``j``, a turn's place."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("question_id"), F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1))).alias("j"))
+    return rows.select("question_id", F.col("j").alias("turn"), F.lit("user").alias("role"), text.alias("text"), (F.lit(None).cast("string") if language is None else language).alias("language"))
 
 
-@query("SELECT id AS question_id, clarify, follows FROM " + sql_rows("id, clarify, follows", [(k, t[2], t[3]) for k, t in enumerate(TALKS)]))
+@query("""
+WITH k AS (SELECT c_custkey, c_custkey % 4 AS q, c_custkey // 4 % 6 AS n, c_custkey // 24 % 4 AS p FROM customer),
+c AS (SELECT c_custkey, q, n, CASE WHEN n = 0 THEN false WHEN q <> 0 THEN q > 1 WHEN p = 0 THEN false WHEN p = 1 THEN true WHEN p = 2 THEN n > 1 ELSE c_custkey // 96 % 2 = 0 END AS clarify FROM k)
+SELECT c_custkey AS question_id, clarify, q = 0 AND n > 0 AND NOT clarify AS follows FROM c
+""")
 def clarified_talks(spark, sf_dir):
-    """Whether follow-ups are to be clarified or become queries in the one task of their last four turns."""
-    asked = spark.createDataFrame([(k, t[0], "India") for k, t in enumerate(TALKS)], "question_id long, question string, jurisdiction string")
-    turns = [(k, 2 * n + 1, "user", text) for k, t in enumerate(TALKS) for n, text in enumerate(t[1])] or []
-    got = dialog.contextualized(asked, spark.createDataFrame(turns, "question_id long, turn int, role string, text string"))
+    """Follow-ups of customers on up to five turns that name one task, none, two, or one in another language, which is translated where it is known."""
+    k = F.col("question_id")
+    question = F.element_at(F.array(*map(F.lit, ("What documents do I need?", "Tell me about PACS", "what about another problem?", "What is that deadline?"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("question_id"), question.alias("question"), F.lit("India").alias("jurisdiction"))
+    pattern = F.floor(k / 24) % 4
+    text = F.when(pattern == 0, "crop loss by hail").when(pattern == 1, "hello there").when(pattern == 3, "ಬೆಳೆ ನಷ್ಟ").when(F.col("j") % 2 == 0, "My crop was damaged").otherwise("a complaint about deposits")
+    turns = _turns(spark, sf_dir, (F.floor(F.col("c_custkey") / 4) % 6).cast("int"), text, F.when(F.floor(k / 96) % 2 == 1, "kn"))
+    got = dialog.contextualized(asked, turns, lambda texts, languages: texts.where(languages != "kn", "crop loss by hail"))
     return got.select("question_id", "clarify", F.startswith("query", F.lit("Active subject: ")).alias("follows"))
 
 
-CHATS = (
-    ("How do I report crop loss?", "Karnataka", (), 200, False, None), ("", "Karnataka", (), 400, False, None), ("q" * 1501, "Karnataka", (), 400, False, None), ("How?", "Goa", (), 400, False, None), ("What documents do I need?", "Not sure", ("hello",), 200, True, "NEEDS_CLARIFICATION"),
-    ("What documents do I need?", "Not sure", ("crop damage",), 200, False, None), ("busy", "", (), 429, True, "GROQ_HTTP_429"), ("large", "", (), 413, True, "GROQ_HTTP_413"), ("lost", "", (), 502, True, "RETRIEVAL_ERROR"), ("none", "", (), 200, True, "NO_EVIDENCE"), ("Many turns?", "", ("a", "b", "c", "d", "e"), 422, False, None),
-)
-
-
-@query("SELECT id AS question_id, status, abstained, reason AS abstention_reason, shown FROM " + sql_rows("id, status, abstained, reason, shown", [(k, *c[3:], 1 if c[3] == 200 and not c[4] else 0) for k, c in enumerate(CHATS)]))
+@query("""
+WITH k AS (SELECT c_custkey, c_custkey % 6 AS q, c_custkey // 6 % 7 AS label, c_custkey // 42 % 6 AS n, c_custkey // 252 % 3 AS p, c_custkey // 6 % 4 AS busy FROM customer),
+c AS (SELECT *, n > 4 AS long, q IN (1, 2) OR label IN (2, 5) AS bad, q IN (3, 4) AND n > 0 AND CASE p WHEN 0 THEN false WHEN 1 THEN true ELSE n > 1 END AS clarify FROM k),
+r AS (SELECT *, long OR bad AS refused, NOT (long OR bad) AND clarify AS unclear, NOT (long OR bad) AND q = 5 AS failed FROM c)
+SELECT c_custkey AS question_id, CASE WHEN long THEN 422 WHEN bad THEN 400 WHEN failed THEN ([429, 413, 502, 200])[CAST(busy + 1 AS INTEGER)] ELSE 200 END AS status, unclear OR failed AS abstained,
+  CASE WHEN unclear THEN 'NEEDS_CLARIFICATION' WHEN failed THEN (['GROQ_HTTP_429', 'GROQ_HTTP_413', 'RETRIEVAL_ERROR', 'NO_EVIDENCE'])[CAST(busy + 1 AS INTEGER)] END AS abstention_reason, CASE WHEN refused OR unclear OR failed THEN 0 ELSE 1 END AS shown FROM r
+""")
 def chat_requests(spark, sf_dir):
-    """Requests of a chat by status: refused, clarified, failed at the provider, abstained and answered with titled sources."""
-    requests = spark.createDataFrame([(k, c[0], c[1]) for k, c in enumerate(CHATS)], "question_id long, question string, label string")
-    turns = spark.createDataFrame([(k, n, "user", t) for k, c in enumerate(CHATS) for n, t in enumerate(c[2])], "question_id long, turn int, role string, text string")
+    """Requests of customers by status: refused, clarified, failed at the provider, abstained and answered with titled sources."""
+    k = F.col("c_custkey")
+    q = k % 6
+    failing = F.concat(F.lit("busy "), (F.floor(k / 6) % 4).cast("string"))
+    question = F.when(q == 0, "How do I report crop loss?").when(q == 1, " ").when(q == 2, F.repeat(F.lit("q"), 1501)).when(q == 5, failing).otherwise("What documents do I need?")
+    labels = F.element_at(F.array(*map(F.lit, ("Karnataka", "Not sure", "Goa", "", "maharashtra ", "India", "Multi-State Cooperative"))), (F.floor(k / 6) % 7 + 1).cast("int"))
+    requests = table(spark, sf_dir, "customer").select(k.alias("question_id"), question.alias("question"), labels.alias("label"))
+    pattern = F.floor(F.col("question_id") / 252) % 3
+    text = F.when(pattern == 0, "crop damage by hail").when(pattern == 1, "hello").when(F.col("j") % 2 == 0, "crop damage").otherwise("a complaint about deposits")
+    turns = _turns(spark, sf_dir, (F.floor(k / 42) % 6).cast("int"), text)
 
     def answer(ready: DataFrame) -> DataFrame:
-        q = F.col("question")
-        reason = F.when(q == "busy", "GROQ_HTTP_429").when(q == "large", "GROQ_HTTP_413").when(q == "lost", "RETRIEVAL_ERROR").when(q == "none", "NO_EVIDENCE")
+        said = F.col("question")
+        reason = F.when(said == "busy 0", "GROQ_HTTP_429").when(said == "busy 1", "GROQ_HTTP_413").when(said == "busy 2", "RETRIEVAL_ERROR").when(said == "busy 3", "NO_EVIDENCE")
         source = lambda title: F.struct(F.lit("s").alias("source_id"), F.lit(title).cast("string").alias("title"))
         sources = F.when(reason.isNull(), F.array(source("A title"), source(None), source("")))
         return ready.select("question_id", F.when(reason.isNull(), "Yes.").otherwise("").alias("answer"), reason.isNotNull().alias("abstained"), reason.alias("abstention_reason"), sources.alias("sources"))
@@ -231,6 +246,22 @@ def chat_requests(spark, sf_dir):
     return dialog.chat(requests, turns, answer).select("question_id", "status", "abstained", "abstention_reason", F.size("sources").alias("shown"))
 
 
+@query("""
+WITH t AS (SELECT *, list({'turn': turn, 'role': role, 'text': text}) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS recent FROM conversations)
+SELECT conv_id, turn, text AS question, CAST(coalesce(len(recent), 0) AS INTEGER) AS held, sha256(coalesce(array_to_string(list_transform(recent, lambda x: x.turn || ' ' || x.role || ' ' || x.text), chr(10)), '')) AS history_hash FROM t WHERE role = 'user'
+""")
+def streamed_history(spark, sf_dir):
+    """Conversations as a stream of three files: user turns with the last four turns before them, which are kept as state."""
+    turns, folder = table(spark, sf_dir, "conversations"), fresh(spark, "turns")
+    for part in range(3):  # the files come one after another
+        turns.where(F.floor(F.col("turn") / 3) == part if part < 2 else F.col("turn") >= 6).coalesce(1).write.mode("append").parquet(folder)
+    stream = conversations.recent_turns(spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(folder))
+    target = fresh(spark, "history")
+    stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", fresh(spark, "state")).trigger(availableNow=True).start().awaitTermination()
+    said = F.array_join(F.transform("recent", lambda x: F.concat_ws(" ", x["turn"].cast("string"), x["role"], x["text"])), "\n")
+    return spark.read.parquet(target).select("conv_id", "turn", "question", F.size("recent").alias("held"), content_hash(said).alias("history_hash"))
+
+
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END AS answer, c_custkey % 2 = 1 AS abstained, CASE c_custkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 0 ELSE 1 END AS sources FROM customer")
 def normal_responses(spark, sf_dir):
     """Responses with texts and flags for nulls, and only sources that have a title."""

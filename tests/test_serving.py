@@ -1,9 +1,16 @@
 from __future__ import annotations
 
+import datetime
+import json
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lexiquarry.functions import serving as S
+from lexiquarry.operators import dialog
+from lexiquarry.sources import store
+from lexiquarry.streaming import conversations
 
 
 def value(spark, column):
@@ -52,3 +59,103 @@ def test_stored_conversations(spark):
     good = ("1", "t", "2024-01-01T00:00:00Z", "2024-01-02T00:00:00Z", [("m", "en", "user", "q", None), ("n", "hi", "assistant", None, "a")])
     rows = [(good,), ((None, *good[1:]),), ((*good[:2], "never", *good[3:]),), ((*good[:4], [("m", "fr", "user", "q", None)]),), ((*good[:4], [("m", "en", "user", None, None)]),), ((*good[:4], None),)]
     assert [r.x for r in spark.createDataFrame(rows, schema).select(S.stored_well(F.col("c")).alias("x")).collect()] == [True, False, False, False, False, False]
+
+
+TURNS = "conv_id long, turn long, role string, text string, language string"
+TALKS = [
+    (1, 0, "user", "My crop was damaged by hail", None), (1, 1, "assistant", "so", None), (1, 2, "user", "What documents do I need?", None), (1, 3, "assistant", "x", None), (1, 4, "user", "thanks for that", None), (1, 5, "user", "Where can I submit it?", None),
+    (2, 0, "user", "ಬೆಳೆ ನಷ್ಟ", "kn"), (2, 1, "user", "How long will it take?", None), (3, 0, "user", "ಬೆಳೆ ನಷ್ಟ", None), (3, 1, "user", "How long will it take?", None), (4, 0, "user", "What is that deadline?", None), (None, 0, "user", "crop loss by hail", None), (None, 1, "user", "Can I appeal?", None),
+]
+
+
+def english(texts, languages):
+    return texts.where(languages != "kn", "crop loss by hail")
+
+
+def test_translated_turns(spark):
+    """Indic turns whose language is known are translated; without it, or without a translator, the talk is to be clarified."""
+    asked = spark.createDataFrame([(k, "How long will it take?", "India") for k in (1, 2, 3, 4)], "question_id long, question string, jurisdiction string")
+    turns = [(1, 0, "user", "ಬೆಳೆ ನಷ್ಟ", "kn"), (2, 0, "user", "ಬೆಳೆ ನಷ್ಟ", None), (3, 0, "user", "ಬೆಳೆ ನಷ್ಟ", "en"), (4, 0, "user", "ಬೆಳೆ ನಷ್ಟ", "hi")]
+    history = spark.createDataFrame(turns, TURNS.replace("conv_id", "question_id"))
+
+    def told(translate):
+        return {r.question_id: r.clarify for r in dialog.contextualized(asked, history, translate).collect()}
+
+    assert told(english) == {1: False, 2: True, 3: True, 4: True}  # of the fourth nothing comes back in English
+    assert told(None) == dict.fromkeys((1, 2, 3, 4), True)
+    assert told(lambda texts, languages: texts.where(texts.isna(), None))[1] is True
+
+
+@pytest.mark.parametrize("cuts", [[len(TALKS)], [3, 7, len(TALKS)]])
+def test_a_stream_of_turns_follows_up_as_the_table_does(spark, tmp_path, cuts):
+    """Whatever files the turns come in, each user turn gets what the batch operator gives it on the turns before it."""
+    begin = 0
+    for end in cuts:
+        spark.createDataFrame(TALKS[begin:end], TURNS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        begin = end
+    target = f"file://{tmp_path}/out"
+
+    def run():
+        stream = spark.readStream.schema(TURNS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        conversations.followed_up(stream, target, str(tmp_path / "state"), "India", english).awaitTermination(100)
+        return {(r.conv_id, r.turn): (r.query, r.clarify) for r in store.read(spark, target).collect()}
+
+    got = run()
+    want = {}
+    for conv, turn, role, text, _ in TALKS:
+        if role == "user":
+            asked = spark.createDataFrame([(1, text, "India")], "question_id long, question string, jurisdiction string")
+            before = [(1, *t[1:]) for t in TALKS if t[0] == conv and t[1] < turn]
+            r = dialog.contextualized(asked, spark.createDataFrame(before, TURNS.replace("conv_id", "question_id")), english).first()
+            want[conv, turn] = (r["query"], r.clarify)
+    assert got == want and len(got) == sum(t[2] == "user" for t in TALKS)
+    assert want[1, 2][1] is False and want[1, 5][1] is True and want[2, 1][0].startswith("Active subject") and want[3, 1][1] is True
+    assert run() == got  # nothing new, nothing twice
+
+
+def test_idle_conversations_are_forgotten():
+    """State beyond its time goes; turns too long ago do not count; late turns take their place."""
+
+    class State:
+        kept, hasTimedOut, ms = None, False, None
+        exists = property(lambda self: self.kept is not None)
+        get = property(lambda self: self.kept)
+
+        def update(self, value):
+            self.kept = value
+
+        def remove(self):
+            self.kept = None
+
+        def setTimeoutTimestamp(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+    state, step = State(), conversations._steps(2, 500)
+
+    def run(*turns):
+        frames = (pd.DataFrame([(t, "user", f"text {t}", None, at)], columns=["turn", "role", "text", "language", "at"]) for t, at in turns)
+        (out,) = step((1,), frames, state)
+        return [[t["turn"] for t in json.loads(r)] for r in out.recent]
+
+    assert run((5, 1000), (3, 900)) == [[], [3]] and state.ms == 1500
+    assert run((4, 1100)) == [[3, 5]]
+    assert run((6, 1200)) == [[4, 5]]
+    assert run((7, 1650)) == [[6]] and state.ms == 2150
+    state.hasTimedOut = True
+    assert list(step((1,), iter(()), state)) == [] and not state.exists
+
+
+def test_a_stream_with_times(spark, tmp_path):
+    schema = "conv_id long, turn long, role string, text string, at timestamp"
+    begun = datetime.datetime(2024, 1, 1)
+    for k, minutes in enumerate((0, 5, 300)):
+        spark.createDataFrame([(1, k, "user", f"t{k}", begun + datetime.timedelta(minutes=minutes)), (9, k, "user", None, None)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    found = conversations.recent_turns(stream, idle="30 minutes").writeStream.format("parquet").option("path", str(tmp_path / "out"))
+    query = found.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    assert query.awaitTermination(60)
+    got = {r.turn: [t.text for t in r.recent] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {0: [], 1: ["t0"], 2: []}
