@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import time
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 from lexiquarry.functions import lexicon as L
 from lexiquarry.functions import jsons, tags
 from lexiquarry.functions.text import claims, fold, nfkc, norm, reply, request_tokens, safe_prefix
+from lexiquarry.sources import store
 
 
 def evidence_block(hits: DataFrame, records: DataFrame) -> DataFrame:
@@ -52,28 +56,74 @@ def prompt(question: Column, jurisdiction: Column, evidence: Column) -> Column:
     )
 
 
-def respond(requests: DataFrame, responder: Callable[[str], str], attempts: int = 3, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+class Journal:
+    """Replies by the request's hash, each a small file put in place by a rename, so that a task that runs again does not ask again."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def _path(self, request: str):
+        system, root = store.opened(self.folder)
+        digest = hashlib.sha256(request.encode()).hexdigest()
+        return system, f"{root}/{digest[:2]}", digest
+
+    def known(self, request: str) -> tuple[str, int] | None:
+        system, folder, name = self._path(request)
+        if system.get_file_info(f"{folder}/{name}.json").type == store.files.FileType.NotFound:
+            return None
+        with system.open_input_stream(f"{folder}/{name}.json") as stream:
+            return tuple(json.loads(stream.read()))
+
+    def note(self, request: str, raw: str, retries: int) -> None:
+        system, folder, name = self._path(request)
+        system.create_dir(folder, recursive=True)
+        part = f"{folder}/.{name}.{uuid.uuid4().hex}"
+        with system.open_output_stream(part) as out:
+            out.write(json.dumps([raw, retries]).encode())
+        system.move(part, f"{folder}/{name}.json")
+
+
+def respond(
+    requests: DataFrame, responder: Callable[[str], str], attempts: int = 3, wait: Callable[[float], None] = time.sleep, waits: Sequence[float] | None = None, spacing: float = 0.0, lanes: int | None = None, journal: str | None = None
+) -> DataFrame:
     """``question_id, raw, error, retries``: the responder's replies.
 
-    A failure whose ``status_code`` or ``code`` is transient is tried again after 1, 2, 4, … seconds; a time-out and any
-    other failure are not.
+    A failure whose ``status_code`` or ``code`` is transient is tried again after 1, 2, 4, … seconds, or after those of ``waits``; a
+    time-out and any other failure are not. With ``spacing``, calls begin at least so many seconds apart over the whole job:
+    requests are dealt to ``lanes`` partitions (1 if not told), and each of them leaves ``spacing * lanes`` seconds between its calls. With a
+    ``journal`` folder, which all executors share, a reply is written down before the next call, and a request that has one there is
+    not sent again; failures are not written down.
     """
+    pause = list(waits) if waits is not None else [2.0**k for k in range(attempts)]
+    lanes = lanes or (1 if spacing else None)
+
     def status(error: Exception) -> int | None:
         given = getattr(error, "status_code", None) or getattr(error, "code", None)
         return int(given) if str(given).isdigit() else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        notes, called = Journal(journal) if journal else None, False
         for batch in batches:
             out = []
             for question_id, text in zip(batch["question_id"], batch["prompt"], strict=True):
+                known = notes.known(text) if notes else None
+                if known:
+                    out.append((question_id, known[0], None, known[1]))
+                    continue
+                if called and spacing:
+                    wait(spacing * lanes)
+                called = True
                 for k in range(attempts):
                     try:
-                        out.append((question_id, responder(text), None, k))
+                        raw = responder(text)
+                        if notes:
+                            notes.note(text, raw, k)
+                        out.append((question_id, raw, None, k))
                         break
                     except Exception as error:  # noqa: BLE001  what a client raises is its own
                         code = status(error)
                         if code in L.TRANSIENT and k < attempts - 1:
-                            wait(2.0**k)
+                            wait(pause[min(k, len(pause) - 1)])
                             continue
                         told = "TIMEOUT_OR_NETWORK_ERROR" if isinstance(error, TimeoutError) else f"HTTP_{code}" if code else "API_ERROR"
                         out.append((question_id, None, told, k))
@@ -81,7 +131,8 @@ def respond(requests: DataFrame, responder: Callable[[str], str], attempts: int
             yield pd.DataFrame(out, columns=["question_id", "raw", "error", "retries"])
 
     kind = requests.schema["question_id"].dataType.simpleString()
-    return requests.mapInPandas(run, f"question_id {kind}, raw string, error string, retries int")
+    dealt = requests.repartition(lanes, "question_id") if lanes else requests
+    return dealt.select("question_id", "prompt").mapInPandas(run, f"question_id {kind}, raw string, error string, retries int")
 
 
 def citations(used: DataFrame, supplied: DataFrame, by: str, item: str) -> DataFrame:
@@ -123,10 +174,10 @@ def supplied(evidence: DataFrame, budget: int = L.EVIDENCE_CHARS) -> DataFrame:
     return both.select("question_id", "place", "chunk_id", F.struct(F.col("metadata").withField("evidence_id", number).alias("metadata"), text.alias("text")).alias("item"))
 
 
-def answer(cases: DataFrame, evidence: DataFrame, responder: Callable[[str], str], wait: Callable[[float], None] = time.sleep) -> DataFrame:
+def answer(cases: DataFrame, evidence: DataFrame, responder: Callable[[str], str], wait: Callable[[float], None] = time.sleep, **paced: object) -> DataFrame:
     """Answers of ``cases (question_id, question, jurisdiction)`` from ``evidence (question_id, rank, chunk_id, text, …)``.
 
-    Cases with a reason against answering are not sent. A reply that is no valid JSON, or cites what was
+    Cases with a reason against answering are not sent; ``paced`` goes to :func:`respond`. A reply that is no valid JSON, or cites what was
     not supplied, or answers without evidence, becomes an abstention. ``warnings`` are claims that no evidence names.
     """
     reasoned = cases.withColumn("reason", tags.precheck_reason(F.col("question"), F.col("jurisdiction")))
@@ -135,7 +186,7 @@ def answer(cases: DataFrame, evidence: DataFrame, responder: Callable[[str], str
     asked = reasoned.where("reason is null").join(lists, "question_id", "left")
     joined = F.concat(F.lit("["), F.array_join(F.col("items.json"), ", "), F.lit("]"))
     requests = asked.select("question_id", prompt(F.col("question"), F.col("jurisdiction"), F.coalesce(joined, F.lit("[]"))).alias("prompt"))
-    got = respond(requests, responder, wait=wait).withColumn("r", reply("raw"))
+    got = respond(requests, responder, wait=wait, **paced).withColumn("r", reply("raw"))
     rows = reasoned.join(lists, "question_id", "left").join(got, "question_id", "left").join(requests.select("question_id", "prompt"), "question_id", "left")
     none = F.array().cast("array<string>")
     ids = F.coalesce(F.transform("items", lambda x: F.concat(F.lit("E"), x["place"].cast("string"))), none)

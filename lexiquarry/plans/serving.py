@@ -17,20 +17,20 @@ from lexiquarry.streaming import conversations
 
 QUERIES, ORACLE_SQL, query = registry()
 
-#: Records and cases: a record per customer, five hits a question, questions by nation.
-_HITS = "h AS (SELECT n_nationkey AS question_id, r AS rank, 'c' || ((n_nationkey * 5 + r * 7) % 140) AS chunk_id FROM nation, (SELECT unnest([1, 2, 3, 4, 5]) AS r))"
-_RECORDS = "c AS (SELECT 'c' || c_custkey AS chunk_id, c_custkey AS k, 's' || (c_custkey % 6) AS source_id, c_mktsegment AS title, repeat('Text ' || c_custkey || ' ends. ', CAST(c_custkey % 9 * 60 + CASE WHEN c_custkey % 9 = 7 THEN 1500 ELSE 1 END AS INTEGER)) AS text FROM customer WHERE c_custkey < 130)"
+#: Records and cases: a record and a question per customer, five hits a question, some of which have no record.
+_HITS = "h AS (SELECT c_custkey AS question_id, r AS rank, 'c' || (c_custkey * (r % 2 + 1) + r * 7 - 20) AS chunk_id FROM customer, (SELECT unnest([1, 2, 3, 4, 5]) AS r))"
+_RECORDS = "c AS (SELECT 'c' || c_custkey AS chunk_id, c_custkey AS k, 's' || (c_custkey % 6) AS source_id, c_mktsegment AS title, repeat('Text ' || c_custkey || ' ends. ', CAST(c_custkey % 9 * 60 + CASE WHEN c_custkey % 9 = 7 THEN 1500 ELSE 1 END AS INTEGER)) AS text FROM customer)"
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("question_id"), F.explode(F.array(*[F.lit(k) for k in range(1, 6)])).alias("rank"))
-    return rows.withColumn("chunk_id", F.concat(F.lit("c"), ((F.col("question_id") * 5 + F.col("rank") * 7) % 140).cast("string")))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("question_id"), F.explode(F.array(*[F.lit(k) for k in range(1, 6)])).alias("rank"))
+    return rows.withColumn("chunk_id", F.concat(F.lit("c"), (F.col("question_id") * (F.col("rank") % 2 + 1) + F.col("rank") * 7 - 20).cast("string")))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     times = (k % 9 * 60 + F.when(k % 9 == 7, 1500).otherwise(1)).cast("int")
-    return table(spark, sf_dir, "customer").where("c_custkey < 130").select(
+    return table(spark, sf_dir, "customer").select(
         F.concat(F.lit("c"), k.cast("string")).alias("chunk_id"), F.concat(F.lit("s"), (k % 6).cast("string")).alias("source_id"), F.col("c_mktsegment").alias("title"), F.repeat(F.concat(F.lit("Text "), k.cast("string"), F.lit(" ends. ")), times).alias("text"),
         F.when(k % 4 == 0, "Karnataka").otherwise("India").alias("jurisdiction"), F.lit(None).cast("string").alias("section"), F.lit("http").alias("source_url"), F.lit(1).alias("page_start"), F.lit(2).alias("page_end"),
     )
@@ -62,10 +62,10 @@ def supplied_evidence(spark, sf_dir):
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("n_nationkey")
-    question = F.element_at(F.array(*[F.lit(q) for q in ("How do I report?", "Who is the current secretary?", "And fees?", "Fails at once", "No json", "Busy for a while", "Busy always", "Abstain", "Unused")]), k % 9 + 1)
+    k = F.col("c_custkey")
+    question = F.element_at(F.array(*[F.lit(q) for q in ("How do I report?", "Who is the current secretary?", "And fees?", "Fails at once", "No json", "Busy for a while", "Busy always", "Abstain", "Unused")]), (k % 9 + 1).cast("int"))
     s = lambda n: F.array(F.concat(F.lit("s"), ((k + n) % 6).cast("string")))
-    return table(spark, sf_dir, "nation").select(k.alias("question_id"), question.alias("question"), F.when(k % 2 == 0, "India").otherwise("Karnataka").alias("jurisdiction"), s(0).alias("expected"), s(1).alias("forbidden"), (k % 9 != 1).alias("should_answer"))
+    return table(spark, sf_dir, "customer").select(k.alias("question_id"), question.alias("question"), F.when(k % 2 == 0, "India").otherwise("Karnataka").alias("jurisdiction"), s(0).alias("expected"), s(1).alias("forbidden"), (k % 9 != 1).alias("should_answer"))
 
 
 class Unavailable(Exception):
@@ -95,8 +95,8 @@ def scripted():
 
 _ANSWERS = f"""
 {_PACK}, u AS (SELECT question_id, list(chunk_id ORDER BY place DESC) AS two FROM s WHERE place <= 2 GROUP BY question_id),
-a AS (SELECT n_nationkey AS question_id, n_nationkey % 9 AS kind, u.two, CASE n_nationkey % 9 WHEN 1 THEN 'CURRENT_SOCIETY_SPECIFIC_FACT_NOT_IN_CORPUS' WHEN 2 THEN 'CITATION_VALIDATION_FAILED' WHEN 3 THEN 'PROVIDER_TIMEOUT_OR_NETWORK_ERROR' WHEN 4 THEN 'MALFORMED_RESPONSE' WHEN 6 THEN 'PROVIDER_HTTP_503' WHEN 7 THEN 'NO_EVIDENCE' WHEN 8 THEN 'CITATION_VALIDATION_FAILED' END AS reason
-  FROM nation LEFT JOIN u ON u.question_id = n_nationkey)
+a AS (SELECT c_custkey AS question_id, c_custkey % 9 AS kind, u.two, CASE c_custkey % 9 WHEN 1 THEN 'CURRENT_SOCIETY_SPECIFIC_FACT_NOT_IN_CORPUS' WHEN 2 THEN 'CITATION_VALIDATION_FAILED' WHEN 3 THEN 'PROVIDER_TIMEOUT_OR_NETWORK_ERROR' WHEN 4 THEN 'MALFORMED_RESPONSE' WHEN 6 THEN 'PROVIDER_HTTP_503' WHEN 7 THEN 'NO_EVIDENCE' WHEN 8 THEN 'CITATION_VALIDATION_FAILED' END AS reason
+  FROM customer LEFT JOIN u ON u.question_id = c_custkey)
 """
 
 
@@ -165,9 +165,6 @@ def _axes(dimensions: int):
     return embed
 
 
-_SCORE = "(SELECT CASE WHEN q.axis = i.axis THEN 1.07 ELSE 0.26 END)"
-
-
 @query(f"""
 WITH i AS (SELECT 'c' || c_custkey AS chunk_id, c_custkey % 8 AS axis, CASE c_custkey % 3 WHEN 0 THEN 'Karnataka' WHEN 1 THEN 'India' ELSE 'Maharashtra' END AS scope FROM customer WHERE c_custkey < 24),
 q AS (SELECT n_nationkey AS question_id, n_nationkey % 8 AS axis, CASE n_nationkey % 2 WHEN 0 THEN 'Karnataka' ELSE 'India' END AS jurisdiction FROM nation),

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiquarry.functions import serving as S
-from lexiquarry.operators import dialog
+from lexiquarry.operators import answers, dialog
 from lexiquarry.sources import store
 from lexiquarry.streaming import conversations
 
@@ -159,3 +159,37 @@ def test_a_stream_with_times(spark, tmp_path):
     assert query.awaitTermination(60)
     got = {r.turn: [t.text for t in r.recent] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {0: [], 1: ["t0"], 2: []}
+
+
+class Busy(Exception):
+    status_code = 429
+
+
+def test_paced_responder(tmp_path, spark):
+    """Calls of a lane are spaced, transient failures wait as told, and a reply that is written down is not asked for again."""
+    log = tmp_path / "log"
+
+    def note(*what):
+        with log.open("a") as out:
+            out.write(json.dumps(what) + "\n")
+
+    def responder(text):
+        note("call", text)
+        if text == "busy":
+            raise Busy
+        return text.upper()
+
+    rows = spark.createDataFrame([(k, f"p{k}") for k in range(6)] + [(6, "busy")], "question_id long, prompt string")
+
+    def run():
+        got = answers.respond(rows, responder, wait=lambda s: note("wait", s), waits=(5, 10), spacing=3.0, lanes=2, journal=f"file://{tmp_path}/journal").collect()
+        lines = [json.loads(x) for x in log.read_text().splitlines()]
+        log.write_text("")
+        return {r.question_id: (r.raw, r.error, r.retries) for r in got}, lines
+
+    got, lines = run()
+    assert got == {**{k: (f"P{k}", None, 0) for k in range(6)}, 6: (None, "HTTP_429", 2)}
+    assert [x[1] for x in lines if x[0] == "wait"].count(6.0) == 5  # seven calls on two lanes
+    assert sorted(x[1] for x in lines if x[0] == "wait" and x[1] != 6.0) == [5, 10]
+    again, lines = run()
+    assert again == got and {x[1] for x in lines if x[0] == "call"} == {"busy"}
