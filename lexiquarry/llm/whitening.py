@@ -358,14 +358,32 @@ def whiten(df: DataFrame, basis: Basis, scale: int = SCALE, shift: int = SHIFT,
     return complete(df, id_col, vec_col).mapInArrow(run, "vec_id long, deviation long, whitened array<double>")
 
 
+def _moments(batches: Iterator[pa.RecordBatch], at: list[int]) -> Iterator[pa.RecordBatch]:
+    """For each pair of components a task's rows, means, and products about these means."""
+    n, mean, co = 0, np.zeros(len(at)), np.zeros((len(at), len(at)))
+    for batch in batches:
+        if batch.num_rows:
+            own = batch.column("whitened").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)[:, at].astype(np.float64)
+            m = own.mean(axis=0)
+            off, total = m - mean, n + len(own)
+            co += (own - m).T @ (own - m) + np.outer(off, off) * n * len(own) / total
+            mean, n = mean + off * len(own) / total, total
+    if n:
+        rows = [(i, j, n, mean[i], mean[j], co[i, j]) for i in range(len(at)) for j in range(i, len(at))]
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["i", "j", "n", "a", "b", "co"])
+
+
 def identity_error(whitened: DataFrame, basis: Basis) -> float | None:
     """The largest absolute entry of the covariance of ``whitened`` less the identity, over components with variance."""
     at = [k for k, e in enumerate(basis.eigenvalues) if e > 0]
-    pairs = [(i, j) for i in at for j in at if i <= j]
-    if not pairs:
+    if not at:
         return None
-    own = whitened.agg(*[F.covar_pop(F.col("whitened")[i], F.col("whitened")[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
-    return max(abs(own[f"c{i}_{j}"] - (i == j)) for i, j in pairs)
+    parts = whitened.select("whitened").mapInArrow(lambda b: _moments(b, at), "i int, j int, n long, a double, b double, co double")
+    n = F.sum("n")
+    centre = F.sum(F.col("n") * F.col("a")) * F.sum(F.col("n") * F.col("b")) / n
+    found = parts.groupBy("i", "j").agg(((F.sum(F.col("co") + F.col("n") * F.col("a") * F.col("b")) - centre) / n).alias("c")).collect()  # a row a pair
+    return max(abs(r.c - (r.i == r.j)) for r in found)
 
 
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
