@@ -239,7 +239,7 @@ def quality(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     good = F.col("posterior") >= 0.5
     size = labelled.agg(F.count_if(good), F.count_if(~good)).first()
     chance = F.when(good, F.lit(min(1.0, sample / max(size[0], 1)))).otherwise(F.lit(min(1.0, sample / max(size[1], 1))))
-    chosen = labelled.where(F.pmod(F.xxhash64("row.doc_id"), F.lit(1_000_000)) / 1e6 < chance).select("row.doc_id", "posterior")
+    chosen = labelled.where(F.pmod(F.xxhash64("row.doc_id"), F.lit(2**53)) / 2.0**53 < chance).select("row.doc_id", "posterior")
     # The chosen rows, about ``sample`` of each half, go to the texts, not the texts to them.
     chosen = chosen.groupBy("doc_id").agg(F.min("posterior").alias("posterior"))
     learned = kept.select("row.doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "posterior").agg(F.min("text").alias("text")).select("posterior", "text")

@@ -210,7 +210,7 @@ def train(labels: DataFrame, docs: DataFrame, groups: Sequence[Sequence[str]] =
     share = size.get(1, 0) / total if total else 0.0
     bound = F.when(F.col("toxic") == 1, F.lit(min(1.0, sample / max(size.get(1, 0), 1)))).otherwise(F.lit(min(1.0, sample / max(size.get(0, 0), 1))))
     # The chosen labels, about ``sample`` of each, go to the texts, not the texts to them.
-    wanted = rows.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6) < bound)
+    wanted = rows.where((F.pmod(F.xxhash64("doc_id"), F.lit(2**53)) / 2.0**53) < bound)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     chosen = texts.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     prepared = chosen.mapInArrow(_prepare(groups), "doc_id long, toxic int, features array<struct<f:int,n:int>>, swaps string")
