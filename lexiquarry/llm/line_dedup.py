@@ -5,8 +5,9 @@ or ``LONG`` words or more is cut on its own; shorter lines are cut together, so
 good as flowing text. Inside, the text is cut where the hash of the words on both sides is the least of all
 within ``REACH`` words, so that chunks have ``LEAST_WORDS`` words or more, about 11 in the mean, and a passage has
 the same chunks wherever it stands, but for those at its two ends. Chunks of two sentences or ``LEAST_WORDS``
-words or more that occur more than once are removed, but for the first occurrence in the document with the
-smallest doc_id.
+words or more that occur more than once are found, but for the first occurrence in the document with the
+smallest doc_id; runs of adjacent ones are removed if they have ``RUN_WORDS`` words or more, or two lines with words, so
+that a phrase that many texts share stays in its sentence.
 
 Byte comparison: chunks are found by hash; the texts of those that occur more than once are then compared,
 combined before they are shuffled, and a hash that has two texts is left alone.
@@ -24,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,8 @@ REACH = 5
 LEAST_WORDS, LEAST_LINES = 6, 2
 #: A line of so many words is cut on its own.
 LONG = 20
+#: Words that adjacent repeated chunks on fewer than ``LEAST_LINES`` lines must have together to be removed.
+RUN_WORDS = 13
 #: Bytes that are worked on together.
 TOGETHER = 400_000
 #: Share of the rows from which a hash is told by a broadcast.
@@ -212,6 +216,19 @@ _SEEN = T.StructField("seen", T.ArrayType(T.StructType([T.StructField("h", T.Lon
 _PIECE = pa.list_(pa.struct([("h", pa.int64()), ("chunk", pa.binary())]))
 
 
+def passages(chunks: list[bytes], repeated: list[bool]) -> list[bool]:
+    """Which of the repeated chunks are in a run that is long enough to go."""
+    out, k = list(repeated), 0
+    for repeats, run in groupby(zip(repeated, chunks, strict=True), key=lambda x: x[0]):
+        own = [c for _, c in run]
+        if repeats:
+            text = b"".join(own)
+            if len(text.split()) < RUN_WORDS and sum(bool(x.strip()) for x in text.split(b"\n")) < LEAST_LINES:
+                out[k : k + len(own)] = [False] * len(own)
+        k += len(own)
+    return out
+
+
 def _drop(columns: list[str], text_at: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows without the marked chunks, and the texts of all marked ones, each once in what is read together."""
@@ -220,18 +237,20 @@ def _drop(columns: list[str], text_at: int, width: int):
             told: set[tuple[int, bytes]] = set()
             for text, goes, pieces in zip(whole, rows.column(width).to_pylist(), chunks, strict=True):
                 own = {g["h"]: g["keeps"] for g in goes or ()}
-                kept, here, n, new = [], set(), 0, []
-                for chunk, key in pieces if own else ():
+                here: set[int | None] = set()
+                new, repeated = [], []
+                all_ = list(pieces) if own else []
+                for chunk, key in all_:
                     if key in own:
                         piece = (key, chunk.strip())
                         if piece not in told:
                             told.add(piece)
                             new.append({"h": key, "chunk": piece[1]})
-                    if key in own and (not own[key] or key in here):
-                        n += 1
-                    else:
-                        kept.append(chunk)
-                        here.add(key)
+                    repeated.append(key in own and (not own[key] or key in here))
+                    here.add(key)
+                goes_ = passages([c for c, _ in all_], repeated)
+                n = sum(goes_)
+                kept = [c for (c, _), out in zip(all_, goes_, strict=True) if not out]
                 left = b"".join(kept) if n else text
                 texts.append(left)
                 cut.append(n)

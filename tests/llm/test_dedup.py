@@ -48,6 +48,36 @@ def test_lines_join_to_the_text():
         assert "".join(c for c, _ in line_dedup.chunks_of(text)) == text
 
 
+def without_passages(text, gone):
+    """A text less its chunks in ``gone``, where neighbours have 13 words or two lines together."""
+    chunks, out, run = [c for c, _ in line_dedup.chunks_of(text)], "", ""
+    for k, chunk in enumerate([*chunks, None]):
+        if k in gone:
+            run += chunk
+            continue
+        if len(run.split()) < 13 and len([x for x in run.split("\n") if x.strip()]) < 2:
+            out += run
+        run = ""
+        out += chunk or ""
+    return out
+
+
+def test_phrases_stay_and_passages_go(docs):
+    """Texts that share 6 to 12 words of a line keep them; longer passages, and ones of two lines, go from all but the first."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(60):
+        phrase = " ".join(words(rng, 6 + k % 7))
+        for side in (0, 1):
+            own = " ".join([*words(rng, 40), phrase, *words(rng, 40)]) if k % 2 else "\n".join([" ".join(words(rng, 25)), phrase, " ".join(words(rng, 25))])
+            rows.append((2 * k + side, own))
+    assert {r.removed_chunks for r in line_dedup.drop_repeated_lines(docs(rows)).collect()} == {0}
+    two = "The first line of two.\nThe second one."
+    rows = [(k, "\n".join([" ".join(words(rng, 25)), two, " ".join(words(rng, 25))])) for k in range(3)]
+    got = {r.doc_id: two in r.text for r in line_dedup.drop_repeated_lines(docs(rows)).collect()}
+    assert got == {0: True, 1: False, 2: False}
+
+
 def test_line_dedup_against_brute_force(docs):
     rng = random.Random(2)
     shared = [passages(rng) for _ in range(4)]
@@ -64,7 +94,7 @@ def test_line_dedup_against_brute_force(docs):
     gone = {at for p in places.values() for at in p[1:]}
     got = {r.doc_id: r for r in line_dedup.drop_repeated_lines(docs(rows)).collect()}
     for i, t in rows:
-        left = "".join(c for k, (c, _) in enumerate(line_dedup.chunks_of(t)) if (i, k) not in gone)
+        left = without_passages(t, {k for j, k in gone if j == i})
         assert got[i].text == left
         assert got[i].removed_chars == len(t) - len(left)
     removed = sum(r.removed_chunks for r in got.values())

@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from lexiquarry.llm import bpe, line_dedup
 from tests.conftest import SF
+from tests.llm.test_dedup import without_passages
 from tests.llm.test_models import plain_mixture
 from tests.llm.test_near_dup import brute
 
@@ -31,7 +32,7 @@ def test_stages_on_the_smallest_tables(spark):
             if n >= 2 and chunk.strip():
                 places.setdefault(chunk.strip(), []).append((i, k))
     gone = {at for p in places.values() for at in p[1:]}
-    left = {i: "".join(c for k, (c, _) in enumerate(line_dedup.chunks_of(r.text)) if (i, k) not in gone) for i, r in before.items()}
+    left = {i: without_passages(r.text, {k for j, k in gone if j == i}) for i, r in before.items()}
     assert {i: r.text for i, r in after.items()} == {i: t for i, t in left.items() if t == before[i].text or t.strip(" \t\n\r")}
     assert all(r.n_chars == len(r.text) for r in after.values())
     before, after = kept[2]
