@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiquarry.functions import lexicon as L
@@ -251,85 +251,92 @@ def collapsed_headings(spark, sf_dir):
 
 
 #: Lines of small books: text, bold, page, block, left edge.
-_DUTY = "A member has the following duty. "
-BOOKS = {
-    "ACT": ("act", [
-        ("22. Membership.—", True, 1, 0, 50.0), ("A member may apply under section 45.", False, 2, 1, 50.0), ("The application shall be signed.", False, 3, 2, 50.0), ("23. Duties.—", True, 3, 3, 50.0),
-        ("(1) " + _DUTY * 40, False, 3, 4, 50.0), ("(a) an inner list of its own", False, 3, 5, 90.0), ("(2) " + _DUTY * 40, False, 4, 6, 50.0), ("Provided that the exception applies to that member.", False, 4, 7, 50.0), ("(3) " + _DUTY * 20, False, 5, 8, 50.0),
-        ("24. Fees.—", True, 6, 9, 50.0), ("(1) The member shall pay. The registrar shall reply.", False, 6, 10, 50.0), ("(2) The registrar shall reply to the member.", False, 6, 11, 50.0), ("21. Rights.— Falls below the number before.", True, 7, 12, 50.0),
-    ]),
-    "GUIDE": ("scheme_guideline", [
-        ("1. Scope", True, 1, 0, 50.0), ("The text of the scope goes on here. " * 8, False, 1, 1, 50.0), ("1.1 Farmers", True, 2, 2, 50.0), ("All farmers growing crops. " * 8, False, 2, 3, 50.0),
-        ("1.2 Claims", True, 4, 4, 50.0), ("A claim is paid within days. " * 8, False, 5, 5, 50.0), ("3.1 Alone", True, 6, 6, 50.0), ("It has nothing above. " * 8, False, 6, 7, 50.0),
-    ]),
-    "RULES": ("rules", [
-        ("FORM VI", True, 1, 0, 50.0), ("The applicant tells all. " * 100, False, 1, 1, 50.0), ("Details of applicant", True, 2, 2, 50.0), ("word " * 300, False, 2, 3, 50.0), ("Details of claim", True, 3, 4, 50.0), ("word " * 300, False, 3, 5, 50.0),
-    ]),
-    "AMEND": ("amendment_rules", [
-        ("5. In the said rules, for rule 9 the following shall be substituted", False, 1, 0, 50.0), ("“9. Fees.— " + "The fee is due. " * 120, False, 1, 1, 50.0), ("10. Rights.— " + "The right is kept. " * 120, False, 2, 2, 50.0),
-    ]),
-}
-_LINE = "source_id string, document_type string, line_no int, seq double, text string, bold boolean, page int, block int, x0 double, size double, body_size double, table boolean"
-
-
-def book_lines(spark: SparkSession) -> DataFrame:
-    rows = [(s, d, k, float(k), t, b, p, n, x, 10.0, 10.0, False) for s, (d, lines) in BOOKS.items() for k, (t, b, p, n, x) in enumerate(lines)]
-    return spark.createDataFrame(rows, _LINE)
-
-
-def book_sources(spark: SparkSession) -> DataFrame:
-    rows = [(s, f"Title of {s}", "India", d, "A", "high", "http://x", f"{s}.pdf", "02-01-2024") for s, (d, _) in BOOKS.items()]
-    return spark.createDataFrame([*rows, ("GONE", "Title", "India", "act", "A", "low", "http://x", "g.pdf", "2024-01-02")], "source_id string, title string, jurisdiction string, document_type string, authority string, priority string, source_url string, relative_path string, retrieved_date string")
-
-
-#: What the books give, by the rules: id, type, parent, number, heading, pages, words, scope, warnings, status.
-RECORDS = (
-    ("ACT_DOC", "parent", None, None, None, 1, 7, 2, "context_only", "CONTEXT_PARENT;SHORT_CONTEXT_PARENT", "REFERENCE_ONLY"),
-    ("ACT_SEC_22", "child", "ACT_DOC", "22", "Membership", 1, 3, 14, "complete_provision", "SHORT_COMPLETE_PROVISION", "ACTIVE"),
-    ("ACT_SEC_23", "parent", "ACT_DOC", "23", "Duties", 3, 5, 620, "complete_provision", "", "REFERENCE_ONLY"),
-    ("ACT_SEC_23_SUB_1", "child", "ACT_SEC_23", "23", "Duties", 3, 3, 248, "complete_provision", "", "ACTIVE"),
-    ("ACT_SEC_23_SUB_2", "child", "ACT_SEC_23", "23", "Duties", 4, 4, 249, "complete_provision", "", "ACTIVE"),
-    ("ACT_SEC_23_SUB_3", "child", "ACT_SEC_23", "23", "Duties", 5, 5, 121, "complete_provision", "", "ACTIVE"),
-    ("ACT_SEC_24", "child", "ACT_DOC", "24", "Fees", 6, 6, 19, "complete_provision", "SHORT_COMPLETE_PROVISION", "ACTIVE"),
-    ("ACT_SEC_21", "child", "ACT_DOC", "21", "Rights", 7, 7, 7, "complete_provision", "MALFORMED_NUMBERING_HIERARCHY;SHORT_COMPLETE_PROVISION", "ACTIVE"),
-    ("AMEND_DOC", "parent", None, None, None, 1, 2, 13, "context_only", "CONTEXT_PARENT;SHORT_CONTEXT_PARENT", "REFERENCE_ONLY"),
-    ("AMEND_ITEM_5", "parent", "AMEND_DOC", None, None, 1, 2, 13, "context_only", "CONTEXT_PARENT;SHORT_CONTEXT_PARENT", "REFERENCE_ONLY"),
-    ("AMEND_ITEM_5_SUB_9", "child", "AMEND_ITEM_5", "9", None, 1, 1, 482, "complete_provision", "", "ACTIVE"),
-    ("AMEND_ITEM_5_SUB_10", "child", "AMEND_ITEM_5", "10", None, 2, 2, 482, "complete_provision", "", "ACTIVE"),
-    ("GUIDE_DOC", "parent", None, None, None, 1, 6, 2, "context_only", "CONTEXT_PARENT;SHORT_CONTEXT_PARENT", "REFERENCE_ONLY"),
-    ("GUIDE_SEC_1", "parent", "GUIDE_DOC", "1", "Scope", 1, 5, 66, "context_only", "", "REFERENCE_ONLY"),
-    ("GUIDE_SEC_1_1", "child", "GUIDE_SEC_1", "1.1", "Scope", 2, 2, 34, "complete_provision", "", "ACTIVE"),
-    ("GUIDE_SEC_1_2", "child", "GUIDE_SEC_1", "1.2", "Scope", 4, 5, 50, "complete_provision", "", "ACTIVE"),
-    ("GUIDE_SEC_3_1", "child", "GUIDE_DOC", "3.1", "Alone", 6, 6, 34, "complete_provision", "STRUCTURE_UNCERTAIN", "ACTIVE"),
-    ("RULES_DOC", "parent", None, None, None, 1, 3, 2, "context_only", "CONTEXT_PARENT;SHORT_CONTEXT_PARENT", "REFERENCE_ONLY"),
-    ("RULES_FORM_VI", "parent", "RULES_DOC", None, "FORM VI", 1, 3, 402, "context_only", "CONTEXT_PARENT", "REFERENCE_ONLY"),
-    ("RULES_FORM_VI_SUB_1", "child", "RULES_FORM_VI", None, "FORM VI", 2, 2, 303, "complete_provision", "", "ACTIVE"),
-    ("RULES_FORM_VI_SUB_2", "child", "RULES_FORM_VI", None, "FORM VI", 3, 3, 303, "complete_provision", "", "ACTIVE"),
+#: Books of parts, one of four kinds by key: an act with subsections, a form, an amendment and a guide; a few have no lines.
+KINDS = ("act", "rules", "amendment_rules", "scheme_guideline")
+_BOOK = """
+k AS (SELECT p_partkey AS k, 'P' || p_partkey AS s, p_partkey % 4 AS kind, 2 + p_partkey // 4 % 4 AS n FROM part WHERE p_partkey % 20 <> 19),
+sub AS (SELECT *, 1 + 6 * (5 + (k * 3 + i * 7) % 40) + CASE WHEN i = 2 THEN 8 ELSE 0 END AS w FROM (SELECT *, unnest(generate_series(1, n)) AS i FROM k WHERE kind = 0)),
+piece AS (
+  SELECT k, s, kind, 'SEC_22' AS unit, i AS piece, CAST(i AS VARCHAR) AS piece_id, w, 1 + i AS page FROM sub UNION ALL SELECT k, s, kind, 'SEC_22', 0, NULL, 2, 1 FROM k WHERE kind = 0
+  UNION ALL SELECT k, s, kind, 'FORM_VI', p, CASE WHEN p > 0 THEN CAST(p AS VARCHAR) END, CASE p WHEN 0 THEN 82 + 4 * (k % 100) WHEN 1 THEN 23 + k * 7 % 400 ELSE 23 + k * 11 % 400 END, p + 1 FROM k, (SELECT unnest([0, 1, 2]) AS p) WHERE kind = 1
+  UNION ALL SELECT k, s, kind, 'ITEM_5', p, ([NULL, '9', '10'])[p + 1], CASE p WHEN 0 THEN 13 WHEN 1 THEN 242 + 4 * (k * 5 % 100) ELSE 242 + 4 * (k * 9 % 100) END, greatest(p, 1) FROM k, (SELECT unnest([0, 1, 2]) AS p) WHERE kind = 2
+),
+whole AS (SELECT k, s, kind, unit, sum(w) AS w, arg_min(w, piece) AS intro, max(page) AS pages, sum(w) > CASE WHEN kind = 0 THEN 450 ELSE 900 END AS split FROM piece GROUP BY k, s, kind, unit),
+place AS (SELECT *, CASE kind WHEN 0 THEN '22' END AS number, CASE kind WHEN 0 THEN 'Duties' WHEN 1 THEN 'FORM VI' END AS heading FROM whole),
+guide AS (SELECT *, 26 + 8 * (k % 30) AS scope, 22 + 4 * (k % 50) AS farmers, 26 + 6 * (k % 30) AS claims, 22 + 4 * (k % 40) AS alone FROM k WHERE kind = 3),
+record AS (
+  SELECT s || '_DOC' AS chunk_id, s, 'parent' AS record_type, NULL AS parent_id, NULL AS number, NULL AS heading, 1 AS page_start, pages AS page_end, CASE WHEN kind = 2 THEN 13 ELSE 2 END AS word_count, 'context_only' AS text_scope, 'CONTEXT_PARENT;SHORT_CONTEXT_PARENT' AS warnings, 'REFERENCE_ONLY' AS retrieval_status FROM place
+  UNION ALL SELECT s || '_' || unit, s, CASE WHEN split THEN 'parent' ELSE 'child' END, s || '_DOC', number, heading, 1, pages, CASE WHEN split AND w > 900 THEN intro ELSE w END, CASE WHEN split AND w > 900 THEN 'context_only' ELSE 'complete_provision' END,
+    CASE WHEN split AND w > 900 THEN 'CONTEXT_PARENT' || CASE WHEN intro < 20 THEN ';SHORT_CONTEXT_PARENT' ELSE '' END ELSE '' END, CASE WHEN split THEN 'REFERENCE_ONLY' ELSE 'ACTIVE' END FROM place
+  UNION ALL SELECT l.s || '_' || l.unit || '_SUB_' || piece_id, l.s, 'child', l.s || '_' || l.unit, CASE WHEN l.kind = 2 THEN piece_id ELSE number END, heading, page, page, piece.w, 'complete_provision', '', 'ACTIVE' FROM place l JOIN piece ON piece.k = l.k AND piece > 0 WHERE split
+  UNION ALL SELECT s || '_DOC', s, 'parent', NULL, NULL, NULL, 1, 6, 2, 'context_only', 'CONTEXT_PARENT;SHORT_CONTEXT_PARENT', 'REFERENCE_ONLY' FROM guide
+  UNION ALL SELECT s || '_SEC_1', s, 'parent', s || '_DOC', '1', 'Scope', 1, 5, scope, 'context_only', '', 'REFERENCE_ONLY' FROM guide
+  UNION ALL SELECT s || '_SEC_1_1', s, 'child', s || '_SEC_1', '1.1', 'Scope', 2, 2, farmers, 'complete_provision', '', 'ACTIVE' FROM guide
+  UNION ALL SELECT s || '_SEC_1_2', s, 'child', s || '_SEC_1', '1.2', 'Scope', 4, 5, claims, 'complete_provision', '', 'ACTIVE' FROM guide
+  UNION ALL SELECT s || '_SEC_3_1', s, 'child', s || '_DOC', '3.1', 'Alone', 6, 6, alone, 'complete_provision', 'STRUCTURE_UNCERTAIN', 'ACTIVE' FROM guide
 )
+"""
+
+
+def book_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the books of parts."""
+    k, kind = F.col("p_partkey"), F.col("p_partkey") % 4
+
+    def line(text: Column | str, page: Column | int, bold: bool = False, x0: float = 50.0) -> Column:
+        text, page = (F.lit(v) if isinstance(v, str | int) else v for v in (text, page))
+        return F.struct(text.alias("text"), F.lit(bold).alias("bold"), page.cast("int").alias("page"), F.lit(x0).alias("x0"))
 
+    def times(text: str, n: Column, before: str = "") -> Column:
+        return F.concat(F.lit(before), F.repeat(F.lit(text), n.cast("int")))
+
+    duty = lambda i: line(F.concat(F.lit("("), i.cast("string"), F.lit(") "), F.repeat(F.lit("A member has the following duty. "), ((k * 3 + i * 7) % 40 + 5).cast("int"))), i + 1)
+    subsections = F.flatten(F.transform(F.sequence(F.lit(1), (F.floor(k / 4) % 4 + 2).cast("int")), lambda i: F.when(i == 2, F.array(duty(i), line("Provided that the exception applies to that member.", i + 1))).otherwise(F.array(duty(i)))))
+    act = F.concat(F.array(line("22. Duties.—", 1, True)), subsections)
+    form = F.array(
+        line("FORM VI", 1, True), line(times("The applicant tells all. ", k % 100 + 20), 1), line("Details of applicant", 2, True), line(times("word ", k * 7 % 400 + 20), 2),
+        line("Details of claim", 3, True), line(times("word ", k * 11 % 400 + 20), 3),
+    )
+    amendment = F.array(
+        line("5. In the said rules, for rule 9 the following shall be substituted", 1), line(times("The fee is due. ", k * 5 % 100 + 60, "“9. Fees.— "), 1), line(times("The right is kept. ", k * 9 % 100 + 60, "10. Rights.— "), 2),
+    )
+    guide = F.array(
+        line("1. Scope", 1, True), line(times("The text of the scope goes on here. ", k % 30 + 3), 1), line("1.1 Farmers", 2, True), line(times("All farmers growing crops. ", k % 50 + 5), 2),
+        line("1.2 Claims", 4, True), line(times("A claim is paid within days. ", k % 30 + 4), 5), line("3.1 Alone", 6, True), line(times("It has nothing above. ", k % 40 + 5), 6),
+    )
+    lines = F.when(kind == 0, act).when(kind == 1, form).when(kind == 2, amendment).otherwise(guide)
+    rows = table(spark, sf_dir, "part").where(k % 20 != 19).select(F.concat(F.lit("P"), k.cast("string")).alias("source_id"), F.element_at(F.array(*map(F.lit, KINDS)), (kind + 1).cast("int")).alias("document_type"), F.posexplode(lines).alias("line_no", "l"))
+    return rows.select("source_id", "document_type", "line_no", F.col("line_no").cast("double").alias("seq"), "l.text", "l.bold", "l.page", F.col("line_no").alias("block"), "l.x0", F.lit(10.0).alias("size"), F.lit(10.0).alias("body_size"), F.lit(False).alias("table"))
 
-@query("SELECT * FROM " + sql_rows("chunk_id, record_type, parent_id, number, heading, page_start, page_end, word_count, text_scope, warnings, retrieval_status", RECORDS))
+
+def book_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("p_partkey") % 4 + 1).cast("int"))
+    text = {"title": F.col("p_name"), "jurisdiction": F.lit("India"), "document_type": kind, "authority": F.lit("A"), "priority": F.lit("high"), "source_url": F.lit("http://x"), "relative_path": F.lit("x.pdf"), "retrieved_date": F.lit("02-01-2024")}
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("source_id"), *[v.alias(c) for c, v in text.items()])
+
+
+@query(f"WITH {_BOOK} SELECT chunk_id, record_type, parent_id, number, heading, page_start, page_end, word_count, text_scope, warnings, retrieval_status FROM record")
 def book_records(spark, sf_dir):
-    """Small books from lines to records: sections and their children, forms, amendments, and headings below others."""
-    rows = extraction.extract(book_lines(spark), book_sources(spark))[0]
+    """Books of parts from lines to records: sections and their children, forms, amendments, and headings below others."""
+    rows = extraction.extract(book_lines(spark, sf_dir), book_sources(spark, sf_dir))[0]
     return rows.select("chunk_id", "record_type", "parent_id", F.coalesce("section", "rule").alias("number"), "heading", "page_start", "page_end", "word_count", "text_scope", F.array_join("warnings", ";").alias("warnings"), "retrieval_status")
 
 
-@query("""
-SELECT * FROM (VALUES ('ACT', 2, 6, 8, 4, 0, 0, 4, 0, 'MALFORMED_NUMBERING_HIERARCHY;SHORT_COMPLETE_PROVISION;SHORT_CONTEXT_PARENT', 'PASS'), ('AMEND', 2, 2, 4, 0, 1, 0, 0, 0, 'SHORT_CONTEXT_PARENT', 'PASS'), ('GUIDE', 2, 3, 5, 0, 0, 0, 4, 0, 'SHORT_CONTEXT_PARENT;STRUCTURE_UNCERTAIN', 'PASS'),
- ('RULES', 2, 2, 4, 0, 0, 0, 1, 1, 'SHORT_CONTEXT_PARENT', 'PASS'), ('GONE', 0, 0, 0, 0, 0, 0, 0, 0, '', 'ERROR')) AS t(source_id, parent_records, child_records, total_records, sections_detected, rules_detected, clauses_detected, headings_detected, forms_detected, warnings, status)
+@query(f"""
+WITH {_BOOK}, w AS (SELECT s, unnest(string_split(warnings, ';')) AS warning FROM record), v AS (SELECT s, string_agg(DISTINCT warning, ';' ORDER BY warning) AS warnings FROM w WHERE warning NOT IN ('', 'CONTEXT_PARENT') GROUP BY s),
+r AS (SELECT s, count(*) FILTER (record_type = 'parent') AS parents, count(*) FILTER (record_type = 'child') AS children, count(*) AS n FROM record GROUP BY s), p AS (SELECT 'P' || p_partkey AS s, p_partkey % 4 AS kind, p_partkey % 20 <> 19 AS there FROM part)
+SELECT p.s AS source_id, coalesce(parents, 0) AS parent_records, coalesce(children, 0) AS child_records, coalesce(n, 0) AS total_records, CAST(there AND kind = 0 AS BIGINT) AS sections_detected, CAST(there AND kind = 2 AS BIGINT) AS rules_detected, CAST(0 AS BIGINT) AS clauses_detected,
+  CAST(CASE WHEN NOT there THEN 0 ELSE ([1, 1, 0, 4])[kind + 1] END AS BIGINT) AS headings_detected, CAST(there AND kind = 1 AS BIGINT) AS forms_detected, coalesce(v.warnings, '') AS warnings, CASE WHEN there THEN 'PASS' ELSE 'ERROR' END AS status FROM p LEFT JOIN r ON r.s = p.s LEFT JOIN v ON v.s = p.s
 """)
 def book_report(spark, sf_dir):
     """The report on the books' extraction; a source without records is an error."""
-    return extraction.extract(book_lines(spark), book_sources(spark))[1]
+    return extraction.extract(book_lines(spark, sf_dir), book_sources(spark, sf_dir))[1]
 
 
-@query("""
-SELECT * FROM (VALUES ('ACT', 0, NULL, 2), ('ACT', 1, '1', 248), ('ACT', 2, '2', 249), ('ACT', 3, '3', 121), ('RULES', 0, NULL, 402), ('RULES', 1, '1', 303), ('RULES', 2, '2', 303), ('AMEND', 0, NULL, 13), ('AMEND', 1, '9', 482), ('AMEND', 2, '10', 482)) AS t(source_id, piece, piece_id, words)
-""")
+@query(f"WITH {_BOOK} SELECT piece.s AS source_id, CAST(piece AS INTEGER) AS piece, piece_id, CAST(piece.w AS INTEGER) AS words, CAST(page AS INTEGER) AS page FROM piece JOIN whole ON whole.k = piece.k WHERE split")
 def book_children(spark, sf_dir):
     """The pieces of units that are split, each by the rule for its kind."""
-    return extraction.prepared(extraction.segments(book_lines(spark)))[2].select("source_id", "piece", "piece_id", words("text").alias("words"))
+    rows = extraction.prepared(extraction.segments(book_lines(spark, sf_dir)))[2]
+    return rows.select("source_id", F.col("piece").cast("int").alias("piece"), "piece_id", words("text").alias("words"), F.col("page_start").alias("page"))
 
 
 _PARAGRAPHS = """
