@@ -37,17 +37,23 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-#: A key that more than one in ``HOT`` rows have is hot; so there are fewer than ``HOT`` hot keys.
-HOT = 1000
+#: A key that more than one in ``HOT`` rows have is hot, and at size one that has more than ``ROWS`` rows, as many as a task
+#: may get, but at most ``KEYS`` keys are.
+HOT, ROWS, KEYS = 1000, 2_000_000, 200_000
+
+
+def hot_limit(total: int) -> float:
+    """Rows beyond which a key of a table of ``total`` rows is hot."""
+    return min(total / HOT, max(ROWS, total / KEYS))
 
 
 def split_hot(side: DataFrame, weight: str, total: int) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``side``, one a key, whose key has more than ``total / HOT`` rows elsewhere, and the others.
+    """The rows of ``side``, one a key, whose key has more than :func:`hot_limit` rows elsewhere, and the others.
 
     ``weight`` is the column of how many rows have the key, ``total`` the sum of that. The first are fewer
-    than ``HOT`` whatever the data, so they may be broadcast.
+    than ``KEYS`` whatever the data, so they may be broadcast.
     """
-    hot = F.coalesce(F.col(weight) > F.lit(total / HOT), F.lit(False))
+    hot = F.coalesce(F.col(weight) > F.lit(hot_limit(total)), F.lit(False))
     return side.where(hot), side.where(~hot)
 
 
