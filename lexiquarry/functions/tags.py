@@ -233,10 +233,6 @@ def word_band(count: Column) -> Column:
     )
 
 
-def word_count(text: Column | str) -> Column:
-    return words(text)
-
-
 def provider_status(reason: Column) -> Column:
     """The HTTP status of a failed answer, null for one that did not fail."""
     return (

@@ -7,12 +7,13 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
-#: Folders that :func:`written` made, for :func:`scratch`.
-_MADE: list[str] = []
+#: Folders that :func:`written` made inside a :func:`scratch` of this thread.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -39,7 +40,8 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: evaluated once, lineage cut."""
     spark, path = df.sparkSession, fresh(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
-    _MADE.append(path)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -58,10 +60,11 @@ def unwritten(df: DataFrame) -> None:
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes at its end what was :func:`written` inside; what is still to be read then must be stored before."""
-    begun = len(_MADE)
+    made: list[str] = []
+    token = _MADE.set(made)
     try:
         yield
     finally:
-        for folder in _MADE[begun:]:
+        _MADE.reset(token)
+        for folder in made:
             _delete(spark, folder)
-        del _MADE[begun:]

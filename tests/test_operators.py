@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiquarry.functions import lexicon as L
@@ -14,6 +15,16 @@ from lexiquarry.operators import answers, chunking, dialog, flow, layout, qualit
 LINE = "source_id string, document_type string, body_size double, page int, line_no int, seq double, text string, x0 double, y0 double, x1 double, y1 double, size double, bold boolean, block int, table boolean"
 
 
+def scored(questions: DataFrame, items: DataFrame, scope: str = "scope") -> DataFrame:
+    """Every question with every item of a scope it may see, and the inner product.
+
+    ``questions (question_id, allowed array, q)``, ``items (item_id, scope, source_id, v)``. The scope is
+    a join key: rows out of scope are never scored.
+    """
+    asked = questions.select("question_id", "q", F.explode("allowed").alias(scope))
+    return asked.join(items, scope).select("question_id", "item_id", "source_id", scope, retrieval.dot("q", "v").alias("score"))
+
+
 @pytest.fixture
 def lines(spark):
     """Lines from texts, or (text, changes) pairs."""
@@ -227,7 +238,7 @@ def test_rerank_equals_greedy_choice(spark):
 def test_scope_comes_before_the_top(spark):
     items = spark.createDataFrame([(1, "a", "x", [1.0, 0.0]), (2, "b", "x", [0.9, 0.0]), (3, "a", "y", [0.5, 0.0])], "item_id long, scope string, source_id string, v array<double>")
     asked = spark.createDataFrame([(7, ["b"], [1.0, 0.0]), (8, [], [1.0, 0.0])], "question_id long, allowed array<string>, q array<double>")
-    assert [(r.question_id, r.item_id) for r in retrieval.top_k(retrieval.scored(asked, items), 5).collect()] == [(7, 2)]
+    assert [(r.question_id, r.item_id) for r in retrieval.top_k(scored(asked, items), 5).collect()] == [(7, 2)]
 
 
 def test_features(spark):
@@ -436,7 +447,7 @@ def test_blocked_search_equals_all_pairs(spark, monkeypatch):
     rng = random.Random(5)
     items = spark.createDataFrame([(i, f"j{i % 3}", f"s{i % 5}", [float(rng.randrange(4)) for _ in range(3)]) for i in range(120)], "item_id long, scope string, source_id string, v array<double>")
     asked = spark.createDataFrame([(q, ["j0", "j1"][: 1 + q % 2], [float(rng.randrange(4)) for _ in range(3)]) for q in range(10)], "question_id long, allowed array<string>, q array<double>")
-    every = retrieval.scored(asked, items).where("item_id <> question_id")
+    every = scored(asked, items).where("item_id <> question_id")
     few = retrieval.best_scored(asked, items, 4, digits=9, other=True)
     for take in (lambda h: retrieval.top_k(h, 4), lambda h: retrieval.candidate_pool(h, 4)):
         key = lambda r: (r.question_id, r.item_id, r.score)
