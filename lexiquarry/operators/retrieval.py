@@ -208,7 +208,9 @@ ITEMS, ASKED = 8192, 1024
 
 
 def best_scored(questions: DataFrame, items: DataFrame, k: int, digits: int | None = None, other: bool = False) -> DataFrame:
-    """Of :func:`scored` the rows that a top ``k`` or a pool of candidates can need: no list of all pairs is made.
+    """``question_id, item_id, source_id, scope, score`` of the items that a question may see, as far as a top ``k`` or a pool of candidates can need them.
+
+    ``questions (question_id, allowed array, q)``, ``items (item_id, scope, source_id, v)``; no list of all pairs is made.
 
     The items of each scope are dealt in blocks, the questions that may see it in parts; each pair is one matrix
     product, of which the best ``k`` and the best of each source come out. ``other`` leaves out the item that has the
