@@ -305,15 +305,15 @@ def _pieces(batches: Iterator[pa.RecordBatch], lines: bool, size: int) -> Iterat
     own = TaskContext.get()
     part = (own.partitionId() if own else 0) << 33
     held: list[tuple[Row, int | None]] = []
-    chars, conv, first, cut, any_row = 0, None, True, False, False
+    chars, conv, first, cut, any_row, waiting = 0, None, True, False, False, 0
     out: list[dict] = []
 
     def close(more: bool) -> None:
         """Ends the piece that is held; ``more`` tells that the conversation may go on."""
-        nonlocal held, chars, part
+        nonlocal held, chars, part, waiting
         rows, turns = [r for r, _ in held if r.n], [t for r, t in held if r.n]
         out.append({"conv_id": conv, "part": part} | looked_at(rows, turns) | (_partly(rows) if first or cut or more else _whole(rows, lines)))
-        held, chars, part = [], 0, part + 1
+        held, chars, part, waiting = [], 0, part + 1, waiting + chars
 
     def told() -> Iterator[pa.RecordBatch]:
         if out:
@@ -331,8 +331,9 @@ def _pieces(batches: Iterator[pa.RecordBatch], lines: bool, size: int) -> Iterat
             conv, any_row = i, True
             held.append((Row(*row), turn))
             chars += len(row[1])
-            if len(out) >= 500:
+            if len(out) >= 500 or waiting >= PIECE_CHARS:
                 yield from told()
+                waiting = 0
     if any_row:
         close(True)
     yield from told()
