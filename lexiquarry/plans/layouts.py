@@ -252,8 +252,8 @@ def collapsed_headings(spark, sf_dir):
 
 #: Lines of small books: text, bold, page, block, left edge.
 #: Books of parts, one of four kinds by key: an act with subsections, a form, an amendment and a guide; a few have no lines.
-KINDS = ("act", "rules", "amendment_rules", "scheme_guideline")
-_BOOK = """
+DOCUMENT_TYPES = ("act", "rules", "amendment_rules", "scheme_guideline")
+_PART_BOOKS = """
 k AS (SELECT p_partkey AS k, 'P' || p_partkey AS s, p_partkey % 4 AS kind, 2 + p_partkey // 4 % 4 AS n FROM part WHERE p_partkey % 20 <> 19),
 sub AS (SELECT *, 1 + 6 * (5 + (k * 3 + i * 7) % 40) + CASE WHEN i = 2 THEN 8 ELSE 0 END AS w FROM (SELECT *, unnest(generate_series(1, n)) AS i FROM k WHERE kind = 0)),
 piece AS (
@@ -304,17 +304,17 @@ def book_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         line("1.2 Claims", 4, True), line(times("A claim is paid within days. ", k % 30 + 4), 5), line("3.1 Alone", 6, True), line(times("It has nothing above. ", k % 40 + 5), 6),
     )
     lines = F.when(kind == 0, act).when(kind == 1, form).when(kind == 2, amendment).otherwise(guide)
-    rows = table(spark, sf_dir, "part").where(k % 20 != 19).select(F.concat(F.lit("P"), k.cast("string")).alias("source_id"), F.element_at(F.array(*map(F.lit, KINDS)), (kind + 1).cast("int")).alias("document_type"), F.posexplode(lines).alias("line_no", "l"))
+    rows = table(spark, sf_dir, "part").where(k % 20 != 19).select(F.concat(F.lit("P"), k.cast("string")).alias("source_id"), F.element_at(F.array(*map(F.lit, DOCUMENT_TYPES)), (kind + 1).cast("int")).alias("document_type"), F.posexplode(lines).alias("line_no", "l"))
     return rows.select("source_id", "document_type", "line_no", F.col("line_no").cast("double").alias("seq"), "l.text", "l.bold", "l.page", F.col("line_no").alias("block"), "l.x0", F.lit(10.0).alias("size"), F.lit(10.0).alias("body_size"), F.lit(False).alias("table"))
 
 
 def book_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("p_partkey") % 4 + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, DOCUMENT_TYPES)), (F.col("p_partkey") % 4 + 1).cast("int"))
     text = {"title": F.col("p_name"), "jurisdiction": F.lit("India"), "document_type": kind, "authority": F.lit("A"), "priority": F.lit("high"), "source_url": F.lit("http://x"), "relative_path": F.lit("x.pdf"), "retrieved_date": F.lit("02-01-2024")}
     return table(spark, sf_dir, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("source_id"), *[v.alias(c) for c, v in text.items()])
 
 
-@query(f"WITH {_BOOK} SELECT chunk_id, record_type, parent_id, number, heading, page_start, page_end, word_count, text_scope, warnings, retrieval_status FROM record")
+@query(f"WITH {_PART_BOOKS} SELECT chunk_id, record_type, parent_id, number, heading, page_start, page_end, word_count, text_scope, warnings, retrieval_status FROM record")
 def book_records(spark, sf_dir):
     """Books of parts from lines to records: sections and their children, forms, amendments, and headings below others."""
     rows = extraction.extract(book_lines(spark, sf_dir), book_sources(spark, sf_dir))[0]
@@ -322,7 +322,7 @@ def book_records(spark, sf_dir):
 
 
 @query(f"""
-WITH {_BOOK}, w AS (SELECT s, unnest(string_split(warnings, ';')) AS warning FROM record), v AS (SELECT s, string_agg(DISTINCT warning, ';' ORDER BY warning) AS warnings FROM w WHERE warning NOT IN ('', 'CONTEXT_PARENT') GROUP BY s),
+WITH {_PART_BOOKS}, w AS (SELECT s, unnest(string_split(warnings, ';')) AS warning FROM record), v AS (SELECT s, string_agg(DISTINCT warning, ';' ORDER BY warning) AS warnings FROM w WHERE warning NOT IN ('', 'CONTEXT_PARENT') GROUP BY s),
 r AS (SELECT s, count(*) FILTER (record_type = 'parent') AS parents, count(*) FILTER (record_type = 'child') AS children, count(*) AS n FROM record GROUP BY s), p AS (SELECT 'P' || p_partkey AS s, p_partkey % 4 AS kind, p_partkey % 20 <> 19 AS there FROM part)
 SELECT p.s AS source_id, coalesce(parents, 0) AS parent_records, coalesce(children, 0) AS child_records, coalesce(n, 0) AS total_records, CAST(there AND kind = 0 AS BIGINT) AS sections_detected, CAST(there AND kind = 2 AS BIGINT) AS rules_detected, CAST(0 AS BIGINT) AS clauses_detected,
   CAST(CASE WHEN NOT there THEN 0 ELSE ([1, 1, 0, 4])[kind + 1] END AS BIGINT) AS headings_detected, CAST(there AND kind = 1 AS BIGINT) AS forms_detected, coalesce(v.warnings, '') AS warnings, CASE WHEN there THEN 'PASS' ELSE 'ERROR' END AS status FROM p LEFT JOIN r ON r.s = p.s LEFT JOIN v ON v.s = p.s
@@ -332,7 +332,7 @@ def book_report(spark, sf_dir):
     return extraction.extract(book_lines(spark, sf_dir), book_sources(spark, sf_dir))[1]
 
 
-@query(f"WITH {_BOOK} SELECT piece.s AS source_id, CAST(piece AS INTEGER) AS piece, piece_id, CAST(piece.w AS INTEGER) AS words, CAST(page AS INTEGER) AS page FROM piece JOIN whole ON whole.k = piece.k WHERE split")
+@query(f"WITH {_PART_BOOKS} SELECT piece.s AS source_id, CAST(piece AS INTEGER) AS piece, piece_id, CAST(piece.w AS INTEGER) AS words, CAST(page AS INTEGER) AS page FROM piece JOIN whole ON whole.k = piece.k WHERE split")
 def book_children(spark, sf_dir):
     """The pieces of units that are split, each by the rule for its kind."""
     rows = extraction.prepared(extraction.segments(book_lines(spark, sf_dir)))[2]

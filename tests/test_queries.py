@@ -40,6 +40,26 @@ def test_query(spark, duck, name):
         assert sorted(map(repr, got)) == sorted(map(repr, rows))
 
 
+def test_books_of_orders_have_the_kinds_of_their_sql(spark, duck):
+    """The array that ``_book`` reads when it runs is the one that its SQL was made of."""
+    from lexiquarry.plans import layouts
+
+    got = {(r.seq, r.kind) for r in layouts._book(spark, SF).select("seq", "boundary.kind").collect()}
+    assert {kind for _, kind in got} == {None, "part", "chapter", "section", "rule", "form", "background", "clause"}
+    assert got == set(duck.sql(f"WITH {layouts._BOOK} SELECT seq, kind FROM b").fetchall())
+
+
+def test_constants_of_plans_are_bound_once():
+    """SQL takes a constant when its module is read, a query when it runs: a second value would part them."""
+    import ast
+    from collections import Counter
+    from pathlib import Path
+
+    for path in Path(ROOT, "lexiquarry", "plans").glob("*.py"):
+        bound = Counter(t.id for n in ast.parse(path.read_text()).body if isinstance(n, ast.Assign) for t in n.targets if isinstance(t, ast.Name))
+        assert not [name for name, times in bound.items() if times > 1], path
+
+
 def test_entry_without_the_training_data_part():
     """The other queries are there when that subpackage and the pipeline are not."""
     code = (
