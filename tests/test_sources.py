@@ -209,6 +209,14 @@ def test_page_scan(spark, tmp_path):
     assert "Crop | Rate\nRice | 2 percent" in [r.text for r in grid.collect()]
 
 
+@pytest.mark.parametrize(("html", "want"), [("<h1>and&amp</h1>", "and&amp"), ("<p>a&lt b&#39 c&copyx &notit; &zz;</p>", "a&lt b&#39 c&copyx &notit; &zz;"), ("<p>a&amp;b &copy;&#39;&#x41; &amp;lt; x & y</p>", "a&b ©'A &lt; x & y")])
+def test_references_that_were_cut_off_stay_as_they_are(html, want):
+    """As in the other reader of pages, a reference has its semicolon."""
+    from lexiquarry.sources import html_layout
+
+    assert [s.text for p in html_layout.parse(html.encode()) for s in p.spans] == [want]
+
+
 def test_page_scan_makes_only_what_is_asked_for(spark, tmp_path):
     folder = page_files(tmp_path, a=HTML, b=HTML)
     only = page_scan.scan(spark, folder, ("path", "sha256"), parser="no.such_module:parse")
