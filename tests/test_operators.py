@@ -466,3 +466,30 @@ def test_statistics_must_match(spark):
     for stats in ([("a", "w")], [("a", "w"), ("b", ""), ("b", "")]):
         with pytest.raises(Exception, match="statistics"):
             quality.with_stats(records, spark.createDataFrame(stats, "chunk_id string, warning string")).collect()
+
+
+def test_last_sentences_are_looked_for_from_the_end():
+    import re
+
+    from lexiquarry.functions.text import SENTENCE_GAP
+    from lexiquarry.operators import chunking
+
+    for text in ("", "one", "One. Two three", "a. " * 900, "The end. " + "word " * 900, "x" * 511 + ". Then it", "x" * 505 + ".  " + "Then " * 102, "Ends. Then.\n\nThen it (1) goes"):
+        assert chunking._last_sentence(text) == re.split(SENTENCE_GAP, text)[-1]
+
+
+def test_words_of_any_white_space(spark):
+    texts = ["", " ", "one", " two  words ", "a\tb\nc\r\nd\x0be\x0cf", "a\u00a0b\u2003c", "é è", "a\x1cb", None, "x " * 50]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = [0, 0, 1, 2, 6, 3, 2, 1, 0, 50]
+    from lexiquarry.functions.text import words
+
+    assert [tuple(r) for r in rows.select(words("t"), words(F.concat("t"))).collect()] == [(n, n) for n in want]
+
+
+def test_keys_of_a_small_file_are_dealt(spark, tmp_path):
+    """What is made of keys may be large where their file is small: it is not left to one task."""
+    from lexiquarry.plans import layouts
+
+    spark.range(4001).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    assert layouts.prose_pieces(spark, str(tmp_path)).rdd.getNumPartitions() == 3
