@@ -8,9 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Characters that JSON writes as two, and those that it writes as six.
-SHORT, LONG = '"\\\n\r\t\b\f', "".join(map(chr, range(32))).translate({ord(c): None for c in "\n\r\t\b\f"})
-
 
 def _sorted(value: Column, kind: T.DataType) -> Column:
     """A value with the fields of structs and the keys of maps in order, at every depth."""
@@ -52,11 +49,11 @@ def canonical_hash(value: Column, kind: T.DataType) -> Column:
 def length(value: Column, kind: T.DataType) -> Column:
     """Characters of a value as JSON with ``", "`` and ``": "``, letters of all scripts as they are; null counts as ``null``.
 
-    A closed form of lengths and of counts of the characters that are escaped; no JSON is made.
+    A closed form of lengths; only texts are written as JSON, one by one, as their characters may be escaped.
     """
     size: Column
     if isinstance(kind, T.StringType):
-        size = F.length(value) + 2 + (F.length(value) - F.length(F.translate(value, SHORT, ""))) + 5 * (F.length(value) - F.length(F.translate(value, LONG, "")))
+        size = F.when(value.isNotNull(), F.length(F.to_json(F.struct(value.alias("a")))) - len('{"a":}'))
     elif isinstance(kind, T.BooleanType):
         size = F.when(value, 4).when(~value, 5)
     elif isinstance(kind, T.ArrayType):

@@ -5,18 +5,23 @@ from __future__ import annotations
 import hashlib
 import json
 import time
+import unicodedata
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.types import StructType
 
 from lexiquarry.functions import lexicon as L
 from lexiquarry.functions import jsons, tags
 from lexiquarry.functions.text import claims, fold, nfkc, norm, reply, request_tokens, safe_prefix
 from lexiquarry.sources import store
+from lexiquarry.sources.scratch import written
 
 
 def evidence_block(hits: DataFrame, records: DataFrame) -> DataFrame:
@@ -26,26 +31,28 @@ def evidence_block(hits: DataFrame, records: DataFrame) -> DataFrame:
     return both.withColumn("evidence_no", n).withColumn("evidence_id", F.concat(F.lit("E"), F.col("evidence_no").cast("string")))
 
 
-def packed(evidence: DataFrame, size: str, budget: int = L.EVIDENCE_CHARS, by: str = "question_id", order: str = "rank", item: str = "item_id") -> DataFrame:
+def packed(evidence: DataFrame, size: str, budget: int = L.EVIDENCE_CHARS, by: str = "question_id", order: str = "rank", item: str = "item_id", carried: Sequence[str] = ()) -> DataFrame:
     """Which items fit a budget, taken in order: one that is too large is passed over, later ones may fit.
 
     If the first is too large it is taken alone, cut. Items of a question (a handful) are folded in an
-    array; nothing is joined.
+    array; nothing is joined. ``carried`` columns stay with their item.
     """
-    first = F.struct(F.lit(0).cast("long").alias("used"), F.lit(False).alias("shut"), F.array().cast("array<struct<item:bigint,cut:boolean,place:bigint>>").alias("kept"))
+    own = "".join(f",`{c}`:{evidence.schema[c].dataType.simpleString()}" for c in carried)
+    first = F.struct(F.lit(0).cast("long").alias("used"), F.lit(False).alias("shut"), F.array().cast(f"array<struct<item:bigint,cut:boolean,place:bigint{own}>>").alias("kept"))
 
     def step(acc: Column, x: Column) -> Column:
         fits = ~acc["shut"] & (acc["used"] + x["size"] <= budget)
         cut = ~acc["shut"] & ~fits & (F.size(acc["kept"]) == 0)
-        entry = F.struct(x["item"].alias("item"), cut.alias("cut"), (F.size(acc["kept"]) + 1).cast("long").alias("place"))
+        entry = F.struct(x["item"].alias("item"), cut.alias("cut"), (F.size(acc["kept"]) + 1).cast("long").alias("place"), *[x[c].alias(c) for c in carried])
         return F.struct(
             F.when(fits, acc["used"] + x["size"]).when(cut, F.lit(budget).cast("long")).otherwise(acc["used"]).alias("used"),
             (acc["shut"] | cut).alias("shut"),
             F.when(fits | cut, F.array_append(acc["kept"], entry)).otherwise(acc["kept"]).alias("kept"),
         )
 
-    rows = evidence.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("order"), F.col(item).cast("long").alias("item"), F.col(size).cast("long").alias("size")))).alias("items"))
-    return rows.select(by, F.explode_outer(F.aggregate("items", first, step)["kept"]).alias("k")).select(by, F.col("k.item").alias(item), F.col("k.place").alias("place"), F.col("k.cut").alias("truncated"))
+    rows = evidence.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("order"), F.col(item).cast("long").alias("item"), F.col(size).cast("long").alias("size"), *carried))).alias("items"))
+    kept = rows.select(by, F.explode_outer(F.aggregate("items", first, step)["kept"]).alias("k"))
+    return kept.select(by, F.col("k.item").alias(item), F.col("k.place").alias("place"), F.col("k.cut").alias("truncated"), *[F.col(f"k.{c}").alias(c) for c in carried])
 
 
 def prompt(question: Column, jurisdiction: Column, evidence: Column) -> Column:
@@ -86,7 +93,7 @@ class Journal:
 def respond(
     requests: DataFrame, responder: Callable[[str], str], attempts: int = 3, wait: Callable[[float], None] = time.sleep, waits: Sequence[float] | None = None, spacing: float = 0.0, lanes: int | None = None, journal: str | None = None
 ) -> DataFrame:
-    """``question_id, raw, error, retries``: the responder's replies.
+    """``question_id, raw, error, retries``: the responder's replies to ``requests (question_id, prompt, …)``; other columns go along.
 
     A failure whose ``status_code`` or ``code`` is transient is tried again after 1, 2, 4, … seconds, or after those of ``waits``; a
     time-out and any other failure are not. With ``spacing``, calls begin at least so many seconds apart over the whole job:
@@ -101,14 +108,16 @@ def respond(
         given = getattr(error, "status_code", None) or getattr(error, "code", None)
         return int(given) if str(given).isdigit() else None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    others = [c for c in requests.columns if c not in ("question_id", "prompt")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         notes, called = Journal(journal) if journal else None, False
         for batch in batches:
             out = []
-            for question_id, text in zip(batch["question_id"], batch["prompt"], strict=True):
+            for text in batch.column("prompt").to_pylist():
                 known = notes.known(text) if notes else None
                 if known:
-                    out.append((question_id, known[0], None, known[1]))
+                    out.append((known[0], None, known[1]))
                     continue
                 if called and spacing:
                     wait(spacing * lanes)
@@ -118,7 +127,7 @@ def respond(
                         raw = responder(text)
                         if notes:
                             notes.note(text, raw, k)
-                        out.append((question_id, raw, None, k))
+                        out.append((raw, None, k))
                         break
                     except Exception as error:  # noqa: BLE001  what a client raises is its own
                         code = status(error)
@@ -126,13 +135,15 @@ def respond(
                             wait(pause[min(k, len(pause) - 1)])
                             continue
                         told = "TIMEOUT_OR_NETWORK_ERROR" if isinstance(error, TimeoutError) else f"HTTP_{code}" if code else "API_ERROR"
-                        out.append((question_id, None, told, k))
+                        out.append((None, told, k))
                         break
-            yield pd.DataFrame(out, columns=["question_id", "raw", "error", "retries"])
+            kept, types = ["question_id", *others], (pa.string(), pa.string(), pa.int32())
+            told = [pa.array([r[n] for r in out], t) for n, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *told], names=[*kept, "raw", "error", "retries"])
 
-    kind = requests.schema["question_id"].dataType.simpleString()
     dealt = requests.repartition(lanes, "question_id") if lanes else requests
-    return dealt.select("question_id", "prompt").mapInPandas(run, f"question_id {kind}, raw string, error string, retries int")
+    schema = StructType([requests.schema[c] for c in ("question_id", *others)]).add("raw", "string").add("error", "string").add("retries", T.IntegerType())
+    return dealt.select("question_id", "prompt", *others).mapInArrow(run, schema)
 
 
 def citations(used: DataFrame, supplied: DataFrame, by: str, item: str) -> DataFrame:
@@ -156,40 +167,57 @@ def _there(df: DataFrame, names: tuple[str, ...]) -> list[Column]:
     return [F.col(c).alias(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in names]
 
 
-def supplied(evidence: DataFrame, budget: int = L.EVIDENCE_CHARS) -> DataFrame:
+def supplied(evidence: DataFrame, budget: int = L.EVIDENCE_CHARS, records: DataFrame | None = None) -> DataFrame:
     """``question_id, place, chunk_id, item`` of the evidence that fits the budget, numbered anew.
 
-    ``evidence (question_id, rank, chunk_id, text, …)``; an item is a struct of the record's ``metadata`` and ``text``. Sizes
-    are those of the items as JSON; a first item that is too large is cut at a sentence.
+    ``evidence (question_id, rank, chunk_id, text, …)``, or hits without text and the ``records (chunk_id, text, …)`` that they point to; an
+    item is a struct of the record's ``metadata`` and ``text``. Sizes are those of the items as JSON; a first item that is too large is
+    cut at a sentence. With ``records``, sizes are taken where these are, and only texts that are supplied are moved.
     """
-    meta = F.struct(*_there(evidence, TOLD), F.concat(F.lit("E"), F.col("rank").cast("string")).alias("evidence_id"))
-    rows = evidence.select("question_id", "rank", "chunk_id", "text", meta.alias("metadata"))
-    whole = jsons.length(F.struct("metadata", "text"), rows.select("metadata", "text").schema)
-    rows = rows.withColumn("item_id", F.col("rank").cast("long")).withColumn("size", whole)
-    kept = packed(rows, "size", budget)
-    both = rows.join(kept, ["question_id", "item_id"])
-    room = F.greatest(F.lit(1), budget - (F.col("size") - F.length("text"))).cast("int")
+    named = F.lit("E") if records is None else F.lit("")
+    told = evidence if records is None else records
+    meta = F.struct(*_there(told, TOLD), (F.concat(named, F.col("rank").cast("string")) if records is None else named).alias("evidence_id"))
+    own = told.select(*([] if records is not None else ["question_id", "rank"]), "chunk_id", "text", meta.alias("metadata"))
+    sized = own.withColumns({"size": jsons.length(F.struct("metadata", "text"), own.select("metadata", "text").schema), "chars": F.length("text")})
+    if records is not None:
+        number = F.coalesce(F.length(F.concat(F.lit("E"), F.col("rank").cast("string"))), F.lit(2))  # null is two longer than no characters
+        sized = evidence.select("question_id", "rank", "chunk_id").join(sized.select("chunk_id", "size", "chars"), "chunk_id").withColumn("size", F.col("size") + number)
+    kept = packed(sized.withColumn("item_id", F.col("rank").cast("long")).withColumn("whole", F.col("size")), "size", budget, carried=("chunk_id", "whole", "chars"))
+    both = kept.join(own, "chunk_id") if records is not None else kept.drop("chunk_id").join(own.withColumn("item_id", F.col("rank").cast("long")), ["question_id", "item_id"])
+    room = F.greatest(F.lit(1), budget - (F.col("whole") - F.col("chars"))).cast("int")
     text = F.when(F.col("truncated"), safe_prefix("text", room)).otherwise(F.col("text"))
     number = F.concat(F.lit("E"), F.col("place").cast("string"))
     return both.select("question_id", "place", "chunk_id", F.struct(F.col("metadata").withField("evidence_id", number).alias("metadata"), text.alias("text")).alias("item"))
 
 
-def answer(cases: DataFrame, evidence: DataFrame, responder: Callable[[str], str], wait: Callable[[float], None] = time.sleep, **paced: object) -> DataFrame:
-    """Answers of ``cases (question_id, question, jurisdiction)`` from ``evidence (question_id, rank, chunk_id, text, …)``.
+@F.pandas_udf(T.StringType())
+def _searched(text: pd.Series) -> pd.Series:
+    """A text as claims are looked for in it: what :func:`nfkc`, :func:`norm` and :func:`fold` make of it, in one pass."""
+    return text.map(lambda t: " ".join(unicodedata.normalize("NFKC", t or "").split()).casefold())
+
+
+def answer(cases: DataFrame, evidence: DataFrame, responder: Callable[[str], str], wait: Callable[[float], None] = time.sleep, records: DataFrame | None = None, **paced: object) -> DataFrame:
+    """Answers of ``cases (question_id, question, jurisdiction)`` from ``evidence`` and ``records`` as in :func:`supplied`.
 
     Cases with a reason against answering are not sent; ``paced`` goes to :func:`respond`. A reply that is no valid JSON, or cites what was
-    not supplied, or answers without evidence, becomes an abstention. ``warnings`` are claims that no evidence names.
+    not supplied, or answers without evidence, becomes an abstention. ``warnings`` are claims that no evidence names. A question's
+    evidence is gathered once and goes through the responder in one row; the answers are written, so that what reads them several times
+    does not ask again.
     """
     reasoned = cases.withColumn("reason", tags.precheck_reason(F.col("question"), F.col("jurisdiction")))
-    block = supplied(evidence.join(reasoned.where("reason is null").select("question_id"), "question_id", "left_semi"))
+    asked = reasoned.where("reason is null")
+    block = supplied(evidence.join(asked.select("question_id"), "question_id", "left_semi"), records=records)
     lists = block.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("place", "chunk_id", F.to_json("item", {"ignoreNullFields": "false"}).alias("json")))).alias("items"))
-    asked = reasoned.where("reason is null").join(lists, "question_id", "left")
-    joined = F.concat(F.lit("["), F.array_join(F.col("items.json"), ", "), F.lit("]"))
-    requests = asked.select("question_id", prompt(F.col("question"), F.col("jurisdiction"), F.coalesce(joined, F.lit("[]"))).alias("prompt"))
-    got = respond(requests, responder, wait=wait, **paced).withColumn("r", reply("raw"))
-    rows = reasoned.join(lists, "question_id", "left").join(got, "question_id", "left").join(requests.select("question_id", "prompt"), "question_id", "left")
+    joined = F.coalesce(F.concat(F.lit("["), F.array_join(F.col("items.json"), ", "), F.lit("]")), F.lit("[]"))
+    told = asked.join(lists, "question_id", "left").withColumn("_evidence", joined)
+    told = told.withColumn("prompt", prompt(F.col("question"), F.col("jurisdiction"), F.col("_evidence")))
+    requests = told.select("question_id", "prompt", F.coalesce("items.chunk_id", F.array().cast("array<string>")).alias("chunk_ids"), request_tokens(F.coalesce("prompt", F.lit(""))).alias("request_tokens"), "_evidence")
+    got = respond(requests, responder, wait=wait, **paced).withColumn("r", reply("raw")).withColumn("reason", F.lit(None).cast("string"))
+    passed = reasoned.where("reason is not null").select("question_id", "reason", F.lit(0).cast("long").alias("request_tokens"))
+    rows = got.unionByName(passed, allowMissingColumns=True)
     none = F.array().cast("array<string>")
-    ids = F.coalesce(F.transform("items", lambda x: F.concat(F.lit("E"), x["place"].cast("string"))), none)
+    # Numbers are places from 1 on without gaps.
+    ids = F.transform(F.coalesce("chunk_ids", none), lambda x, k: F.concat(F.lit("E"), (k + 1).cast("string")))
     used = F.coalesce(F.col("r.used_evidence_ids"), none)
     bad = (F.size(F.array_except(used, ids)) > 0) | (~F.col("r.abstained") & (F.size(used) == 0))
     failure = (
@@ -197,15 +225,18 @@ def answer(cases: DataFrame, evidence: DataFrame, responder: Callable[[str], str
         .when(F.col("r").isNull(), "MALFORMED_RESPONSE").when(bad, "CITATION_VALIDATION_FAILED")
         .when(F.col("r.abstained"), F.coalesce(F.col("r.abstention_reason"), F.lit("ABSTAINED")))
     )
-    chunks = F.transform(F.filter(F.transform(used, lambda u: F.element_at(F.filter("items", lambda x: F.concat(F.lit("E"), x["place"].cast("string")) == u), 1)), lambda x: x.isNotNull()), lambda x: x["chunk_id"])
+    chunks = F.transform(used, lambda u: F.get("chunk_ids", F.substring(u, F.lit(2), F.length(u)).try_cast("int") - 1))
     found = rows.select(
         "question_id", F.when(failure.isNull(), F.col("r.answer")).otherwise("").alias("answer"), failure.isNotNull().alias("abstained"), failure.alias("abstention_reason"),
         F.when(failure.isNull(), chunks).otherwise(none).alias("used_chunk_ids"),
         F.when(F.col("reason").isNotNull(), "NOT_CALLED").when(F.col("error").isNotNull(), F.col("error")).otherwise("PASS").alias("api_status"), F.coalesce("retries", F.lit(0)).alias("retries"),
-        request_tokens(F.coalesce("prompt", F.lit(""))).alias("request_tokens"), F.coalesce(F.array_join(F.col("items.json"), " "), F.lit("")).alias("_evidence"),
+        "request_tokens", "_evidence",
     )
-    claims_ = unsupported_claims(found.where("not abstained"), "question_id", "answer", "_evidence").groupBy("question_id").agg(F.array_sort(F.collect_set("claim")).alias("warnings"))
-    return found.join(claims_, "question_id", "left").withColumn("warnings", F.coalesce("warnings", none)).drop("_evidence")
+    found = found.withColumn("_claims", claims(nfkc("answer")))
+    needed = ~F.col("abstained") & (F.size("_claims") > 0)
+    found = found.withColumn("_evidence", _searched(F.when(needed, F.col("_evidence"))))
+    lacking = F.array_sort(F.array_distinct(F.filter("_claims", lambda c: ~F.contains("_evidence", c))))
+    return written(found.withColumn("warnings", F.when(needed, lacking).otherwise(none)).drop("_evidence", "_claims"), "answers")
 
 
 def cited(answers: DataFrame, records: DataFrame) -> DataFrame:

@@ -193,3 +193,40 @@ def test_paced_responder(tmp_path, spark):
     assert sorted(x[1] for x in lines if x[0] == "wait" and x[1] != 6.0) == [5, 10]
     again, lines = run()
     assert again == got and {x[1] for x in lines if x[0] == "call"} == {"busy"}
+
+
+def evidence_of(spark):
+    hits = spark.createDataFrame([(q, r, f"c{(q + r) % 5}") for q in range(6) for r in range(1, 5)], "question_id long, rank int, chunk_id string")
+    texts = ["Short text. ", "A sentence of some words. " * 300, 'quoted "x" \\ \n\u0001 end. ' * 100, "é " * 4000]
+    records = spark.createDataFrame([(f"c{k}", f"s{k}", "India", t) for k, t in enumerate(texts)], "chunk_id string, source_id string, jurisdiction string, text string")
+    return hits, records
+
+
+def test_records_apart_from_their_hits(spark):
+    """Evidence packed by sizes, whose texts come later, is what it is with texts from the beginning."""
+    hits, records = evidence_of(spark)
+    apart = answers.supplied(hits, records=records).collect()
+    assert sorted(map(repr, apart)) == sorted(map(repr, answers.supplied(hits.join(records, "chunk_id")).collect())) and len(apart) > 8
+    size = {r.question_id: 0 for r in apart}
+    for r in apart:
+        size[r.question_id] += len(json.dumps(r.item.asDict(recursive=True), ensure_ascii=False))
+    assert max(size.values()) <= 12000
+
+
+@pytest.mark.parametrize("evaluated", [False, True])
+def test_a_case_is_asked_once(spark, tmp_path, evaluated):
+    """However often the answers are read, and however often a query has them in its plan."""
+    hits, records = evidence_of(spark)
+    log = tmp_path / "log"
+
+    def responder(text):
+        with log.open("a") as out:
+            out.write("asked\n")
+        return json.dumps({"answer": "By rule 4 and Section 7 of it.", "abstained": False, "used_evidence_ids": ["E1"]})
+
+    none = F.array().cast("array<string>")
+    cases = spark.createDataFrame([(q, "How do I report?", "India") for q in range(6)], "question_id long, question string, jurisdiction string").withColumns({"expected": none, "forbidden": none, "should_answer": F.lit(True)})
+    found = answers.answer(cases, hits, responder, records=records)
+    rows = (answers.judged(cases, found, records) if evaluated else found.withColumn("cited_source_ids", F.lit(None))).collect()
+    assert len(rows) == 6 and len(log.read_text().splitlines()) == 6
+    assert all(r.warnings == (2 if evaluated else ["rule 4", "section 7"]) for r in rows)
