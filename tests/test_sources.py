@@ -239,6 +239,16 @@ def test_cached_scan_parses_only_new_content(spark, tmp_path):
     assert page_scan.cached(spark, page_files(tmp_path / "none"), f"file://{tmp_path}/c2")[1] == 0
 
 
+def test_paths_of_a_cached_scan_stay_in_tables(spark, tmp_path, monkeypatch):
+    """The driver neither lists all files nor names those to parse; tasks find the ones that it would list."""
+    folder, cache = page_files(tmp_path, a=HTML, b="<p>one</p>", _hidden="x"), f"file://{tmp_path}/cache"
+    (tmp_path / "in" / "top.html").write_text("<p>two</p>")
+    assert sorted(map(tuple, page_scan.found(spark, folder).collect())) == page_scan.listed(folder)
+    monkeypatch.setattr(page_scan, "listed", lambda folder: pytest.fail("listed on the driver"))
+    pages, parsed = page_scan.cached(spark, folder, cache)
+    assert parsed == 3 and {r.path.rsplit("/", 1)[1] for r in pages.collect()} == {"a.html", "b.html", "top.html"}
+
+
 def test_only_changed_rows_are_built(spark):
     known = spark.createDataFrame([("a", "1", 10), ("b", "1", 20), ("gone", "1", 30)], "k string, sig string, v int")
     current = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "1")], "k string, sig string")
