@@ -493,3 +493,19 @@ def test_keys_of_a_small_file_are_dealt(spark, tmp_path):
 
     spark.range(4001).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
     assert layouts.prose_pieces(spark, str(tmp_path)).rdd.getNumPartitions() == 3
+    assert layouts.book_lines(spark, str(tmp_path)).rdd.getNumPartitions() == 3
+
+
+def test_long_lines_that_begin_units(spark):
+    """Beyond 25 words a line may begin a unit by its number, its name in capitals or its colon; others are not looked at."""
+    from lexiquarry.operators import structure
+
+    more = " of the members" * 12
+    cases = [
+        ("12. Short title.— This" + more, False, "act", "section"), ("[12. Short title.— This" + more, False, "act", "section"), ("THE FIRST SCHEDULE" + more.upper(), False, "rules", "schedule"), ("FORM VI" + more, True, "rules", "form"),
+        ("How to complain" + more + ":", False, "grievance_guidance", "heading"), ("STATEMENT OF OBJECTS AND REASONS" + " ." * 30, False, "act", "background"), ("(1) A member" + more, False, "act", None), ("A member" + more, True, "act", None),
+    ]
+    rows = [(str(n), 1.0, t, 1, bold, 0, False, d, 10.0, 10.0) for n, (t, bold, d, _) in enumerate(cases)]
+    lines = spark.createDataFrame(rows, "source_id string, seq double, text string, page int, bold boolean, block int, table boolean, document_type string, size double, body_size double")
+    got = {int(r.source_id): r.boundary.kind if r.boundary else None for r in structure.classified(lines).collect()}
+    assert got == {n: c[3] for n, c in enumerate(cases)}
